@@ -159,11 +159,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text repeats another's; the columns stay."""
+    """docs without the rows whose text repeats another's; the columns stay. Rows without an id go; of rows repeated with their id one stays."""
     arrow_settings(spark)
     rows = stored(digests(docs, half()), "exact-digests")
-    kept = dedup(rows).filter(F.col("doc_id") == F.col("keep_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = stored(dedup(rows).filter(F.col("doc_id") == F.col("keep_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "exact-kept")
+    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return out if kept.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
 
 
 SQL = r"""
