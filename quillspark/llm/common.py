@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 #: so that table never has more than this many rows, whatever the input's size.
 HOT_SHARE = 1000
 
+#: Ids of at most this many rows are broadcast to filter a table where it lies (16 bytes a row); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
 _left: list[tuple[SparkSession, str]] = []
 
 
@@ -106,6 +109,12 @@ def joined_small_hot(rows: DataFrame, answers: DataFrame, key: str, size: str, t
     return rows.join(hot, key).unionByName(rest.join(answers.filter(F.col(size) <= limit), key))
 
 
+def picked(df: DataFrame, ids: DataFrame, key: str, anti: bool = False) -> DataFrame:
+    """df's rows whose key is among ids, or isn't; ids must be stored, as they are counted to choose the join."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_anti" if anti else "left_semi").select(*df.columns)
+
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_schema, arrow_settings, joined_small_hot, stored, table
+from quillspark.llm.common import arrow_schema, arrow_settings, joined_small_hot, picked, stored, table
 
 #: Digests that one bucket's function covers, on average.
 BUCKET = 20_000
@@ -162,9 +162,11 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the rows whose text repeats another's; the columns stay. Rows without an id go; of rows repeated with their id one stays."""
     arrow_settings(spark)
     rows = stored(digests(docs, half()), "exact-digests")
-    kept = stored(dedup(rows).filter(F.col("doc_id") == F.col("keep_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "exact-kept")
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    return out if kept.filter("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    groups = dedup(rows)
+    gone = stored(groups.filter("doc_id <> keep_id").select("doc_id").distinct(), "exact-gone")
+    out = picked(docs.filter("doc_id is not null"), gone, "doc_id", anti=True)
+    again = groups.filter("doc_id = keep_id").groupBy("doc_id").count().filter("count > 1")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
 
 
 SQL = r"""

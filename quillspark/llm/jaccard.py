@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_schema, arrow_settings, as_batch, byte_view, gram_hashes, joined_small_hot, map_batches, mix64, stored, table, word_hashes, word_spans
+from quillspark.llm.common import BROADCAST_IDS, arrow_schema, arrow_settings, as_batch, byte_view, gram_hashes, joined_small_hot, map_batches, mix64, picked, stored, table, word_hashes, word_spans
 
 #: Counters of the sketch of document frequencies, whatever the number of documents.
 SKETCH = 1 << 16
@@ -67,6 +67,11 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / mean)) - 1, 0, 63).astype(np.uint64)
 
 
+def prefix_size(n: int, num: int, den: int) -> int:
+    """How many tokens of a set of n must be looked at so that no partner is missed."""
+    return n - -(-num * n // den) + 1 if n else 0
+
+
 def prefix(tokens: np.ndarray, level: np.ndarray, size: int, order: int) -> np.ndarray:
     """The first tokens of a set under one global order."""
     place = mix64(tokens ^ np.uint64(0x9E3779B97F4A7C15 * (order + 1) & (1 << 64) - 1))
@@ -74,23 +79,19 @@ def prefix(tokens: np.ndarray, level: np.ndarray, size: int, order: int) -> np.n
     return tokens[np.argsort(key, kind="stable")[:size]]
 
 
-def described(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, the set's digest and its prefixes under each order."""
-    level = levels(sketch(docs, n, doc_id, text))
+def described(docs: DataFrame, n: int, num: int, den: int, level: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n, the set's digest and its prefix under the first order."""
 
     def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n", "digest", "first", "second", "third")}
+        out: dict[str, list] = {k: [] for k in ("n", "digest", "first")}
         for t in b.column(1).to_pylist():
             s = shingles(t, n)
-            size = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
             out["n"].append(len(s))
             out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            for k, name in enumerate(("first", "second", "third")):
-                p = prefix(s, level, size, k)
-                out[name].append(p.view(np.int64) if k == 0 else (p >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            out["first"].append(prefix(s, level, prefix_size(len(s), num, den), 0).view(np.int64))
         return {"doc_id": b.column(0)} | out
 
-    return map_batches(docs.select(doc_id, text), run, "doc_id long, n long, digest binary, first array<long>, second array<int>, third array<int>")
+    return map_batches(docs.select(doc_id, text), run, "doc_id long, n long, digest binary, first array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -107,74 +108,88 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels2.select("id", "component")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+def _whole_sets(docs: DataFrame, pairs: DataFrame, shape: tuple[int, int, int], level: np.ndarray, doc_id: str, text: str) -> DataFrame:
+    """The whole sets of the documents in pairs, with their prefixes under the other orders."""
+    n, num, den = shape
+    needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-needed")
+
+    def run(b: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"tokens": [], "orders": []}
+        for t in b.column(1).to_pylist():
+            s = shingles(t, n)
+            out["tokens"].append(s.astype("<u8").tobytes())
+            out["orders"].append(np.concatenate([prefix(s, level, prefix_size(len(s), num, den), k) for k in range(1, ORDERS)]).astype("<u8").tobytes())
+        return {"doc_id": b.column(0)} | out
+
+    whole = picked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), needed, "doc_id")
+    return stored(map_batches(whole, run, "doc_id long, tokens binary, orders binary").dropDuplicates(["doc_id"]), "jaccard-sets")
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.concatenate([x, y])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shape: tuple[int, int, int], level: np.ndarray, doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose prefixes meet under every other order and whose whole sets reach the threshold; pairs must be stored."""
+    _, num, den = shape
+    sets = _whole_sets(docs, pairs, shape, level, doc_id, text)
+    a, b = (sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"{c}_tokens"), F.col("orders").alias(f"{c}_orders")) for c in "ab")
 
     def run(batch: pa.RecordBatch) -> dict:
         keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            s, t = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            both = np.concatenate([s, t])
-            both.sort()
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep.append(den * shared >= num * (len(s) + len(t) - shared))
+        for row in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
+            s, s_orders, t, t_orders = (np.frombuffer(x.as_buffer(), "<u8") for x in row)
+            meet = all(_shared(x, y) for x, y in zip(np.split(s_orders, ORDERS - 1), np.split(t_orders, ORDERS - 1), strict=True))
+            o = _shared(s, t) if meet else 0
+            keep.append(meet and den * o >= num * (len(s) + len(t) - o))
         keep = pa.array(keep, pa.bool_())
         return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
 
-    return map_batches(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y"), run, "a long, b long")
-
-
-def _candidates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose prefixes meet under the other orders too."""
-    a = rows.select(F.col("doc_id").alias("a"), F.col("second").alias("a2"), F.col("third").alias("a3"))
-    b = rows.select(F.col("doc_id").alias("b"), F.col("second").alias("b2"), F.col("third").alias("b3"))
-    return pairs.join(a, "a").join(b, "b").filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+    few = pairs.count() <= BROADCAST_IDS
+    joined = a.join(F.broadcast(pairs) if few else pairs, "a").join(b, "b").select("a", "b", "a_tokens", "a_orders", "b_tokens", "b_orders")
+    return stored(map_batches(joined, run, "a long, b long"), "jaccard-verified")
 
 
-def linked(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b), a < b, between representatives that hold all components together; rows as described() gives them, one a set."""
+def linked(docs: DataFrame, reps: DataFrame, shape: tuple[int, int, int], level: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links (a, b), a < b, that hold all components together, between representatives: doc_id, n and first, one a set."""
+    _, num, den = shape
     fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
-    tokens = stored(rows.select("doc_id", "n", F.posexplode("first").alias("place", "token")), "jaccard-prefixes")
-    w = W.partitionBy("token").orderBy("place", "doc_id")
-    star = tokens.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.first("doc_id").over(w).alias("x"), F.first("n").over(w).alias("nx"))
-    pairs = star.filter((F.col("x") != F.col("y")) & fits(F.col("nx"), F.col("ny"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = stored(_candidates(pairs, rows), "jaccard-pairs")
-    sets = _sets(docs, tried, n, doc_id, text)
-    links = stored(_verified(tried, sets, num, den), "jaccard-verified")
+    alone = W.partitionBy("token")
+    w = alone.orderBy("place", "doc_id")
+    tokens = reps.select("doc_id", "n", F.posexplode("first").alias("place", "token"))
+    tokens = tokens.select("doc_id", "n", "token", F.count(F.lit(1)).over(alone).alias("m"), F.first("doc_id").over(w).alias("x"), F.first("n").over(w).alias("nx")).filter("m > 1")
+    tokens = stored(tokens, "jaccard-shared")
+    # first each document against the one that it shares most tokens with, of those that lead a token
+    star = tokens.filter((F.col("x") != F.col("doc_id")) & fits(F.col("nx"), F.col("n"))).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("k"))
+    star = star.groupBy("doc_id").agg(F.max(F.struct("k", -F.col("x"))).alias("best")).select(F.least("doc_id", -F.col("best.col2")).alias("a"), F.greatest("doc_id", -F.col("best.col2")).alias("b")).distinct()
+    tried = stored(star, "jaccard-pairs")
+    links = verified(docs, tried, shape, level, doc_id, text)
+    # then all pairs of a token's documents whose components still differ, by the tokens that they share
     label = components(links)
     named = tokens.join(label, tokens.doc_id == label.id, "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    named = stored(named, "jaccard-named")
-    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi and m > 2").select("token")
-    left = stored(named.join(mixed, "token", "left_semi"), "jaccard-open")
-    x, y = left.alias("x"), left.alias("y")
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n")))
-    more = more.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stored(_candidates(more, rows), "jaccard-more")
-    if more.isEmpty():
-        return links
-    return links.unionByName(_verified(more, _sets(docs, more, n, doc_id, text), num, den))
-
-
-def _sets(docs: DataFrame, pairs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
-    """The whole sets of the documents in pairs."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-
-    def run(b: pa.RecordBatch) -> dict:
-        return {"doc_id": b.column(0), "tokens": [shingles(t, n).astype("<u8").tobytes() for t in b.column(1).to_pylist()]}
-
-    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(needed, "doc_id", "left_semi")
-    return stored(map_batches(whole, run, "doc_id long, tokens binary").dropDuplicates(["doc_id"]), "jaccard-sets")
+    mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
+    open_ = stored(named.join(mixed, "token", "left_semi"), "jaccard-open")
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"))
+    pairs = x.join(y, apart).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
+    # all common tokens beyond the shorter prefix lie in one set's rest
+    rest = F.ceil(F.lit(num) * F.greatest("na", "nb") / F.lit(den)) - 1
+    near = pairs.filter((F.lit(num + den) * (F.col("k") + rest)) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
+    more = stored(near.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+    return links if more.isEmpty() else links.unionByName(verified(docs, more, shape, level, doc_id, text))
 
 
 def classes(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each row: the smallest id that links of num / den or more reach."""
-    rows = stored(described(docs, n, num, den, doc_id, text), "jaccard-rows")
+    level = levels(sketch(docs, n, doc_id, text))
+    rows = stored(described(docs, n, num, den, level, doc_id, text), "jaccard-rows")
     alike = rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"))
     alike = stored(alike, "jaccard-alike")
-    reps = stored(rows.join(alike.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "jaccard-reps")
-    label = stored(components(linked(docs, reps, n, num, den, doc_id, text)), "jaccard-components")
+    copies = stored(rows.filter("n > 0").join(alike.filter("m > 1"), "digest").filter("doc_id <> rep").select("doc_id").distinct(), "jaccard-copies")
+    reps = picked(rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "first"), copies, "doc_id", anti=True)
+    label = stored(components(linked(docs, reps, (n, num, den), level, doc_id, text)), "jaccard-components")
     final = alike.join(label, alike.rep == label.id, "left").select("digest", "m", F.coalesce("component", "rep").alias("component_id"))
     some = joined_small_hot(rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "digest"), stored(final, "jaccard-final"), "digest", "m", rows.count())
     none = rows.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -190,5 +205,5 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_representatives(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without near copies: of each class the row with the smallest id stays; the columns stay. Rows without an id go."""
     arrow_settings(spark)
-    kept = classes(docs, n, num, den).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    gone = stored(classes(docs, n, num, den).filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
+    return picked(docs.filter("doc_id is not null"), gone, "doc_id", anti=True)

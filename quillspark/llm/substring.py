@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.anchors import covered, digest64, marks_by_doc, stretches
-from quillspark.llm.common import HOT_SHARE, arrow_settings, byte_view, map_batches, scratch_path, stored, table, word_hashes, word_spans
+from quillspark.llm.common import HOT_SHARE, arrow_settings, byte_view, map_batches, picked, scratch_path, stored, table, word_hashes, word_spans
 
 WINDOW = 35
 DOUBLINGS = 3
@@ -104,8 +104,9 @@ def joined_by_pair(rows: DataFrame, entries: DataFrame, total: int) -> DataFrame
 
 def wanted_texts(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -> DataFrame:
     """The texts of the entries' representatives, one a document, with the entries to take from each: doc_id, text, prints, n, prints_of_gram."""
+    ids = stored(entries.select(F.col("rep").alias("doc_id")).distinct(), "wanted-ids")
     per_doc = entries.groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list(F.struct("print", "n", "prints")).alias("e"))
-    whole = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    whole = picked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ids, "doc_id")
     return whole.join(per_doc, "doc_id").select("doc_id", "text", F.col("e.print").alias("taken"), F.col("e.n").alias("n"), F.col("e.prints").alias("prints"))
 
 
@@ -143,6 +144,15 @@ def repeated_windows(docs: DataFrame, history: F.Column, size: int = WINDOW, doc
     return stored(whole.unionByName(part), "substring-marks")
 
 
+def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """docs with the arrays _starts and _lengths, null without a mark; only texts with marks are shuffled."""
+    ids = stored(marks.select("doc_id").distinct(), "marked-ids")
+    some = picked(docs, ids, "doc_id").join(marks_by_doc(marks), "doc_id").select(*docs.columns, F.col("starts").alias("_starts"), F.col("lengths").alias("_lengths"))
+    none = picked(docs, ids, "doc_id", anti=True)
+    empty = F.lit(None).cast("array<bigint>")
+    return some.unionByName(none.select("*", empty.alias("_starts"), empty.alias("_lengths")))
+
+
 def half(doc_id: str = "doc_id") -> F.Column:
     """Half of the rows, whose run stands for the history of the others."""
     return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(2)) == 0, F.lit(True))
@@ -165,8 +175,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             kept.append(hashlib.sha256(b" ".join(w)).hexdigest())
         return {"doc_id": b.column(0), "n_words": n, "n_removed": removed, "kept_sha256": kept}
 
-    marked = docs.join(marks_by_doc(repeated_windows(docs, half())), "doc_id", "left")
-    return map_batches(marked.select("doc_id", "text", "starts", "lengths"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_batches(with_marks(docs, repeated_windows(docs, half())), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def keep_unrepeated(spark: SparkSession, docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -185,5 +194,5 @@ def keep_unrepeated(spark: SparkSession, docs: DataFrame, size: int = WINDOW) ->
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    marked = docs.join(marks_by_doc(repeated_windows(docs.select("doc_id", "text"), half(), size)).withColumnsRenamed({"starts": "_starts", "lengths": "_lengths"}), "doc_id", "left")
+    marked = with_marks(docs, repeated_windows(docs.select("doc_id", "text"), half(), size))
     return marked.withColumn("text", without("text", "_starts", "_lengths")).select(*docs.columns)

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.anchors import covered, digest64, marks_by_doc, stretches
+from quillspark.llm.anchors import covered, digest64, stretches
 from quillspark.llm.common import _BYTE, arrow_schema, arrow_settings, as_batch, byte_view, map_batches, stored, table
-from quillspark.llm.substring import STRETCH, joined_by_pair, wanted_texts
+from quillspark.llm.substring import STRETCH, joined_by_pair, wanted_texts, with_marks
 
 SIZE = 400
 DOUBLINGS = 5
@@ -252,5 +252,4 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
             out["kept_sha256"].append(hashlib.sha256(raw[~gone].tobytes()).hexdigest())
         return {"doc_id": b.column(0)} | out
 
-    joined = docs.join(marks_by_doc(repeated_windows(docs)), "doc_id", "left")
-    return map_batches(joined.select("doc_id", "text", "starts", "lengths"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_batches(with_marks(docs, repeated_windows(docs)), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
