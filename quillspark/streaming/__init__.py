@@ -1,0 +1 @@
+"""Catalogue rows arrive in batches only: incremental loads are anti-joins against caches (see operators.joins), so there is no stream to keep state for."""
