@@ -5,9 +5,11 @@ scanning the buckets of first bytes in order. Only as many bytes as a window has
 the order. Neighbours with a common prefix of a window's length are repeated strings.
 
 A corpus is sorted in many small arrays: windows that are equal lie in stretches with the
-same gram (see anchors), so the distinct stretches of one gram, each once or, if it occurs
-more often, twice, go to one array. Grams with more than WIDE distinct stretches are dealt
-by the bytes that the windows of a narrow cell share, so no array grows with the corpus.
+same gram (see anchors), so the distinct stretches of one gram go to one array, each once.
+A stretch that occurs twice, byte for byte, is repeated as a whole and only stands in the
+array as the others' partner; a gram with one stretch needs no array. Grams with more than
+WIDE distinct stretches are dealt by the bytes that the windows of a narrow cell share, of
+which equal ones collapse, so no array grows with the corpus.
 
 Null texts count as empty; matches never cross texts. Texts shorter than a window keep
 everything. Rows with a null id come back with what an unrepeated text has. Rows repeated
@@ -31,9 +33,9 @@ from quillspark.llm.substring import STRETCH, joined_by_pair, wanted_texts, with
 SIZE = 400
 DOUBLINGS = 5
 #: Distinct stretches of a gram that one array takes at most.
-WIDE = 20_000
+WIDE = 4000
 #: Window starts of one cell of a wider gram.
-CELL = 16
+CELL = 4
 #: Bytes of stretches that are sorted together, at least, unless the task has no more.
 ARRAY_BYTES = 1 << 18
 #: Ends a stretch; UTF-8 has no such byte.
@@ -52,7 +54,7 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
     """The suffixes in the order of their first depth bytes, at least."""
     t = np.frombuffer(text, np.uint8)
     small = smaller(t)
-    direct = np.array(sorted(np.flatnonzero(small).tolist(), key=lambda i: text[i : i + depth]), np.int64)
+    direct = _sorted(text, t, np.flatnonzero(small), depth)
     head = t[direct]
     edge = np.searchsorted(head, np.arange(257))
     larger: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -72,6 +74,18 @@ def suffix_array(text: bytes, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _sorted(text: bytes, t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """Positions in the order of their suffixes, one bucket of equal first two bytes at a time, so that few keys are held at once."""
+    two = t[at].astype(np.uint16) << 8 | t[np.minimum(at + 1, len(t) - 1)]
+    order = np.argsort(two, kind="stable")
+    at, two = at[order], two[order]
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(two)) + 1, [len(at)]]).tolist()
+    places, out = at.tolist(), []
+    for a, b in zip(edges, edges[1:], strict=False):
+        out += places[a:b] if b - a < 2 else sorted(places[a:b], key=lambda i: text[i : i + depth])
+    return np.array(out, np.int64)
+
+
 def _induce(part: np.ndarray, t: np.ndarray, small: np.ndarray, larger: list[list[np.ndarray]]) -> None:
     """Puts the predecessors of a bucket's part that are larger than their successors into their buckets, in order."""
     before = part[part > 0] - 1
@@ -146,11 +160,11 @@ def found(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
     return map_batches(docs.select(doc_id, text), run, STRETCH)
 
 
-_PART = "doc_id long, key long, gram long, print long, base long, start long, n long, bytes binary"
+_PART = "doc_id long, key long, start long, n long, bytes binary"
 
 
 def parts(texts: DataFrame, size: int, wide: int = WIDE) -> DataFrame:
-    """The bytes of the wanted stretches, each once, with the key of the array that they go to; base is the stretch's first window, start the part's."""
+    """The bytes of the wanted stretches, each once, with the key of the array that they go to and their first window."""
 
     def run(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {x.split()[0]: [] for x in _PART.split(", ")}
@@ -170,18 +184,18 @@ def parts(texts: DataFrame, size: int, wide: int = WIDE) -> DataFrame:
                         core = raw[max(0, high) : low + size]
                         made.append((digest64(b"%d %d " % (g, cell) + core), max(f, low), min(f + k - 1, high)))
                 for key, low, high in made:
-                    for column, v in zip(out.values(), (doc, key, g, p, f, low, entry[0], raw[low : high + size]), strict=True):
+                    for column, v in zip(out.values(), (doc, key, low, entry[0], raw[low : high + size]), strict=True):
                         column.append(v)
         return out
 
     return map_batches(texts, run, _PART)
 
 
-_MARK = "doc_id long, gram long, print long, base long, start long, m long, n long"
+_MARK = "doc_id long, start long, m long"
 
 
 def marked(rows: DataFrame, size: int) -> DataFrame:
-    """The windows of parts() that are repeated among those with the same key, as runs."""
+    """The windows of parts() that are repeated among those with the same key, as runs; of stretches that occur once."""
     schema = arrow_schema(_MARK)
 
     def solve(groups: list[dict[bytes, list[tuple]]]) -> pa.RecordBatch:
@@ -190,25 +204,26 @@ def marked(rows: DataFrame, size: int) -> DataFrame:
             for data, own in g.items():
                 texts.append(data)
                 owners.append(own)
-                if len(own) > 1 or own[0][-1] > 1:
+                if len(own) > 1:  # equal parts of different stretches
                     texts.append(data)
                     owners.append([])
         out: dict[str, list] = {c: [] for c in schema.names}
         for starts, own in zip(repeated_starts(texts, size) if texts else [], owners, strict=True):
             cuts = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
             m = np.diff(cuts, append=len(starts)).tolist()
-            for doc, gram, p, base, start, n in own:
-                for s, k in zip(starts[cuts].tolist(), m, strict=True):
-                    for column, v in zip(out.values(), (doc, gram, p, base, start + s, k, n), strict=True):
-                        column.append(v)
+            for doc, start, n in own:
+                if n == 1:
+                    out["doc_id"] += [doc] * len(m)
+                    out["start"] += (start + starts[cuts]).tolist()
+                    out["m"] += m
         return as_batch(out, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: list[dict[bytes, list[tuple]]] = []
         key, held = None, 0
         for b in batches:
-            names = ("doc_id", "key", "gram", "print", "base", "start", "n", "bytes")
-            for doc, k, gram, p, base, start, n, data in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+            names = ("doc_id", "key", "start", "n", "bytes")
+            for doc, k, start, n, data in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
                 if k != key:
                     if held >= ARRAY_BYTES:
                         yield solve(groups)
@@ -217,7 +232,7 @@ def marked(rows: DataFrame, size: int) -> DataFrame:
                     key = k
                 if data not in groups[-1]:
                     held += len(data)
-                groups[-1].setdefault(data, []).append((doc, gram, p, base, start, n))
+                groups[-1].setdefault(data, []).append((doc, start, n))
         yield solve(groups)
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, _MARK)
@@ -229,11 +244,9 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id",
     entries = rows.groupBy("gram", "print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"))
     grams = entries.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("prints")).filter("total > 1")
     entries = stored(entries.join(grams, "gram"), "suffix-repeated")
-    runs = stored(marked(parts(wanted_texts(docs, entries, doc_id, text), size, wide), size), "suffix-runs")
-    own = runs.filter("n = 1").select("doc_id", "start", "m")
-    many = runs.filter("n > 1").select("gram", "print", (F.col("start") - F.col("base")).alias("off"), F.col("m").alias("len"), "n")
-    shared = joined_by_pair(rows, many, rows.count()).select("doc_id", (F.col("start") + F.col("off")).alias("start"), F.col("len").alias("m"))
-    return stored(own.unionByName(shared), "suffix-marks")
+    whole = joined_by_pair(rows, entries.filter("n > 1").select("gram", "print", "n"), rows.count()).select("doc_id", "start", "m")
+    part = marked(parts(wanted_texts(docs, entries.filter("prints > 1"), doc_id, text), size, wide), size)
+    return stored(whole.unionByName(part), "suffix-marks")
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
