@@ -5,7 +5,7 @@ can merge. An entry whose pair has changed since is stale and skipped. Decoding
 the vocabulary's strings, by a space, as a tokenizer file without a decoder asks.
 
 Null texts count as empty and have no ids. Words are cached by worker; a cache is emptied
-when it holds CACHE_WORDS words, which bounds memory and changes no result. Code points newer than the Unicode data of
+when it holds CACHE_WORDS entries, which bounds memory and changes no result. Code points newer than the Unicode data of
 Python's unicodedata module may be folded or split otherwise than the library does.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillspark.llm.common import arrow_settings, map_batches, table
 
 #: Words that one worker remembers at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 END = "</w>"
 #: Stands before a special token; no chunk holds white space.
 MARK = "\n"
@@ -56,10 +56,12 @@ class BPE:
         self.ids: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {v: k for k, v in (self.ids | self.special).items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: By a pair of ids, 20 bits each: the rank, counted from 1, over the merged id's 20 bits. A queue entry has the position below these.
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+            self.merges.setdefault(self.ids[a] << 20 | self.ids[b], rank + 1 << 20 | self.ids[a + b])
+        self.met = Cache(self.word)
         letters = byte_letters()
         self.inner = [self.ids[x] for x in letters]
         self.last = [self.ids[x + END] for x in letters]
@@ -69,29 +71,31 @@ class BPE:
     def word(self, word: str) -> list[int]:
         """The ids of one pre-token."""
         data = word.encode()
-        inner, merges = self.inner, self.merges
+        inner, get = self.inner, self.merges.get
         sym = [inner[x] for x in data]
         n = len(sym)
         sym[-1] = self.last[data[-1]]
-        heap = [(*m, i) for i in range(n - 1) if (m := merges.get((sym[i], sym[i + 1])))]
+        heap = [m << 32 | i for i in range(n - 1) if (m := get(sym[i] << 20 | sym[i + 1]))]
         if not heap:
             return sym
         heapq.heapify(heap)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         pop, push = heapq.heappop, heapq.heappush
         while heap:
-            rank, new, i = pop(heap)
+            e = pop(heap)
+            i = e & 0xFFFFFFFF
             j = right[i]
-            if sym[i] < 0 or j >= n or merges.get((sym[i], sym[j])) != (rank, new):
+            if j >= n or sym[i] < 0 or get(sym[i] << 20 | sym[j]) != e >> 32:
                 continue  # stale: one of the two has merged with another since
+            new = e >> 32 & 0xFFFFF
             sym[i], sym[j] = new, -1
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if m := merges.get((new, sym[k])):
-                    push(heap, (*m, i))
-            if (h := left[i]) >= 0 and (m := merges.get((sym[h], new))):
-                push(heap, (*m, h))
+                if m := get(new << 20 | sym[k]):
+                    push(heap, m << 32 | i)
+            if (h := left[i]) >= 0 and (m := get(sym[h] << 20 | new)):
+                push(heap, m << 32 | h)
         return [x for x in sym if x >= 0]
 
     def chunks(self, text: str) -> list[str]:
@@ -122,7 +126,7 @@ class BPE:
 
     def piece_ids(self, piece: str) -> list[int]:
         """The ids of a chunk, or of a special token after MARK."""
-        return [self.special[piece[1:]]] if piece[0] == MARK else [i for w in self.words(piece) for i in self.word(w)]
+        return [self.special[piece[1:]]] if piece[0] == MARK else [i for w in self.words(piece) for i in self.met[w]]
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces(text) for i in self.piece_ids(p)]
