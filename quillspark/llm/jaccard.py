@@ -122,7 +122,7 @@ def _whole_sets(docs: DataFrame, pairs: DataFrame, shape: tuple[int, int, int],
         return {"doc_id": b.column(0)} | out
 
     whole = picked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), needed, "doc_id")
-    return stored(map_batches(whole, run, "doc_id long, tokens binary, orders binary").dropDuplicates(["doc_id"]), "jaccard-sets")
+    return stored(map_batches(whole, run, "doc_id long, tokens binary, orders binary"), "jaccard-sets")
 
 
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
