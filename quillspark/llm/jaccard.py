@@ -4,7 +4,9 @@ Every document's set of word shingles is ordered by several global orders, each
 common shingles last (by a sketch of fixed size that counts all documents) and breaks ties
 by its own hash. Two sets that reach the threshold share a token of their prefixes under
 every order, so candidates come from the first order's prefixes, must also meet in the
-other orders' prefixes, and are then verified on the whole sets.
+other orders' prefixes and must not be ruled out by a bound of the sets' difference (the bits
+in which their parities by buckets differ), and are then verified on the whole sets. Only
+the last step moves whole sets.
 
 Equal sets are one representative from the start. Candidates of a prefix token are first
 tried against one document only; further pairs of the token are made only between documents
@@ -20,6 +22,7 @@ once. An empty table gives no rows. Only the named columns of the input are read
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -79,19 +82,38 @@ def prefix(tokens: np.ndarray, level: np.ndarray, size: int, order: int) -> np.n
     return tokens[np.argsort(key, kind="stable")[:size]]
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """A bit for each of 2 n to 4 n buckets: whether an odd number of the n tokens falls into it."""
+    size = max(64, 1 << int(2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    at = (tokens >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of tokens that one of two sets has and the other hasn't, by their parities."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(u), len(v))
+    u, v = (np.bitwise_xor.reduce(w.reshape(-1, size), axis=0) if len(w) > size else w for w in (u, v))
+    return int(np.bitwise_count(u ^ v).sum())
+
+
 def described(docs: DataFrame, n: int, num: int, den: int, level: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, the set's digest and its prefix under the first order."""
+    """doc_id, n, the set's digest, its prefix under the first order, 32 bits of the tokens of its other prefixes, and its parity."""
 
     def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n", "digest", "first")}
+        out: dict[str, list] = {k: [] for k in ("n", "digest", "first", "orders", "parity")}
         for t in b.column(1).to_pylist():
             s = shingles(t, n)
+            size = prefix_size(len(s), num, den)
             out["n"].append(len(s))
             out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            out["first"].append(prefix(s, level, prefix_size(len(s), num, den), 0).view(np.int64))
+            out["first"].append(prefix(s, level, size, 0).view(np.int64))
+            others = np.concatenate([prefix(s, level, size, k) for k in range(1, ORDERS)])
+            out["orders"].append((others >> np.uint64(32)).astype("<u4").tobytes())
+            out["parity"].append(parity(s))
         return {"doc_id": b.column(0)} | out
 
-    return map_batches(docs.select(doc_id, text), run, "doc_id long, n long, digest binary, first array<long>")
+    return map_batches(docs.select(doc_id, text), run, "doc_id long, n long, digest binary, first array<long>, orders binary, parity binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -108,51 +130,60 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels2.select("id", "component")
 
 
-def _whole_sets(docs: DataFrame, pairs: DataFrame, shape: tuple[int, int, int], level: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """The whole sets of the documents in pairs, with their prefixes under the other orders."""
-    n, num, den = shape
-    needed = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-needed")
-
-    def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"tokens": [], "orders": []}
-        for t in b.column(1).to_pylist():
-            s = shingles(t, n)
-            out["tokens"].append(s.astype("<u8").tobytes())
-            out["orders"].append(np.concatenate([prefix(s, level, prefix_size(len(s), num, den), k) for k in range(1, ORDERS)]).astype("<u8").tobytes())
-        return {"doc_id": b.column(0)} | out
-
-    whole = picked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), needed, "doc_id")
-    return stored(map_batches(whole, run, "doc_id long, tokens binary, orders binary"), "jaccard-sets")
-
-
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate([x, y])
     both.sort()
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, shape: tuple[int, int, int], level: np.ndarray, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) whose prefixes meet under every other order and whose whole sets reach the threshold; pairs must be stored."""
-    _, num, den = shape
-    sets = _whole_sets(docs, pairs, shape, level, doc_id, text)
-    a, b = (sets.select(F.col("doc_id").alias(c), F.col("tokens").alias(f"{c}_tokens"), F.col("orders").alias(f"{c}_orders")) for c in "ab")
+def _kept_pairs(sides: DataFrame, pairs: DataFrame, columns: tuple[str, ...], keep: Callable[[list, list], bool], name: str) -> DataFrame:
+    """The pairs (a, b) for which keep holds of both documents' columns in sides; pairs must be stored."""
+    few = pairs.count() <= BROADCAST_IDS
+    a, b = (sides.select(F.col("doc_id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in columns)) for c in "ab")
+    joined = a.join(F.broadcast(pairs) if few else pairs, "a").join(b, "b").select("a", "b", *(f"{c}_{x}" for c in "ab" for x in columns))
+    m = len(columns)
 
     def run(batch: pa.RecordBatch) -> dict:
-        keep = []
-        for row in zip(*(batch.column(i) for i in range(2, 6)), strict=True):
-            s, s_orders, t, t_orders = (np.frombuffer(x.as_buffer(), "<u8") for x in row)
-            meet = all(_shared(x, y) for x, y in zip(np.split(s_orders, ORDERS - 1), np.split(t_orders, ORDERS - 1), strict=True))
-            o = _shared(s, t) if meet else 0
-            keep.append(meet and den * o >= num * (len(s) + len(t) - o))
-        keep = pa.array(keep, pa.bool_())
-        return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
+        rows = zip(*(batch.column(i).to_pylist() for i in range(2, 2 + 2 * m)), strict=True)
+        kept = pa.array([keep(r[:m], r[m:]) for r in rows], pa.bool_())
+        return {"a": batch.column(0).filter(kept), "b": batch.column(1).filter(kept)}
 
-    few = pairs.count() <= BROADCAST_IDS
-    joined = a.join(F.broadcast(pairs) if few else pairs, "a").join(b, "b").select("a", "b", "a_tokens", "a_orders", "b_tokens", "b_orders")
-    return stored(map_batches(joined, run, "a long, b long"), "jaccard-verified")
+    return stored(map_batches(joined, run, "a long, b long"), name)
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "jaccard-needed")
+
+
+def sieved(rows: DataFrame, pairs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """The pairs whose prefixes meet under every other order and whose parities don't rule the threshold out; no link is lost."""
+    _, num, den = shape
+
+    def keep(x: tuple, y: tuple) -> bool:
+        total = x[0] + y[0]
+        if (num + den) * (total - least_difference(x[2], y[2])) < 2 * num * total:
+            return False
+        orders = (np.split(np.frombuffer(o, "<u4"), ORDERS - 1) for o in (x[1], y[1]))
+        return all(_shared(u, v) for u, v in zip(*orders, strict=True))
+
+    return _kept_pairs(picked(rows.select("doc_id", "n", "orders", "parity"), _ids(pairs), "doc_id"), pairs, ("n", "orders", "parity"), keep, "jaccard-sieved")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, shape: tuple[int, int, int], doc_id: str, text: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold; pairs must be stored."""
+    n, num, den = shape
+    whole = picked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), _ids(pairs), "doc_id")
+    sets = map_batches(whole, lambda b: {"doc_id": b.column(0), "tokens": [shingles(t, n).astype("<u8").tobytes() for t in b.column(1).to_pylist()]}, "doc_id long, tokens binary")
+
+    def keep(x: tuple, y: tuple) -> bool:
+        s, t = np.frombuffer(x[0], "<u8"), np.frombuffer(y[0], "<u8")
+        o = _shared(s, t)
+        return den * o >= num * (len(s) + len(t) - o)
+
+    return _kept_pairs(stored(sets, "jaccard-sets"), pairs, ("tokens",), keep, "jaccard-verified")
 
 
-def linked(docs: DataFrame, reps: DataFrame, shape: tuple[int, int, int], level: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def linked(docs: DataFrame, rows: DataFrame, reps: DataFrame, shape: tuple[int, int, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Links (a, b), a < b, that hold all components together, between representatives: doc_id, n and first, one a set."""
     _, num, den = shape
     fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
@@ -165,7 +196,7 @@ def linked(docs: DataFrame, reps: DataFrame, shape: tuple[int, int, int], level:
     star = tokens.filter((F.col("x") != F.col("doc_id")) & fits(F.col("nx"), F.col("n"))).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("k"))
     star = star.groupBy("doc_id").agg(F.max(F.struct("k", -F.col("x"))).alias("best")).select(F.least("doc_id", -F.col("best.col2")).alias("a"), F.greatest("doc_id", -F.col("best.col2")).alias("b")).distinct()
     tried = stored(star, "jaccard-pairs")
-    links = verified(docs, tried, shape, level, doc_id, text)
+    links = verified(docs, sieved(rows, tried, shape), shape, doc_id, text)
     # then all pairs of a token's documents whose components still differ, by the tokens that they share
     label = components(links)
     named = tokens.join(label, tokens.doc_id == label.id, "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
@@ -178,7 +209,7 @@ def linked(docs: DataFrame, reps: DataFrame, shape: tuple[int, int, int], level:
     rest = F.ceil(F.lit(num) * F.greatest("na", "nb") / F.lit(den)) - 1
     near = pairs.filter((F.lit(num + den) * (F.col("k") + rest)) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
     more = stored(near.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-    return links if more.isEmpty() else links.unionByName(verified(docs, more, shape, level, doc_id, text))
+    return links if more.isEmpty() else links.unionByName(verified(docs, sieved(rows, more, shape), shape, doc_id, text))
 
 
 def classes(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,7 +220,7 @@ def classes(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id",
     alike = stored(alike, "jaccard-alike")
     copies = stored(rows.filter("n > 0").join(alike.filter("m > 1"), "digest").filter("doc_id <> rep").select("doc_id").distinct(), "jaccard-copies")
     reps = picked(rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "first"), copies, "doc_id", anti=True)
-    label = stored(components(linked(docs, reps, (n, num, den), level, doc_id, text)), "jaccard-components")
+    label = stored(components(linked(docs, rows, reps, (n, num, den), doc_id, text)), "jaccard-components")
     final = alike.join(label, alike.rep == label.id, "left").select("digest", "m", F.coalesce("component", "rep").alias("component_id"))
     some = joined_small_hot(rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "digest"), stored(final, "jaccard-final"), "digest", "m", rows.count())
     none = rows.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
