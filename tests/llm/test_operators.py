@@ -104,6 +104,18 @@ def test_jaccard(docs, corpus, n, num):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_jaccard_bound():
+    rng = np.random.default_rng(3)
+    for n, m, both in [(0, 0, 0), (1, 0, 0), (5, 5, 5), (40, 45, 39), (300, 310, 250), (2000, 90, 80), (33, 32, 0), (5000, 5000, 4700)]:
+        x = np.unique(rng.integers(0, 2**64, n + m - both, dtype=np.uint64))
+        a, b = x[:n], x[n - both :]
+        apart = len(np.setxor1d(a, b))
+        least = jaccard.least_difference(jaccard.parity(a), jaccard.parity(b))
+        assert least <= apart and (apart - least) % 2 == 0
+        assert least == jaccard.least_difference(jaccard.parity(b), jaccard.parity(a))
+        assert least > 0 or apart == 0 or n + m < 100
+
+
 def test_bpe_and_packing(docs, corpus):
     path = bpe.tokenizer_path()
     library = Tokenizer.from_file(path)
