@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import BROADCAST_IDS, arrow_schema, arrow_settings, as_batch, byte_view, gram_hashes, joined_small_hot, map_batches, mix64, picked, stored, table, word_hashes, word_spans
 
 #: Counters of the sketch of document frequencies, whatever the number of documents.
-SKETCH = 1 << 16
+SKETCH = 1 << 22
+#: Counters that one row of a task's sketch holds.
+STRETCH = 1 << 16
 ORDERS = 3
 
 
@@ -47,27 +49,47 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, n: int, doc_id: str, text: str) -> np.ndarray:
-    """How many documents' shingles fall into each counter: SKETCH numbers."""
-    schema = arrow_schema("counter int, n long")
+    """How many documents' shingles fall into each counter: SKETCH numbers.
 
-    def run(batches):
-        total = np.zeros(SKETCH, np.int64)
+    A task sends a byte a counter, which stops at 255; stretches of counters are then added up batch by batch.
+    """
+    pieces = SKETCH // STRETCH
+    schema = arrow_schema("stretch int, n binary")
+
+    def count(batches):
+        total = np.zeros(SKETCH, np.uint32)
+        for b in batches:
+            at = [shingles(t, n) & np.uint64(SKETCH - 1) for t in b.column(0).to_pylist()]
+            if at:
+                seen, m = np.unique(np.concatenate(at), return_counts=True)
+                total[seen.astype(np.int64)] += m.astype(np.uint32)
+        parts = np.minimum(total, 255).astype(np.uint8).reshape(pieces, STRETCH)
+        yield as_batch({"stretch": np.arange(pieces), "n": [x.tobytes() for x in parts]}, schema)
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
         for b in batches:
-            for t in b.column(0).to_pylist():
-                total += np.bincount((shingles(t, n) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        at = np.flatnonzero(total)
-        yield as_batch({"counter": at, "n": total[at]}, schema)
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                totals.setdefault(k, np.zeros(STRETCH, np.uint32))
+                totals[k] += np.frombuffer(x, np.uint8)
+        for k, x in totals.items():
+            yield as_batch({"stretch": [k], "n": [x.tobytes()]}, schema)
 
-    out = np.zeros(SKETCH, np.int64)
-    rows = docs.select(text).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    out[rows["counter"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
+    ddl = "stretch int, n binary"
+    out = np.zeros((pieces, STRETCH), np.uint32)
+    for r in docs.select(text).mapInArrow(count, ddl).repartition(pieces, "stretch").mapInArrow(add, ddl).collect():
+        out[r["stretch"]] = np.frombuffer(r["n"], np.uint32)
+    return out.reshape(-1)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """How late a token of each counter comes: 0 up to twice the mean, then one more for each doubling of the square root."""
-    mean = max(1.0, counts.sum() / len(counts))
-    return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / mean)) - 1, 0, 63).astype(np.uint64)
+    """How late a token of each counter comes: 0 up to four deviations above the median, then one more for each doubling of the square root.
+
+    Tokens that share a counter by chance spread as the root of the median, so a token stands out by its documents beyond that, not beyond the median.
+    """
+    usual = max(1.0, float(np.median(counts)))
+    beyond = (counts - usual) / (4 * usual**0.5)
+    return np.clip(np.floor(2 * np.log2(np.maximum(beyond, 0.5))) + 1, 0, 63).astype(np.uint8)
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -78,7 +100,7 @@ def prefix_size(n: int, num: int, den: int) -> int:
 def prefix(tokens: np.ndarray, level: np.ndarray, size: int, order: int) -> np.ndarray:
     """The first tokens of a set under one global order."""
     place = mix64(tokens ^ np.uint64(0x9E3779B97F4A7C15 * (order + 1) & (1 << 64) - 1))
-    key = level[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(58) | place >> np.uint64(6)
+    key = level[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | place >> np.uint64(6)
     return tokens[np.argsort(key, kind="stable")[:size]]
 
 
