@@ -178,15 +178,19 @@ def _ids(pairs: DataFrame) -> DataFrame:
 
 
 def sieved(rows: DataFrame, pairs: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """The pairs whose prefixes meet under every other order and whose parities don't rule the threshold out; no link is lost."""
+    """The pairs that share enough of their prefixes under every other order and whose parities don't rule the threshold out.
+
+    No link is lost: under any order, all common tokens beyond the prefixes lie in the rest of the larger set, and equal halves of tokens only add to the count.
+    """
     _, num, den = shape
 
     def keep(x: tuple, y: tuple) -> bool:
         total = x[0] + y[0]
         if (num + den) * (total - least_difference(x[2], y[2])) < 2 * num * total:
             return False
-        orders = (np.split(np.frombuffer(o, "<u4"), ORDERS - 1) for o in (x[1], y[1]))
-        return all(_shared(u, v) for u, v in zip(*orders, strict=True))
+        orders = [np.split(np.frombuffer(o, "<u4"), ORDERS - 1) for o in (x[1], y[1])]
+        rest = max(x[0], y[0]) - prefix_size(max(x[0], y[0]), num, den)
+        return all(k > 0 and (num + den) * (k + rest) >= num * total for k in map(_shared, *orders))
 
     return _kept_pairs(picked(rows.select("doc_id", "n", "orders", "parity"), _ids(pairs), "doc_id"), pairs, ("n", "orders", "parity"), keep, "jaccard-sieved")
 
@@ -212,25 +216,24 @@ def linked(docs: DataFrame, rows: DataFrame, reps: DataFrame, shape: tuple[int,
     alone = W.partitionBy("token")
     w = alone.orderBy("place", "doc_id")
     tokens = reps.select("doc_id", "n", F.posexplode("first").alias("place", "token"))
-    tokens = tokens.select("doc_id", "n", "token", F.count(F.lit(1)).over(alone).alias("m"), F.first("doc_id").over(w).alias("x"), F.first("n").over(w).alias("nx")).filter("m > 1")
+    tokens = tokens.select("doc_id", "n", "token", "place", F.count(F.lit(1)).over(alone).alias("m"), F.first("doc_id").over(w).alias("x"), F.first("n").over(w).alias("nx")).filter("m > 1")
     tokens = stored(tokens, "jaccard-shared")
     # first each document against the one that it shares most tokens with, of those that lead a token
     star = tokens.filter((F.col("x") != F.col("doc_id")) & fits(F.col("nx"), F.col("n"))).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("k"))
     star = star.groupBy("doc_id").agg(F.max(F.struct("k", -F.col("x"))).alias("best")).select(F.least("doc_id", -F.col("best.col2")).alias("a"), F.greatest("doc_id", -F.col("best.col2")).alias("b")).distinct()
     tried = stored(star, "jaccard-pairs")
     links = verified(docs, sieved(rows, tried, shape), shape, doc_id, text)
-    # then all pairs of a token's documents whose components still differ, by the tokens that they share
+    # then all pairs of a token's documents whose components still differ and that can share enough of what is left from the token on:
+    # of two linked sets' common tokens, the first in the order has all others behind it in both
     label = components(links)
-    named = tokens.join(label, tokens.doc_id == label.id, "left").select("token", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    named = tokens.join(label, tokens.doc_id == label.id, "left").select("token", "doc_id", "n", (F.col("n") - F.col("place")).alias("left"), F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     open_ = stored(named.join(mixed, "token", "left_semi"), "jaccard-open")
     x, y = open_.alias("x"), open_.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"))
-    pairs = x.join(y, apart).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first("x.n").alias("na"), F.first("y.n").alias("nb"))
-    # all common tokens beyond the shorter prefix lie in one set's rest
-    rest = F.ceil(F.lit(num) * F.greatest("na", "nb") / F.lit(den)) - 1
-    near = pairs.filter((F.lit(num + den) * (F.col("k") + rest)) >= F.lit(num) * (F.col("na") + F.col("nb"))).select("a", "b")
-    more = stored(near.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+    enough = F.lit(num + den) * F.least("x.left", "y.left") >= F.lit(num) * (F.col("x.n") + F.col("y.n"))
+    pairs = x.join(y, apart & enough).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    more = stored(pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-more")
     return links if more.isEmpty() else links.unionByName(verified(docs, sieved(rows, more, shape), shape, doc_id, text))
 
 
