@@ -30,6 +30,8 @@ WINDOW = 35
 DOUBLINGS = 3
 
 STRETCH = "doc_id long, gram long, print long, start long, m long"
+#: c consecutive stretches of one fingerprint, m windows together.
+SERIES = STRETCH + ", c long"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,24 +48,24 @@ def cut(text: str | None, size: int = WINDOW) -> tuple[bytes, np.ndarray, np.nda
 
 
 def found(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stretches of all documents."""
+    """The stretches of all documents; equal ones in a row, as of a line that a text repeats, are one row."""
 
     def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {x.split()[0]: [] for x in STRETCH.split(", ")}
+        out: dict[str, list] = {x.split()[0]: [] for x in SERIES.split(", ")}
         for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             joined, at, gram, first, m = cut(t, size)
-            out["doc_id"] += [doc] * len(gram)
-            out["gram"] += gram.tolist()
-            out["start"] += first.tolist()
-            out["m"] += m.tolist()
-            out["print"] += [digest64(joined[x : y - 1]) for x, y in zip(at[first].tolist(), at[first + m + size - 1].tolist(), strict=True)]
+            prints = np.array([digest64(joined[x : y - 1]) for x, y in zip(at[first].tolist(), at[first + m + size - 1].tolist(), strict=True)], np.int64)
+            lead = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (prints[1:] != prints[:-1]))) if len(gram) else np.zeros(0, np.int64)
+            c = np.diff(lead, append=len(gram))
+            for column, v in zip(out.values(), ([doc] * len(lead), gram[lead], prints[lead], first[lead], m[lead] * c, c), strict=True):
+                column += v if isinstance(v, list) else v.tolist()
         return out
 
-    return map_batches(docs.select(doc_id, text), run, STRETCH)
+    return map_batches(docs.select(doc_id, text), run, SERIES)
 
 
 class FingerprintLog:
-    """Sorted immutable runs of (gram, print, n, rep, m): how often each fingerprint occurred, and its least document."""
+    """Sorted immutable runs of (gram, print, n, k, rep): how often each fingerprint occurred, in how many rows, and its least document."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
@@ -76,7 +78,7 @@ class FingerprintLog:
 
     def append(self, batch: DataFrame) -> None:
         """A batch's stretches as a new run."""
-        self.runs.append(self._write(batch.groupBy("gram", "print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"))))
+        self.runs.append(self._write(batch.groupBy("gram", "print").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("rep"))))
 
     def compact(self) -> DataFrame:
         """All runs merged into one, which is returned."""
@@ -84,7 +86,7 @@ class FingerprintLog:
             merged = self.runs[0]
             for r in self.runs[1:]:
                 merged = merged.unionByName(r)
-            self.runs = [self._write(merged.groupBy("gram", "print").agg(F.sum("n").alias("n"), F.min("rep").alias("rep")))]
+            self.runs = [self._write(merged.groupBy("gram", "print").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("rep").alias("rep")))]
         return self.runs[0]
 
     def repeated(self) -> DataFrame:
@@ -137,7 +139,7 @@ def repeated_windows(docs: DataFrame, history: F.Column, size: int = WINDOW, doc
     log.append(rows.filter(history))
     log.append(rows.filter(~history))
     entries = log.repeated()
-    whole = joined_by_pair(rows, entries.filter("n > 1").select("gram", "print", "n"), rows.count()).select("doc_id", "start", "m")
+    whole = joined_by_pair(rows, entries.filter("n > 1").select("gram", "print", F.col("k").alias("n")), rows.count()).select("doc_id", "start", "m")
     single = stored(windows(wanted_texts(docs, entries.filter("prints > 1"), doc_id, text), size), "substring-windows")
     shared = single.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram", "window")
     part = single.filter("n = 1").join(shared, ["gram", "window"], "left_semi").select("doc_id", "start", F.lit(1).cast("long").alias("m"))
