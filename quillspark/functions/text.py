@@ -9,7 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def present(c: Column) -> Column:
@@ -33,6 +33,12 @@ def key(t: pd.Series) -> pd.Series:
     return t.map(_key)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def keys(t: pd.Series) -> pd.Series:
+    """key() of each of a list's texts, without empty and repeated ones, in order."""
+    return t.map(lambda x: list(dict.fromkeys(k for k in map(_key, () if x is None else x) if k)))
+
+
 @F.pandas_udf(StringType())
 def fold(t: pd.Series) -> pd.Series:
     """Canonical decomposition without U+0300 to U+036F, lower case, trimmed; punctuation stays."""

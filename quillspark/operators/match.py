@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillspark.functions import text
+
 #: Words of publishers' names that don't tell them apart.
 STOP = ("and", "de", "des", "du", "editions", "edition", "et", "la", "le", "les", "of", "press", "the")
+#: Rows of one block that meet in one task; records of larger blocks are dealt over several.
+HOT = 1000
 
 
 def tokens(key: Column) -> Column:
@@ -27,10 +31,44 @@ def authors_match(a: Column, b: Column) -> Column:
     """Equal keys, the same two or more words in any order, or the same last word and first letter."""
     x, y = F.split(a, " "), F.split(b, " ")
     words = (F.size(F.array_distinct(x)) > 1) & (F.array_sort(F.array_distinct(x)) == F.array_sort(F.array_distinct(y)))
-    last = (F.size(x) > 1) & (F.size(y) > 1) & (F.element_at(x, -1) == F.element_at(y, -1)) & (F.substring(a, 1, 1) == F.substring(b, 1, 1))
+    last = (F.element_at(x, -1) == F.element_at(y, -1)) & (F.substring(a, 1, 1) == F.substring(b, 1, 1))
     return (a != "") & (b != "") & ((a == b) | words | last)
 
 
+def _described(df: DataFrame) -> DataFrame:
+    """The normalised parts of a record, and its blocks: two records that share one have one title, authors that match, and one number or year.
+
+    Names match just where they share a key: the last word and the first letter, or two or more words in any order.
+    """
+    given = lambda c: F.coalesce(F.col(c), F.lit(""))
+    d = df.withColumns({"_title": text.key("title"), "_names": text.keys(text.split_authors(F.col("author"))), "_publisher": text.key("publisher"), "_isbn": given("isbn"), "_year": text.parse_year(given("publication_year"))})
+    words = lambda n: F.array_sort(F.array_distinct(F.split(n, " ")))
+    last = F.transform("_names", lambda n: F.concat(F.substring(n, 1, 1), F.lit("."), F.element_at(F.split(n, " "), -1)))
+    bags = F.transform(F.filter("_names", lambda n: F.size(words(n)) > 1), lambda n: F.array_join(words(n), " "))
+    block = lambda kind, value: F.when(value, F.transform(F.array_distinct(F.concat(last, bags)), lambda n: F.concat_ws("|", F.lit(kind), F.col("_isbn" if kind == "isbn" else "_year"), "_title", n))).otherwise(F.array().cast("array<string>"))
+    blocks = F.concat(block("isbn", F.col("_isbn") != ""), block("year", F.col("_year").isNotNull()))
+    return d.withColumn("_blocks", F.when(F.col("_title") != "", blocks)).filter(F.size("_blocks") > 0)
+
+
+def candidates(records: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and target of the records and documents that have one title and matching authors, with what else agrees; pairs without a number or year in common can't score and are left out.
+
+    Both have id, title, author, isbn, publisher and publication_year, documents a boolean edition too.
+    """
+    cols = ("id", "_blocks", "_publisher", "_isbn", "_year")
+    a = _described(records).select(*[F.col(c).alias(f"a{c}") for c in cols], F.explode("_blocks").alias("block"))
+    b = _described(docs).select("edition", *[F.col(c).alias(f"b{c}") for c in cols], F.explode("_blocks").alias("block"))
+    hot = F.broadcast(b.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("block", F.ceil(F.col("n") / HOT).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    a = a.join(hot, "block", "left").withColumn("salt", F.pmod(F.xxhash64("aid"), parts).cast("int")).drop("parts")
+    b = b.join(hot, "block", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    pairs = a.join(b, ["block", "salt"]).filter(F.col("block") == F.element_at(F.array_intersect("a_blocks", "b_blocks"), 1))
+    return pairs.select(
+        F.col("aid").alias("id"), F.col("bid").alias("target"), "edition", ((F.col("a_isbn") != "") & (F.col("a_isbn") == F.col("b_isbn"))).alias("isbn_equal"),
+        F.coalesce(F.col("a_year") == F.col("b_year"), F.lit(False)).alias("year_equal"), publishers_match(F.col("a_publisher"), F.col("b_publisher")).alias("publisher_equal"),
+    )
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """Scores by what agrees: 120 an edition's number, 115 a work's, 95 an edition's year and publisher, 85 a work's; other pairs go."""
     s = F.when(F.col("isbn_equal") & F.col("edition"), 120).when(F.col("isbn_equal"), 115).when(F.col("year_equal") & F.col("publisher_equal") & F.col("edition"), 95).when(F.col("year_equal") & F.col("publisher_equal"), 85)

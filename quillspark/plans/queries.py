@@ -177,6 +177,23 @@ def _pairs(c: DataFrame) -> DataFrame:
     return j.select("a.id", F.col("b.id").alias("target"), F.lit(True).alias("isbn_equal"), (F.col("b.idx") % 2 == 0).alias("edition"), (F.col("a.publication_year") == F.col("b.publication_year")).alias("year_equal"), (F.lower("a.publisher") == F.lower("b.publisher")).alias("publisher_equal"))
 
 
+# candidates by title, authors and what else agrees; candidate_score and best_unless_tied keep to their given SQL, which knows pairs of one number only
+_NAMES = f"list_filter(list_transform(string_split(author, '|'), lambda n: {KEY.format('n')}), lambda n: n <> '')"
+_WORDS = f"list_distinct(list_filter(string_split({KEY.format('publisher')}, ' '), lambda w: length(w) > 1 AND NOT list_contains({list(match.STOP)}, w)))"
+_BOOKS = f"(SELECT idx, id, isbn, {KEY.format('title')} AS t, {Y} AS y, {_NAMES} AS names, {_WORDS} AS words FROM catalogue)"
+_SAME_NAME = "(x = z OR (contains(x, ' ') AND list_sort(list_distinct(string_split(x, ' '))) = list_sort(list_distinct(string_split(z, ' ')))) OR (string_split(x, ' ')[-1] = string_split(z, ' ')[-1] AND substr(x, 1, 1) = substr(z, 1, 1)))"
+_AUTHORS = f"len(list_filter(a.names, lambda x: len(list_filter(b.names, lambda z: {_SAME_NAME})) > 0)) > 0"
+_PUBLISHERS = "(len(a.words) > 0 AND len(b.words) > 0 AND (list_has_all(a.words, b.words) OR list_has_all(b.words, a.words) OR 2 * len(list_intersect(a.words, b.words)) >= len(list_distinct(list_concat(a.words, b.words)))))"
+MATCHES = f"(SELECT a.id, b.id AS target, CASE WHEN a.isbn <> '' AND a.isbn = b.isbn THEN CASE WHEN b.idx % 2 = 0 THEN 120 ELSE 115 END WHEN a.y = b.y AND {_PUBLISHERS} THEN CASE WHEN b.idx % 2 = 0 THEN 95 ELSE 85 END END AS score FROM {_BOOKS} a JOIN {_BOOKS} b ON a.t = b.t AND a.idx <> b.idx WHERE a.t <> '' AND {_AUTHORS}) p"
+on_catalogue("candidate_match", f"SELECT id, target, score FROM {MATCHES} WHERE score IS NOT NULL")(lambda c: _matches(c))
+on_catalogue("best_match", f"SELECT id, min(target) AS target, max(score) AS score FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY score DESC) AS r FROM {MATCHES} WHERE score IS NOT NULL) t WHERE r = 1 GROUP BY id HAVING count(DISTINCT target) = 1")(lambda c: match.best_unless_tied(_matches(c)))
+
+
+def _matches(c: DataFrame) -> DataFrame:
+    found = match.candidates(c, c.withColumn("edition", F.col("idx") % 2 == 0)).filter("id <> target")
+    return match.scored(found).select("id", "target", "score")
+
+
 # --- merging and reconciliation
 SQL["dedupe_isbn"] = oracle("SELECT isbn, min(idx) AS canonical_idx, count(*) AS size FROM copies WHERE isbn <> '' GROUP BY isbn HAVING count(*) > 1", COPIES, "copies")
 QUERIES["dedupe_isbn"] = lambda s, d: copies(s, d).filter(isbn.valid(F.col("isbn"))).groupBy("isbn").agg(F.min("idx").alias("canonical_idx"), F.count(F.lit(1)).alias("size")).filter("size > 1")

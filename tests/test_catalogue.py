@@ -73,6 +73,16 @@ def test_ties_are_rejected(spark):
     assert [tuple(r) for r in match.best_unless_tied(df).collect()] == [("s", "a", 95)]
 
 
+def test_candidates(spark, monkeypatch):
+    monkeypatch.setattr(match, "HOT", 1)
+    schema = "id string, title string, author string, isbn string, publisher string, publication_year string, edition boolean"
+    records = [("r", "L'Étranger", "X | Camus, Albert", "", "Éditions Gallimard", "1942", True), ("s", "La Peste", "A. Camus", "1", "Seuil", "mars 1947", True), ("t", "!", "A. Camus", "1", "", "", True)]
+    docs = [("a", "l etranger", "Albert Camus", "2", "gallimard", "1942", True), ("b", "L'etranger", "Albert Camus", "3", "Gallimard & fils", "vers 1942", False), ("c", "L'etranger", "Sartre", "", "Gallimard", "1942", True), ("d", "L'etranger", "Albert Camus", "", "Gallimard", "1943", True)]
+    docs += [("e", "La peste", "Albert Camus", "1", None, None, False), ("f", "Autre", "Albert Camus", "1", "Seuil", "1947", True), ("g", "la peste", "Albert Camus", "1", "Seuil", "1947", True), ("h", "la peste", "Albert Camus", "4", "Seuil", "1947", True)]
+    got = match.scored(match.candidates(spark.createDataFrame(records, schema), spark.createDataFrame(docs, schema))).select("id", "target", "score").collect()
+    assert sorted(map(tuple, got)) == [("r", "a", 95), ("r", "b", 85), ("s", "e", 115), ("s", "g", 120), ("s", "h", 95)]
+
+
 def test_empty_catalogue(spark):
     empty = plans.catalogue(spark, SF).limit(0)
     assert query.metrics(empty).first()["total"] == 0
