@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import isbn
-from quillspark.functions.text import numeric_year, parse_year, present, split_authors
+from quillspark.functions.text import key, parse_year, present, split_authors
 
 STATUSES = ("valid", "missing_unknown_year", "missing_pre_1970", "missing_1970_or_later")
 
@@ -51,22 +51,36 @@ def status() -> Column:
     """valid, invalid, or why a number is missing."""
     y = parse_year(F.col("publication_year"))
     return (
-        F.when(isbn.valid(F.col("isbn")), "valid").when(present(F.col("isbn")), "invalid").when(y.isNull(), "missing_unknown_year").when(y < 1970, "missing_pre_1970").otherwise("missing_1970_or_later")
+        F.when(isbn.valid(F.col("isbn")), "valid").when(isbn.clean(F.col("isbn")) != "", "invalid").when(y.isNull(), "missing_unknown_year").when(y < 1970, "missing_pre_1970").otherwise("missing_1970_or_later")
     )
 
 
 def flagged(df: DataFrame) -> DataFrame:
-    """df with its status and quality flags, in a fixed order. Copies of a number are counted before they are joined back, so a common one isn't gathered."""
-    s = df.withColumn("isbn_status", status())
-    shared = df.filter(present(F.col("isbn"))).groupBy("isbn").agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
-    s = s.join(shared, "isbn", "left")
+    """df with its status and quality flags, in a fixed order; valid numbers are cleaned. author_normalized stands for author where it is given.
+
+    Copies of a number and rows of one title and author are counted before they are joined back, so a common one isn't gathered.
+    """
+    author = F.when(present(F.col("author_normalized")), F.col("author_normalized")).otherwise(F.col("author")) if "author_normalized" in df.columns else F.col("author")
+    s = df.withColumns({"isbn_status": status(), "_title": key("title"), "_author": key(author)})
+    s = s.withColumn("isbn", F.when(F.col("isbn_status") == "valid", isbn.clean(F.col("isbn"))).otherwise(F.col("isbn")))
+    shared = s.filter("isbn_status = 'valid'").groupBy("isbn").agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    related = s.filter("_title <> '' and _author <> ''").groupBy("_title", "_author").agg(F.count(F.lit(1)).alias("_related")).filter("_related > 1")
+    s = s.join(shared, "isbn", "left").join(related, ["_title", "_author"], "left")
     flag = lambda cond, name: F.when(cond, F.lit(name))
+    is_ = lambda name: F.col("isbn_status") == name
     flags = F.array_compact(F.array(
-        flag(F.col("isbn_status") == "invalid", "invalid_isbn"), flag(F.startswith("isbn_status", F.lit("missing")), "missing_isbn"), flag(~present(F.col("author")), "missing_author"),
-        flag(~present(F.col("publisher")), "missing_publisher"), flag(numeric_year(F.col("publication_year")).isNull(), "missing_year"),
-        flag((F.col("_copies") > 1) & (F.col("isbn_status") == "valid"), "shared_isbn_possible_multiple_copy"),
+        flag(is_("invalid"), "invalid_isbn"), flag(is_("missing_unknown_year"), "missing_isbn_unknown_year"), flag(is_("missing_1970_or_later"), "missing_isbn_1970_or_later"),
+        flag(~present(F.col("title")), "missing_title"), flag(~present(F.col("author")), "missing_author"), flag(~present(F.col("publisher")), "missing_publisher"),
+        flag(parse_year(F.col("publication_year")).isNull(), "missing_or_invalid_year"), flag(is_("valid") & (F.col("_copies") > 1), "shared_isbn_possible_multiple_copy"),
+        flag(F.col("_related") > 1, "same_title_author_related_editions"),
     ))
-    return s.withColumn("quality_flags", flags).drop("_copies")
+    return s.withColumn("quality_flags", flags).select(*df.columns, "isbn_status", "quality_flags")
+
+
+def shortened(df: DataFrame) -> DataFrame:
+    """Flagged rows with the six flags that flag_counts' given SQL knows: all missing numbers are one flag, and titles have none."""
+    flags = F.transform(F.filter("quality_flags", lambda x: ~x.startswith("missing_isbn") & ~x.isin("missing_title", "same_title_author_related_editions")), lambda x: F.when(x == "missing_or_invalid_year", "missing_year").otherwise(x))
+    return df.withColumn("quality_flags", F.when(F.col("isbn_status").startswith("missing"), F.array_append(flags, F.lit("missing_isbn"))).otherwise(flags))
 
 
 def flag_counts(df: DataFrame) -> DataFrame:

@@ -85,7 +85,9 @@ on_catalogue("publisher_groups_first_label", "SELECT lower(trim(publisher)) AS k
 on_catalogue("top_publishers", "SELECT arg_min(publisher, idx) AS label, count(*) AS n FROM catalogue WHERE trim(publisher) <> '' GROUP BY lower(trim(publisher)) ORDER BY n DESC, label LIMIT 6")(lambda c: query.publishers(c).select("label", "n").orderBy(F.desc("n"), "label").limit(6))
 on_catalogue("collection_metrics", f"SELECT count(*) AS total, min({Y}) AS first_year, max({Y}) AS last_year, CAST(floor(quantile_cont({Y}, 0.5) + 0.5) AS INT) AS median_year, count(DISTINCT CASE WHEN publisher <> '' THEN lower(trim(publisher)) END) AS publishers, count(*) FILTER (isbn = '') AS missing_isbn FROM catalogue")(query.metrics)
 on_catalogue("missing_field_rates", " UNION ALL ".join(f"SELECT '{f}' AS field, count(*) FILTER (trim({f}) = '') AS missing, round_even(count(*) FILTER (trim({f}) = '') / count(*), 4) AS rate FROM catalogue" for f in FIELDS))(lambda c: query.missing_fields(c, FIELDS))
-on_catalogue("flag_counts", f"SELECT flag, count(*) AS n FROM (SELECT unnest([CASE WHEN s = 'invalid' THEN 'invalid_isbn' END, CASE WHEN s LIKE 'missing%' THEN 'missing_isbn' END, CASE WHEN author = '' THEN 'missing_author' END, CASE WHEN publisher = '' THEN 'missing_publisher' END, CASE WHEN {Y} IS NULL THEN 'missing_year' END, CASE WHEN s = 'valid' AND m > 1 THEN 'shared_isbn_possible_multiple_copy' END]) AS flag FROM (SELECT *, {STATUS} AS s, count(*) OVER (PARTITION BY isbn) AS m FROM catalogue) a) b WHERE flag IS NOT NULL GROUP BY flag")(lambda c: curate.flag_counts(curate.flagged(c)))
+on_catalogue("flag_counts", f"SELECT flag, count(*) AS n FROM (SELECT unnest([CASE WHEN s = 'invalid' THEN 'invalid_isbn' END, CASE WHEN s LIKE 'missing%' THEN 'missing_isbn' END, CASE WHEN author = '' THEN 'missing_author' END, CASE WHEN publisher = '' THEN 'missing_publisher' END, CASE WHEN {Y} IS NULL THEN 'missing_year' END, CASE WHEN s = 'valid' AND m > 1 THEN 'shared_isbn_possible_multiple_copy' END]) AS flag FROM (SELECT *, {STATUS} AS s, count(*) OVER (PARTITION BY isbn) AS m FROM catalogue) a) b WHERE flag IS NOT NULL GROUP BY flag")(lambda c: curate.flag_counts(curate.shortened(curate.flagged(c))))
+_FLAGS = f"[CASE WHEN s = 'invalid' THEN 'invalid_isbn' END, CASE WHEN s = 'missing_unknown_year' THEN 'missing_isbn_unknown_year' END, CASE WHEN s = 'missing_1970_or_later' THEN 'missing_isbn_1970_or_later' END, CASE WHEN title = '' THEN 'missing_title' END, CASE WHEN author = '' THEN 'missing_author' END, CASE WHEN publisher = '' THEN 'missing_publisher' END, CASE WHEN {Y} IS NULL THEN 'missing_or_invalid_year' END, CASE WHEN s = 'valid' AND m > 1 THEN 'shared_isbn_possible_multiple_copy' END, CASE WHEN t <> '' AND u <> '' AND related > 1 THEN 'same_title_author_related_editions' END]"
+on_catalogue("quality_flag_counts", f"SELECT flag, count(*) AS n FROM (SELECT unnest({_FLAGS}) AS flag FROM (SELECT *, count(*) OVER (PARTITION BY isbn) AS m, count(*) OVER (PARTITION BY t, u) AS related FROM (SELECT *, {STATUS} AS s, {KEY.format('title')} AS t, {KEY.format('author')} AS u FROM catalogue) a) b) c WHERE flag IS NOT NULL GROUP BY flag")(lambda c: curate.flag_counts(curate.flagged(c)))
 on_catalogue("distinct_isbn_title_groups", f"SELECT title, count(*) AS n, string_agg(DISTINCT isbn, ' ' ORDER BY isbn) AS isbns FROM catalogue WHERE {VALID13} GROUP BY title HAVING count(DISTINCT isbn) > 1")(lambda c: query.split_titles(c, isbn.valid(F.col("isbn"))))
 on_catalogue("theme_top3", "SELECT idx, genre, rank FROM (SELECT *, row_number() OVER (PARTITION BY genre ORDER BY idx % 4 <> 0, idx) AS rank FROM catalogue) r WHERE rank <= 3")(lambda c: query.first_of_each(c, "genre", 3, F.col("idx") % 4 != 0).select("idx", "genre", "rank"))
 on_catalogue("timeline_sample5", f"SELECT place, id, y FROM (SELECT id, {Y} AS y, row_number() OVER (ORDER BY {Y}, idx) - 1 AS place, count(*) OVER () AS n FROM catalogue WHERE {Y} IS NOT NULL) r WHERE place IN (0, floor((n - 1) / 4 + 0.5), floor(2 * (n - 1) / 4 + 0.5), floor(3 * (n - 1) / 4 + 0.5), n - 1)")(query.sample_by_year)
@@ -144,7 +146,7 @@ on_catalogue("isbn_status", f"SELECT idx, {STATUS} AS isbn_status FROM catalogue
 on_catalogue("quality_flags")(lambda c: curate.flagged(c).select("idx", "isbn_status", F.array_join("quality_flags", ",").alias("flags")))
 on_catalogue("audit_summary", f"SELECT count(*) AS records, count(*) FILTER (s = 'valid') AS valid, round_even(count(*) FILTER (s = 'valid') / count(*), 4) AS valid_rate, count(DISTINCT CASE WHEN s = 'valid' THEN isbn END) AS distinct_isbns FROM (SELECT *, {STATUS} AS s FROM catalogue) a")(lambda c: curate.summary(c.withColumn("isbn_status", curate.status())))
 on_catalogue("audit_isbn_status", f"SELECT v.place, v.isbn_status, count(idx) AS n FROM (VALUES (0, 'valid'), (1, 'missing_unknown_year'), (2, 'missing_pre_1970'), (3, 'missing_1970_or_later')) v(place, isbn_status) LEFT JOIN (SELECT idx, {STATUS} AS s FROM catalogue) a ON s = v.isbn_status GROUP BY 1, 2")(lambda c: curate.by_status(c.withColumn("isbn_status", curate.status())))
-on_catalogue("audit_review_cases", f"SELECT idx, id, isbn FROM catalogue WHERE {STATUS} = 'invalid' OR {Y} IS NULL")(lambda c: curate.flagged(c).filter(F.arrays_overlap("quality_flags", F.array(F.lit("invalid_isbn"), F.lit("missing_year")))).select("idx", "id", "isbn"))
+on_catalogue("audit_review_cases", f"SELECT idx, id, isbn FROM catalogue WHERE {STATUS} = 'invalid' OR {Y} IS NULL")(lambda c: curate.flagged(c).filter(F.arrays_overlap("quality_flags", F.array(F.lit("invalid_isbn"), F.lit("missing_or_invalid_year")))).select("idx", "id", "isbn"))
 on_catalogue("audit_correction_log", "SELECT id, title AS before, 'Corrected ' || title AS after FROM catalogue WHERE idx % 37 = 0")(lambda c: c.filter("idx % 37 = 0").select("id", F.col("title").alias("before"), F.concat(F.lit("Corrected "), "title").alias("after")))
 on_table("link_classify", "pages", "SELECT page_id, CASE WHEN page_id % 6 = 2 THEN 'warning' WHEN page_id % 6 IN (0, 1) THEN 'ok' WHEN page_id % 4 = 0 THEN 'warning' ELSE 'failed' END AS result FROM pages")(lambda p: _links(p))
 

@@ -83,6 +83,14 @@ def test_candidates(spark, monkeypatch):
     assert sorted(map(tuple, got)) == [("r", "a", 95), ("r", "b", 85), ("s", "e", 115), ("s", "g", 120), ("s", "h", 95)]
 
 
+def test_flags(spark):
+    rows = [(1, "", "", "", "", ""), (2, "L'Été", "A | B", "2-07-036002-4", "P", "March 1998"), (3, "l ete", "a b", "2070360024", "P", "1950"), (4, "T", "A", "", "P", "1950"), (5, "T", "", "12", "P", "x"), (6, "U", "A", "n.c.", "P", "vers 1980")]
+    df = spark.createDataFrame(rows, "idx long, title string, author string, isbn string, publisher string, publication_year string")
+    got = {r["idx"]: r["quality_flags"] for r in curate.flagged(df).collect()}
+    pair = ["shared_isbn_possible_multiple_copy", "same_title_author_related_editions"]
+    assert got == {1: ["missing_isbn_unknown_year", "missing_title", "missing_author", "missing_publisher", "missing_or_invalid_year"], 2: pair, 3: pair, 4: [], 5: ["invalid_isbn", "missing_author", "missing_or_invalid_year"], 6: ["missing_isbn_1970_or_later"]}
+
+
 def test_empty_catalogue(spark):
     empty = plans.catalogue(spark, SF).limit(0)
     assert query.metrics(empty).first()["total"] == 0
