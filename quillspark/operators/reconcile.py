@@ -1,4 +1,4 @@
-"""Stable ids between two snapshots: equal rows first, then equal numbers, then equal normalised rows."""
+"""Stable ids between two snapshots: equal rows first, then equal numbers, then equal normalised rows; the others get new ids."""
 
 from __future__ import annotations
 
@@ -7,28 +7,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions import isbn
+from quillspark.functions import isbn, text
+from quillspark.sources.checkpoints import checkpointed
 
-FIELDS = ("title", "author", "publisher", "publication_year", "isbn")
+FIELDS = ("author", "title", "isbn", "publisher", "publication_date", "genre", "publication_year", "series")
+#: Rows of one range of idx, which are numbered together.
+SPAN = 65536
 
 
-def signature(loose: bool = False) -> Column:
-    """A digest of all fields, as they are or by lower-case letters and digits."""
-    f = (lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))) if loose else (lambda c: F.coalesce(F.col(c), F.lit("")))
-    return F.sha2(F.to_json(F.array(*[f(c) for c in FIELDS])), 256)
+def _whole(df: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """df with all fields; absent columns are empty."""
+    return df.withColumns({c: F.col(c) if c in df.columns else F.lit("") for c in fields})
 
 
-def paired(new: DataFrame, old: DataFrame, sign: Column) -> DataFrame:
+def signature(loose: bool = False, fields: tuple[str, ...] = FIELDS) -> Column:
+    """A digest of all fields, as they are or by their keys."""
+    f = text.key if loose else (lambda c: F.coalesce(F.col(c), F.lit("")))
+    return F.sha2(F.to_json(F.array(*[f(c) for c in fields])), 256)
+
+
+def paired(new: DataFrame, old: DataFrame, sign: Column, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """idx and old_idx of rows with one signature, first with first."""
-    n = lambda df, name: df.select(F.col("idx").alias(name), sign.alias("s")).withColumn("r", F.row_number().over(W.partitionBy("s").orderBy(name)))
+    n = lambda df, name: _whole(df, fields).select(F.col("idx").alias(name), sign.alias("s")).withColumn("r", F.row_number().over(W.partitionBy("s").orderBy(name)))
     return n(new, "idx").join(n(old, "old_idx"), ["s", "r"]).select("idx", "old_idx")
 
 
-def by_number(new: DataFrame, old: DataFrame) -> DataFrame:
+def by_number(new: DataFrame, old: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Rows with one number, in the order of the new ones: each takes the free old row that agrees in most fields, then the most complete, then the first."""
-    cols = ["idx", *[F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")).alias(c) for c in FIELDS]]
+    cols = ["idx", *[text.key(c).alias(c) for c in fields]]
     n = isbn.clean(F.col("isbn")).alias("number")
-    a, b = (df.select(n, *cols).filter("number <> ''") for df in (new, old))
+    a, b = (_whole(df, fields).select(n, *cols).filter("number <> ''") for df in (new, old))
     b = b.toDF(*b.columns)
 
     def solve(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -36,7 +44,7 @@ def by_number(new: DataFrame, old: DataFrame) -> DataFrame:
         out = []
         for r in x.sort_values("idx").to_dict("records"):
             if free:
-                best = max(free, key=lambda o: (sum(bool(r[c]) and r[c] == o[c] for c in FIELDS), sum(bool(o[c]) for c in FIELDS), -o["idx"]))
+                best = max(free, key=lambda o: (sum(bool(r[c]) and r[c] == o[c] for c in fields), sum(bool(o[c]) for c in fields), -o["idx"]))
                 free.remove(best)
                 out.append((r["idx"], best["idx"]))
         return pd.DataFrame(out, columns=["idx", "old_idx"])
@@ -44,13 +52,30 @@ def by_number(new: DataFrame, old: DataFrame) -> DataFrame:
     return a.groupBy("number").cogroup(b.groupBy("number")).applyInPandas(solve, "idx long, old_idx long")
 
 
-def reconciled(new: DataFrame, old: DataFrame) -> DataFrame:
+def reconciled(new: DataFrame, old: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Every new row with the old row whose id it keeps, and the pass that found it; null for additions."""
     left_new, left_old, found = new, old, None
-    for name, step in (("exact", lambda a, b: paired(a, b, signature())), ("isbn", by_number), ("normalized", lambda a, b: paired(a, b, signature(True)))):
+    exact, loose = (lambda a, b, x=x: paired(a, b, signature(x, fields), fields) for x in (False, True))
+    for name, step in (("exact", exact), ("isbn", lambda a, b: by_number(a, b, fields)), ("normalized", loose)):
         hit = step(left_new, left_old).withColumn("pass", F.lit(name))
         found = hit if found is None else found.unionByName(hit)
         gone = hit.select(F.col("idx").alias("_new"), F.col("old_idx").alias("_old"))
         left_new = left_new.join(gone, F.col("idx") == F.col("_new"), "left_anti")
         left_old = left_old.join(gone, F.col("idx") == F.col("_old"), "left_anti")
     return new.select("idx").join(found, "idx", "left")
+
+
+def identified(new: DataFrame, old: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """idx, old_idx, pass and id of every new row: the old row's id, or in the order of idx the numbers after the greatest of the old ones. An id given twice is an error."""
+    rows = checkpointed(reconciled(new, old, fields))
+    kept = rows.join(old.select(F.col("idx").alias("old_idx"), "id"), "old_idx")
+    added = rows.filter("old_idx is null").withColumn("span", F.floor(F.col("idx") / SPAN))
+    last = old.agg(F.coalesce(F.max(F.regexp_extract("id", "^book-([0-9]+)$", 1).try_cast("long")), F.lit(0)).alias("last"))
+    before = added.groupBy("span").agg(F.count(F.lit(1)).alias("m")).select("span", (F.sum("m").over(W.orderBy("span")) - F.col("m")).alias("before"))
+    place = F.row_number().over(W.partitionBy("span").orderBy("idx"))
+    n = added.withColumn("place", place).join(F.broadcast(before), "span").crossJoin(F.broadcast(last)).withColumn("n", (F.col("last") + F.col("before") + F.col("place")).cast("string"))
+    ids = n.select("idx", "old_idx", "pass", F.concat(F.lit("book-"), F.lpad("n", F.greatest(F.lit(4), F.length("n")), F.lit("0"))).alias("id"))
+    out = kept.select("idx", "old_idx", "pass", "id").unionByName(ids)
+    twice = out.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    once = twice.withColumn("_ok", F.when(F.col("times") > 1, F.raise_error("an id is given twice").cast("boolean")).otherwise(True)).filter("_ok")
+    return out.join(once.select("id"), "id").select("idx", "old_idx", "pass", "id")

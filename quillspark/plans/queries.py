@@ -211,6 +211,7 @@ NEXT = "(SELECT idx, CASE WHEN idx % 7 = 0 THEN title || ' (2nd)' ELSE title END
 _RANKED = "(SELECT idx, title, author, publisher, publication_year, isbn, row_number() OVER (PARTITION BY title, author, publisher, publication_year, isbn ORDER BY idx) AS r FROM {} t)"
 on_catalogue("reconcile_exact", f"SELECT a.idx, b.idx AS old_idx FROM {_RANKED.format(NEXT)} a JOIN {_RANKED.format('catalogue')} b USING (title, author, publisher, publication_year, isbn, r)")(lambda c: reconcile.paired(_next(c), c, reconcile.signature()))
 on_catalogue("reconcile_isbn")(lambda c: reconcile.by_number(_next(c), c))
+on_catalogue("reconcile_ids")(lambda c: reconcile.identified(_next(c), c))
 on_catalogue("reconcile_summary")(lambda c: reconcile.reconciled(_next(c), c).groupBy(F.coalesce("pass", F.lit("added")).alias("pass")).agg(F.count(F.lit(1)).alias("n")))
 
 # --- page search

@@ -3,7 +3,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from quillspark.functions import isbn, text
-from quillspark.operators import curate, dedupe, match, query
+from quillspark.operators import curate, dedupe, match, query, reconcile
 from quillspark.plans import queries as plans
 from quillspark.sources.tables import copies
 
@@ -91,6 +91,15 @@ def test_flags(spark):
     assert got == {1: ["missing_isbn_unknown_year", "missing_title", "missing_author", "missing_publisher", "missing_or_invalid_year"], 2: pair, 3: pair, 4: [], 5: ["invalid_isbn", "missing_author", "missing_or_invalid_year"], 6: ["missing_isbn_1970_or_later"]}
 
 
+def test_reconciliation_by_eight_fields(spark):
+    schema = "idx long, id string, title string, author string, isbn string, publisher string, publication_year string, series string, genre string"
+    row = lambda i, id, title, isbn, series, genre: (i, id, title, "Éluard", isbn, "P", "1950", series, genre)
+    old = [row(0, "book-0007", "T", "", "Tome 1", "g"), row(1, "book-0009", "T", "", "Tome 2", "g"), row(2, "x", "N", "1", "I", "a"), row(3, "book-0002", "N", "1", "II", "b"), row(4, "book-0003", "Été", "", "", "")]
+    new = [row(0, None, "T", "", "Tome 2", "g"), row(1, None, "T", "", "Tome 3", "g"), row(2, None, "N.", "1", "ii", "b"), row(3, None, "ete", "", "", ""), row(4, None, "Neu", "", "", "")]
+    got = reconcile.identified(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()
+    assert {r["idx"]: (r["pass"], r["old_idx"], r["id"]) for r in got} == {0: ("exact", 1, "book-0009"), 1: (None, None, "book-0010"), 2: ("isbn", 3, "book-0002"), 3: ("normalized", 4, "book-0003"), 4: (None, None, "book-0011")}
+
+
 def test_empty_catalogue(spark):
     empty = plans.catalogue(spark, SF).limit(0)
     assert query.metrics(empty).first()["total"] == 0
