@@ -7,22 +7,79 @@ that contradict each other can never meet, so a block is a component of the othe
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import isbn, text
 from quillspark.sources.checkpoints import checkpointed
 
-_OUT = "idx long, canonical_idx long, size long, reason string"
+_OUT = "idx long, canonical_idx long, size long, reason string, rank int"
 _FIELDS = ("publication_year", "publisher", "series")
+#: What counts for completeness, and what a merged row takes from the others where it is empty.
+_COUNTED = ("author", "title", "isbn", "publisher", "publication_date", "publication_year", "genre", "series")
+_FILLED = (*_COUNTED, "author_normalized", "publisher_normalized", "cover", "openlibrary", "data_provenance", "curation")
+
+
+def alias_map(rules: dict[str, str]) -> dict[str, str]:
+    """Labels by the keys of their variants, and by their own; empty and conflicting rules are errors."""
+    out: dict[str, str] = {}
+    for raw, label in rules.items():
+        k, label = text._key(raw), re.sub(r"\s+", " ", label).strip()
+        if not k or not label:
+            raise ValueError("an empty normalisation rule")
+        if out.get(k, label) != label:
+            raise ValueError(f"conflicting normalisation rules for {raw!r}")
+        out[k] = label
+        out.setdefault(text._key(label), label)
+    return out
+
+
+def normalized(df: DataFrame, authors: dict[str, str] | None = None, publishers: dict[str, str] | None = None) -> DataFrame:
+    """df with author_normalized and publisher_normalized: labels by the rules, and of names with one key the first."""
+    names, houses = alias_map(authors or {}), alias_map(publishers or {})
+    label = lambda value, rules: rules.get(text._key(value), value)
+
+    @F.pandas_udf("string")
+    def author(t: pd.Series) -> pd.Series:
+        def one(x) -> str:
+            first: dict[str, str] = {}
+            for n in () if x is None else x:
+                first.setdefault(text._key(label(n, names)), label(n, names))
+            return " | ".join(first.values())
+
+        return t.map(one)
+
+    @F.pandas_udf("string")
+    def publisher(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: label(x, houses) if x else "")
+
+    return df.withColumns({"author_normalized": author(text.split_authors(F.col("author"))), "publisher_normalized": publisher(text.clean_cell(F.col("publisher")))})
+
+
+def _given(df: DataFrame, c: str) -> Column:
+    """Whether a field has a value; absent columns have none."""
+    if c not in df.columns:
+        return F.lit(False)
+    return text.present(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c).isNotNull()
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """df with title_key, a valid number or an empty string, and the set of author keys."""
+    """df with title_key, a valid number or an empty string, the set of author keys, the keys of the compared fields, null where there is no value, and how it ranks."""
+    if not {"author_normalized", "publisher_normalized"} <= set(df.columns):
+        df = normalized(df)
     good = F.when(isbn.valid(F.col("isbn")), isbn.clean(F.col("isbn"))).otherwise("")
-    authors = F.array_distinct(F.transform(text.split_authors(F.col("author")), F.lower))
-    return df.select("idx", text.key("title").alias("title_key"), "title", "author", "isbn", good.alias("good"), authors.alias("authors"), *_FIELDS)
+    name = F.when(text.present(F.col("author_normalized")), F.col("author_normalized")).otherwise(F.col("author"))
+    compared = {"isbn": "isbn", "publication_year": "publication_year", "publisher": "publisher_normalized", "series": "series"}
+    keys = [F.when(text.present(F.trim(v)), text.key(v)).alias(c) if v in df.columns else F.lit(None).cast("string").alias(c) for c, v in compared.items()]
+    number = F.coalesce(F.regexp_extract("id", "([0-9]+)$", 1).try_cast("long"), F.lit(10**9)) if "id" in df.columns else F.lit(0)
+    flag = lambda c: _given(df, c).cast("int")
+    length = lambda c: F.length(F.coalesce(c, F.lit("")))
+    full = sum((flag(c) for c in _COUNTED), F.lit(0))
+    d = df.select("idx", text.key("title").alias("title_key"), good.alias("good"), text.keys(text.split_authors(name)).alias("authors"), *keys, F.array(*[x.cast("long") for x in (flag("curation"), flag("cover"), full)]).alias("score"), length(F.col("title")).alias("title_length"), length(name).alias("author_length"), number.alias("number"))
+    return d.withColumn("score", F.concat("score", F.array(*[x.cast("long") for x in (F.size("authors"), F.col("title_length"), F.col("author_length"), -F.col("number"))]))).drop("title_length", "author_length", "number")
 
 
 def blocks(df: DataFrame) -> DataFrame:
@@ -30,9 +87,10 @@ def blocks(df: DataFrame) -> DataFrame:
     same = df.filter("good <> ''").groupBy("good").agg(F.min("idx").alias("a"), F.collect_set("idx").alias("s")).select("a", F.explode("s").alias("b"))
     x, y = df.filter("title_key <> ''").alias("x"), df.alias("y")
     both = (F.col("x.title_key") == F.col("y.title_key")) & (F.col("x.idx") < F.col("y.idx"))
-    agree = lambda c: (F.col(f"x.{c}") == "") | (F.col(f"y.{c}") == "") | (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    agree = lambda c: F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(True))
+    numbers = (F.col("x.good") == "") | (F.col("y.good") == "") | (F.col("x.good") == F.col("y.good"))
     nested = (F.size("x.authors") > 0) & (F.size("y.authors") > 0) & ((F.size(F.array_except("x.authors", "y.authors")) == 0) | (F.size(F.array_except("y.authors", "x.authors")) == 0))
-    title = x.join(y, both & agree("good") & agree("publication_year") & agree("publisher") & agree("series") & nested).select(F.col("x.idx").alias("a"), F.col("y.idx").alias("b"))
+    title = x.join(y, both & numbers & agree("publication_year") & agree("publisher") & agree("series") & nested).select(F.col("x.idx").alias("a"), F.col("y.idx").alias("b"))
     edges = same.unionByName(title).filter("a <> b")
     both_ways = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(df.select("idx", F.col("idx").alias("block")))
@@ -47,11 +105,35 @@ def blocks(df: DataFrame) -> DataFrame:
 
 def merged(df: DataFrame) -> DataFrame:
     """idx, canonical_idx, size and reason of each row's component; reason is null for single rows."""
+    return _ranked(df).drop("rank")
+
+
+def filled(df: DataFrame) -> DataFrame:
+    """The canonical row of each component, its empty fields filled from the others in the order of their ranks, with the ids, pages and number of its source rows.
+
+    source_pages are united where df has them; a row without source_record_count counts once.
+    """
+    if not {"author_normalized", "publisher_normalized"} <= set(df.columns):
+        df = normalized(df)
+    rows = df.join(_ranked(df), "idx")
+    first = {c: F.min_by(c, F.when(_given(df, c), F.col("rank"))) if c in _FILLED else F.min_by(c, "rank") for c in df.columns if c not in ("idx", "source_pages", "source_record_count")}
+    # where no row has a value, the canonical row's own stays
+    cols = [F.coalesce(x, F.min_by(c, "rank")).alias(c) for c, x in first.items()]
+    count = F.coalesce(F.col("source_record_count"), F.lit(1)) if "source_record_count" in df.columns else F.lit(1)
+    pages = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_pages")))).alias("source_pages")] if "source_pages" in df.columns else []
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("idx", "id"))), lambda x: x["id"]).alias("source_record_ids")
+    return rows.groupBy(F.col("canonical_idx").alias("idx")).agg(*cols, *pages, F.sum(count).alias("source_record_count"), ids, F.first("reason").alias("reason"))
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    """merged() with each row's rank in its component: what was curated, has a cover, is complete, has more authors, longer texts and the smaller id."""
     rows = prepared(df)
     labelled = rows.join(blocks(rows), "idx")
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         rows = p.sort_values("idx").to_dict("records")
+        for r in rows:
+            r.update({c: None if pd.isna(r[c]) else r[c] for c in ("isbn", *_FIELDS)})
         member = {r["idx"]: [r] for r in rows}
         seen: dict[str, list] = {}
         for r in rows:
@@ -72,10 +154,10 @@ def merged(df: DataFrame) -> DataFrame:
         out = []
         for r in rows:
             m = member[r["idx"]]
-            best = max(m, key=lambda x: (bool(x["good"]), sum(bool(x[c]) for c in ("title", "author", "isbn", *_FIELDS)), -x["idx"]))
+            ranks = sorted(m, key=lambda x: ([-int(v) for v in x["score"]], x["idx"]))
             numbers = {x["good"] for x in m}
-            out.append((r["idx"], best["idx"], len(m), None if len(m) == 1 else "same_valid_isbn" if len(numbers) == 1 and "" not in numbers else "compatible_metadata"))
-        return pd.DataFrame(out, columns=["idx", "canonical_idx", "size", "reason"])
+            out.append((r["idx"], ranks[0]["idx"], len(m), None if len(m) == 1 else "same_valid_isbn" if len(numbers) == 1 and "" not in numbers else "compatible_metadata", [x["idx"] for x in ranks].index(r["idx"])))
+        return pd.DataFrame(out, columns=["idx", "canonical_idx", "size", "reason", "rank"])
 
     return labelled.groupBy("block").applyInPandas(solve, _OUT)
 
@@ -89,10 +171,11 @@ def _unite(member: dict, a: int, b: int) -> None:
 
 def _agrees(rows: list[dict]) -> bool:
     """Whether a combined component holds together: no conflict, nested authors, and shared evidence or a row with none."""
-    if len({r["good"] for r in rows} - {""}) > 1 or any(len({r[c] for r in rows} - {""}) > 1 for c in _FIELDS):
+    given = {c: [r[c] for r in rows if r[c] is not None] for c in ("isbn", *_FIELDS)}
+    if len({r["good"] for r in rows} - {""}) > 1 or any(len(set(given[c])) > 1 for c in _FIELDS):
         return False
     sets = [frozenset(r["authors"]) for r in rows]
     if not all(sets) or any(not (a <= b or b <= a) for i, a in enumerate(sets) for b in sets[i + 1 :]):
         return False
-    evidence = any(len(v) > 1 and len(set(v)) == 1 for c in ("isbn", *_FIELDS) if (v := [r[c] for r in rows if r[c]]))
-    return evidence or any(not any(r[c] for c in ("isbn", *_FIELDS)) for r in rows)
+    evidence = any(len(v) > 1 and len(set(v)) == 1 for v in given.values())
+    return evidence or any(all(r[c] is None for c in given) for r in rows)

@@ -201,6 +201,7 @@ SQL["dedupe_isbn"] = oracle("SELECT isbn, min(idx) AS canonical_idx, count(*) AS
 QUERIES["dedupe_isbn"] = lambda s, d: copies(s, d).filter(isbn.valid(F.col("isbn"))).groupBy("isbn").agg(F.min("idx").alias("canonical_idx"), F.count(F.lit(1)).alias("size")).filter("size > 1")
 QUERIES["dedupe_blocks"] = lambda s, d: dedupe.blocks(dedupe.prepared(copies(s, d)))
 QUERIES["dedupe_greedy"] = lambda s, d: dedupe.merged(copies(s, d))
+QUERIES["merge_ranked_fill"] = lambda s, d: dedupe.filled(copies(s, d))
 
 
 def _next(c: DataFrame) -> DataFrame:

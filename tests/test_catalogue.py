@@ -100,6 +100,21 @@ def test_reconciliation_by_eight_fields(spark):
     assert {r["idx"]: (r["pass"], r["old_idx"], r["id"]) for r in got} == {0: ("exact", 1, "book-0009"), 1: (None, None, "book-0010"), 2: ("isbn", 3, "book-0002"), 3: ("normalized", 4, "book-0003"), 4: (None, None, "book-0011")}
 
 
+def test_merging_by_keys(spark):
+    schema = "idx long, id string, title string, author string, publisher string, publication_year string, series string, isbn string, genre string, source_pages array<int>, source_record_count int"
+    rows = [(0, "b-1", "Poèmes", "Paul Éluard", "BRAND#1", "1950", "", "", "", [3], None), (1, "b-2", "poemes", "paul eluard", "Brand 1", "", "Blanche", "", "verse", [2, 3], 2), (2, "b-3", "Poemes", "Eluard (Paul)", "", "1950", "BLANCHE", "", "", None, None)]
+    rows += [(3, "b-4", "Poemes", "Paul Eluard", "Autre", "1950", "", "", "", [9], None)]
+    df = dedupe.normalized(spark.createDataFrame(rows, schema), {"Eluard (Paul)": "Paul Éluard"}, {"Brand 1": "Brand"})
+    got = {r["id"]: r for r in dedupe.filled(df).collect()}
+    assert sorted(got) == ["b-2", "b-4"]
+    r = got["b-2"]
+    assert (r["source_record_ids"], r["source_pages"], r["source_record_count"]) == (["b-1", "b-2", "b-3"], [2, 3], 4)
+    assert (r["idx"], r["title"], r["publisher_normalized"], r["publication_year"], r["series"], r["genre"], r["reason"]) == (1, "poemes", "Brand", "1950", "Blanche", "verse", "compatible_metadata")
+    assert (got["b-4"]["source_record_ids"], got["b-4"]["source_record_count"], got["b-4"]["publication_year"]) == (["b-4"], 1, "1950")
+    with pytest.raises(ValueError, match="conflicting"):
+        dedupe.alias_map({"A.": "B", "a": "C"})
+
+
 def test_empty_catalogue(spark):
     empty = plans.catalogue(spark, SF).limit(0)
     assert query.metrics(empty).first()["total"] == 0
