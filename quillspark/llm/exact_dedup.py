@@ -35,11 +35,20 @@ def _words(digests: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u[:, 1], u[:, 2], u[:, 3]
 
 
+def _mix(x):
+    """A 64-bit finaliser, of an integer or of an array: without it the slots of an even n keep their parity whatever the displacement, and a search may never end."""
+    if isinstance(x, int):
+        x = (x ^ x >> 33) * 0xFF51AFD7ED558CCD & 0xFFFFFFFFFFFFFFFF
+        return x ^ x >> 33
+    x = (x ^ x >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ x >> np.uint64(33)
+
+
 def _slots(digests: np.ndarray, displacement: np.ndarray, n: int) -> np.ndarray:
     u0, u1, u2 = _words(digests)
     d = displacement[(u0 % np.uint64(len(displacement))).astype(np.int64)].astype(np.int64)
     with np.errstate(over="ignore"):
-        hashed = (u1 + d.astype(np.uint64) * (u2 | np.uint64(1))) % np.uint64(n)
+        hashed = _mix(u1 + d.astype(np.uint64) * (u2 | np.uint64(1))) % np.uint64(n)
     return np.where(d < 0, -d - 1, hashed.astype(np.int64))
 
 
@@ -69,7 +78,7 @@ def perfect_hash(digests: np.ndarray) -> np.ndarray:
         keys = list(zip(a[ends[g] - size : ends[g]], b[ends[g] - size : ends[g]], strict=True))
         d = 0
         while True:
-            slots = {((x + d * y) & mask) % n for x, y in keys}
+            slots = {_mix(x + d * y & mask) % n for x, y in keys}
             if len(slots) == size and not any(taken[s] for s in slots):
                 break
             d += 1

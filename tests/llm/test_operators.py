@@ -47,6 +47,13 @@ def test_perfect_hash():
         assert sorted(exact_dedup._slots(d, exact_dedup.perfect_hash(d), n)) == list(range(n))
 
 
+@pytest.mark.parametrize("n", range(1, 65))
+def test_perfect_hash_of_few(n):
+    for seed in range(30):
+        d = np.frombuffer(random.Random(seed).randbytes(32 * n), np.uint8).reshape(n, 32)
+        assert sorted(exact_dedup._slots(d, exact_dedup.perfect_hash(d), n)) == list(range(n))
+
+
 def test_substrings(docs, corpus):
     size = 20
     marks = substring.repeated_windows(docs, substring.half(), size)
