@@ -4,19 +4,24 @@ A word's symbols form a doubly linked list; a heap holds (rank, position) of the
 can merge. An entry whose pair has changed since is stale and skipped. Decoding concatenates
 the vocabulary's strings, by a space, as a tokenizer file without a decoder asks.
 
-Null texts count as empty and have no ids. Words are cached by worker; a cache is emptied
-when it holds CACHE_WORDS entries, which bounds memory and changes no result. Code points newer than the Unicode data of
+Null texts count as empty and have no ids; rows with null, equal or clashing ids and columns
+are encoded like any others, as only the named columns are read, and an empty table gives no
+rows. Words are cached by worker, in two generations of at most CACHE_WORDS entries each,
+which bounds memory and changes no result. Code points newer than the Unicode data of
 Python's unicodedata module may be folded or split otherwise than the library does.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
 import re
 import unicodedata
 from array import array
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,8 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import arrow_settings, map_batches, table
 
-#: Words that one worker remembers at most.
+#: Words of one generation of a worker's cache, of which it has two.
 CACHE_WORDS = 300_000
+#: Bits of a queue entry that hold the position, of words with at most 2 ** SHORT symbols: entries then are one machine digit.
+SHORT, LONG = 12, 40
 END = "</w>"
 #: Stands before a special token; no chunk holds white space.
 MARK = "\n"
@@ -56,46 +63,60 @@ class BPE:
         self.ids: dict[str, int] = model["vocab"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.strings = {v: k for k, v in (self.ids | self.special).items()}
-        #: By a pair of ids, 20 bits each: the rank, counted from 1, over the merged id's 20 bits. A queue entry has the position below these.
-        self.merges: dict[int, int] = {}
-        for rank, pair in enumerate(model["merges"]):
+        #: By the left id a dictionary from the right id to the rank of their merge; the last, empty one stands for no symbol (-1).
+        self.rank: list[dict[int, int]] = [{} for _ in range(max(self.strings) + 2)]
+        #: By rank the two ids that merge and the id that they give.
+        self.pairs: tuple[list[int], list[int], list[int]] = [], [], []
+        for pair in model["merges"]:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault(self.ids[a] << 20 | self.ids[b], rank + 1 << 20 | self.ids[a + b])
-        self.met = Cache(self.word)
+            x, y = self.ids[a], self.ids[b]
+            self.rank[x].setdefault(y, len(self.pairs[0]))
+            for column, v in zip(self.pairs, (x, y, self.ids[a + b]), strict=True):
+                column.append(v)
+        self.assigned: set[str] = set()
+        #: By pre-token its ids as little-endian unsigned 32-bit numbers.
+        self.met = Cache(lambda word: array("I", self.word(word)).tobytes())
         letters = byte_letters()
         self.inner = [self.ids[x] for x in letters]
         self.last = [self.ids[x + END] for x in letters]
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        #: By two bytes of a word the rank of their merge, or -1.
+        self.start = [[self.rank[x].get(y, -1) for y in self.inner] for x in self.inner]
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern)
+        self.split_ascii = re.compile(pattern.replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"))
         self.marks = re.compile("|".join(map(re.escape, self.special)))
 
     def word(self, word: str) -> list[int]:
-        """The ids of one pre-token."""
+        """The ids of one pre-token. A queue entry is a rank over a position; past the ends of the list stands the symbol -1."""
         data = word.encode()
-        inner, get = self.inner, self.merges.get
+        inner, rank, start = self.inner, self.rank, self.start
         sym = [inner[x] for x in data]
         n = len(sym)
         sym[-1] = self.last[data[-1]]
-        heap = [m << 32 | i for i in range(n - 1) if (m := get(sym[i] << 20 | sym[i + 1]))]
+        shift = SHORT if n <= 1 << SHORT else LONG
+        heap = [r << shift | i for i, (x, y) in enumerate(zip(data, data[1:-1])) if (r := start[x][y]) >= 0]  # noqa: B905
+        if n > 1 and (r := rank[sym[-2]].get(sym[-1])) is not None:
+            heap.append(r << shift | n - 2)
         if not heap:
             return sym
         heapq.heapify(heap)
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        pop, push = heapq.heappop, heapq.heappush
+        sym.append(-1)
+        right, left = list(range(1, n + 2)), list(range(-1, n))
+        (first, second, made), pop, push, mask = self.pairs, heapq.heappop, heapq.heappush, (1 << shift) - 1
         while heap:
             e = pop(heap)
-            i = e & 0xFFFFFFFF
+            i, r = e & mask, e >> shift
             j = right[i]
-            if j >= n or sym[i] < 0 or get(sym[i] << 20 | sym[j]) != e >> 32:
+            if sym[i] != first[r] or sym[j] != second[r]:
                 continue  # stale: one of the two has merged with another since
-            new = e >> 32 & 0xFFFFF
-            sym[i], sym[j] = new, -1
-            k = right[i] = right[j]
-            if k < n:
-                left[k] = i
-                if m := get(new << 20 | sym[k]):
-                    push(heap, m << 32 | i)
-            if (h := left[i]) >= 0 and (m := get(sym[h] << 20 | new)):
-                push(heap, m << 32 | h)
+            sym[i] = new = made[r]
+            sym[j] = -1
+            right[i] = k = right[j]
+            left[k] = i
+            if (r := rank[new].get(sym[k])) is not None:
+                push(heap, r << shift | i)
+            if (r := rank[sym[h := left[i]]].get(new)) is not None:
+                push(heap, r << shift | h)
         return [x for x in sym if x >= 0]
 
     def chunks(self, text: str) -> list[str]:
@@ -108,7 +129,13 @@ class BPE:
 
     def words(self, chunk: str) -> list[str]:
         """The pre-tokens of a chunk. Code points that the Unicode data at hand doesn't assign are neither letters nor digits."""
-        if chunk.isascii() or not any(unicodedata.category(c) == "Cn" for c in chunk):
+        if chunk.isalpha():
+            return [chunk]
+        if chunk.isascii():
+            return self.split_ascii.findall(chunk)
+        if not self.assigned.issuperset(chunk):
+            self.assigned.update(c for c in chunk if unicodedata.category(c) != "Cn")
+        if self.assigned.issuperset(chunk):
             return self.split.findall(chunk)
         known = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in chunk)
         return [chunk[m.start() : m.end()] for m in self.split.finditer(known)]
@@ -124,28 +151,36 @@ class BPE:
             at = m.end()
         return out + self.chunks(text[at:])
 
-    def piece_ids(self, piece: str) -> list[int]:
-        """The ids of a chunk, or of a special token after MARK."""
-        return [self.special[piece[1:]]] if piece[0] == MARK else [i for w in self.words(piece) for i in self.met[w]]
+    def piece_ids(self, piece: str) -> bytes:
+        """The ids of a chunk, or of a special token after MARK, as little-endian unsigned 32-bit numbers."""
+        if piece[0] == MARK:
+            return array("I", [self.special[piece[1:]]]).tobytes()
+        words = self.words(piece)
+        return self.met[words[0]] if len(words) == 1 else b"".join(map(self.met.__getitem__, words))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pieces(text) for i in self.piece_ids(p)]
+        return array("I", b"".join(map(self.piece_ids, self.pieces(text)))).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
 class Cache(dict):
-    """What a function gave for each word so far, up to CACHE_WORDS words."""
+    """What a function gave for each word so far: the latest CACHE_WORDS words, and those of the generation before them."""
 
     def __init__(self, make) -> None:
         super().__init__()
         self.make = make
+        self.older: dict = {}
 
     def __missing__(self, word: str):
+        out = self.older.get(word)
+        if out is None:
+            out = self.make(word)
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        self[word] = out = self.make(word)
+        self[word] = out
         return out
 
 
@@ -157,8 +192,7 @@ def model(path: str) -> BPE:
 @lru_cache(maxsize=4)
 def word_ids(path: str) -> Cache:
     """Per chunk its ids as little-endian unsigned 32-bit numbers."""
-    bpe = model(path)
-    return Cache(lambda word: array("I", bpe.piece_ids(word)).tobytes())
+    return Cache(model(path).piece_ids)
 
 
 @lru_cache(maxsize=4)
@@ -167,12 +201,24 @@ def word_texts(path: str) -> Cache:
     bpe = model(path)
 
     def make(word: str) -> tuple[bytes, bytes]:
-        ids = bpe.piece_ids(word)
-        return b"".join(b"%d " % i for i in ids), "".join(bpe.strings[i] + " " for i in ids).encode()
+        ids = array("I", bpe.piece_ids(word)).tolist()
+        return b"".join([b"%d " % i for i in ids]), "".join([bpe.strings[i] + " " for i in ids]).encode()
 
     return Cache(make)
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for garbage in cycles: a batch makes none, and the caches are large to go through."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, ids (array) and decoded text of each row; equal to the library's encode and decode."""
 
@@ -190,12 +236,13 @@ def digested(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
     def run(b: pa.RecordBatch) -> dict:
         bpe, cache = model(path), word_texts(path)
         n, ids, decoded = [], [], []
-        for x in b.column(1).to_pylist():
-            made = list(map(cache.__getitem__, bpe.pieces(x or "")))
-            line = b"".join([m[0] for m in made])
-            n.append(line.count(b" "))
-            ids.append(hashlib.sha256(line[:-1]).hexdigest())
-            decoded.append(hashlib.sha256(b"".join([m[1] for m in made])[:-1]).hexdigest())
+        with uncollected():
+            for x in b.column(1).to_pylist():
+                made = list(map(cache.__getitem__, bpe.pieces(x or "")))
+                line = b"".join([m[0] for m in made])
+                n.append(line.count(b" "))
+                ids.append(hashlib.sha256(line[:-1]).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([m[1] for m in made])[:-1]).hexdigest())
         return {"doc_id": b.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
     return map_batches(docs.select(doc_id, text), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

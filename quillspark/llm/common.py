@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -82,6 +84,13 @@ def as_batch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[x.name], x.type) for x in schema], schema=schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python workers live on between tasks and stages, and allocators keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc has no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], ddl: str) -> DataFrame:
     """mapInArrow where f gives the columns of each batch."""
     schema = arrow_schema(ddl)
@@ -90,6 +99,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], ddl:
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield as_batch(out, schema)
+        give_back()
 
     return df.mapInArrow(run, ddl)
 
