@@ -63,8 +63,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_settings(spark: SparkSession) -> None:
-    """Small Arrow batches, as one text may be very long."""
+    """Small Arrow batches, as one text may be very long; the same for all operators, as plans are run later than they are made."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,9 +7,11 @@ Where a check fails it looks for the next gzip member or version line that start
 record, goes on from there, and reports the bytes between as a quarantined gap.
 
 A null html is an empty payload, a null url leaves the target out; line breaks in a url are
-escaped. Rows with one page_id give a record each. An empty table gives no archive. Only
-page_id, url and html are read. A damaged record that holds a whole valid record in its
-payload has that inner record recovered in its place.
+escaped. Each row gives a record, rows with a null or repeated page_id too: a null one is a
+response with an empty id, and of rows with one page_id and one payload none revisits the
+other. An empty table gives no archive. Only page_id, url and html are read, whatever other
+columns there are. A damaged record that holds a whole valid record in its payload has that
+inner record recovered in its place.
 """
 
 from __future__ import annotations
@@ -24,29 +26,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_schema, arrow_settings, as_batch, joined_small_hot, scratch_path, stored, table
+from quillspark.llm.common import BROADCAST_IDS, arrow_schema, arrow_settings, as_batch, give_back, joined_small_hot, scratch_path, stored, table
 
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 1000
-#: Records of one archive at most.
-ARCHIVE_RECORDS = 2000
+#: Records of one archive at most, and payload bytes, unless one record alone has more: archives are read as one value each.
+ARCHIVE_RECORDS, ARCHIVE_BYTES = 2000, 128 << 20
+#: Compressed bytes that are read at a time.
+CHUNK = 1 << 16
 DATE = "2026-01-01T00:00:00Z"
 
 _START = re.compile(rb"\x1f\x8b\x08|(?<![^\n])WARC/1\.[01]\r\n")
 _ITEM = "path string, kind string, start long, size long, reason string, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
-def decisions(pages: DataFrame) -> DataFrame:
-    """page_id of the pages that revisit another's payload, with that page's id."""
+def digested(pages: DataFrame) -> DataFrame:
+    """page_id, digest and size of the payloads that are long enough to be revisited; stored."""
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = stored(pages.select("page_id", F.unhex(F.sha1(body)).alias("digest"), F.octet_length(body).cast("long").alias("size")).filter(F.col("size") >= REVISIT_BYTES), "warc-digests")
+    return stored(pages.select("page_id", F.unhex(F.sha1(body)).alias("digest"), F.octet_length(body).cast("long").alias("size")).filter(F.col("size") >= REVISIT_BYTES), "warc-digests")
+
+
+def decisions(rows: DataFrame) -> DataFrame:
+    """Of digested() rows those that revisit another's payload: page_id, a check of the digest, and the id of the response; stored."""
     groups = rows.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return joined_small_hot(rows, stored(groups, "warc-groups"), "digest", "n", rows.count()).filter("page_id <> refers_to").select("page_id", "refers_to")
+    again = joined_small_hot(rows, stored(groups, "warc-groups"), "digest", "n", rows.count()).filter("page_id <> refers_to")
+    return stored(again.select("page_id", F.xxhash64("digest").alias("check"), "refers_to").distinct(), "warc-revisits")
 
 
 def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
-    """One WARC record a page, as text without the blank lines at its end."""
+    """One WARC record a page, as text without the blank lines at its end.
+
+    At most BROADCAST_IDS revisits, which are counted, are broadcast, so pages don't move; with more, pages are shuffled once.
+    """
     body = F.coalesce(F.col("html"), F.lit(""))
     size = F.octet_length(body).cast("string")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size, F.lit(END))
@@ -54,7 +66,7 @@ def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
     block = F.when(new, F.concat(http, body)).otherwise(http)
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    page = lambda c: F.concat(F.lit("<urn:x-page:"), F.col(c).cast("string"), F.lit(">"))
+    page = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
     head = F.concat(
         F.lit("WARC/1.0\r\n"),
         line("WARC-Type", F.when(new, "response").otherwise("revisit")),
@@ -66,14 +78,21 @@ def records(pages: DataFrame, revisits: DataFrame) -> DataFrame:
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
         line("Content-Length", F.octet_length(block).cast("string")),
     )
-    joined = pages.select("page_id", "url", "html").join(revisits, "page_id", "left")
+    few = revisits.count() <= BROADCAST_IDS
+    keyed = pages.select("page_id", "url", "html", F.xxhash64(F.unhex(F.sha1(body.cast("binary")))).alias("check"))
+    joined = keyed.join(F.broadcast(revisits) if few else revisits, ["page_id", "check"], "left")
     return joined.select(F.concat(head, F.lit("\r\n"), block).alias("value"))
 
 
 def write(spark: SparkSession, pages: DataFrame, path: str) -> None:
-    """Archives of all pages under path."""
-    out = records(pages, decisions(pages)).write.option("lineSep", END).option("maxRecordsPerFile", ARCHIVE_RECORDS)
-    out.text(path)
+    """Archives of all pages under path. Payloads of which ARCHIVE_RECORDS exceed ARCHIVE_BYTES go to archives of fewer records."""
+    rows = digested(pages)
+    revisits, most = decisions(rows), rows.agg(F.max("size")).first()[0] or 0
+    usual = ARCHIVE_BYTES // ARCHIVE_RECORDS
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit("")))
+    parts = [("part", pages, ARCHIVE_RECORDS)] if most <= usual else [("usual", pages.filter(size <= usual), ARCHIVE_RECORDS), ("large", pages.filter(size > usual), max(1, ARCHIVE_BYTES // most))]
+    for name, part, n in parts:
+        records(part, revisits).write.option("lineSep", END).option("maxRecordsPerFile", n).text(f"{path}/{name}")
 
 
 def member(record: bytes) -> bytes:
@@ -115,10 +134,11 @@ def _record(data: bytes, at: int) -> tuple[dict, int]:
         raise ValueError("the payload's digest differs")
     if kind not in ("response", "revisit") or not size or payload is not None and len(payload) != int(size[1]):
         raise ValueError("the record's type or payload length is wrong")
-    own, other = (re.fullmatch(r"<urn:x-page:(-?\d+)>", head.get(x, "")) for x in ("warc-record-id", "warc-refers-to"))
+    own, other = (re.fullmatch(r"<urn:x-page:(-?\d*)>", head.get(x, "")) for x in ("warc-record-id", "warc-refers-to"))
     if not own or (kind == "revisit") != bool(other):
         raise ValueError("a record id is missing")
-    return {"page_id": int(own[1]), "record_type": kind, "refers_to": other and int(other[1]), "payload_bytes": int(size[1]), "payload_digest": digest, "payload": payload}, end + 4
+    number = lambda m: int(m[1]) if m and m[1] else None
+    return {"page_id": number(own), "record_type": kind, "refers_to": number(other), "payload_bytes": int(size[1]), "payload_digest": digest, "payload": payload}, end + 4
 
 
 def _members(data: bytes, at: int) -> tuple[list[dict], int]:
@@ -126,18 +146,21 @@ def _members(data: bytes, at: int) -> tuple[list[dict], int]:
     if data[at : at + 2] != b"\x1f\x8b":
         record, end = _record(data, at)
         return [record], end
-    d = zlib.decompressobj(31)
+    d, view, parts, end = zlib.decompressobj(31), memoryview(data), [], at
     try:
-        plain = d.decompress(data[at:])
+        while not d.eof and end < len(data):
+            parts.append(d.decompress(view[end : end + CHUNK]))
+            end += CHUNK
     except zlib.error as e:
         raise ValueError(f"the gzip member is damaged: {e}") from None
     if not d.eof:
         raise ValueError("the gzip member is cut short")
+    plain, end = b"".join(parts), min(end, len(data)) - len(d.unused_data)
     out, place = [], 0
     while place < len(plain):
         record, place = _record(plain, place)
         out.append(record)
-    return out, len(data) - len(d.unused_data)
+    return out, end
 
 
 def salvage(data: bytes) -> Iterator[dict]:
@@ -175,18 +198,27 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                         x.pop("payload", None)
                 if items:
                     yield as_batch({c: [x.get(c) for x in items] for c in schema.names}, schema)
+        give_back()
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(run, _ITEM)
 
 
+def read_logged(spark: SparkSession, path: str, log: str) -> DataFrame:
+    """The records under path, without their payloads; the gaps go to a JSON log at another path, one line each, which isn't written where there are none."""
+    items = stored(read(spark, path, payloads=False).drop("payload"), "warc-items")
+    gaps = items.filter("kind = 'gap'").select("path", "start", "size", "reason")
+    if not gaps.isEmpty():
+        gaps.write.mode("append").json(log)
+    return items.filter("kind = 'record'")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract of op5: pages written as archives, read back."""
     arrow_settings(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     path = scratch_path(spark, "warc")
     write(spark, table(spark, sf_dir, "pages"), path)
-    return read(spark, path, payloads=False).filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_logged(spark, path, scratch_path(spark, "warc-gaps")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

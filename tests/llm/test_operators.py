@@ -202,10 +202,35 @@ def test_warc(spark, tmp_path):
         assert got[i]["payload"] in (None, raw)
 
 
+def test_warc_of_large_pages_null_and_repeated_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2_000_000)
+    long, huge = "x" * 1500, "y" * 1_200_000
+    pages = [(None, "u", long), (None, None, None), (3, "u", long), (3, "u", long), (3, "v", "z" * 1200), (9, "u", huge), (10, "u", huge), (11, "u", huge[:-1])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("check", F.lit("clash")).withColumn("n", F.lit(1))
+    path = str(tmp_path / "w")
+    warc.write(spark, df, path)
+    got = warc.read_logged(spark, path, str(tmp_path / "log"))
+    rows = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got.collect())
+    assert rows == [(0, "response", None, 0), (0, "response", None, 1500), (3, "response", None, 1200), (3, "response", None, 1500), (3, "response", None, 1500), (9, "revisit", 10, 1200000), (10, "response", None, 1200000), (11, "response", None, 1199999)]
+    assert not (tmp_path / "log").exists()
+    damaged = next((tmp_path / "w" / "large").glob("part-*"))
+    damaged.with_name("part-damaged").write_bytes(b"junk" + damaged.read_bytes())
+    damaged.unlink()
+    assert warc.read_logged(spark, path, str(tmp_path / "log")).count() == 8
+    assert [(r["start"], r["size"]) for r in spark.read.json(str(tmp_path / "log")).collect()] == [(0, 4)]
+    assert warc.read(spark, path).count() == 9
+
+
+def test_warc_of_no_pages(spark, tmp_path):
+    df = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write(spark, df, str(tmp_path / "w"))
+    assert warc.read_logged(spark, str(tmp_path / "w"), str(tmp_path / "log")).count() == 0
+
+
 @pytest.mark.parametrize("zipped", [False, True])
 def test_salvage(spark, zipped):
     df = spark.createDataFrame([(i, "u", "body %d" % i * 50) for i in range(5)], "page_id long, url string, html string")
-    none = spark.createDataFrame([], "page_id long, refers_to long")
+    none = spark.createDataFrame([], "page_id long, check long, refers_to long")
     raw = [r["value"].encode() for r in warc.records(df, none).collect()]
     parts = [warc.member(r) if zipped else r + b"\r\n\r\n" for r in raw]
     parts[2] = parts[2][: len(parts[2]) // 2] + b"\0\1\2" + parts[2][len(parts[2]) // 2 + 9 :]
