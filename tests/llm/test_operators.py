@@ -214,10 +214,10 @@ def test_warc_of_large_pages_null_and_repeated_ids(spark, tmp_path, monkeypatch)
     assert rows == [(0, "response", None, 0), (0, "response", None, 1500), (3, "response", None, 1200), (3, "response", None, 1500), (3, "response", None, 1500), (9, "revisit", 10, 1200000), (10, "response", None, 1200000), (11, "response", None, 1199999)]
     assert not (tmp_path / "log").exists()
     damaged = next((tmp_path / "w" / "large").glob("part-*"))
-    damaged.with_name("part-damaged").write_bytes(b"junk" + damaged.read_bytes())
+    damaged.with_name("part-damaged").write_bytes(b"junk\n" + damaged.read_bytes())
     damaged.unlink()
     assert warc.read_logged(spark, path, str(tmp_path / "log")).count() == 8
-    assert [(r["start"], r["size"]) for r in spark.read.json(str(tmp_path / "log")).collect()] == [(0, 4)]
+    assert [(r["start"], r["size"]) for r in spark.read.json(str(tmp_path / "log")).collect()] == [(0, 5)]
     assert warc.read(spark, path).count() == 9
 
 
