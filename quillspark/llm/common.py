@@ -21,6 +21,9 @@ HOT_SHARE = 1000
 #: Ids of at most this many rows are broadcast to filter a table where it lies (16 bytes a row); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
+#: Bytes of words that are hashed at a time.
+HASH_BYTES = 1 << 18
+
 _left: list[tuple[SparkSession, str]] = []
 
 
@@ -35,8 +38,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _drop_scratch() -> None:
-    for spark, path in _left:
+def _drop_scratch(since: int = 0) -> None:
+    for spark, path in _left[since:]:
         try:
             sc = spark.sparkContext
             if sc._jsc is not None:
@@ -44,11 +47,20 @@ def _drop_scratch() -> None:
                 where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended; the folder's owner cleans it
             pass
+    del _left[since:]
 
 
 atexit.register(_drop_scratch)
 
 
+@contextlib.contextmanager
+def own_scratch() -> Iterator[None]:
+    """Scratch tables made inside are dropped at the end, when nothing reads them any more."""
+    since = len(_left)
+    yield
+    _drop_scratch(since)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     _left.append((spark, path))
@@ -120,6 +132,23 @@ def joined_small_hot(rows: DataFrame, answers: DataFrame, key: str, size: str, t
     return rows.join(hot, key).unionByName(rest.join(answers.filter(F.col(size) <= limit), key))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with a private column that tells its rows apart, and that column's name: the id, or where ids are null or repeated a number, for which docs is stored once."""
+    row = free_name(docs, "_row")
+    again = docs.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(doc_id).isNull())
+    if again.isEmpty():
+        return docs.withColumn(row, F.col(doc_id)), row
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "keyed"), row
+
+
 def picked(df: DataFrame, ids: DataFrame, key: str, anti: bool = False) -> DataFrame:
     """df's rows whose key is among ids, or isn't; ids must be stored, as they are counted to choose the join."""
     few = ids.count() <= BROADCAST_IDS
@@ -163,6 +192,15 @@ def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     if not len(starts):
         return np.zeros(0, np.uint64)
     sizes = ends - starts
+    last = np.cumsum(sizes)
+    if last[-1] > HASH_BYTES and len(starts) > 1:
+        cuts = np.unique([0, *np.searchsorted(last, np.arange(HASH_BYTES, last[-1], HASH_BYTES), "right"), len(starts)])
+        return np.concatenate([_hashed(b, starts[x:y], ends[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])
+    return _hashed(b, starts, ends)
+
+
+def _hashed(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sizes = ends - starts
     first = np.cumsum(sizes) - sizes
     place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
     at = place + np.repeat(starts, sizes)

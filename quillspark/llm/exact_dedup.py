@@ -6,8 +6,9 @@ locator. A batch digest is looked up in its bucket, its bytes are compared with
 and members join the slot's group; nonmembers form groups of their own.
 
 Nulls count as empty texts, which equal each other. Among equal rows the longest original
-text wins, then the smallest id. A null id sorts last among the candidates of its group.
-An empty table gives no rows. Only the named columns of the input are read.
+text wins, then the smallest id. A null id sorts last among the candidates of its group, and
+a group whose ids are all null keeps null; an id of 2 ** 63 - 1 counts as null. An empty
+table gives no rows. Only the named columns of the input are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_schema, arrow_settings, joined_small_hot, picked, stored, table
+from quillspark.llm.common import arrow_schema, arrow_settings, joined_small_hot, keyed, picked, stored, table
 
 #: Digests that one bucket's function covers, on average.
 BUCKET = 20_000
 #: Keys in one displacement group, on average.
 GROUP = 4
+#: Stands for a null id, as it sorts after all others.
+NO_ID = 2**63 - 1
 
 INDEX = "bucket int, n int, displacement binary, digests binary, sizes binary, winners binary, lengths binary"
 ANSWER = "digest binary, keep_id long, group_size long"
@@ -146,17 +149,17 @@ def dedup(rows: DataFrame) -> DataFrame:
     """Groups of equal digests of rows as digests() gives them, stored: doc_id, digest, keep_id, group_size, length."""
     total = rows.count()
     buckets = max(1, -(-total // BUCKET))
-    best = rows.groupBy("history", "digest").agg(F.max(F.struct("length", (-F.coalesce("doc_id", F.lit(2**63 - 1))).alias("neg"))).alias("w"), F.count(F.lit(1)).alias("n"))
-    best = best.select("history", "digest", "n", (-F.col("w.neg")).alias("keep_id"), F.col("w.length").alias("length"), F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket"))
+    best = rows.groupBy("history", "digest").agg(F.max(F.struct("length", F.bitwise_not(F.coalesce("doc_id", F.lit(NO_ID))).alias("neg"))).alias("w"), F.count(F.lit(1)).alias("n"))
+    best = best.select("history", "digest", "n", F.bitwise_not(F.col("w.neg")).alias("keep_id"), F.col("w.length").alias("length"), F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int").alias("bucket"))
     index = build_index(best.filter("history").drop("history"))
     batch = best.filter("not history").drop("history")
-    answers = stored(index.groupBy("bucket").cogroup(batch.groupBy("bucket")).applyInArrow(_resolve, ANSWER), "exact-groups")
+    answers = stored(index.groupBy("bucket").cogroup(batch.groupBy("bucket")).applyInArrow(_resolve, ANSWER).withColumn("keep_id", F.nullif("keep_id", F.lit(NO_ID))), "exact-groups")
     return joined_small_hot(rows, answers, "digest", "group_size", total)
 
 
 def half(doc_id: str = "doc_id") -> F.Column:
     """Half of the rows, taken as the history of the other half."""
-    return F.pmod(F.xxhash64(doc_id), F.lit(2)) == 0
+    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(2)) == 0, F.lit(True))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,14 +171,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text repeats another's; the columns stay. Rows without an id go; of rows repeated with their id one stays."""
+    """docs without the rows whose text repeats another's; the columns stay. Where ids are null or repeated, rows are told apart by a number of their own, which then decides between equally long texts."""
     arrow_settings(spark)
-    rows = stored(digests(docs, half()), "exact-digests")
-    groups = dedup(rows)
-    gone = stored(groups.filter("doc_id <> keep_id").select("doc_id").distinct(), "exact-gone")
-    out = picked(docs.filter("doc_id is not null"), gone, "doc_id", anti=True)
-    again = groups.filter("doc_id = keep_id").groupBy("doc_id").count().filter("count > 1")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id"])
+    rows, row = keyed(docs)
+    groups = dedup(stored(digests(rows, half(row), doc_id=row), "exact-digests"))
+    gone = stored(groups.filter("doc_id <> keep_id").select(F.col("doc_id").alias(row)), "exact-gone")
+    return picked(rows, gone, row, anti=True).drop(row)
 
 
 SQL = r"""

@@ -27,10 +27,9 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_IDS, arrow_schema, arrow_settings, as_batch, byte_view, gram_hashes, joined_small_hot, map_batches, mix64, picked, stored, table, word_hashes, word_spans
+from quillspark.llm.common import BROADCAST_IDS, arrow_schema, arrow_settings, as_batch, byte_view, give_back, gram_hashes, joined_small_hot, keyed, map_batches, mix64, picked, stored, table, word_hashes, word_spans
 
 #: Counters of the sketch of document frequencies, whatever the number of documents.
 SKETCH = 1 << 22
@@ -65,6 +64,8 @@ def sketch(docs: DataFrame, n: int, doc_id: str, text: str) -> np.ndarray:
                 total[seen.astype(np.int64)] += m.astype(np.uint32)
         parts = np.minimum(total, 255).astype(np.uint8).reshape(pieces, STRETCH)
         yield as_batch({"stretch": np.arange(pieces), "n": [x.tobytes() for x in parts]}, schema)
+        del total, parts
+        give_back()
 
     def add(batches):
         totals: dict[int, np.ndarray] = {}
@@ -213,14 +214,14 @@ def linked(docs: DataFrame, rows: DataFrame, reps: DataFrame, shape: tuple[int,
     """Links (a, b), a < b, that hold all components together, between representatives: doc_id, n and first, one a set."""
     _, num, den = shape
     fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
-    alone = W.partitionBy("token")
-    w = alone.orderBy("place", "doc_id")
-    tokens = reps.select("doc_id", "n", F.posexplode("first").alias("place", "token"))
-    tokens = tokens.select("doc_id", "n", "token", "place", F.count(F.lit(1)).over(alone).alias("m"), F.first("doc_id").over(w).alias("x"), F.first("n").over(w).alias("nx")).filter("m > 1")
-    tokens = stored(tokens, "jaccard-shared")
+    tokens = stored(reps.select("doc_id", "n", F.posexplode("first").alias("place", "token")), "jaccard-tokens")
+    lead = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("place", "doc_id", "n")).alias("lead")).filter("m > 1")
+    lead = stored(lead.select("token", "m", F.col("lead.doc_id").alias("x"), F.col("lead.n").alias("nx")), "jaccard-leads")
+    tokens = stored(joined_small_hot(tokens, lead, "token", "m", reps.count()), "jaccard-shared")
     # first each document against the one that it shares most tokens with, of those that lead a token
     star = tokens.filter((F.col("x") != F.col("doc_id")) & fits(F.col("nx"), F.col("n"))).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("k"))
-    star = star.groupBy("doc_id").agg(F.max(F.struct("k", -F.col("x"))).alias("best")).select(F.least("doc_id", -F.col("best.col2")).alias("a"), F.greatest("doc_id", -F.col("best.col2")).alias("b")).distinct()
+    star = star.groupBy("doc_id").agg(F.max(F.struct("k", F.bitwise_not("x").alias("x"))).alias("best"))
+    star = star.select("doc_id", F.bitwise_not(F.col("best.x")).alias("x")).select(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).distinct()
     tried = stored(star, "jaccard-pairs")
     links = verified(docs, sieved(rows, tried, shape), shape, doc_id, text)
     # then all pairs of a token's documents whose components still differ and that can share enough of what is left from the token on:
@@ -259,7 +260,8 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_representatives(spark: SparkSession, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without near copies: of each class the row with the smallest id stays; the columns stay. Rows without an id go."""
+    """docs without near copies: of each class the row with the smallest id stays; the columns stay. Where ids are null or repeated, the first row stays."""
     arrow_settings(spark)
-    gone = stored(classes(docs, n, num, den).filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
-    return picked(docs.filter("doc_id is not null"), gone, "doc_id", anti=True)
+    rows, row = keyed(docs)
+    gone = stored(classes(rows, n, num, den, row).filter("doc_id <> component_id").select(F.col("doc_id").alias(row)), "jaccard-gone")
+    return picked(rows, gone, row, anti=True).drop(row)

@@ -6,19 +6,22 @@ Mahalanobis distances use Cholesky factors computed once. Only the text decides
 Sums for the fit are taken over all labelled training rows.
 
 A null or empty text has the statistics of an empty text and gets a score like any other.
-Rows whose label is null don't train; where a class has no rows, the score is the share of
+Rows whose label is null don't train, nor do rows with a null id, which no label marks; they are scored. Columns
+beyond the named ones may have any name; where a class has no rows, the score is the share of
 the other among the training rows, or 0.5 without any. Repeated ids are scored row by row
 and train once per label row. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_settings, byte_view, held_out, map_batches, stored, table, word_hashes, word_spans
+from quillspark.llm.common import arrow_settings, byte_view, give_back, held_out, map_batches, stored, table, word_hashes, word_spans
 
 #: How far a class's covariance moves to the pooled one, and that to its diagonal.
 TO_POOLED, TO_DIAGONAL = 0.2, 0.05
@@ -131,10 +134,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     arrow_settings(spark)
     model = fit(described(docs).filter(~held_out("doc_id", 5, 0)), labels)
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        import pandas as pd
+    at = docs.columns.index("text")
 
-        return pd.Series(model.score(np.array([statistics(t) for t in text])) >= THRESHOLD)
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(model.score(np.array([statistics(t) for t in b.column(at).to_pylist()])) >= THRESHOLD))
+        give_back()
 
-    return docs.filter(good("text"))
+    return docs.mapInArrow(good, docs.schema)

@@ -1,22 +1,25 @@
 """Substring dedup: a log-structured index of window fingerprints.
 
-Stretches of windows (see anchors) have a gram hash and a fingerprint of all their words'
-bytes. The log keeps sorted immutable runs of (gram, fingerprint, count); a batch becomes a
-run, runs are compacted into one, and documents are merge-joined with it on the gram. A
-stretch whose fingerprint occurs twice is repeated as a whole. Where a gram has several
-fingerprints, one document of each gives the hashes of its single windows, and windows that
-two of them share are repeated. Fingerprints are BLAKE2 digests of the bytes themselves,
-compared together with the gram (128 bits).
+Every window of words is fingerprinted by its least gram's hash (see anchors); consecutive
+windows with one such hash are one entry, a stretch, with a digest of all its words' bytes.
+The log keeps sorted immutable runs of (gram, print, counts, locator). A batch becomes a
+sorted run and is merge-joined on the gram with each run of history; what meets is verified:
+a stretch whose 64-bit BLAKE2 digest of its bytes is met too, under the same 64-bit gram, is
+repeated as a whole, and where a gram has several digests one document of each gives digests
+of its single windows, of which those that two stretches share are repeated. Then the batch's
+run joins the log, which is compacted when it has RUNS runs. The runs are Parquet in one
+folder, so a later session opens the log and goes on.
 
 A null or empty text has no words. Texts shorter than a window keep everything. Rows with a
-null id come back with what an unrepeated text has. Rows repeated with their id count as
-two occurrences, and share their marks. An empty table gives no rows. Only the named columns are read; keep_unrepeated()
-passes the others through.
+null or repeated id are rows like others: they are told apart by a number of their own, and
+count as occurrences. An empty table gives no rows. Only the named columns are read;
+keep_unrepeated() passes the others through, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.anchors import covered, digest64, marks_by_doc, stretches
-from quillspark.llm.common import HOT_SHARE, arrow_settings, byte_view, map_batches, picked, scratch_path, stored, table, word_hashes, word_spans
+from quillspark.llm.common import HOT_SHARE, arrow_settings, byte_view, free_name, give_back, joined_small_hot, keyed, map_batches, picked, scratch_path, stored, table, word_hashes, word_spans
 
 WINDOW = 35
 DOUBLINGS = 3
@@ -64,36 +67,70 @@ def found(docs: DataFrame, size: int = WINDOW, doc_id: str = "doc_id", text: str
     return map_batches(docs.select(doc_id, text), run, SERIES)
 
 
-class FingerprintLog:
-    """Sorted immutable runs of (gram, print, n, k, rep): how often each fingerprint occurred, in how many rows, and its least document."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
-        self.runs: list[DataFrame] = []
+#: Entries of runs: how many windows' stretches and how many rows had them, and the least row that did.
+ENTRY = "gram long, print long, n long, k long, rep long"
+#: A log of so many runs is compacted into one.
+RUNS = 4
 
-    def _write(self, entries: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, "fingerprint-run")
-        entries.repartition("gram").sortWithinPartitions("gram", "print").write.parquet(path)
-        return self.spark.read.schema(entries.schema).parquet(path)
 
-    def append(self, batch: DataFrame) -> None:
-        """A batch's stretches as a new run."""
-        self.runs.append(self._write(batch.groupBy("gram", "print").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("rep"))))
+class FingerprintLog:
+    """Sorted immutable runs of ENTRY rows in one folder. A run's name tells which batches it covers; one that others cover too is what a compaction left behind."""
 
-    def compact(self) -> DataFrame:
-        """All runs merged into one, which is returned."""
-        if len(self.runs) > 1:
-            merged = self.runs[0]
-            for r in self.runs[1:]:
-                merged = merged.unionByName(r)
-            self.runs = [self._write(merged.groupBy("gram", "print").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("rep").alias("rep")))]
-        return self.runs[0]
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        """The log at a path, or a new one in the session's shared folder."""
+        self.spark = spark
+        self.path = path or scratch_path(spark, "fingerprint-log")
+        self._root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        self._files = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def runs(self) -> list[tuple[int, int]]:
+        """First and last batch of each run that is whole and that no other covers, in order."""
+        if not self._files.exists(self._root):
+            return []
+        names = [x.getPath().getName() for x in self._files.listStatus(self._root)]
+        done = [tuple(map(int, x.split("-")[1:])) for x in names if x.startswith("run-") and self._files.exists(self._at(x, "_SUCCESS"))]
+        return sorted(x for x in done if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in done))
+
+    def _at(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+
+    def read(self, run: tuple[int, int]) -> DataFrame:
+        return self.spark.read.schema(ENTRY).parquet(f"{self.path}/run-{run[0]}-{run[1]}")
+
+    def _write(self, entries: DataFrame, run: tuple[int, int]) -> None:
+        # ranges of (gram, print), so that a gram with very many digests is dealt over several files
+        entries.repartitionByRange("gram", "print").sortWithinPartitions("gram", "print").write.mode("overwrite").parquet(f"{self.path}/run-{run[0]}-{run[1]}")
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Appends a batch's stretches as a run; gives the entries of all grams of the batch that occurred twice by now, in history or in it, with the number of digests of the gram; stored."""
+        history = self.runs()
+        here = history[-1][1] + 1 if history else 0
+        self._write(batch.groupBy("gram", "print").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("k"), F.min("doc_id").alias("rep")), (here, here))
+        run = self.read((here, here))
+        grams = run.groupBy("gram").agg(F.sum("n").alias("n"))
+        met = run
+        for h in history:  # both sides are sorted runs
+            met = met.unionByName(self.read(h).hint("merge").join(grams.select("gram"), "gram", "left_semi"))
+        both = met.groupBy("gram", "print").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("rep").alias("rep")) if history else met
+        both = stored(both, "fingerprint-met")
+        total = both.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("prints")).filter("total > 1")
+        out = stored(joined_small_hot(both, stored(total, "fingerprint-grams"), "gram", "prints", both.count()).drop("total"), "fingerprint-repeated")
+        if len(history) + 1 >= RUNS:
+            self.compact()
+        return out
 
-    def repeated(self) -> DataFrame:
-        """The compacted entries whose gram occurs twice, with the number of fingerprints that share it."""
-        run = self.compact()
-        grams = run.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("prints")).filter("total > 1")
-        return stored(run.hint("merge").join(grams, "gram"), "fingerprint-repeated")
+    def compact(self) -> None:
+        """Merges all runs into one; the runs that it covers are dropped once it is whole."""
+        runs = self.runs()
+        if len(runs) < 2:
+            return
+        merged = self.read(runs[0])
+        for r in runs[1:]:
+            merged = merged.unionByName(self.read(r))
+        merged = merged.groupBy("gram", "print").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.min("rep").alias("rep"))
+        self._write(merged, (runs[0][0], runs[-1][1]))
+        for r in runs:
+            self._files.delete(self._at(f"run-{r[0]}-{r[1]}"), True)
 
 
 def joined_by_pair(rows: DataFrame, entries: DataFrame, total: int) -> DataFrame:
@@ -132,13 +169,20 @@ def windows(texts: DataFrame, size: int) -> DataFrame:
     return map_batches(texts, run, "doc_id long, gram long, window long, start long, n long")
 
 
-def repeated_windows(docs: DataFrame, history: F.Column, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Marks (doc_id, start, m) of all windows that occur twice."""
+def repeated_windows(docs: DataFrame, batch: F.Column | None = None, batches: int = 2, size: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Marks (doc_id, start, m) of all windows that occur twice; ids must tell the rows apart.
+
+    The log takes the batches 0 to batches - 1, which the column batch tells of a doc_id, one after the other; a gram's last entries are those that count.
+    """
     rows = stored(found(docs, size, doc_id, text), "substring-stretches")
     log = FingerprintLog(docs.sparkSession)
-    log.append(rows.filter(history))
-    log.append(rows.filter(~history))
-    entries = log.repeated()
+    number = F.pmod(F.xxhash64("doc_id"), F.lit(batches)) if batch is None else batch
+    entries = None
+    for i in range(batches):
+        new = log.add(rows.filter(number == i))
+        entries = new if entries is None else entries.join(new.select("gram").distinct(), "gram", "left_anti").unionByName(new)
+    log.compact()
+    entries = stored(entries, "substring-entries")
     whole = joined_by_pair(rows, entries.filter("n > 1").select("gram", "print", F.col("k").alias("n")), rows.count()).select("doc_id", "start", "m")
     single = stored(windows(wanted_texts(docs, entries.filter("prints > 1"), doc_id, text), size), "substring-windows")
     shared = single.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gram", "window")
@@ -146,24 +190,20 @@ def repeated_windows(docs: DataFrame, history: F.Column, size: int = WINDOW, doc
     return stored(whole.unionByName(part), "substring-marks")
 
 
-def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """docs with the arrays _starts and _lengths, null without a mark; only texts with marks are shuffled."""
-    ids = stored(marks.select("doc_id").distinct(), "marked-ids")
-    some = picked(docs, ids, "doc_id").join(marks_by_doc(marks), "doc_id").select(*docs.columns, F.col("starts").alias("_starts"), F.col("lengths").alias("_lengths"))
-    none = picked(docs, ids, "doc_id", anti=True)
+def with_marks(docs: DataFrame, marks: DataFrame, row: str) -> tuple[DataFrame, str, str]:
+    """docs with two more columns, arrays of the marks' starts and lengths, null without a mark, and their names; row tells docs' rows apart. Only texts with marks are shuffled."""
+    s, m = free_name(docs, "_starts"), free_name(docs, "_lengths")
+    ids = stored(marks.select(F.col("doc_id").alias(row)).distinct(), "marked-ids")
+    some = picked(docs, ids, row).join(marks_by_doc(marks).toDF(row, s, m), row).select(*docs.columns, s, m)
+    none = picked(docs, ids, row, anti=True)
     empty = F.lit(None).cast("array<bigint>")
-    return some.unionByName(none.select("*", empty.alias("_starts"), empty.alias("_lengths")))
-
-
-def half(doc_id: str = "doc_id") -> F.Column:
-    """Half of the rows, whose run stands for the history of the others."""
-    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(2)) == 0, F.lit(True))
+    return some.unionByName(none.select("*", empty.alias(s), empty.alias(m))), s, m
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract of op2: 35-word windows."""
+    """The contract of op2: 35-word windows; a half of the rows is the history of the other."""
     arrow_settings(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, row = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def run(b: pa.RecordBatch) -> dict:
         n, removed, kept = [], [], []
@@ -177,24 +217,28 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             kept.append(hashlib.sha256(b" ".join(w)).hexdigest())
         return {"doc_id": b.column(0), "n_words": n, "n_removed": removed, "kept_sha256": kept}
 
-    return map_batches(with_marks(docs, repeated_windows(docs, half())), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    marked, s, m = with_marks(docs, repeated_windows(docs, doc_id=row), row)
+    return map_batches(marked.select("doc_id", "text", s, m), run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def keep_unrepeated(spark: SparkSession, docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """docs with the words of repeated windows taken out of their texts; the rows and columns stay."""
     arrow_settings(spark)
-
-    @F.pandas_udf("string")
-    def without(text, starts, lengths):
-        import pandas as pd
-
-        out = []
-        for t, s, m in zip(text, starts, lengths, strict=True):
-            if t is not None and s is not None:
-                w = t.encode().split()
-                t = b" ".join([x for x, g in zip(w, covered(len(w), size, s, m).tolist(), strict=True) if not g]).decode()
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    marked = with_marks(docs, repeated_windows(docs.select("doc_id", "text"), half(), size))
-    return marked.withColumn("text", without("text", "_starts", "_lengths")).select(*docs.columns)
+    rows, row = keyed(docs)
+    marked, starts, lengths = with_marks(rows, repeated_windows(rows.select(row, "text"), size=size, doc_id=row), row)
+    names, at = docs.columns, docs.columns.index("text")
+
+    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, s, m in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):
+                if t is not None and s is not None:
+                    w = t.encode().split()
+                    t = b" ".join([x for x, g in zip(w, covered(len(w), size, s, m).tolist(), strict=True) if not g]).decode()
+                out.append(t)
+            columns = [b.column(i) for i in range(len(names))]
+            columns[at] = pa.array(out, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
+
+    return marked.select(*names, starts, lengths).mapInArrow(without, docs.schema)

@@ -12,8 +12,8 @@ WIDE distinct stretches are dealt by the bytes that the windows of a narrow cell
 which equal ones collapse, so no array grows with the corpus.
 
 Null texts count as empty; matches never cross texts. Texts shorter than a window keep
-everything. Rows with a null id come back with what an unrepeated text has. Rows repeated
-with their id count as two occurrences, and share their marks. An empty table gives no rows. Only the named columns are read.
+everything. Rows with a null or repeated id are rows like others, told apart by a number of
+their own. An empty table gives no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.anchors import covered, digest64, stretches
-from quillspark.llm.common import _BYTE, arrow_schema, arrow_settings, as_batch, byte_view, map_batches, stored, table
+from quillspark.llm.common import _BYTE, arrow_schema, arrow_settings, as_batch, byte_view, give_back, keyed, map_batches, stored, table
 from quillspark.llm.substring import STRETCH, joined_by_pair, wanted_texts, with_marks
 
 SIZE = 400
@@ -194,7 +194,7 @@ def parts(texts: DataFrame, size: int, wide: int = WIDE) -> DataFrame:
 _MARK = "doc_id long, start long, m long"
 
 
-def marked(rows: DataFrame, size: int) -> DataFrame:
+def repeated_parts(rows: DataFrame, size: int) -> DataFrame:
     """The windows of parts() that are repeated among those with the same key, as runs; of stretches that occur once."""
     schema = arrow_schema(_MARK)
 
@@ -234,6 +234,7 @@ def marked(rows: DataFrame, size: int) -> DataFrame:
                     held += len(data)
                 groups[-1].setdefault(data, []).append((doc, start, n))
         yield solve(groups)
+        give_back()
 
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, _MARK)
 
@@ -245,14 +246,14 @@ def repeated_windows(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id",
     grams = entries.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("prints")).filter("total > 1")
     entries = stored(entries.join(grams, "gram"), "suffix-repeated")
     whole = joined_by_pair(rows, entries.filter("n > 1").select("gram", "print", "n"), rows.count()).select("doc_id", "start", "m")
-    part = marked(parts(wanted_texts(docs, entries.filter("prints > 1"), doc_id, text), size, wide), size)
+    part = repeated_parts(parts(wanted_texts(docs, entries.filter("prints > 1"), doc_id, text), size, wide), size)
     return stored(whole.unionByName(part), "suffix-marks")
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract of op6: strings of 400 bytes."""
     arrow_settings(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs, row = keyed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def run(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
@@ -265,4 +266,5 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
             out["kept_sha256"].append(hashlib.sha256(raw[~gone].tobytes()).hexdigest())
         return {"doc_id": b.column(0)} | out
 
-    return map_batches(with_marks(docs, repeated_windows(docs)), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked, s, m = with_marks(docs, repeated_windows(docs, doc_id=row), row)
+    return map_batches(marked.select("doc_id", "text", s, m), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

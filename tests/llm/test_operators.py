@@ -56,7 +56,7 @@ def test_perfect_hash_of_few(n):
 
 def test_substrings(docs, corpus):
     size = 20
-    marks = substring.repeated_windows(docs, substring.half(), size)
+    marks = substring.repeated_windows(docs, size=size)
     got = {r["doc_id"]: r for r in substring.marks_by_doc(marks).collect()}
     count, split = collections.Counter(), {i: (t or "").encode().split() for i, t in corpus}
     for w in split.values():
@@ -287,4 +287,5 @@ def test_null_ids_and_repeats(spark):
     df = spark.createDataFrame([(None, text), (1, text), (1, text), (2, "x y z")], "doc_id long, text string")
     assert jaccard.classes(df, 3, 90, 100).filter(F.col("doc_id").isNull() & F.col("component_id").isNotNull()).count() == 0
     assert exact_dedup.keep_first(spark, df).count() == 2
+    assert jaccard.keep_representatives(spark, df).count() == 2
     assert substring.keep_unrepeated(spark, df).count() == 4
