@@ -29,6 +29,13 @@ def valid(c: Column) -> Column:
     return valid10(x) | valid13(x)
 
 
+def rescued(c: Column) -> Column:
+    """The cleaned number; of a longer value that isn't valid, its first 13 places if they are."""
+    x = clean(c)
+    head = F.substring(x, 1, 13)
+    return F.when(~valid10(x) & ~valid13(x) & (F.length(x) > 13) & valid13(head), head).otherwise(x)
+
+
 def shaped(c: Column) -> Column:
     """Whether a value has the form of a number; its check digit isn't looked at."""
     return c.rlike("^([0-9]{13}|[0-9]{9}[0-9X])$")

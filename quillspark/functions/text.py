@@ -12,19 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 
+_OTHER, _MARKS = re.compile(r"[^a-z0-9]+"), re.compile("[\u0300-\u036f]+")
+#: White space as Unicode has it, with the four separators U+001C to U+001F; Java's own class knows ASCII only.
+SPACES = "[\\s\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
 def present(c: Column) -> Column:
     """Whether a value counts as given; the empty string is the missing value."""
     return F.coalesce(c, F.lit("")) != ""
 
 
 def _key(t: str | None) -> str:
-    bare = "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c))
-    return re.sub(r"[^a-z0-9]+", " ", bare.casefold()).strip()
+    t = t or ""
+    if not t.isascii():
+        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return _OTHER.sub(" ", t.casefold()).strip()
 
 
 def _fold(t: str | None) -> str:
-    bare = "".join(c for c in unicodedata.normalize("NFD", t or "") if not "̀" <= c <= "ͯ")
-    return bare.lower().strip()
+    t = t or ""
+    return (t if t.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", t))).lower().strip()
 
 
 @F.pandas_udf(StringType())
@@ -56,9 +63,14 @@ def nfc(t: pd.Series) -> pd.Series:
     return t.map(lambda x: unicodedata.normalize("NFC", x or ""))
 
 
-def clean_cell(c: Column) -> Column:
+def collapsed(c: Column) -> Column:
     """One space for each run of white space, none at the ends."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACES, " "))
+
+
+def clean_cell(c: Column) -> Column:
+    """collapsed(), composed (NFC)."""
+    return nfc(collapsed(c))
 
 
 def holds(hay: Column, needle: str) -> Column:
@@ -68,12 +80,29 @@ def holds(hay: Column, needle: str) -> Column:
 
 def split_authors(c: Column) -> Column:
     """Names of a list packed with bars, cleaned, without empty ones."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), clean_cell), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\|"), collapsed), lambda x: x != "")
+
+
+def first_author(c: Column) -> Column:
+    """What stands before the first bar, trimmed; it may be empty."""
+    return F.trim(F.substring_index(F.coalesce(c, F.lit("")), "|", 1))
+
+
+YEAR = r"(?<![\p{L}\p{N}_])((18|19|20)[0-9]{2})(?![\p{L}\p{N}_])"
 
 
 def parse_year(c: Column) -> Column:
     """The first year from 1800 to 2099 that stands alone."""
-    return F.regexp_extract(F.coalesce(c, F.lit("")), r"(?<![\p{L}\p{N}_])((18|19|20)[0-9]{2})(?![\p{L}\p{N}_])", 1).try_cast("int")
+    return F.regexp_extract(F.coalesce(c, F.lit("")), YEAR, 1).try_cast("int")
+
+
+def has_year(c: Column) -> Column:
+    return F.coalesce(c, F.lit("")).rlike(YEAR)
+
+
+def years(c: Column) -> Column:
+    """The distinct years of a list of texts, one of each text at most, in order of size."""
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(c, parse_year))))
 
 
 def numeric_year(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.functions import isbn
-from quillspark.functions.text import key, parse_year, present, split_authors
+from quillspark.functions.text import collapsed, key, parse_year, present, split_authors
 
 STATUSES = ("valid", "missing_unknown_year", "missing_pre_1970", "missing_1970_or_later")
 
@@ -25,19 +25,29 @@ def overridden(df: DataFrame, rules: DataFrame, field: str) -> DataFrame:
 
 def enriched(df: DataFrame, cache: DataFrame, fields: list[str]) -> DataFrame:
     """df with empty fields filled from the cache's row for the same valid number, and where each came from."""
-    side = cache.select(F.col("isbn").alias("_isbn"), *[F.col(f).alias(f"_{f}") for f in fields])
-    out = df.join(side, isbn.valid(F.col("isbn")) & (isbn.clean(F.col("isbn")) == F.col("_isbn")), "left")
+    side = cache.dropDuplicates(["isbn"]).select(F.col("isbn").alias("_isbn"), *[F.col(f).alias(f"_{f}") for f in fields])
+    out = df.join(side, isbn.valid(isbn.rescued(F.col("isbn"))) & (isbn.rescued(F.col("isbn")) == F.col("_isbn")), "left")
     for f in fields:
         fill = ~present(F.col(f)) & present(F.col(f"_{f}"))
         out = out.withColumn(f"{f}_from", F.when(fill, "cache")).withColumn(f, F.when(fill, F.col(f"_{f}")).otherwise(F.col(f)))
     return out.drop("_isbn", *[f"_{f}" for f in fields])
 
 
+def from_entry() -> dict[str, Column]:
+    """What a cache's entry (title, subtitle, authors, publishers, publish_date) offers for a record's fields."""
+    whole = F.concat_ws(": ", *[F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit("")) for c in ("title", "subtitle")])
+    date = F.trim(F.coalesce(F.col("publish_date"), F.lit("")))
+    return {
+        "title": F.when(present(F.trim("title")), whole).otherwise(""), "author": F.array_join(F.filter(F.transform("authors", collapsed), lambda x: x != ""), " | "),
+        "publisher": F.coalesce(F.trim(F.get("publishers", F.lit(0))), F.lit("")), "publication_date": date, "publication_year": F.coalesce(parse_year(date).cast("string"), F.lit("")),
+    }
+
+
 def cascade(df: DataFrame, levels: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """df with the first lookup that hits: (provider, table, key of df, key of the table); tables have a url. A hit without a url wins too."""
+    """df with the first lookup that hits: (provider, table, key of df, key of the table); tables have a url. A hit without a url wins too. Of rows with one key in a table one counts."""
     hits = []
     for i, (provider, side, own, other) in enumerate(levels):
-        df = df.join(side.select(F.col(other).alias(f"_k{i}"), F.col("url").alias(f"_u{i}")), F.col(own) == F.col(f"_k{i}"), "left")
+        df = df.join(side.dropDuplicates([other]).select(F.col(other).alias(f"_k{i}"), F.col("url").alias(f"_u{i}")), F.col(own) == F.col(f"_k{i}"), "left")
         hits.append(F.when(F.col(f"_k{i}").isNotNull(), F.struct(F.lit(provider).alias("provider"), F.col(f"_u{i}").alias("url"))))
     return df.withColumn("cover", F.coalesce(*hits)).drop(*[f"_{x}{i}" for i in range(len(levels)) for x in "ku"])
 
@@ -108,7 +118,7 @@ def link_status() -> Column:
 
 def distinct_authors(df: DataFrame) -> DataFrame:
     """Names of each row without later repeats of the same key, in order, packed with bars again."""
-    names = df.select("idx", F.posexplode(split_authors(F.col("author"))).alias("place", "name")).withColumn("k", F.lower("name"))
+    names = df.select("idx", F.posexplode(split_authors(F.col("author"))).alias("place", "name")).withColumn("k", key("name"))
     first = names.withColumn("r", F.row_number().over(W.partitionBy("idx", "k").orderBy("place"))).filter("r = 1")
     return first.groupBy("idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "name"))), lambda x: x["name"]), " | ").alias("authors"))
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import present, split_authors
+from quillspark.functions.text import fold, holds, present, split_authors
 
 
 def mentions(df: DataFrame) -> DataFrame:
     """idx, kind, label of every theme (genre), author and publisher of a row, each label once."""
     one = lambda kind, c: df.filter(present(F.col(c))).select("idx", F.lit(kind).alias("kind"), F.col(c).alias("label"))
     authors = df.select("idx", F.lit("author").alias("kind"), F.explode(F.array_distinct(split_authors(F.col("author")))).alias("label"))
-    return one("theme", "genre").unionByName(authors).unionByName(one("publisher", "publisher")).withColumn("key", F.lower(F.trim("label")))
+    return one("theme", "genre").unionByName(authors).unionByName(one("publisher", "publisher")).withColumn("key", fold("label"))
 
 
 def nodes(df: DataFrame) -> DataFrame:
@@ -22,15 +22,17 @@ def nodes(df: DataFrame) -> DataFrame:
 
 def edges(df: DataFrame) -> DataFrame:
     """Theme to author and theme to publisher, with the number of rows. A row's own labels meet in the row, without a join."""
-    authors = F.transform(F.array_distinct(split_authors(F.col("author"))), lambda x: F.struct(F.lit("author").alias("kind"), F.lower(x).alias("key")))
-    publisher = F.when(present(F.col("publisher")), F.array(F.struct(F.lit("publisher").alias("kind"), F.lower(F.trim("publisher")).alias("key")))).otherwise(F.array().cast("array<struct<kind:string,key:string>>"))
-    pairs = df.filter(present(F.col("genre"))).select("idx", F.lower(F.trim("genre")).alias("theme"), F.explode(F.concat(authors, publisher)).alias("to"))
-    return pairs.groupBy("theme", "to.kind", "to.key").agg(F.count(F.lit(1)).alias("weight"), F.min("idx").alias("first_idx"))
+    authors = F.transform(F.array_distinct(split_authors(F.col("author"))), lambda x: F.struct(F.lit("author").alias("kind"), x.alias("label")))
+    publisher = F.when(present(F.col("publisher")), F.array(F.struct(F.lit("publisher").alias("kind"), F.col("publisher").alias("label")))).otherwise(F.array().cast("array<struct<kind:string,label:string>>"))
+    pairs = df.filter(present(F.col("genre"))).select("idx", "genre", F.explode(F.concat(authors, publisher)).alias("to"))
+    # labels are counted as they are spelt first, so only the distinct pairs are folded
+    spelt = pairs.groupBy("genre", "to.kind", "to.label").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
+    return spelt.groupBy(fold("genre").alias("theme"), "kind", fold("label").alias("key")).agg(F.sum("n").alias("weight"), F.min("first").alias("first_idx"))
 
 
 def ego(df: DataFrame, theme: str, k: int = 11) -> DataFrame:
     """The heaviest edges of one theme; of equals the first met."""
-    return edges(df.filter(F.lower(F.trim("genre")) == theme)).orderBy(F.desc("weight"), "first_idx", "kind", "key").limit(k)
+    return edges(df.filter(holds(F.col("genre"), theme))).filter(F.col("theme") == theme).orderBy(F.desc("weight"), "first_idx", "kind", "key").limit(k)
 
 
 def overview(df: DataFrame, k: int = 8) -> DataFrame:

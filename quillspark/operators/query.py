@@ -19,6 +19,11 @@ def year() -> Column:
     return numeric_year(F.col("publication_year"))
 
 
+def shown_author(between: str = " | ") -> Column:
+    """The names as they are shown, or the label of a missing author."""
+    return F.when(present(F.col("author")), F.regexp_replace("author", r"\s*\|\s*", between)).otherwise(NO_AUTHOR)
+
+
 @dataclass(frozen=True)
 class CatalogueQuery:
     """A search with optional facets, an order and a number of rows."""
@@ -31,14 +36,19 @@ class CatalogueQuery:
 
     def filtered(self, df: DataFrame) -> DataFrame:
         shown = F.when(present(F.col("author")), F.col("author")).otherwise(NO_AUTHOR)
-        if self.query.strip():
-            df = df.filter(holds(F.concat_ws(" ", "title", "author", shown, "isbn", "publisher"), self.query))
         if self.decade is not None:
             df = df.filter(decade(year()) == self.decade)
         if self.publisher:
             df = df.filter(F.lower(F.trim("publisher")) == self.publisher.strip().lower())
+        if self.query.strip():  # the dear condition comes last
+            df = df.filter(holds(F.concat_ws(" ", "title", "author", shown, "isbn", "publisher"), self.query))
         return df
 
+    def remaining(self, df: DataFrame) -> DataFrame:
+        """One row: how many rows match, and how many of them lie beyond the limit."""
+        n = F.count(F.lit(1))
+        return self.filtered(df).agg(n.alias("matches"), F.greatest(F.lit(0), n - F.lit(self.limit or 0)).alias("remaining"))
+
     def run(self, df: DataFrame) -> DataFrame:
         orders = {"catalogue": [], "title": [text.fold("title")], "author": [text.fold("author")], "newest": [year().desc_nulls_last()], "oldest": [year().asc_nulls_last()]}
         out = self.filtered(df).orderBy(*orders[self.sort], "idx")
@@ -111,14 +121,58 @@ def sample_by_year(df: DataFrame, k: int = 5) -> DataFrame:
     return ranked.join(F.broadcast(held), ["y", "r"]).select("place", "id", "y")
 
 
+def _old(df: DataFrame) -> DataFrame:
+    """Rows from before 1970 without a number, and whether their other fields are given."""
+    given = present(F.col("title")) & present(F.col("author")) & present(F.col("publisher"))
+    return df.withColumn("y", year()).filter((F.col("y") < 1970) & ~present(F.col("isbn"))).withColumn("given", given)
+
+
+def rank_label(n: Column) -> Column:
+    """At least two digits; larger numbers stay whole."""
+    s = n.cast("string")
+    return F.lpad(s, F.greatest(F.lit(2), F.length(s)), F.lit("0"))
+
+
 def rarities(df: DataFrame, k: int = 5) -> DataFrame:
     """The k oldest rows from before 1970 without a number whose other fields are given."""
-    old = df.withColumn("y", year()).filter((F.col("y") < 1970) & ~present(F.col("isbn")) & present(F.col("title")) & present(F.col("author")) & present(F.col("publisher")))
-    return old.orderBy("y", "idx").limit(k).withColumn("label", F.lpad(F.row_number().over(W.orderBy("y", "idx")).cast("string"), 2, "0")).select("label", "id", "y")
+    old = _old(df).filter("given").orderBy("y", "idx").limit(k)
+    return old.withColumn("label", rank_label(F.row_number().over(W.orderBy("y", "idx")))).select("label", "id", "y")
+
+
+def rarity_excluded(df: DataFrame, k: int = 5) -> DataFrame:
+    """One row: the year of the last rarity, and how many rows of the kind are older but lack a field; null and 0 without a rarity."""
+    last = _old(df).filter("given").orderBy("y", "idx").limit(k).agg(F.max("y").alias("cutoff"))
+    older = _old(df).filter("not given").join(F.broadcast(last), F.col("y") < F.col("cutoff")).agg(F.count(F.lit(1)).alias("excluded"))
+    return last.crossJoin(older)  # one row each
+
+
+def theme_shares(df: DataFrame, by: str) -> DataFrame:
+    """Rows by theme, with their share of all in whole per cent, 1 at least."""
+    g = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("share", F.greatest(F.lit(1), F.floor(100 * F.col("n") / F.sum("n").over(W.partitionBy()) + 0.5)).cast("int"))
+
+
+def random_row(df: DataFrame, seed: int) -> DataFrame:
+    """One row by chance; a seed makes it the same over the same partitions."""
+    return df.orderBy(F.rand(seed)).limit(1)
+
+
+def timeline_sample(df: DataFrame, covered: Column, k: int = 5) -> DataFrame:
+    """k rows evenly spaced in the order of years among those with a cover; among all, in catalogue order, where fewer than k have one. Ranks come from counts by year, or by range of idx."""
+    enough = df.filter(covered).limit(k).count() >= k
+    pool = df.filter(covered).withColumn("g", F.coalesce(year(), F.lit(0)).cast("long")) if enough else df.withColumn("g", F.floor(F.col("idx") / 65536))
+    sizes = pool.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    spans = sizes.select("g", "m", (F.sum("m").over(W.orderBy("g")) - F.col("m")).alias("before"), F.sum("m").over(W.partitionBy()).alias("n"))
+    places = [F.floor(F.lit(i) * (F.col("n") - 1) / (k - 1) + 0.5).cast("long") for i in range(k)]
+    wanted = F.when(F.col("n") <= k, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)))).otherwise(F.array_distinct(F.array(*places)))
+    held = spans.select("g", "before", "m", F.explode(wanted).alias("place")).filter((F.col("place") >= F.col("before")) & (F.col("place") < F.col("before") + F.col("m")))
+    held = F.broadcast(held.select("g", (F.col("place") - F.col("before") + 1).alias("r"), "place"))
+    return pool.join(F.broadcast(held.select("g").distinct()), "g").withColumn("r", F.row_number().over(W.partitionBy("g").orderBy("idx"))).join(held, ["g", "r"]).select("place", "id")
 
 
 def picked_titles(df: DataFrame, wanted: list[str]) -> DataFrame:
-    """For each wanted title the first row that starts with it; wanted is a short list."""
+    """For each wanted title the first row that starts with it, no row twice; wanted is a short list."""
     w = df.sparkSession.createDataFrame(list(enumerate(wanted)), "place int, want string")
     hit = df.join(F.broadcast(w), F.startswith("title", "want"))
-    return hit.groupBy("place").agg(F.min("idx").alias("idx"), F.min_by("title", "idx").alias("title"))
+    first = hit.groupBy("place").agg(F.min("idx").alias("idx"), F.min_by("title", "idx").alias("title"))
+    return first.groupBy("idx").agg(F.min("place").alias("place"), F.first("title").alias("title")).select("place", "idx", "title")

@@ -1,14 +1,16 @@
 import duckdb
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from quillspark.functions import isbn, text
-from quillspark.operators import curate, dedupe, match, query, reconcile
-from quillspark.plans import queries as plans
-from quillspark.sources.tables import copies
+from quillspark.functions import isbn, text, web
+from quillspark.operators import curate, dedupe, extract, fetch, match, query, reconcile
+from quillspark.plans import curation as plans
+from quillspark.sources import rules
+from quillspark.sources.tables import catalogue, copies
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("part", "lineitem", "supplier", "documents", "pages", "events", "conversations")
+TABLES = ("part", "lineitem", "supplier", "documents", "pages", "events", "conversations", "orders")
 
 
 @pytest.fixture(scope="module")
@@ -116,6 +118,66 @@ def test_merging_by_keys(spark):
 
 
 def test_empty_catalogue(spark):
-    empty = plans.catalogue(spark, SF).limit(0)
+    empty = catalogue(spark, SF).limit(0)
     assert query.metrics(empty).first()["total"] == 0
     assert query.CatalogueQuery("x").run(empty).count() == 0
+
+
+def test_highlight_and_matches(spark):
+    def plain(t, q):
+        at = t.lower().find(q.lower())
+        if at < 0:
+            return t
+        m = t[:at] + web.MARK + t[at : at + len(q)] + web.END_MARK + t[at + len(q) :]
+        first = 0 if at < 50 else max(m.rfind(c, 0, at) for c in " ,:") + 1
+        end = first + len(web.MARK + web.END_MARK) + 200
+        if end > len(m):
+            return m[first:]
+        stop = min((i for i in (m.find(c, end) for c in " ,:") if i >= 0), default=None)
+        return m[first : len(m) - 1] if stop is None else m[first:stop] + "…"
+
+    words = "un deux, trois: quatre The cinq " * 30
+    texts = [words, words[:100], "x" * 300 + " the " + "y" * 400, "the", "", "rien", "x" * 60 + "the end", words[:260]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for q in ("the", "quatre", "zz"):
+        assert [r[0] for r in df.select(web.highlighted(F.col("t"), q)).collect()] == [plain(t, q) for t in texts]
+    df = spark.createDataFrame([("a  b ab a\nb aab",), (None,)], "t string")
+    assert [r[0] for r in df.select(web.matches(F.col("t"), "a b")).collect()] == [2, 0]
+    assert [r[0] for r in df.select(web.matches(F.col("t"), "ab")).collect()] == [4, 0]
+
+
+def test_page_fragments(spark):
+    schema = "document long, page int, row int, author string, title string, isbn string, publisher string, publication_date string, genre string, publication_year string, series string"
+    row = lambda p, r, author, title, isbn="", date="mai 2001", year="", publisher="": (1, p, r, author, title, isbn, publisher, date, "", year, "")
+    rows = [
+        row(1, 0, "Author", "Title"), row(1, 1, "A", "Introduction to the", year="2001"), row(2, 0, "B", "Theory", date="", publisher="P"), row(2, 1, "C |", "T", "1"), row(3, 0, "D", "", date=""), row(4, 0, "| E", "(part", date=""),
+        row(5, 0, "F", "one)", date=""), row(5, 1, "G", "Whole", "2"), row(6, 0, "H", "Other", "3"), row(6, 1, "", ""), row(7, 0, "I", "Alone", date="2002"),
+    ]
+    got = extract.records(spark.createDataFrame(rows, schema)).orderBy("page", "row").collect()
+    assert [(r["author"], r["title"], r["source_pages"]) for r in got] == [("A B", "Introduction to the Theory", [1, 2]), ("C | D | E F", "T (part one)", [2, 3, 4, 5]), ("G", "Whole", [5]), ("H", "Other", [6]), ("I", "Alone", [7])]
+    assert got[0]["publisher"] == "P"
+
+
+def test_settings(tmp_path):
+    assert rules.parse_yaml("links:\n  -\n    a: [1, x]\n    b: ~\nsettings:\n  t: \"5\"\n")["links"] == [{"a": [1, "x"], "b": None}]
+    with pytest.raises(ValueError, match="another form"):
+        rules.parse_yaml("links:\n a: 1")
+    rules.write_report(str(tmp_path / "a" / "r.json"), {"b": "é", "a": 1}, ordered=True)
+    assert (tmp_path / "a" / "r.json").read_text() == '{\n  "a": 1,\n  "b": "é"\n}\n'
+
+
+def test_errors_of_rules(spark):
+    df = spark.createDataFrame([("a", "T", ["x"]), ("b", "U", ["x"])], "id string, title string, source_record_ids array<string>")
+    with pytest.raises(Exception, match="two records"):
+        fetch.source_ids(df).collect()
+    bad = spark.createDataFrame([("a", "u", "V")], "id string, url string, title string")
+    with pytest.raises(Exception, match="have changed"):
+        fetch.approved(df, bad, ["title"]).collect()
+    with pytest.raises(Exception, match="absent"):
+        fetch.approved(df, bad.withColumn("id", F.lit("z")), ["title"]).collect()
+
+
+def test_empty_report(spark):
+    c = catalogue(spark, SF).limit(0)
+    rows = {r["metric"]: r["value"] for r in plans._report(c).collect()}
+    assert (rows["record_count"], rows["cover_record_rate"], rows["preserved_distinct_isbn_group_count"]) == (0, None, 0)
