@@ -5,8 +5,13 @@ local palettes, interlacing, the disposal methods and transparency; each frame c
 its raw samples, its composed canvas and its time. encode() stores bytes losslessly as
 8-bit samples of a grey palette, 192 a row, in frames of at most FRAME_ROWS rows.
 
+frames() opens a column of GIFs: a row for each frame as it shows, with its time and the
+colours of the samples that it draws.
+
 A null text counts as empty and gives one row of spaces. Equal texts give equal values. An
-empty table gives no rows. Only the named columns of the input are read.
+empty table gives no rows. Rows with null or repeated ids are rows like others. Only the
+named columns of the input are read, whatever others there are. A column's value that is
+null has no frames; one that is no GIF, or is damaged, gives one row with the error.
 """
 
 from __future__ import annotations
@@ -187,10 +192,15 @@ def decode(data: bytes, compose: bool = True) -> list[dict]:
             before = canvas.copy() if disposal == 3 else None
             area = canvas[y : y + h, x : x + w]
             shown = samples[: area.shape[0], : area.shape[1]]
-            drawn = np.ones(shown.shape, bool) if clear_index is None else shown != clear_index
-            colour = palette[np.minimum(shown, len(palette) - 1)]
-            area[drawn, :3] = colour[drawn]
-            area[drawn, 3] = 255
+            paint = np.concatenate([palette, np.full((len(palette), 1), 255, np.uint8)], axis=1)
+            paint = np.concatenate([paint, np.repeat(paint[-1:], 256 - len(paint), axis=0)])
+            if clear_index is None:
+                frame["drawn"] = shown
+                area[:] = paint[shown]
+            else:
+                drawn = shown != clear_index
+                frame["drawn"] = shown[drawn]
+                area[drawn] = paint[frame["drawn"]]
             frame["canvas"] = canvas.copy()
             if disposal == 2:
                 area[:] = 0
@@ -203,8 +213,8 @@ def decode(data: bytes, compose: bool = True) -> list[dict]:
 
 
 def histogram(frame: dict, bins: int = 4) -> np.ndarray:
-    """Counts of the frame's own samples by colour, bins a channel."""
-    n = np.bincount(frame["samples"].ravel(), minlength=256)
+    """Counts of the samples that the frame draws, transparent ones left out, by colour, bins a channel."""
+    n = np.bincount(frame["drawn"].ravel(), minlength=256)
     p = frame["palette"].astype(np.int64) * bins // 256
     cell = (p[:, 0] * bins + p[:, 1]) * bins + p[:, 2]
     return np.bincount(cell, weights=n[: len(cell)], minlength=bins**3).astype(np.int64)
@@ -216,10 +226,13 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 
 def _feature(frames: list[dict]) -> str:
-    grey = np.sum([np.bincount(f["samples"].ravel() >> 4, minlength=16) for f in frames], axis=0)
+    """Frames, their time, the drawn samples by sixteenth, the composed canvases' visible pixels by red, and the drawn samples by colour cell."""
+    grey = np.sum([np.bincount(f["drawn"].ravel() >> 4, minlength=16) for f in frames], axis=0)
+    red = np.sum([np.bincount(f["canvas"][..., 0].ravel() >> 4, weights=f["canvas"][..., 3].ravel() == 255, minlength=16) for f in frames], axis=0).astype(np.int64)
     colour = np.sum([histogram(f) for f in frames], axis=0)
     ms = frames[-1]["at_ms"] + frames[-1]["ms"]
-    return f"frames={len(frames)};ms={ms};grey={','.join(map(str, grey))};colour={','.join(map(str, colour[colour > 0]))}"
+    cells = ",".join(f"{i}:{colour[i]}" for i in np.flatnonzero(colour).tolist())
+    return f"frames={len(frames)};ms={ms};grey={','.join(map(str, grey))};shown={','.join(map(str, red))};colour={cells}"
 
 
 def stored_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -227,12 +240,35 @@ def stored_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(b: pa.RecordBatch) -> dict:
         media = [encode(padded(x)[1]) for x in b.column(1).to_pylist()]
-        frames = [decode(x, compose=False) for x in media]
+        frames = [decode(x) for x in media]
         return {"doc_id": b.column(0), "media": media, "frame_ms": [[f["at_ms"] for f in x] for x in frames], "colours": [np.concatenate([histogram(f) for f in x]).tolist() for x in frames]}
 
     return map_batches(docs.select(doc_id, text), run, "doc_id long, media binary, frame_ms array<long>, colours array<long>")
 
 
+_FRAME = "id long, frame int, at_ms long, ms long, width int, height int, canvas binary, colours array<long>, error string"
+
+
+def frames(df: DataFrame, media_id: str, media: str) -> DataFrame:
+    """A row for each frame of a column of GIFs: its canvas (RGBA) after drawing, its time, and the drawn samples by colour."""
+
+    def run(b: pa.RecordBatch) -> dict:
+        rows: list[tuple] = []
+        for own, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if data is None:
+                continue
+            try:
+                for k, f in enumerate(decode(data)):
+                    h, w, _ = f["canvas"].shape
+                    rows.append((own, k, f["at_ms"], f["ms"], w, h, f["canvas"].tobytes(), histogram(f).tolist(), None))
+            except (ValueError, IndexError, struct.error) as e:
+                rows.append((own, None, None, None, None, None, None, None, str(e)[:200]))
+        names = [c.split()[0] for c in _FRAME.split(", ")]
+        return dict(zip(names, map(list, zip(*rows, strict=True)) if rows else ([] for _ in names), strict=True))
+
+    return map_batches(df.select(media_id, media), run, _FRAME)
+
+
 _ROW = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -244,7 +280,7 @@ def digested(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         for x in b.column(1).to_pylist():
             n, payload = padded(x)
             media = encode(payload)
-            frames = decode(media, compose=False)
+            frames = decode(media)
             back = b"".join(f["samples"].tobytes() for f in frames)
             out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), _feature(frames)))
         return {"doc_id": b.column(0)} | dict(zip([c.split()[0] for c in _ROW.split(", ")][1:], map(list, zip(*out, strict=True)), strict=True))
