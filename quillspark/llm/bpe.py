@@ -28,10 +28,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import arrow_settings, map_batches, table
+from quillspark.llm.common import arrow_settings, caches, map_batches, table
 
 #: Words of one generation of a worker's cache, of which it has two.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bits of a queue entry that hold the position, of words with at most 2 ** SHORT symbols: entries then are one machine digit.
 SHORT, LONG = 12, 40
 END = "</w>"
@@ -184,8 +184,14 @@ class Cache(dict):
         return out
 
 
+def forget() -> None:
+    for x in (model, word_ids, word_texts):
+        x.cache_clear()
+
+
 @lru_cache(maxsize=4)
 def model(path: str) -> BPE:
+    caches["bpe"] = forget
     return BPE(path)
 
 
@@ -227,7 +233,7 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
         ids = [bpe.encode(x or "") for x in b.column(1).to_pylist()]
         return {"doc_id": b.column(0), "ids": ids, "decoded": [bpe.decode(x) for x in ids]}
 
-    return map_batches(docs.select(doc_id, text), run, "doc_id long, ids array<int>, decoded string")
+    return map_batches(docs.select(doc_id, text), run, "doc_id long, ids array<int>, decoded string", "bpe")
 
 
 def digested(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,7 +251,7 @@ def digested(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
                 decoded.append(hashlib.sha256(b"".join([m[1] for m in made])[:-1]).hexdigest())
         return {"doc_id": b.column(0), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded}
 
-    return map_batches(docs.select(doc_id, text), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(doc_id, text), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,11 +104,22 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], ddl: str) -> DataFrame:
-    """mapInArrow where f gives the columns of each batch."""
+#: What this process holds for one kind of work only: how to drop it, by the work's name.
+caches: dict[str, Callable[[], None]] = {}
+
+
+def entered(work: str = "") -> None:
+    """A Python worker begins a task: what it remembers for other kinds of work goes."""
+    for name in [x for x in caches if x != work]:
+        caches.pop(name)()
+
+
+def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], ddl: str, work: str = "") -> DataFrame:
+    """mapInArrow where f gives the columns of each batch; caches of this kind of work stay with the worker."""
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered(work)
         for b in batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield as_batch(out, schema)

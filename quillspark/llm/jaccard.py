@@ -27,15 +27,18 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_IDS, arrow_schema, arrow_settings, as_batch, byte_view, give_back, gram_hashes, joined_small_hot, keyed, map_batches, mix64, picked, stored, table, word_hashes, word_spans
+from quillspark.llm.common import BROADCAST_IDS, HOT_SHARE, arrow_schema, arrow_settings, as_batch, byte_view, entered, give_back, gram_hashes, joined_small_hot, keyed, map_batches, mix64, picked, stored, table, word_hashes, word_spans
 
 #: Counters of the sketch of document frequencies, whatever the number of documents.
 SKETCH = 1 << 22
 #: Counters that one row of a task's sketch holds.
 STRETCH = 1 << 16
 ORDERS = 3
+#: Tokens in counters above this, and above a HOT_SHARE'th of the documents, get their leaders by an aggregate that combines before the shuffle; others by a window.
+HOT = 1000
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -56,6 +59,7 @@ def sketch(docs: DataFrame, n: int, doc_id: str, text: str) -> np.ndarray:
     schema = arrow_schema("stretch int, n binary")
 
     def count(batches):
+        entered()
         total = np.zeros(SKETCH, np.uint32)
         for b in batches:
             at = [shingles(t, n) & np.uint64(SKETCH - 1) for t in b.column(0).to_pylist()]
@@ -120,23 +124,25 @@ def least_difference(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(u ^ v).sum())
 
 
-def described(docs: DataFrame, n: int, num: int, den: int, level: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, the set's digest, its prefix under the first order, 32 bits of the tokens of its other prefixes, and its parity."""
+def described(docs: DataFrame, n: int, num: int, den: int, level: np.ndarray, hot: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n, the set's digest, its prefix under the first order and which of it fall into hot counters (whose numbers are sorted), 32 bits of the tokens of its other prefixes, and its parity."""
 
     def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n", "digest", "first", "orders", "parity")}
+        out: dict[str, list] = {k: [] for k in ("n", "digest", "first", "hot", "orders", "parity")}
         for t in b.column(1).to_pylist():
             s = shingles(t, n)
             size = prefix_size(len(s), num, den)
             out["n"].append(len(s))
             out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            out["first"].append(prefix(s, level, size, 0).view(np.int64))
+            first = prefix(s, level, size, 0)
+            out["first"].append(first.view(np.int64))
+            out["hot"].append(np.isin(first & np.uint64(SKETCH - 1), hot))
             others = np.concatenate([prefix(s, level, size, k) for k in range(1, ORDERS)])
             out["orders"].append((others >> np.uint64(32)).astype("<u4").tobytes())
             out["parity"].append(parity(s))
         return {"doc_id": b.column(0)} | out
 
-    return map_batches(docs.select(doc_id, text), run, "doc_id long, n long, digest binary, first array<long>, orders binary, parity binary")
+    return map_batches(docs.select(doc_id, text), run, "doc_id long, n long, digest binary, first array<long>, hot array<boolean>, orders binary, parity binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,13 +217,17 @@ def verified(docs: DataFrame, pairs: DataFrame, shape: tuple[int, int, int], doc
 
 
 def linked(docs: DataFrame, rows: DataFrame, reps: DataFrame, shape: tuple[int, int, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links (a, b), a < b, that hold all components together, between representatives: doc_id, n and first, one a set."""
+    """Links (a, b), a < b, that hold all components together, between representatives: doc_id, n, first and hot, one a set."""
     _, num, den = shape
     fits = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
-    tokens = stored(reps.select("doc_id", "n", F.posexplode("first").alias("place", "token")), "jaccard-tokens")
-    lead = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("place", "doc_id", "n")).alias("lead")).filter("m > 1")
+    tokens = reps.select("doc_id", "n", F.posexplode(F.arrays_zip("first", "hot")).alias("place", "t")).select("doc_id", "n", "place", F.col("t.first").alias("token"), F.col("t.hot").alias("hot"))
+    alone = W.partitionBy("token")
+    w = alone.orderBy("place", "doc_id")
+    usual = tokens.filter("not hot").select("token", "doc_id", "n", "place", F.count(F.lit(1)).over(alone).alias("m"), F.first("doc_id").over(w).alias("x"), F.first("n").over(w).alias("nx")).filter("m > 1")
+    common = stored(tokens.filter("hot").select("token", "doc_id", "n", "place"), "jaccard-hot")
+    lead = common.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("place", "doc_id", "n")).alias("lead")).filter("m > 1")
     lead = stored(lead.select("token", "m", F.col("lead.doc_id").alias("x"), F.col("lead.n").alias("nx")), "jaccard-leads")
-    tokens = stored(joined_small_hot(tokens, lead, "token", "m", reps.count()), "jaccard-shared")
+    tokens = stored(usual.unionByName(joined_small_hot(common, lead, "token", "m", common.count())), "jaccard-shared")
     # first each document against the one that it shares most tokens with, of those that lead a token
     star = tokens.filter((F.col("x") != F.col("doc_id")) & fits(F.col("nx"), F.col("n"))).groupBy("doc_id", "x").agg(F.count(F.lit(1)).alias("k"))
     star = star.groupBy("doc_id").agg(F.max(F.struct("k", F.bitwise_not("x").alias("x"))).alias("best"))
@@ -240,12 +250,13 @@ def linked(docs: DataFrame, rows: DataFrame, reps: DataFrame, shape: tuple[int,
 
 def classes(docs: DataFrame, n: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of each row: the smallest id that links of num / den or more reach."""
-    level = levels(sketch(docs, n, doc_id, text))
-    rows = stored(described(docs, n, num, den, level, doc_id, text), "jaccard-rows")
+    counts = sketch(docs, n, doc_id, text)
+    hot = np.flatnonzero(counts > max(HOT, docs.count() // HOT_SHARE)).astype(np.uint64)
+    rows = stored(described(docs, n, num, den, levels(counts), hot, doc_id, text), "jaccard-rows")
     alike = rows.filter("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m"))
     alike = stored(alike, "jaccard-alike")
     copies = stored(rows.filter("n > 0").join(alike.filter("m > 1"), "digest").filter("doc_id <> rep").select("doc_id").distinct(), "jaccard-copies")
-    reps = picked(rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "first"), copies, "doc_id", anti=True)
+    reps = picked(rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "first", "hot"), copies, "doc_id", anti=True)
     label = stored(components(linked(docs, rows, reps, (n, num, den), doc_id, text)), "jaccard-components")
     final = alike.join(label, alike.rep == label.id, "left").select("digest", "m", F.coalesce("component", "rep").alias("component_id"))
     some = joined_small_hot(rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "digest"), stored(final, "jaccard-final"), "digest", "m", rows.count())

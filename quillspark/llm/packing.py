@@ -106,7 +106,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
                         column.append(v)
         return out
 
-    return map_batches(docs.select(doc_id, text), run, PIECE)
+    return map_batches(docs.select(doc_id, text), run, PIECE, "bpe")
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_settings, byte_view, give_back, held_out, map_batches, stored, table, word_hashes, word_spans
+from quillspark.llm.common import arrow_settings, byte_view, entered, give_back, held_out, map_batches, stored, table, word_hashes, word_spans
 
 #: How far a class's covariance moves to the pooled one, and that to its diagonal.
 TO_POOLED, TO_DIAGONAL = 0.2, 0.05
@@ -137,6 +137,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     at = docs.columns.index("text")
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered()
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(model.score(np.array([statistics(t) for t in b.column(at).to_pylist()])) >= THRESHOLD))

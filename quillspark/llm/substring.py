@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.anchors import covered, digest64, marks_by_doc, stretches
-from quillspark.llm.common import HOT_SHARE, arrow_settings, byte_view, free_name, give_back, joined_small_hot, keyed, map_batches, picked, scratch_path, stored, table, word_hashes, word_spans
+from quillspark.llm.common import HOT_SHARE, arrow_settings, byte_view, entered, free_name, give_back, joined_small_hot, keyed, map_batches, picked, scratch_path, stored, table, word_hashes, word_spans
 
 WINDOW = 35
 DOUBLINGS = 3
@@ -229,6 +229,7 @@ def keep_unrepeated(spark: SparkSession, docs: DataFrame, size: int = WINDOW) ->
     names, at = docs.columns, docs.columns.index("text")
 
     def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered()
         for b in batches:
             out = []
             for t, s, m in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), b.column(len(names) + 1).to_pylist(), strict=True):

@@ -91,8 +91,9 @@ def test_suffix_array():
         assert suffix.suffix_array(x, 999).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
 
 
-@pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
-def test_jaccard(docs, corpus, n, num):
+@pytest.mark.parametrize(("n", "num", "hot"), [(3, 90, 1000), (5, 80, 1000), (3, 90, 1)])
+def test_jaccard(docs, corpus, monkeypatch, n, num, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
     sets, parent = {}, {}
     for i, t in corpus:
         w = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
