@@ -23,6 +23,11 @@ def overridden(df: DataFrame, rules: DataFrame, field: str) -> DataFrame:
     return out.withColumn("changed", F.coalesce(F.col("value") != F.col(field), F.lit(False))).withColumn("source", F.when(F.col("value").isNotNull(), "override")).withColumn(field, F.coalesce("value", field)).drop("value")
 
 
+def corrections(df: DataFrame, rules: DataFrame, field: str) -> DataFrame:
+    """id, before and after of each value that overrides changed."""
+    return overridden(df.withColumn("before", F.col(field)), rules, field).filter("changed").select("id", "before", F.col(field).alias("after"))
+
+
 def enriched(df: DataFrame, cache: DataFrame, fields: list[str]) -> DataFrame:
     """df with empty fields filled from the cache's row for the same valid number, and where each came from."""
     side = cache.dropDuplicates(["isbn"]).select(F.col("isbn").alias("_isbn"), *[F.col(f).alias(f"_{f}") for f in fields])

@@ -84,7 +84,9 @@ def prepared(df: DataFrame) -> DataFrame:
 
 def blocks(df: DataFrame) -> DataFrame:
     """idx and block of each row: components of equal numbers and of titles whose rows don't contradict each other."""
-    same = df.filter("good <> ''").groupBy("good").agg(F.min("idx").alias("a"), F.collect_set("idx").alias("s")).select("a", F.explode("s").alias("b"))
+    numbered = df.filter("good <> ''").select("good", F.col("idx").alias("b"))
+    first = numbered.groupBy("good").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same = numbered.join(first, "good").select("a", "b")
     x, y = df.filter("title_key <> ''").alias("x"), df.alias("y")
     both = (F.col("x.title_key") == F.col("y.title_key")) & (F.col("x.idx") < F.col("y.idx"))
     agree = lambda c: F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(True))
@@ -103,6 +105,12 @@ def blocks(df: DataFrame) -> DataFrame:
         labels = new.select("idx", "block")
 
 
+def numbers(df: DataFrame) -> DataFrame:
+    """Valid numbers that several rows have: the number, the first row and how many there are."""
+    good = df.filter(isbn.valid(F.col("isbn"))).select(isbn.clean(F.col("isbn")).alias("isbn"), "idx")
+    return good.groupBy("isbn").agg(F.min("idx").alias("canonical_idx"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+
+
 def merged(df: DataFrame) -> DataFrame:
     """idx, canonical_idx, size and reason of each row's component; reason is null for single rows."""
     return _ranked(df).drop("rank")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions import text
+from quillspark.functions import isbn, text
 
 #: Words of publishers' names that don't tell them apart.
 STOP = ("and", "de", "des", "du", "editions", "edition", "et", "la", "le", "les", "of", "press", "the")
@@ -69,6 +69,12 @@ def candidates(records: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+def by_alias(df: DataFrame, cache: DataFrame) -> DataFrame:
+    """idx and the title that a cache (form, title) has for the first of a number's forms, the long one and the short one."""
+    forms = df.select("idx", F.posexplode(F.array_compact(F.array("isbn", isbn.to10(F.col("isbn"))))).alias("place", "form"))
+    return forms.join(cache, "form").groupBy("idx").agg(F.min_by("title", "place").alias("found"))
+
+
 def scored(pairs: DataFrame) -> DataFrame:
     """Scores by what agrees: 120 an edition's number, 115 a work's, 95 an edition's year and publisher, 85 a work's; other pairs go."""
     s = F.when(F.col("isbn_equal") & F.col("edition"), 120).when(F.col("isbn_equal"), 115).when(F.col("year_equal") & F.col("publisher_equal") & F.col("edition"), 95).when(F.col("year_equal") & F.col("publisher_equal"), 85)

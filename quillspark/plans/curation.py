@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import isbn, text, web
-from quillspark.operators import curate, dedupe, extract, fetch, graph, query, report
+from quillspark.operators import curate, dedupe, extract, fetch, graph, match, query, report
 from quillspark.plans.queries import _FLAGS, _PUBLISHERS, _WORDS, CACHE_A, EDGES, FIELDS, KEY, QUERIES, SQL, STATUS, VALID13, Y, _cache_a, _links, on_catalogue, on_table
 from quillspark.sources import rules
 from quillspark.sources.tables import oracle
@@ -289,3 +289,13 @@ SQL["seeded_shuffle"] = oracle(f"SELECT idx, id, {_FNV.format(chr(39) + 'wall-7|
 SQL["quality_flags"] = oracle(f"SELECT idx, s AS isbn_status, array_to_string(list_filter({_FLAGS}, lambda x: x IS NOT NULL), ',') AS flags FROM (SELECT *, count(*) OVER (PARTITION BY isbn) AS m, count(*) OVER (PARTITION BY t, u) AS related FROM (SELECT *, {STATUS} AS s, {KEY.format('title')} AS t, {KEY.format('author')} AS u FROM catalogue) a) b")
 SQL["publisher_match"] = oracle(f"SELECT a.idx, {_PUBLISHERS} AS matches FROM (SELECT idx, {_WORDS} AS words FROM catalogue) a JOIN (SELECT idx, {_WORDS.replace('replace(publisher', "replace('Editions ' || publisher")} AS words FROM catalogue) b ON a.idx = b.idx")
 SQL["author_match"] = oracle(f"SELECT idx, {KEY.format('author')} <> '' AND {KEY.format('author')} = {KEY.format('upper(author)')} AS matches FROM catalogue")
+on_table("text_years", "documents", "SELECT doc_id, TRY_CAST(nullif(regexp_extract(' ' || text || ' ', '[^\\p{L}\\p{N}_]((18|19|20)[0-9]{2})[^\\p{L}\\p{N}_]', 1), '') AS INT) AS year FROM documents")(lambda d: d.select("doc_id", text.parse_year(F.col("text")).alias("year")))
+on_table("jsonp_forms", "events", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props END AS props FROM events")(lambda e: e.select("event_id", text.jsonp(F.concat(F.when(F.col("event_id") % 3 == 2, "").otherwise("cb("), "props", F.when(F.col("event_id") % 3 == 1, "").otherwise(");"))).alias("props")))
+on_catalogue("isbn_alias_forms", f"SELECT idx, CASE WHEN bool_or(idx % 3 = 0) OVER (PARTITION BY isbn) THEN isbn ELSE isbn10 END AS found FROM (SELECT c.idx, c.isbn, t.isbn10, bool_or(c.idx % 3 = 0) OVER (PARTITION BY c.isbn) AS a, bool_or(c.idx % 5 = 1) OVER (PARTITION BY c.isbn) AS b FROM catalogue c JOIN ({SQL['isbn13_to_10']}) t ON t.idx = c.idx) f WHERE a OR b")(lambda c: _forms(c))
+
+
+def _forms(c: DataFrame) -> DataFrame:
+    """Some numbers are in the cache by their long form, others by their short one."""
+    long = c.filter("isbn rlike '^978[0-9]{10}$'")
+    cache = long.filter("idx % 3 = 0").select(F.col("isbn").alias("form")).unionByName(long.filter("idx % 5 = 1").select(isbn.to10(F.col("isbn")).alias("form"))).distinct()
+    return match.by_alias(c, cache.withColumn("title", F.col("form")))

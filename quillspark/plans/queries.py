@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import isbn, text
+from quillspark.functions import isbn, text, web
 from quillspark.operators import curate, dedupe, graph, match, query, reconcile, search
 from quillspark.sources.tables import COPIES, catalogue, copies, oracle, table
 
@@ -75,7 +75,7 @@ on_catalogue("author_key_dedupe", "SELECT idx, author AS authors FROM catalogue
 on_catalogue("fnv_hash")(lambda c: c.select("idx", text.fnv1a32(F.col("id")).alias("h"), F.pmod(text.fnv1a32(F.col("id")), F.lit(6)).alias("bucket")))
 on_table("url_add_param", "pages", "SELECT page_id, split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END || 'q=x' || CASE WHEN contains(url, '#') THEN substr(url, strpos(url, '#')) ELSE '' END AS url FROM pages")(lambda p: p.select("page_id", text.add_param(F.col("url"), "q", F.lit("x")).alias("url")))
 on_table("jsonp_decode", "events", "SELECT event_id, props FROM events")(lambda e: e.select("event_id", text.jsonp(F.concat(F.lit("cb("), "props", F.lit(");"))).alias("props")))
-on_table("html_extract_links", "pages", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")(lambda p: p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href")))
+on_table("html_extract_links", "pages", "SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")(lambda p: p.select("page_id", F.explode(web.hrefs(F.col("html"))).alias("href")))
 on_table("html_unescape", "pages")(lambda p: p.select("page_id", F.md5(text.unescape("html")).alias("plain")))
 
 # --- aggregates and windows
@@ -120,25 +120,22 @@ def _cache_a(c: DataFrame) -> DataFrame:
     return c.filter("isbn <> '' and not isbn like '%?' and idx % 3 = 0").groupBy("isbn").agg(F.concat(F.lit("Enriched "), F.min("title")).alias("title"), F.lit("Pub-A").alias("publisher"), F.concat(F.lit("https://a.example/"), "isbn").alias("url"))
 
 
+def _overrides(c: DataFrame) -> DataFrame:
+    return c.filter("idx % 37 = 0").select("id", F.lit("high").alias("confidence"), F.concat(F.lit("Corrected "), "title").alias("value"))
+
+
 def _cache_b(c: DataFrame) -> DataFrame:
     return c.filter("idx % 4 = 0").select(F.col("id").alias("record_id"), F.concat(F.lit("https://b.example/"), "id").alias("url"))
 
 
 CACHE_A = "(SELECT isbn AS i, 'Enriched ' || min(title) AS t FROM catalogue WHERE isbn <> '' AND isbn NOT LIKE '%?' AND idx % 3 = 0 GROUP BY isbn) a"
-on_catalogue("override_join", "SELECT idx, CASE WHEN idx % 37 = 0 THEN 'Corrected ' || title ELSE title END AS title, idx % 37 = 0 AS changed, CASE WHEN idx % 37 = 0 THEN 'override' END AS source FROM catalogue")(lambda c: curate.overridden(c, c.filter("idx % 37 = 0").select("id", F.lit("high").alias("confidence"), F.concat(F.lit("Corrected "), "title").alias("value")), "title").select("idx", "title", "changed", "source"))
-on_catalogue("exact_enrich", f"SELECT idx, t AS found FROM catalogue LEFT JOIN {CACHE_A} ON isbn = i")(lambda c: c.join(_cache_a(c).select("isbn", F.col("title").alias("found")), "isbn", "left").select("idx", "found"))
+on_catalogue("override_join", "SELECT idx, CASE WHEN idx % 37 = 0 THEN 'Corrected ' || title ELSE title END AS title, idx % 37 = 0 AS changed, CASE WHEN idx % 37 = 0 THEN 'override' END AS source FROM catalogue")(lambda c: curate.overridden(c, _overrides(c), "title").select("idx", "title", "changed", "source"))
+on_catalogue("exact_enrich", f"SELECT idx, t AS found FROM catalogue LEFT JOIN {CACHE_A} ON isbn = i")(lambda c: curate.enriched(c.withColumn("found", F.lit("")), _cache_a(c).select("isbn", F.col("title").alias("found")), ["found"]).select("idx", F.nullif("found", F.lit("")).alias("found")))
 on_catalogue("fill_only_empty", f"SELECT idx, CASE WHEN publisher = '' AND i IS NOT NULL THEN 'Pub-A' ELSE publisher END AS publisher, CASE WHEN publisher = '' AND i IS NOT NULL THEN 'cache' END AS publisher_from FROM catalogue LEFT JOIN {CACHE_A} ON isbn = i")(lambda c: curate.enriched(c, _cache_a(c), ["publisher"]).select("idx", "publisher", "publisher_from"))
 on_catalogue("cover_cascade", f"SELECT idx, CASE WHEN i IS NOT NULL THEN 'a' WHEN idx % 4 = 0 THEN 'b' END AS provider, CASE WHEN i IS NOT NULL THEN 'https://a.example/' || i WHEN idx % 4 = 0 THEN 'https://b.example/' || id END AS url FROM catalogue LEFT JOIN {CACHE_A} ON isbn = i")(lambda c: curate.cascade(c, [("a", _cache_a(c), "isbn", "isbn"), ("b", _cache_b(c), "id", "record_id")]).select("idx", "cover.provider", "cover.url"))
 on_catalogue("cache_anti_join", f"SELECT DISTINCT isbn FROM catalogue WHERE isbn <> '' AND isbn NOT IN (SELECT i FROM {CACHE_A})")(lambda c: curate.absent(c, _cache_a(c), "isbn"))
 on_catalogue("source_id_fanout", "SELECT id AS source_id, id AS record_id FROM catalogue UNION ALL SELECT 'old-' || id, id FROM catalogue")(lambda c: c.select(F.explode(F.array("id", F.concat(F.lit("old-"), "id"))).alias("source_id"), F.col("id").alias("record_id")))
-on_catalogue("isbn_alias_join", f"SELECT idx, t AS found FROM catalogue JOIN {CACHE_A} ON isbn = i")(lambda c: _alias(c))
-
-
-def _alias(c: DataFrame) -> DataFrame:
-    """The first of a number's forms that the cache has."""
-    forms = c.select("idx", F.posexplode(F.array_compact(F.array("isbn", isbn.to10(F.col("isbn"))))).alias("place", "form"))
-    hit = forms.join(_cache_a(c).select(F.col("isbn").alias("form"), "title"), "form")
-    return hit.groupBy("idx").agg(F.min_by("title", "place").alias("found"))
+on_catalogue("isbn_alias_join", f"SELECT idx, t AS found FROM catalogue JOIN {CACHE_A} ON isbn = i")(lambda c: match.by_alias(c, _cache_a(c).select(F.col("isbn").alias("form"), "title")))
 
 
 # --- classification and audit
@@ -147,7 +144,7 @@ on_catalogue("quality_flags")(lambda c: curate.flagged(c).select("idx", "isbn_st
 on_catalogue("audit_summary", f"SELECT count(*) AS records, count(*) FILTER (s = 'valid') AS valid, round_even(count(*) FILTER (s = 'valid') / count(*), 4) AS valid_rate, count(DISTINCT CASE WHEN s = 'valid' THEN isbn END) AS distinct_isbns FROM (SELECT *, {STATUS} AS s FROM catalogue) a")(lambda c: curate.summary(c.withColumn("isbn_status", curate.status())))
 on_catalogue("audit_isbn_status", f"SELECT v.place, v.isbn_status, count(idx) AS n FROM (VALUES (0, 'valid'), (1, 'missing_unknown_year'), (2, 'missing_pre_1970'), (3, 'missing_1970_or_later')) v(place, isbn_status) LEFT JOIN (SELECT idx, {STATUS} AS s FROM catalogue) a ON s = v.isbn_status GROUP BY 1, 2")(lambda c: curate.by_status(c.withColumn("isbn_status", curate.status())))
 on_catalogue("audit_review_cases", f"SELECT idx, id, isbn FROM catalogue WHERE {STATUS} = 'invalid' OR {Y} IS NULL")(lambda c: curate.flagged(c).filter(F.arrays_overlap("quality_flags", F.array(F.lit("invalid_isbn"), F.lit("missing_or_invalid_year")))).select("idx", "id", "isbn"))
-on_catalogue("audit_correction_log", "SELECT id, title AS before, 'Corrected ' || title AS after FROM catalogue WHERE idx % 37 = 0")(lambda c: c.filter("idx % 37 = 0").select("id", F.col("title").alias("before"), F.concat(F.lit("Corrected "), "title").alias("after")))
+on_catalogue("audit_correction_log", "SELECT id, title AS before, 'Corrected ' || title AS after FROM catalogue WHERE idx % 37 = 0")(lambda c: curate.corrections(c, _overrides(c), "title"))
 on_table("link_classify", "pages", "SELECT page_id, CASE WHEN page_id % 6 = 2 THEN 'warning' WHEN page_id % 6 IN (0, 1) THEN 'ok' WHEN page_id % 4 = 0 THEN 'warning' ELSE 'failed' END AS result FROM pages")(lambda p: _links(p))
 
 
@@ -198,7 +195,7 @@ def _matches(c: DataFrame) -> DataFrame:
 
 # --- merging and reconciliation
 SQL["dedupe_isbn"] = oracle("SELECT isbn, min(idx) AS canonical_idx, count(*) AS size FROM copies WHERE isbn <> '' GROUP BY isbn HAVING count(*) > 1", COPIES, "copies")
-QUERIES["dedupe_isbn"] = lambda s, d: copies(s, d).filter(isbn.valid(F.col("isbn"))).groupBy("isbn").agg(F.min("idx").alias("canonical_idx"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+QUERIES["dedupe_isbn"] = lambda s, d: dedupe.numbers(copies(s, d))
 QUERIES["dedupe_blocks"] = lambda s, d: dedupe.blocks(dedupe.prepared(copies(s, d)))
 QUERIES["dedupe_greedy"] = lambda s, d: dedupe.merged(copies(s, d))
 QUERIES["merge_ranked_fill"] = lambda s, d: dedupe.filled(copies(s, d))

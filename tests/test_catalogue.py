@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pyarrow.parquet as pq
 import pytest
@@ -181,3 +183,79 @@ def test_empty_report(spark):
     c = catalogue(spark, SF).limit(0)
     rows = {r["metric"]: r["value"] for r in plans._report(c).collect()}
     assert (rows["record_count"], rows["cover_record_rate"], rows["preserved_distinct_isbn_group_count"]) == (0, None, 0)
+
+
+def number13(n):
+    body = f"978{n:09d}"
+    return body + str(-sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(body)) % 10)
+
+
+def plain_merge(rows):
+    """The conservative procedure in plain Python: numbers first, then titles in order of appearance, each pair against its whole combined component."""
+    part = {r["idx"]: frozenset([r["idx"]]) for r in rows}
+    by = {r["idx"]: r for r in rows}
+
+    def unite(a, b):
+        both = part[a] | part[b]
+        for i in both:
+            part[i] = both
+
+    def fits(ids):
+        m = [by[i] for i in ids]
+        if len({r["isbn"] for r in m if r["valid"]}) > 1 or any(len({r[c] for r in m} - {""}) > 1 for c in ("year", "publisher", "series")):
+            return False
+        names = [set(r["authors"]) for r in m]
+        if not all(names) or any(not (x <= y or y <= x) for x in names for y in names):
+            return False
+        fields = ("isbn", "year", "publisher", "series")
+        shared = any(len(v) > 1 and len(set(v)) == 1 for v in ([r[c] for r in m if r[c]] for c in fields))
+        return shared or any(not any(r[c] for c in fields) for r in m)
+
+    for a in rows:
+        for b in rows:
+            if a["valid"] and b["valid"] and a["isbn"] == b["isbn"]:
+                unite(a["idx"], b["idx"])
+    for title in dict.fromkeys(r["title"] for r in rows):
+        ids = [r["idx"] for r in rows if r["title"] == title]
+        for k, a in enumerate(ids):
+            for b in ids[k + 1 :]:
+                if part[a] is not part[b] and fits(part[a] | part[b]):
+                    unite(a, b)
+    return part
+
+
+def test_merging_of_random_catalogues(spark):
+    rng = random.Random(2)
+    rows, want = [], {}
+    for k in range(60):
+        some = []
+        for _ in range(rng.randint(2, 10)):
+            valid = rng.random() < 0.4
+            some.append({
+                "idx": len(rows) + len(some), "title": f"t{k} {rng.randint(0, 1)}", "authors": [[], ["ann"], ["ann", "bob"], ["cy"]][rng.choice([0, 1, 1, 2, 2, 3])], "publisher": rng.choice(["", "", "p", "q"]), "year": rng.choice(["", "", "1950", "1960"]), "series": rng.choice(["", "", "", "s"]),
+                "isbn": number13(10 * k + rng.randint(0, 2)) if valid else rng.choice(["", "", "12"]), "valid": valid,
+            })
+        rows += some
+        want |= plain_merge(some)
+    data = [(r["idx"], "b-%d" % r["idx"], r["title"].upper(), " | ".join(r["authors"]), r["publisher"], r["year"], r["series"], r["isbn"]) for r in rows]
+    df = spark.createDataFrame(data, "idx long, id string, title string, author string, publisher string, publication_year string, series string, isbn string")
+    got = {}
+    for r in dedupe.merged(df).collect():
+        got.setdefault(r["canonical_idx"], set()).add(r["idx"])
+    assert {frozenset(x) for x in got.values()} == set(want.values())
+    assert 20 < len(got) < len(rows)
+
+
+def test_numbers_of_random_snapshots(spark):
+    rng = random.Random(5)
+    make = lambda i: (i, str(rng.randint(0, 12)), rng.choice("TU"), rng.choice(["", "a", "b"]), rng.choice(["", "x", "y"]), rng.choice(["", "1950", "1951"]))
+    new, old = [make(i) for i in range(80)], [make(i) for i in range(80)]
+    schema = "idx long, isbn string, title string, author string, publisher string, publication_year string"
+    free, want = set(range(80)), {}
+    for r in new:
+        best = max((o for o in old if o[0] in free and o[1] == r[1]), key=lambda o: (sum(bool(x) and x == y for x, y in zip(r[1:], o[1:], strict=True)), sum(map(bool, o[1:])), -o[0]), default=None)
+        if best:
+            want[r[0]] = best[0]
+            free.remove(best[0])
+    got = reconcile.by_number(spark.createDataFrame(new, schema), spark.createDataFrame(old, schema)).collect()
+    assert {r["idx"]: r["old_idx"] for r in got} == want
