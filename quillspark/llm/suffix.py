@@ -5,11 +5,11 @@ scanning the buckets of first bytes in order. Only as many bytes as a window has
 the order. Neighbours with a common prefix of a window's length are repeated strings.
 
 A corpus is sorted in many small arrays: windows that are equal lie in stretches with the
-same gram (see anchors), so the distinct stretches of one gram go to one array, each once.
-A stretch that occurs twice, byte for byte, is repeated as a whole and only stands in the
-array as the others' partner; a gram with one stretch needs no array. Grams with more than
-WIDE distinct stretches are dealt by the bytes that the windows of a narrow cell share, of
-which equal ones collapse, so no array grows with the corpus.
+same gram (see anchors), so the distinct stretches of one gram go to one array. Of a stretch
+that occurs several times, by its digest, two occurrences go there, and what the array finds
+of the first holds for all; a stretch whose gram occurs once needs no array. Grams with more
+than WIDE distinct stretches are dealt by the bytes that the windows of a narrow cell share,
+of which equal ones collapse, so no array grows with the corpus.
 
 Null texts count as empty; matches never cross texts. Texts shorter than a window keep
 everything. Rows with a null or repeated id are rows like others, told apart by a number of
@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.anchors import covered, digest64, stretches
-from quillspark.llm.common import _BYTE, arrow_schema, arrow_settings, as_batch, byte_view, give_back, keyed, map_batches, stored, table
-from quillspark.llm.substring import STRETCH, joined_by_pair, wanted_texts, with_marks
+from quillspark.llm.common import _BYTE, arrow_schema, arrow_settings, as_batch, byte_view, entered, give_back, keyed, map_batches, picked, stored, table
+from quillspark.llm.substring import STRETCH, joined_by_pair, with_marks
 
 SIZE = 400
 DOUBLINGS = 5
@@ -160,42 +160,52 @@ def found(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str =
     return map_batches(docs.select(doc_id, text), run, STRETCH)
 
 
-_PART = "doc_id long, key long, start long, n long, bytes binary"
+_PART = "doc_id long, key long, start long, n long, bytes binary, gram long, print long, first long"
+
+
+def wanted(docs: DataFrame, entries: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id and text of the documents whose stretches enter arrays, and lists of these: print, n (0 of a stretch's second occurrence), prints of the gram."""
+    one = entries.select(F.col("rep").alias("doc_id"), "print", "n", "prints")
+    two = entries.filter("n > 1").select(F.col("other").alias("doc_id"), "print", F.lit(0).cast("long").alias("n"), "prints")
+    per_doc = stored(one.unionByName(two).groupBy("doc_id").agg(F.collect_list(F.struct("print", "n", "prints")).alias("e")), "suffix-wanted")
+    whole = picked(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), per_doc.select("doc_id"), "doc_id")
+    return whole.join(per_doc, "doc_id").select("doc_id", "text", F.col("e.print").alias("print"), F.col("e.n").alias("n"), F.col("e.prints").alias("prints"))
 
 
 def parts(texts: DataFrame, size: int, wide: int = WIDE) -> DataFrame:
-    """The bytes of the wanted stretches, each once, with the key of the array that they go to and their first window."""
+    """The bytes of the wanted stretches, with the key of the array that they go to, their first window and that of the whole stretch."""
 
     def run(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {x.split()[0]: [] for x in _PART.split(", ")}
         for doc, t, taken, n, prints in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             raw, gram, first, m, at = cut(t, size)
-            want = {p: (c, d) for p, c, d in zip(taken, n, prints, strict=True)}
-            for g, f, k, a in zip(gram.tolist(), first.tolist(), m.tolist(), at.tolist(), strict=True):
-                p = digest64(raw[f : f + k + size - 1])
-                if (entry := want.pop(p, None)) is None:
-                    continue
-                if entry[1] <= wide:
+            place: dict[int, list[int]] = {}
+            for i, (f, k) in enumerate(zip(first.tolist(), m.tolist(), strict=True)):
+                place.setdefault(digest64(raw[f : f + k + size - 1]), []).append(i)
+            for print_, count, several in zip(taken, n, prints, strict=True):
+                i = place[print_][0 if count else -1]
+                g, f, k, x = (int(c[i]) for c in (gram, first, m, at))
+                if several <= wide:
                     made = [(g, f, f + k - 1)]
                 else:
                     made = []
-                    for cell in range((a - f - k + 1) // CELL, (a - f) // CELL + 1):
-                        low, high = a - cell * CELL - CELL + 1, a - cell * CELL
+                    for cell in range((x - f - k + 1) // CELL, (x - f) // CELL + 1):
+                        low, high = x - cell * CELL - CELL + 1, x - cell * CELL
                         core = raw[max(0, high) : low + size]
                         made.append((digest64(b"%d %d " % (g, cell) + core), max(f, low), min(f + k - 1, high)))
                 for key, low, high in made:
-                    for column, v in zip(out.values(), (doc, key, low, entry[0], raw[low : high + size]), strict=True):
+                    for column, v in zip(out.values(), (doc, key, low, count, raw[low : high + size], g, print_, f), strict=True):
                         column.append(v)
         return out
 
     return map_batches(texts, run, _PART)
 
 
-_MARK = "doc_id long, start long, m long"
+_MARK = "doc_id long, start long, m long, n long, gram long, print long"
 
 
 def repeated_parts(rows: DataFrame, size: int) -> DataFrame:
-    """The windows of parts() that are repeated among those with the same key, as runs; of stretches that occur once."""
+    """The windows of parts() that are repeated among those with the same key, as runs: of a stretch that occurs once by its document, of others by gram and print, counted from the stretch's first window."""
     schema = arrow_schema(_MARK)
 
     def solve(groups: list[dict[bytes, list[tuple]]]) -> pa.RecordBatch:
@@ -204,26 +214,31 @@ def repeated_parts(rows: DataFrame, size: int) -> DataFrame:
             for data, own in g.items():
                 texts.append(data)
                 owners.append(own)
-                if len(own) > 1:  # equal parts of different stretches
+                if len(own) > 1:  # two occurrences of one stretch, or equal parts of different ones
                     texts.append(data)
                     owners.append([])
         out: dict[str, list] = {c: [] for c in schema.names}
         for starts, own in zip(repeated_starts(texts, size) if texts else [], owners, strict=True):
             cuts = np.flatnonzero(np.diff(starts, prepend=-2) != 1)
             m = np.diff(cuts, append=len(starts)).tolist()
-            for doc, start, n in own:
-                if n == 1:
-                    out["doc_id"] += [doc] * len(m)
-                    out["start"] += (start + starts[cuts]).tolist()
+            for doc, start, n, gram, print_, first in own:
+                if n:
+                    k = len(m)
+                    out["doc_id"] += [doc if n == 1 else None] * k
+                    out["start"] += (start - (first if n > 1 else 0) + starts[cuts]).tolist()
                     out["m"] += m
+                    out["n"] += [n] * k
+                    out["gram"] += [gram] * k
+                    out["print"] += [print_] * k
         return as_batch(out, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered()
         groups: list[dict[bytes, list[tuple]]] = []
         key, held = None, 0
+        names = ("key", "bytes", "doc_id", "start", "n", "gram", "print", "first")
         for b in batches:
-            names = ("doc_id", "key", "start", "n", "bytes")
-            for doc, k, start, n, data in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
+            for k, data, *own in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names), strict=True):
                 if k != key:
                     if held >= ARRAY_BYTES:
                         yield solve(groups)
@@ -232,7 +247,7 @@ def repeated_parts(rows: DataFrame, size: int) -> DataFrame:
                     key = k
                 if data not in groups[-1]:
                     held += len(data)
-                groups[-1].setdefault(data, []).append((doc, start, n))
+                groups[-1].setdefault(data, []).append(tuple(own))
         yield solve(groups)
         give_back()
 
@@ -240,14 +255,15 @@ def repeated_parts(rows: DataFrame, size: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", wide: int = WIDE) -> DataFrame:
-    """Marks (doc_id, start, m) of all strings of size bytes that start twice."""
+    """Marks (doc_id, start, m) of all strings of size bytes that start twice; ids must tell the rows apart."""
     rows = stored(found(docs, size, doc_id, text), "suffix-stretches")
-    entries = rows.groupBy("gram", "print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"))
+    entries = rows.groupBy("gram", "print").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"))
     grams = entries.groupBy("gram").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("prints")).filter("total > 1")
-    entries = stored(entries.join(grams, "gram"), "suffix-repeated")
-    whole = joined_by_pair(rows, entries.filter("n > 1").select("gram", "print", "n"), rows.count()).select("doc_id", "start", "m")
-    part = repeated_parts(parts(wanted_texts(docs, entries.filter("prints > 1"), doc_id, text), size, wide), size)
-    return stored(whole.unionByName(part), "suffix-marks")
+    entries = stored(entries.join(grams, "gram").select("print", "n", "rep", "other", "prints"), "suffix-repeated")
+    found_ = stored(repeated_parts(parts(wanted(docs, entries, doc_id, text), size, wide), size), "suffix-found")
+    whole = joined_by_pair(rows, found_.filter("n > 1").select("gram", "print", "n", F.col("start").alias("offset"), F.col("m").alias("run")), rows.count())
+    once = found_.filter("n = 1").select("doc_id", "start", "m")
+    return stored(whole.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), F.col("run").alias("m")).unionByName(once), "suffix-marks")
 
 
 def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
