@@ -31,7 +31,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the session names; one of our own only where it names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if (master := spark.sparkContext.master) != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -15,8 +15,8 @@ members, and no link between different components is missed.
 
 Words are as the texts have them with A-Z lower-cased. A text with fewer words than a
 shingle has its whole sequence as its one shingle; an empty or null text has none and links
-with nothing. Rows with a null id have no component. Of rows with one id, equal ones count
-once. An empty table gives no rows. Only the named columns of the input are read.
+with nothing. Rows with a null id have no component. Rows with one id are one document with all
+their links. An empty table gives no rows. Only the named columns are read, whatever others there are.
 """
 
 from __future__ import annotations

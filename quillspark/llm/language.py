@@ -8,7 +8,9 @@ in its spans, the score that language's share of the letters.
 The fit uses about FIT_TEXTS texts of each language, or all if there are fewer; the rows
 are taken by a hash of the id. A null text or one without a letter is `und` with score 0;
 without any training row every text is. Ties go to the language first in the alphabet.
-Repeated ids are labelled row by row. An empty table gives no rows.
+Repeated and null ids are labelled row by row; a row with a null id doesn't train, as
+its held-out share is unknown. An empty table gives no rows. Only the named columns are read,
+whatever others there are.
 """
 
 from __future__ import annotations
@@ -41,8 +43,6 @@ def script(letter: str) -> str:
     return _SCRIPTS[int(np.searchsorted(_ENDS, ord(letter), "right"))]
 
 
-
-
 def letters_of(chunk: str) -> str:
     return "".join(filter(str.isalpha, chunk))
 

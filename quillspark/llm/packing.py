@@ -9,7 +9,8 @@ bounded by the capacity, not by the data.
 
 Null texts count as empty; their only token is the end mark. A document is cut only where
 it is longer than the capacity. An empty table gives no rows. Rows with equal or null ids
-are packed like any others, piece by piece.
+are packed like any others, piece by piece. Only the named columns are read, whatever others
+there are.
 """
 
 from __future__ import annotations
