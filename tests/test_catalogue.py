@@ -153,7 +153,7 @@ def test_page_fragments(spark):
     row = lambda p, r, author, title, isbn="", date="mai 2001", year="", publisher="": (1, p, r, author, title, isbn, publisher, date, "", year, "")
     rows = [
         row(1, 0, "Author", "Title"), row(1, 1, "A", "Introduction to the", year="2001"), row(2, 0, "B", "Theory", date="", publisher="P"), row(2, 1, "C |", "T", "1"), row(3, 0, "D", "", date=""), row(4, 0, "| E", "(part", date=""),
-        row(5, 0, "F", "one)", date=""), row(5, 1, "G", "Whole", "2"), row(6, 0, "H", "Other", "3"), row(6, 1, "", ""), row(7, 0, "I", "Alone", date="2002"),
+        row(5, 0, "F", "one)", date=""), row(5, 1, "G", "Whole", "2"), row(6, 0, "H", "Other", "3"), row(6, 1, "", "", date=""), row(7, 0, "I", "Alone", date="2002"),
     ]
     got = extract.records(spark.createDataFrame(rows, schema)).orderBy("page", "row").collect()
     assert [(r["author"], r["title"], r["source_pages"]) for r in got] == [("A B", "Introduction to the Theory", [1, 2]), ("C | D | E F", "T (part one)", [2, 3, 4, 5]), ("G", "Whole", [5]), ("H", "Other", [6]), ("I", "Alone", [7])]
