@@ -161,7 +161,7 @@ def test_page_fragments(spark):
 
 
 def test_settings(tmp_path):
-    assert rules.parse_yaml("links:\n  -\n    a: [1, x]\n    b: ~\nsettings:\n  t: \"5\"\n")["links"] == [{"a": [1, "x"], "b": None}]
+    assert rules.parse_yaml("links:\n  - a: [1, x]\n    b: ~\nsettings:\n  t: \"5\"\n")["links"] == [{"a": [1, "x"], "b": None}]
     with pytest.raises(ValueError, match="another form"):
         rules.parse_yaml("links:\n a: 1")
     rules.write_report(str(tmp_path / "a" / "r.json"), {"b": "é", "a": 1}, ordered=True)
