@@ -36,6 +36,8 @@ from quillspark.llm.common import BROADCAST_IDS, HOT_SHARE, arrow_schema, arrow_
 SKETCH = 1 << 22
 #: Counters that one row of a task's sketch holds.
 STRETCH = 1 << 16
+#: Tasks that count, at most: each sends a sketch of its own, and one wave of a large cluster takes them all.
+SKETCH_TASKS = 8192
 ORDERS = 3
 #: Tokens in counters above this, and above a HOT_SHARE'th of the documents, get their leaders by an aggregate that combines before the shuffle; others by a window.
 HOT = 1000
@@ -53,7 +55,7 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 def sketch(docs: DataFrame, n: int, doc_id: str, text: str) -> np.ndarray:
     """How many documents' shingles fall into each counter: SKETCH numbers.
 
-    A task sends a byte a counter, which stops at 255; stretches of counters are then added up batch by batch.
+    A task sends two bytes a counter, which stops at 65535, and at most SKETCH_TASKS tasks do, whatever the input's splits; stretches of counters are then added up batch by batch.
     """
     pieces = SKETCH // STRETCH
     schema = arrow_schema("stretch int, n binary")
@@ -66,7 +68,7 @@ def sketch(docs: DataFrame, n: int, doc_id: str, text: str) -> np.ndarray:
             if at:
                 seen, m = np.unique(np.concatenate(at), return_counts=True)
                 total[seen.astype(np.int64)] += m.astype(np.uint32)
-        parts = np.minimum(total, 255).astype(np.uint8).reshape(pieces, STRETCH)
+        parts = np.minimum(total, 65535).astype(np.uint16).reshape(pieces, STRETCH)
         yield as_batch({"stretch": np.arange(pieces), "n": [x.tobytes() for x in parts]}, schema)
         del total, parts
         give_back()
@@ -76,13 +78,13 @@ def sketch(docs: DataFrame, n: int, doc_id: str, text: str) -> np.ndarray:
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 totals.setdefault(k, np.zeros(STRETCH, np.uint32))
-                totals[k] += np.frombuffer(x, np.uint8)
+                totals[k] += np.frombuffer(x, np.uint16)
         for k, x in totals.items():
             yield as_batch({"stretch": [k], "n": [x.tobytes()]}, schema)
 
     ddl = "stretch int, n binary"
     out = np.zeros((pieces, STRETCH), np.uint32)
-    for r in docs.select(text).mapInArrow(count, ddl).repartition(pieces, "stretch").mapInArrow(add, ddl).collect():
+    for r in docs.select(text).coalesce(SKETCH_TASKS).mapInArrow(count, ddl).repartition(pieces, "stretch").mapInArrow(add, ddl).collect():
         out[r["stretch"]] = np.frombuffer(r["n"], np.uint32)
     return out.reshape(-1)
 
