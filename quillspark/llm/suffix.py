@@ -38,6 +38,8 @@ WIDE = 4000
 CELL = 4
 #: Bytes of stretches that are sorted together, at least, unless the task has no more.
 ARRAY_BYTES = 1 << 18
+#: Neighbours whose bytes are compared together.
+PAIRS = 4096
 #: Ends a stretch; UTF-8 has no such byte.
 END = b"\xff"
 
@@ -102,20 +104,16 @@ def _induce(part: np.ndarray, t: np.ndarray, small: np.ndarray, larger: list[lis
 
 def common_prefixes(text: bytes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Lengths of the common prefixes of the suffixes at a and b, counted up to most."""
-    t = np.frombuffer(text + bytes(most + 8), np.uint8)
-    eight = np.lib.stride_tricks.sliding_window_view(t, 8)
-    word = np.zeros(len(t) - 7, np.uint64)
-    for k in range(8):
-        word |= t[k : len(t) - 7 + k].astype(np.uint64) << np.uint64(8 * k)
-    lcp = np.zeros(len(a), np.int64)
-    open_ = np.arange(len(a))
-    for k in range(0, most, 8):
-        same = word[a[open_] + k] == word[b[open_] + k]
-        ended = open_[~same]
-        if len(ended):
-            lcp[ended] = k + np.argmin(eight[a[ended] + k] == eight[b[ended] + k], axis=1)
-        open_ = open_[same]
-    lcp[open_] = most
+    words = -(-most // 8)
+    rows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text + bytes(8 * words), np.uint8), 8 * words)
+    lcp = np.full(len(a), most, np.int64)
+    for k in range(0, len(a), PAIRS):
+        x, y = (rows[c[k : k + PAIRS]].view(np.uint64) for c in (a, b))
+        apart = x != y
+        at = apart.argmax(axis=1)
+        some = np.flatnonzero(apart[np.arange(len(at)), at])
+        last = (x[some, at[some]] ^ y[some, at[some]]).view(np.uint8).reshape(-1, 8)
+        lcp[k + some] = 8 * at[some] + (last != 0).argmax(axis=1)
     return np.minimum(lcp, most)
 
 
