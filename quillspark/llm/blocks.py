@@ -21,6 +21,8 @@ from quillspark.llm.common import BROADCAST_IDS, arrow_schema, as_batch, entered
 
 #: Bytes of text of a block.
 BLOCK_BYTES = 1 << 24
+#: Bits of a block's number that are free for parts of it.
+PARTS = 20
 #: Rows of a record batch that a block gives.
 BATCH = 50_000
 
@@ -39,13 +41,13 @@ def in_blocks(df: DataFrame, f: Callable[[int, list[pa.RecordBatch]], Iterator[d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entered()
-        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        block, held, size = TaskContext.get().partitionId() << 40, [], 0
         for b in batches:
             held.append(b)
             size += b.column(text).nbytes
             if size >= BLOCK_BYTES:
                 yield from (as_batch(x, schema) for x in f(block, held))
-                block, held, size = block + 1, [], 0
+                block, held, size = block + (1 << PARTS), [], 0
         if held:
             yield from (as_batch(x, schema) for x in f(block, held))
         held.clear()

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.blocks import BATCH, Names, cut, in_blocks, known
-from quillspark.llm.common import arrow_schema, arrow_settings, entered, give_back, stored, table
+from quillspark.llm.blocks import Names, cut, in_blocks, known
+from quillspark.llm.common import Tables, arrow_schema, arrow_settings, as_batch, entered, give_back, table
 
 #: A phrase has at least so many occurrences and at most so many words.
 LEAST, LONGEST = 30, 4
@@ -36,7 +36,7 @@ _SEPARATORS = b".,;:!?\n\v\f\r"
 #: Lower case, and the one separator "." in place of all, which no word can hold.
 _FOLD = bytes(ord(".") if x in _SEPARATORS else x + 32 if 65 <= x <= 90 else x for x in range(256))
 _LEVEL_1 = "block long, lang string, ids binary, local int, word binary, n long"
-_LEVEL_K = "block long, lang string, ids binary, local int, left long, right long, n long"
+_LEVEL_K = "block long, ids binary, local int, left long, right long, n long"
 
 
 def words(text: str) -> list[bytes]:
@@ -45,7 +45,7 @@ def words(text: str) -> list[bytes]:
 
 
 def _numbered(block: int, batches: list[pa.RecordBatch]):
-    """A block's words as numbers into a dictionary a language; 0 stands between pieces."""
+    """A block's words as numbers into a dictionary, each language's as a block of its own; 0 stands between pieces."""
     names: dict[str, Names] = {}
     series: dict[str, list[np.ndarray]] = {}
     for b in batches:
@@ -55,78 +55,71 @@ def _numbered(block: int, batches: list[pa.RecordBatch]):
                 series[lang] = []
             found = words((text or "") + ".")
             series[lang].append(np.fromiter(map(names[lang].__getitem__, found), np.int32, len(found)))
-    empty = {"ids": None, "local": None, "word": None, "n": None}
-    for lang, known_words in names.items():
-        ids = np.concatenate(series.pop(lang))
-        n = np.bincount(ids, minlength=len(known_words))
-        yield empty | {"block": [block], "lang": [lang], "ids": [ids.tobytes()], "local": [None], "word": [None], "n": [None]}
-        yield from cut({"block": block, "lang": lang, "ids": None, "local": np.arange(1, len(n)), "word": list(known_words)[1:], "n": n[1:]}, len(n) - 1)
+    for i, (lang, own) in enumerate(names.items()):
+        ids, key = np.concatenate(series.pop(lang)), block | i
+        n = np.bincount(ids, minlength=len(own))
+        yield {"block": [key], "lang": [lang], "ids": [ids.tobytes()], "local": [None], "word": [None], "n": [None]}
+        yield from cut({"block": key, "lang": lang, "ids": None, "local": np.arange(1, len(n)), "word": list(own)[1:], "n": n[1:]}, len(n) - 1)
 
 
-def _paired(series: pa.Table, names: pa.Table) -> pa.Table:
-    return _pairs(series, names, False)
-
-
-def _paired_last(series: pa.Table, names: pa.Table) -> pa.Table:
-    return _pairs(series, names, True)
-
-
-def _pairs(series: pa.Table, names: pa.Table, last: bool) -> pa.Table:
+def _pairs(series: pa.Table, names: pa.Table) -> pa.Table:
     """Of a block's phrases of k - 1 words (by start), those at neighbouring places that are both frequent: the phrases of k words, numbered anew, and their dictionary."""
     schema = arrow_schema(_LEVEL_K)
     entered()
     if not series.num_rows or not names.num_rows:
         return schema.empty_table()
-    block, lang = series["block"][0].as_py(), series["lang"][0].as_py()
-    at = np.frombuffer(series["ids"][0].as_py(), "<i4")
+    block, at = series["block"][0].as_py(), np.frombuffer(series["ids"][0].as_py(), "<i4")
     ids = names["id"].to_numpy()
+    order = np.argsort(ids)
+    ids = ids[order]
     slot = np.full(int(at.max(initial=0)) + 2, -1, np.int64)
-    slot[names["local"].to_numpy()] = np.arange(len(ids))
+    slot[names["local"].to_numpy()[order]] = np.arange(len(ids))
     x = slot[at]
     both = (x[:-1] >= 0) & (x[1:] >= 0)
     pairs, back, n = np.unique(x[:-1][both] * len(ids) + x[1:][both], return_inverse=True, return_counts=True)
-    del x
+    del x, slot
     if not len(pairs):
         return schema.empty_table()
-    out = []
-    if not last:
-        nxt = np.full(len(at), -1, "<i4")
-        nxt[:-1][both] = back
-        none = {"local": [None], "left": [None], "right": [None], "n": [None]}
-        out.append({"block": [block], "lang": [lang], "ids": [nxt.tobytes()]} | none)
-        del nxt
-    out += cut({"block": block, "lang": lang, "ids": None, "local": np.arange(len(pairs)), "left": ids[pairs // len(ids)], "right": ids[pairs % len(ids)], "n": n}, len(pairs))
-    batches = [pa.RecordBatch.from_arrays([pa.array(c[f.name] if c[f.name] is not None else [None] * len(c["block"]), f.type) for f in schema], schema=schema) for c in out]
+    nxt = np.full(len(at), -1, "<i4")
+    nxt[:-1][both] = back
+    del back, both
+    columns = [{"block": [block], "ids": [nxt.tobytes()], "local": [None], "left": [None], "right": [None], "n": [None]}]
+    columns += cut({"block": block, "ids": None, "local": np.arange(len(pairs)), "left": ids[pairs // len(ids)], "right": ids[pairs % len(ids)], "n": n}, len(pairs))
+    out = pa.Table.from_batches([as_batch(c, schema) for c in columns], schema)
     give_back()
-    return pa.Table.from_batches(batches, schema)
+    return out
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> tuple[list[DataFrame], DataFrame]:
-    """For each number of words up to longest a stored table of the frequent phrases (lang, id, left, right, phrase, last, f, heads, tails), and all words' number by lang.
+    """For each number of words up to longest a stored table of the frequent phrases (id, lang, phrase, last, left, right, f, heads, tails), and all words' number by lang.
 
     heads has the frequencies of a phrase's first 1, 2, ... words, tails of its last ones; both end with its own.
+    A pair's rows, one a block, are counted by a window over its two ids, so what is frequent goes back to its blocks without another join.
     """
-    level = stored(in_blocks(docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), text), _numbered, _LEVEL_1, 1), "phrase-words")
-    sizes = level.filter("local is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    out: list[DataFrame] = []
-    for k in range(1, longest + 1):
-        own, on = level.filter("local is not null"), ["lang", *(["word"] if k == 1 else ["left", "right"])]
-        found = own.groupBy(*on).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-        found = stored(found.withColumn("id", F.monotonically_increasing_id()), f"phrase-counts-{k}")
-        if k == 1:
-            named = found.select("lang", "id", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.col("word").cast("string").alias("phrase"), F.col("word").cast("string").alias("last"), "f", F.array("f").alias("heads"), F.array("f").alias("tails"))
-            out.append(stored(named, "phrase-1"))
-        else:
-            left = out[-1].select(F.col("id").alias("left"), F.col("phrase").alias("first"), "heads")
-            right = out[-1].select(F.col("id").alias("right"), "last", "tails")
-            named = known(known(found, left, ["left"]), right, ["right"])
-            out.append(stored(named.select("lang", "id", "left", "right", F.concat_ws(" ", "first", "last").alias("phrase"), "last", "f", F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails")), f"phrase-{k}"))
-        if k < longest:
-            names = known(own, found.select(*on, "id"), on).select("block", "lang", "local", "id")
-            series = level.filter("ids is not null").select(F.col("block").alias("block"), F.col("lang").alias("lang"), "ids")  # else both sides have one lineage's columns
-            paired = _paired if k + 1 < longest else _paired_last
-            level = series.groupBy("block", "lang").cogroup(names.groupBy("block", "lang")).applyInArrow(paired, _LEVEL_K)
-            level = stored(level, f"phrase-pairs-{k + 1}")
+    kept, none = Tables("phrase"), F.lit(None).cast("long")
+    level = kept.put(in_blocks(docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), text), _numbered, _LEVEL_1, 1), "pairs-1")
+    own = level.filter("local is not null")
+    sizes = kept.put(own.groupBy("lang").agg(F.sum("n").alias("n")), "sizes")
+    found = own.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    found = kept.put(found.withColumn("id", F.monotonically_increasing_id()), "counts-1")
+    word = F.col("word").cast("string")
+    out = [kept.put(found.select("id", "lang", word.alias("phrase"), word.alias("last"), none.alias("left"), none.alias("right"), "f", F.array("f").alias("heads"), F.array("f").alias("tails")), "level-1")]
+    names = known(own, found.select("lang", "word", "id"), ["lang", "word"]).select("block", "local", "id")
+    for k in range(2, longest + 1):
+        series = level.filter("ids is not null").select(F.col("block").alias("block"), "ids")  # else both sides have one lineage's columns
+        level = kept.put(series.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairs, _LEVEL_K), f"pairs-{k}")
+        kept.drop(f"pairs-{k - 1}", f"counts-{k - 1}")
+        pair = W.partitionBy("left", "right")
+        rows = level.filter("local is not null").select("block", "local", "left", "right", "n", F.monotonically_increasing_id().alias("own"))
+        rows = rows.select("block", "local", "left", "right", "own", F.sum("n").over(pair).alias("f"), F.min("own").over(pair).alias("id")).filter(F.col("f") >= least)
+        rows = kept.put(rows.select("block", "local", "left", "right", "f", "id", (F.col("own") == F.col("id")).alias("first")), f"counts-{k}")
+        names = rows.select("block", "local", "id")
+        left = out[-1].select("lang", F.col("id").alias("left"), F.col("phrase").alias("start"), "heads")
+        right = out[-1].select(F.col("id").alias("right"), "last", "tails")
+        named = rows.filter("first").select("id", "left", "right", "f").join(left, "left").join(right, "right")
+        named = named.select("id", "lang", F.concat_ws(" ", "start", "last").alias("phrase"), "last", "left", "right", "f", F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"))
+        out.append(kept.put(named, f"level-{k}"))
+    kept.drop(f"pairs-{longest}", f"counts-{longest}")
     return out, sizes
 
 

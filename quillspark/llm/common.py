@@ -38,18 +38,44 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        sc = spark.sparkContext
+        if sc._jsc is not None:
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended; the folder's owner cleans it
+        pass
+
+
 def _drop_scratch(since: int = 0) -> None:
     for spark, path in _left[since:]:
-        try:
-            sc = spark.sparkContext
-            if sc._jsc is not None:
-                where = sc._jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended; the folder's owner cleans it
-            pass
+        _delete(spark, path)
     del _left[since:]
 
 
+class Tables:
+    """Scratch tables by name, each of which can go as soon as nothing reads it any more."""
+
+    def __init__(self, name: str) -> None:
+        self.name = name
+        self.paths: dict[str, tuple[SparkSession, str]] = {}
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written once to the shared folder and read again."""
+        spark = df.sparkSession
+        path = scratch_path(spark, f"{self.name}-{name}")
+        self.paths[name] = spark, path
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for x in names:
+            gone = self.paths.pop(x)
+            _delete(*gone)
+            _left.remove(gone)
+
+
 atexit.register(_drop_scratch)
 
 
@@ -57,8 +83,10 @@ atexit.register(_drop_scratch)
 def own_scratch() -> Iterator[None]:
     """Scratch tables made inside are dropped at the end, when nothing reads them any more."""
     since = len(_left)
-    yield
-    _drop_scratch(since)
+    try:
+        yield
+    finally:
+        _drop_scratch(since)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
