@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +33,17 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.blocks import Names, cut, in_blocks, known
 from quillspark.llm.bpe import byte_letters, tokenizer_path
-from quillspark.llm.common import arrow_schema, arrow_settings, caches, entered, give_back, map_batches, stored, table
+from quillspark.llm.common import Tables, arrow_schema, arrow_settings, as_batch, caches, entered, give_back, map_batches, table
 
 _LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?"
 #: A chunk: a plain word with the space before it, else all up to the next cut.
 _CHUNK = re.compile(rf"[ \n]?[{_LETTER}]+(?=[{_MARK} \n]|\Z)|(?s:.)+?(?=(?<=\S)[ \n]|(?<=[{_LETTER}])[{_MARK}]|\Z)")
 #: What no piece of the second vocabulary may hold, so that texts can be cut: a space after other than a space, a line feed, a mark after a letter.
 CUTS = re.compile(rf"[^▁]▁|\n|[{_LETTER}][{_MARK}]")
-#: Occurrences of chunks whose pairs are made at a time.
-SLICE = 500_000
+#: Ids below SMALL are kept in 16 bits, less HALF.
+SMALL, HALF = 1 << 16, 1 << 15
 
+_COUNTED = "pair long, n long, block long, place long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
 _BLOCKS = "block long, ids array<long>, sizes array<int>, series binary, local int, chunk string"
 
 
@@ -74,8 +76,8 @@ class Tokenizers:
         self.cuts = bool(plain and same and not any(CUTS.search(p) for p in pieces))
 
     def chunks(self, text: str) -> list[str]:
-        """The chunks of space + text."""
-        return _CHUNK.findall(" " + text) if self.cuts else [" " + text]
+        """The chunks of space + text; where cuts holds."""
+        return _CHUNK.findall(" " + text)
 
     def encode_a(self, chunks: list[str]) -> list[list[int]]:
         return [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -93,16 +95,41 @@ def tokenizers(a: str, b: str) -> Tokenizers:
     return Tokenizers(a, b)
 
 
+class Pieces(dict):
+    """What stands between two spaces as the numbers of its chunks, the space before it included; an error where the space after it is no cut."""
+
+    def __init__(self, chunks, names: Names) -> None:
+        super().__init__()
+        self.chunks, self.names = chunks, names
+
+    def __missing__(self, piece: str) -> list[int]:
+        if not piece or piece[-1].isspace():
+            raise ValueError(piece)
+        self[piece] = out = [self.names[x] for x in self.chunks(piece)]
+        return out
+
+    def numbers(self, text: str) -> list[int]:
+        """All chunks of a text; texts with other cuts than before single spaces are cut as a whole."""
+        pieces = text.split(" ")
+        try:
+            out = list(chain.from_iterable(map(self.__getitem__, pieces[:-1])))
+        except ValueError:
+            return [self.names[x] for x in self.chunks(text)]
+        last = pieces[-1]
+        return out + (self[last] if last and not last[-1].isspace() else [self.names[x] for x in self.chunks(last)])
+
+
 def _numbered(a: str, b: str):
     def run(block: int, batches: list[pa.RecordBatch]):
         """A block's texts as numbers into a dictionary of chunks."""
-        chunks, names = tokenizers(a, b).chunks, Names()
+        t, names = tokenizers(a, b), Names()
+        pieces = Pieces(t.chunks, names)
+        numbers = pieces.numbers if t.cuts else lambda text: [names[" " + text]]
         ids, series = [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
-            for text in batch.column(1).to_pylist():
-                found = chunks(text) if text else []
-                series.append(np.fromiter(map(names.__getitem__, found), "<i4", len(found)))
+            series += [np.array(numbers(text) if text else [], "<i4") for text in batch.column(1).to_pylist()]
+        pieces.clear()
         none = {"local": [None], "chunk": [None]}
         yield {"block": [block], "ids": [ids], "sizes": [[len(x) for x in series]], "series": [_packed(np.concatenate(series))]} | none
         del series
@@ -167,12 +194,18 @@ def groups(tokens: DataFrame) -> DataFrame:
     return sides["a"].join(sides["b"], ["chunk_id", "group"])
 
 
-def links(groups: DataFrame, width: int, kind: str) -> DataFrame:
-    """chunk_id, the counts, the groups as a string, and all links of a chunk, each as a number: A's id times width, plus B's."""
-    pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x.cast(kind) * F.lit(width).cast(kind) + y)))
-    each = groups.select("chunk_id", "group", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(F.concat_ws(",", F.col("a").cast("array<string>")), F.lit("|"), F.concat_ws(",", F.col("b").cast("array<string>"))).alias("text"), pairs.alias("pairs"))
-    whole = each.groupBy("chunk_id").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.array_sort(F.collect_list(F.struct("group", "text"))).alias("g"), F.flatten(F.collect_list("pairs")).alias("links"))
-    return whole.select("chunk_id", "n_a", "n_b", F.size("g").alias("n_groups"), F.array_join("g.text", ";").alias("groups"), "links")
+def gathered(groups: DataFrame, width: int, small: bool) -> DataFrame:
+    """chunk_id, the sizes of its groups (of a and b by turns), the ids of all groups (of a, then of b), and its links as numbers: A's id times width, plus B's.
+
+    small: ids are below SMALL and are kept less HALF, as 16 bits.
+    """
+    pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x.cast("long") * width + y)))
+    whole = groups.select("chunk_id", F.struct("group", "a", "b", pairs.alias("links")).alias("g")).groupBy("chunk_id").agg(F.array_sort(F.collect_list("g")).alias("g"))
+    ids = F.flatten(F.transform("g", lambda g: F.concat(g["a"], g["b"])))
+    if small:
+        ids = F.transform(ids, lambda x: (x - HALF).cast("short"))
+    sizes = F.flatten(F.transform("g", lambda g: F.array(F.size(g["a"]), F.size(g["b"]))))
+    return whole.select("chunk_id", sizes.alias("sizes"), ids.alias("ids"), F.flatten("g.links").alias("links"))
 
 
 def _series(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
@@ -182,97 +215,123 @@ def _series(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     return ids, ends - sizes, ends, _unpacked(table["series"][0].as_py())
 
 
-def _pair_counts(docs: pa.Table, names: pa.Table) -> pa.Table:
-    """How many of a block's documents hold each pair linked."""
-    entered()
-    schema = arrow_schema("pair long, n long")
-    if not docs.num_rows or not names.num_rows:
-        return schema.empty_table()
-    _, starts, ends, series = _series(docs)
-    column = names["links"].combine_chunks()
-    pairs, dense = np.unique(column.flatten().to_numpy(), return_inverse=True)
-    size = np.zeros(int(series.max(initial=0)) + 1, np.int64)
-    first = size.copy()
-    local, lengths = names["local"].to_numpy(), column.value_lengths().to_numpy()
-    size[local], first[local] = lengths, np.cumsum(lengths) - lengths
-    total = np.zeros(len(pairs), np.int64)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
-        own = np.repeat(np.arange(j - i), ends[i:j] - starts[i:j])
-        ids = series[starts[i] : ends[j - 1]]
-        whole = np.bincount(own, size[ids] == 0, j - i) == 0
-        doc, chunk = np.divmod(np.unique(own * len(size) + ids), len(size))
-        kept = whole[doc]
-        doc, chunk = doc[kept], chunk[kept]
-        n = size[chunk]
-        at = np.arange(int(n.sum())) + np.repeat(first[chunk] - (np.cumsum(n) - n), n)
-        total += np.bincount(np.unique(np.repeat(doc, n) * len(pairs) + dense[at]) % max(1, len(pairs)), minlength=len(pairs))
-        i = j
-    some = total > 0
-    out = pa.table({"pair": pairs[some].astype(np.int64), "n": total[some]}, schema)
-    give_back()
-    return out
-
-
-_COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-_RESULT = "doc_id long, " + ", ".join(f"{x} long" for x in _COUNTS) + ", groups string"
-
-
-def _documents(digest: bool):
+def _by_documents(starts: np.ndarray, ends: np.ndarray, series: np.ndarray, local: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """The sums of a column of chunks over each document's chunks."""
+    by = np.zeros(int(series.max(initial=0)) + 1, np.int64)
+    by[local] = column
+    so_far = np.concatenate([[0], np.cumsum(by[series])])
+    return so_far[ends] - so_far[starts]
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+class Chunks:
+    """A block's chunks: their groups, links and texts, as arrays over all of them."""
+
+    def __init__(self, names: pa.Table, width: int, small: bool) -> None:
+        sizes, ids = names["sizes"].combine_chunks(), names["ids"].combine_chunks()
+        flat, tokens = sizes.flatten().to_numpy(), ids.flatten().to_numpy().astype(np.int64) + (HALF if small else 0)
+        n_a, n_b = flat[0::2].astype(np.int64), flat[1::2].astype(np.int64)
+        per = sizes.value_lengths().to_numpy().astype(np.int64) // 2
+        self.local = names["local"].to_numpy()
+        first = _starts(n_a + n_b)
+        n = n_a * n_b
+        within = np.arange(int(n.sum())) - np.repeat(_starts(n), n)
+        by_b = np.repeat(n_b, n)
+        a = tokens[np.repeat(first, n) + within // by_b]
+        self.pairs, self.dense = np.unique(a * width + tokens[np.repeat(first + n_a, n) + within % by_b], return_inverse=True)
+        group = _starts(per)
+        sums = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[group + per] - c[group]
+        self.counts = {"n_a": sums(n_a), "n_b": sums(n_b), "n_groups": per, "n_links": sums(n)}
+        names_of = [b"%d|%d" % divmod(x, width) for x in self.pairs.tolist()]
+        text = [names_of[x] if one else b"" for x, one in zip(self.dense[np.minimum(_starts(n), len(self.dense) - 1)].tolist(), (n == 1).tolist(), strict=True)]
+        for g in np.flatnonzero(n != 1).tolist():
+            own = tokens[first[g] : first[g] + n_a[g] + n_b[g]].tolist()
+            text[g] = b",".join([b"%d" % x for x in own[: n_a[g]]]) + b"|" + b",".join([b"%d" % x for x in own[n_a[g] :]])
+        self.text = [b";".join(text[x:y]) for x, y in zip(group.tolist(), (group + per).tolist(), strict=True)]
+
+
+def _counted(width: int, small: bool, digest: bool):
     def run(docs: pa.Table, names: pa.Table) -> pa.Table:
-        """A block's documents with the sums of their chunks' counts and their groups, or these' digest."""
+        """A block's documents with their counts and groups (or these' digest), and how many of them hold each pair linked."""
         entered()
-        schema = arrow_schema(_RESULT)
+        schema = arrow_schema(_COUNTED)
         if not docs.num_rows:
             return schema.empty_table()
+        block = docs["block"][0].as_py()
         ids, starts, ends, series = _series(docs)
-        m, local = int(series.max(initial=0)) + 1, names["local"].to_numpy()
-
-        def summed(column: np.ndarray) -> np.ndarray:
-            by = np.zeros(m, np.int64)
-            by[local] = column
-            so_far = np.concatenate([[0], np.cumsum(by[series])])
-            return so_far[ends] - so_far[starts]
-
-        whole = summed(np.ones(len(local), np.int64)) == ends - starts
-        sums = {x: np.where(whole, summed(names[x].to_numpy()), 0) for x in _COUNTS}
+        chunks = Chunks(names, width, small)
+        summed = lambda column: _by_documents(starts, ends, series, chunks.local, column)
+        whole = summed(np.ones(len(chunks.local), np.int64)) == ends - starts
+        counts = {x: np.where(whole, summed(y), 0) for x, y in chunks.counts.items()}
+        m = int(series.max(initial=0)) + 1
         text: list[bytes] = [b""] * m
-        for i, x in zip(local.tolist(), names["groups"].cast(pa.binary()).to_pylist(), strict=True):
+        size, first = np.zeros(m, np.int64), np.zeros(m, np.int64)
+        for i, x in zip(chunks.local.tolist(), chunks.text, strict=True):
             text[i] = x
-        made = []
+        size[chunks.local], first[chunks.local] = chunks.counts["n_links"], _starts(chunks.counts["n_links"])
+        total, place, made = np.zeros(len(chunks.pairs), np.int64), np.zeros(m, np.int64), []
         for s, e, ok in zip(starts.tolist(), ends.tolist(), whole.tolist(), strict=True):
-            joined = b";".join([text[i] for i in series[s:e].tolist()]) if ok else b""
-            made.append(hashlib.sha256(joined).hexdigest() if digest and joined else joined.decode())
-        out = pa.table({"doc_id": ids, **{x: sums[x] for x in _COUNTS}, "groups": made}, schema)
+            if not ok or s == e:
+                made.append("")
+                continue
+            own = series[s:e]
+            joined = b";".join([text[i] for i in own.tolist()])
+            made.append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
+            order = np.arange(e - s)
+            place[own] = order
+            own = own[place[own] == order]  # each chunk once
+            n = size[own]
+            at = np.arange(int(n.sum())) + np.repeat(first[own] - _starts(n), n)
+            total[chunks.dense[at]] += 1  # a number that is there several times gets one only
+        some = total > 0
+        none = {"pair": None, "n": None}
+        empty = {x: None for x in schema.names if x not in none}
+        parts = [*cut(none | {"block": block, "place": np.arange(len(ids)), "doc_id": ids, "groups": made} | counts, len(ids)), *cut(empty | {"pair": chunks.pairs[some], "n": total[some]}, int(some.sum()))]
+        out = pa.Table.from_batches([as_batch(x, schema) for x in parts], schema)
         give_back()
         return out
 
     return run
 
 
+def _ranked(docs: pa.Table, names: pa.Table) -> pa.Table:
+    """The sums of a block's documents over what the corpus says of their chunks' pairs."""
+    entered()
+    schema = arrow_schema("block long, place long, n_best long, count_sum long")
+    if not docs.num_rows:
+        return schema.empty_table()
+    _, starts, ends, series = _series(docs)
+    sums = {x: _by_documents(starts, ends, series, names["local"].to_numpy(), names[x].to_numpy()) for x in ("n_best", "count_sum")}
+    return pa.table({"block": np.full(len(starts), docs["block"][0].as_py()), "place": np.arange(len(starts))} | sums, schema)
+
+
 def aligned(docs: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
     """Each row's doc_id, counts and groups: `a1,a2|b1;a3|b2,b3`, the ids of A and B that share each group, or the SHA-256 digest of that.
 
     n_best counts the links whose pair is linked in as many documents as any of its A id's, count_sum adds up those numbers over the links.
     """
-    width = tokenizers(a, b).b.get_piece_size()
-    kind = "int" if width * len(tokenizers(a, b).bytes_a) < 1 << 31 else "bigint"
-    blocks = stored(in_blocks(docs.select(F.col(doc_id).cast("long"), text), _numbered(a, b), _BLOCKS, 1), "align-blocks")
-    series, own = blocks.filter("series is not null").select("block", "ids", "sizes", "series"), blocks.filter("chunk is not null").select("block", "local", "chunk")
-    tokens = stored(encoded(own.select("chunk").distinct().withColumn("chunk_id", F.monotonically_increasing_id()), a, b), "align-tokens")
-    found = links(groups(tokens.filter(F.size("a") > 0)), width, kind).join(tokens.select("chunk_id", "chunk"), "chunk_id")
-    found = stored(found, "align-links")
-    held = own.join(found.select("chunk", F.array_distinct("links").alias("links")), "chunk").select("block", "local", "links")
-    counts = series.select(F.col("block").alias("block"), "ids", "sizes", "series").groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_pair_counts, "pair long, n long")
-    counts = counts.groupBy("pair").agg(F.sum("n").alias("count"))
+    kept, (n_a, n_b) = Tables("align"), (len(x) for x in (tokenizers(a, b).bytes_a, tokenizers(a, b).bytes_b))
+    width, small = n_b, max(n_a, n_b) <= SMALL
+    blocks = kept.put(in_blocks(docs.select(F.col(doc_id).cast("long"), text), _numbered(a, b), _BLOCKS, 1), "blocks")
+    series = lambda: blocks.filter("series is not null").select(F.col("block").alias("block"), "ids", "sizes", "series").groupBy("block")
+    own = blocks.filter("chunk is not null").select("block", "local", "chunk")
+    tokens = kept.put(encoded(own.select("chunk").distinct().withColumn("chunk_id", F.monotonically_increasing_id()), a, b), "tokens")
+    found = gathered(groups(tokens.filter(F.size("a") > 0)), width, small).join(tokens.select("chunk_id", "chunk"), "chunk_id")
+    found = kept.put(found, "chunks")
+    kept.drop("tokens")
+    held = own.join(found.select("chunk", "sizes", "ids"), "chunk").select("block", "local", "sizes", "ids")
+    counted = kept.put(series().cogroup(held.groupBy("block")).applyInArrow(_counted(width, small, digest), _COUNTED), "documents")
+    counts = counted.filter("pair is not null").groupBy("pair").agg(F.sum("n").alias("count"))
     most = F.max("count").over(W.partitionBy(F.floor(F.col("pair") / width)))  # at most one row a B id
-    counts = stored(counts.select("pair", "count", (F.col("count") == most).cast("int").alias("best")), "align-counts")
-    each = found.select("chunk_id", F.explode("links").alias("pair")).withColumn("pair", F.col("pair").cast("long"))
-    stats = known(each, counts, ["pair"]).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    told = found.join(stats, "chunk_id").select("chunk", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
-    names = own.join(told, "chunk").drop("chunk")
-    return series.select(F.col("block").alias("block"), "ids", "sizes", "series").groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_documents(digest), _RESULT)
+    counts = kept.put(counts.select("pair", "count", (F.col("count") == most).cast("int").alias("best")), "counts")
+    stats = known(found.select("chunk", F.explode("links").alias("pair")), counts, ["pair"]).groupBy("chunk").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    sums = series().cogroup(own.join(stats, "chunk").drop("chunk").groupBy("block")).applyInArrow(_ranked, "block long, place long, n_best long, count_sum long")
+    told = counted.filter("place is not null").join(sums, ["block", "place"])
+    aligned_ = F.col("n_a") > 0
+    return told.select("doc_id", "n_a", "n_b", "n_groups", "n_links", *[F.when(aligned_, F.col(x)).otherwise(F.lit(0)).cast("long").alias(x) for x in ("n_best", "count_sum")], "groups")
 
 
 def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:

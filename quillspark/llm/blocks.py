@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import BROADCAST_IDS, arrow_schema, as_batch, entered, give_back
 
 #: Bytes of text of a block.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 25
 #: Bits of a block's number that are free for parts of it.
 PARTS = 20
 #: Rows of a record batch that a block gives.
