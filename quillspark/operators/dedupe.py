@@ -3,21 +3,36 @@
 Rows with one valid number are united first. Then, title by title in the order of first
 appearance, pairs in row order are united if their whole combined component agrees. Pairs
 that contradict each other can never meet, so a block is a component of the others.
+
+Blocks are found without comparing rows: of two rows of a title that don't contradict each other, what both
+give is equal, so they meet under a key of the fields that both give and these fields' values. Each
+distinct combination of fields stands once for all its rows, under a key for each set of fields that a partner may give.
+
+Whether two components agree is told from a summary of each, kept at the root of a union-find, and
+only components that share what both give are tried at all.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import isbn, text
+from quillspark.operators.components import components
 from quillspark.sources.checkpoints import checkpointed
 
 _OUT = "idx long, canonical_idx long, size long, reason string, rank int"
 _FIELDS = ("publication_year", "publisher", "series")
+#: Fields in which no two rows of a component may differ, and all sets of them.
+_APART = ("good", *_FIELDS)
+_SETS = tuple(x for n in range(len(_APART) + 1) for x in combinations(_APART, n))
+#: Several values of a field that may have them.
+MIXED = object()
 #: What counts for completeness, and what a merged row takes from the others where it is empty.
 _COUNTED = ("author", "title", "isbn", "publisher", "publication_date", "publication_year", "genre", "series")
 _FILLED = (*_COUNTED, "author_normalized", "publisher_normalized", "cover", "openlibrary", "data_provenance", "curation")
@@ -82,27 +97,38 @@ def prepared(df: DataFrame) -> DataFrame:
     return d.withColumn("score", F.concat("score", F.array(*[x.cast("long") for x in (F.size("authors"), F.col("title_length"), F.col("author_length"), -F.col("number"))]))).drop("title_length", "author_length", "number")
 
 
+def _compatible(df: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect rows of one title exactly as pairs that don't contradict each other would."""
+    rows = df.filter((F.col("title_key") != "") & (F.size("authors") > 0)).withColumn("authors", F.array_sort("authors")).withColumn("good", F.nullif("good", F.lit("")))
+    alike = checkpointed(rows.groupBy("title_key", *_APART, "authors").agg(F.min("idx").alias("rep"), F.count(F.lit(1)).alias("m")))
+    same = rows.join(alike.filter("m > 1"), [rows.title_key == alike.title_key, rows.authors == alike.authors, *[rows[c].eqNullSafe(alike[c]) for c in _APART]]).select(F.col("idx").alias("a"), F.col("rep").alias("b"))
+    given = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(_APART)), F.lit(0))
+    masks = alike.select("title_key", "authors", "rep", *_APART, given.alias("own"))
+    pairs = masks.withColumn("other", F.explode(F.array(*map(F.lit, range(1 << len(_APART))))))
+    shared = [F.when(F.col("other").bitwiseAND(1 << i) > 0, F.col(c)) for i, c in enumerate(_APART)]
+    key = F.xxhash64("title_key", F.least("own", "other"), F.greatest("own", "other"), F.to_json(F.struct(*[x.alias(c) for x, c in zip(shared, _APART, strict=True)]), {"ignoreNullFields": "false"}))
+    side = F.col("own").cast("int")
+    classes = checkpointed(pairs.groupBy("title_key", key.alias("key"), side.alias("own"), "other", "authors").agg(F.min("rep").alias("class"), F.count(F.lit(1)).alias("m")))
+    # two classes with one key are whole partners if one's authors are among the other's; the first of the fewer is among the more
+    x, y = classes.select("*", F.col("authors")[0].alias("name")).alias("x"), classes.select("*", F.explode("authors").alias("name")).alias("y")
+    facing = (F.col("x.title_key") == F.col("y.title_key")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.name") == F.col("y.name")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    nested = (F.size(F.array_except("x.authors", "y.authors")) == 0) & ((F.col("x.own") != F.col("y.own")) | (F.col("x.authors") != F.col("y.authors")))
+    met = checkpointed(x.join(y, facing & nested).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "xy" for c in ("title_key", "key", "own", "other", "authors", "class")]))
+    across = met.select(F.col("x_class").alias("a"), F.col("y_class").alias("b"))
+    on = ["title_key", "key", "own", "other", "authors"]
+    partnered = met.select(*[F.col(f"x_{c}").alias(c) for c in on]).union(met.select(*[F.col(f"y_{c}").alias(c) for c in on])).distinct()
+    # members of a class that has a partner meet through it
+    members = pairs.withColumn("key", key).withColumn("own", side).join(classes.filter("m > 1").join(partnered, on, "left_semi"), on).select(F.col("rep").alias("a"), F.col("class").alias("b"))
+    return same.union(across).union(members)
+
+
 def blocks(df: DataFrame) -> DataFrame:
     """idx and block of each row: components of equal numbers and of titles whose rows don't contradict each other."""
-    numbered = df.filter("good <> ''").select("good", F.col("idx").alias("b"))
-    first = numbered.groupBy("good").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    same = numbered.join(first, "good").select("a", "b")
-    x, y = df.filter("title_key <> ''").alias("x"), df.alias("y")
-    both = (F.col("x.title_key") == F.col("y.title_key")) & (F.col("x.idx") < F.col("y.idx"))
-    agree = lambda c: F.coalesce(F.col(f"x.{c}") == F.col(f"y.{c}"), F.lit(True))
-    numbers = (F.col("x.good") == "") | (F.col("y.good") == "") | (F.col("x.good") == F.col("y.good"))
-    nested = (F.size("x.authors") > 0) & (F.size("y.authors") > 0) & ((F.size(F.array_except("x.authors", "y.authors")) == 0) | (F.size(F.array_except("y.authors", "x.authors")) == 0))
-    title = x.join(y, both & numbers & agree("publication_year") & agree("publisher") & agree("series") & nested).select(F.col("x.idx").alias("a"), F.col("y.idx").alias("b"))
-    edges = same.unionByName(title).filter("a <> b")
-    both_ways = checkpointed(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(df.select("idx", F.col("idx").alias("block")))
-    while True:
-        near = both_ways.join(labels, both_ways.b == labels.idx).groupBy("a").agg(F.min("block").alias("near"))
-        new = labels.join(near, labels.idx == near.a, "left").select("idx", F.least("block", F.coalesce("near", "block")).alias("block"), F.col("block").alias("old"))
-        new = checkpointed(new)
-        if new.filter("block <> old").isEmpty():
-            return new.select("idx", "block")
-        labels = new.select("idx", "block")
+    numbered = df.filter("good <> ''").select("good", F.col("idx").alias("a"))
+    first = numbered.groupBy("good").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    edges = numbered.join(first, "good").select("a", "b").union(_compatible(df))
+    label = components(edges)
+    return df.select("idx").join(label, df.idx == label.id, "left").select("idx", F.coalesce("component", "idx").alias("block"))
 
 
 def numbers(df: DataFrame) -> DataFrame:
@@ -140,50 +166,127 @@ def _ranked(df: DataFrame) -> DataFrame:
 
     def solve(p: pd.DataFrame) -> pd.DataFrame:
         rows = p.sort_values("idx").to_dict("records")
-        for r in rows:
-            r.update({c: None if pd.isna(r[c]) else r[c] for c in ("isbn", *_FIELDS)})
-        member = {r["idx"]: [r] for r in rows}
-        seen: dict[str, list] = {}
-        for r in rows:
-            if r["good"]:
-                if r["good"] in seen:
-                    _unite(member, seen[r["good"]], r["idx"])
-                else:
-                    seen[r["good"]] = r["idx"]
-        titles: dict[str, list[int]] = {}
-        for r in rows:
-            if r["title_key"]:
-                titles.setdefault(r["title_key"], []).append(r["idx"])
-        for ids in titles.values():
-            for i, a in enumerate(ids):
-                for b in ids[i + 1 :]:
-                    if member[a] is not member[b] and _agrees(member[a] + member[b]):
-                        _unite(member, a, b)
+        root = Merging(rows).roots()
+        members: dict[int, list[int]] = {}
+        for i, r in enumerate(root):
+            members.setdefault(r, []).append(i)
         out = []
-        for r in rows:
-            m = member[r["idx"]]
-            ranks = sorted(m, key=lambda x: ([-int(v) for v in x["score"]], x["idx"]))
-            numbers = {x["good"] for x in m}
-            out.append((r["idx"], ranks[0]["idx"], len(m), None if len(m) == 1 else "same_valid_isbn" if len(numbers) == 1 and "" not in numbers else "compatible_metadata", [x["idx"] for x in ranks].index(r["idx"])))
+        for own in members.values():
+            ranked = sorted(own, key=lambda i: ([-int(v) for v in rows[i]["score"]], rows[i]["idx"]))
+            numbers = {rows[i]["good"] for i in own}
+            reason = None if len(own) == 1 else "same_valid_isbn" if len(numbers) == 1 and "" not in numbers else "compatible_metadata"
+            out += [(rows[i]["idx"], rows[ranked[0]]["idx"], len(own), reason, place) for place, i in enumerate(ranked)]
         return pd.DataFrame(out, columns=["idx", "canonical_idx", "size", "reason", "rank"])
 
     return labelled.groupBy("block").applyInPandas(solve, _OUT)
 
 
-def _unite(member: dict, a: int, b: int) -> None:
-    if member[a] is not member[b]:
-        joined = member[a] + member[b]
-        for r in joined:
-            member[r["idx"]] = joined
-
-
-def _agrees(rows: list[dict]) -> bool:
-    """Whether a combined component holds together: no conflict, nested authors, and shared evidence or a row with none."""
-    given = {c: [r[c] for r in rows if r[c] is not None] for c in ("isbn", *_FIELDS)}
-    if len({r["good"] for r in rows} - {""}) > 1 or any(len(set(given[c])) > 1 for c in _FIELDS):
-        return False
-    sets = [frozenset(r["authors"]) for r in rows]
-    if not all(sets) or any(not (a <= b or b <= a) for i, a in enumerate(sets) for b in sets[i + 1 :]):
-        return False
-    evidence = any(len(v) > 1 and len(set(v)) == 1 for v in given.values())
-    return evidence or any(all(r[c] is None for c in given) for r in rows)
+class _Summary:
+    """What a component's rows say together."""
+
+    __slots__ = ("changed", "chain", "count", "lone", "places", "scanned", "sound", "value")
+
+    def __init__(self, row: dict) -> None:
+        given = {c: None if row[c] is None or pd.isna(row[c]) else row[c] for c in ("isbn", *_FIELDS)}
+        #: By field the one value that rows give; a raw number may have several, which is MIXED.
+        self.value = given | {"good": row["good"] or None}
+        self.count = {c: int(v is not None) for c, v in given.items()}
+        #: Distinct author sets, each inside the next.
+        self.chain = [frozenset(row["authors"])]
+        self.sound = bool(self.chain[0])
+        self.lone = not any(self.count.values())
+        self.places: list[int] = []
+        self.scanned, self.changed = -1, 0
+
+    def joined(self, other: _Summary) -> _Summary:
+        out = object.__new__(_Summary)
+        out.value = {c: v if (w := other.value[c]) is None or v == w else w if v is None else MIXED for c, v in self.value.items()}
+        out.count = {c: n + other.count[c] for c, n in self.count.items()}
+        out.chain = sorted({*self.chain, *other.chain}, key=len)
+        out.sound = self.sound and other.sound and all(a < b for a, b in zip(out.chain, out.chain[1:], strict=False)) and all(out.value[c] is not MIXED for c in _APART)
+        out.lone = self.lone or other.lone
+        return out
+
+    def holds(self) -> bool:
+        """No conflict, nested authors, and shared evidence or a row with none."""
+        return self.sound and (self.lone or any(n > 1 and self.value[c] is not MIXED for c, n in self.count.items()))
+
+    def keys(self) -> list[tuple]:
+        """For every set of fields that a partner may give, what both give then."""
+        own = [c for c in _APART if self.value[c] is not None]
+        return [tuple((c, self.value[c]) for c in own if c in other) for other in _SETS]
+
+    def posts(self) -> list[tuple]:
+        """Where others find this component: its own set of fields and every part of it with its values."""
+        own = tuple(c for c in _APART if self.value[c] is not None)
+        return [(own, tuple((c, self.value[c]) for c in part)) for n in range(len(own) + 1) for part in combinations(own, n)]
+
+
+class Merging:
+    """The greedy procedure over the rows of a block, which are in order."""
+
+    def __init__(self, rows: list[dict]) -> None:
+        self.parent = list(range(len(rows)))
+        self.summary = [_Summary(r) for r in rows]
+        self.unions = 0
+        first: dict[str, int] = {}
+        titles: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            if r["good"]:
+                self._unite(first.setdefault(r["good"], i), i)
+            if r["title_key"]:
+                titles.setdefault(r["title_key"], []).append(i)
+        for rows_of_title in titles.values():
+            if len(rows_of_title) > 1:
+                self._title(rows_of_title)
+
+    def roots(self) -> list[int]:
+        return [self._root(i) for i in range(len(self.parent))]
+
+    def _root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def _unite(self, a: int, b: int, both: _Summary | None = None) -> None:
+        x, y = self._root(a), self._root(b)
+        if x != y:
+            new = both or self.summary[x].joined(self.summary[y])
+            self.parent[y] = x
+            self.summary[x] = new
+            self.unions += 1
+            new.changed = self.unions
+
+    def _title(self, rows: list[int]) -> None:
+        """Pairs of a title's rows in order. A component is tried from its first row on against all others, and again from a later row only if a union came in between."""
+        at: dict[tuple, set[int]] = {}
+        places: dict[int, list[int]] = {}
+        for place, i in enumerate(rows):
+            places.setdefault(self._root(i), []).append(place)
+        for r, own in places.items():
+            s = self.summary[r]
+            s.places, s.scanned = own, -1
+            if s.sound:
+                for k in s.posts():
+                    at.setdefault(k, set()).add(r)
+        for place, i in enumerate(rows):
+            r, now = self._root(i), place
+            s = self.summary[r]
+            if not s.sound or s.scanned == self.unions:
+                continue
+            while s.sound:
+                tried = sorted((self.summary[o].places[k], o) for own, key in zip(_SETS, s.keys(), strict=True) for o in at.get((own, key), ()) if o != r and (k := bisect_right(self.summary[o].places, now)) < len(self.summary[o].places))
+                found = next(((p, o, both) for p, o in tried if (both := s.joined(self.summary[o])).holds()), None)
+                if found is None:
+                    break
+                now, o, both = found
+                for x in (r, o):
+                    for k in self.summary[x].posts():
+                        at[k].discard(x)
+                both.places = sorted(self.summary[r].places + self.summary[o].places)
+                self._unite(r, o, both)
+                s = both
+                for k in s.posts():
+                    at.setdefault(k, set()).add(r)
+            s.scanned = self.unions

@@ -1,7 +1,13 @@
-"""Stable ids between two snapshots: equal rows first, then equal numbers, then equal normalised rows; the others get new ids."""
+"""Stable ids between two snapshots: equal rows first, then equal numbers, then equal normalised rows; the others get new ids.
+
+Both snapshots are described once, by two digests, a number and the fields' keys. Each pass takes what the one before it
+left, is stored as one table of pairs and rows without a partner, and so is never computed again.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -26,43 +32,93 @@ def signature(loose: bool = False, fields: tuple[str, ...] = FIELDS) -> Column:
     return F.sha2(F.to_json(F.array(*[f(c) for c in fields])), 256)
 
 
+def described(df: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """idx, exact and loose signature, cleaned number and the fields' keys of each row."""
+    whole = _whole(df, fields).withColumn("keys", F.array(*[text.key(c) for c in fields]))
+    return whole.select("idx", signature(fields=fields).alias("exact"), F.sha2(F.to_json("keys"), 256).alias("loose"), isbn.clean(F.col("isbn")).alias("number"), "keys")
+
+
+def _placed(rows: DataFrame, sign: str) -> DataFrame:
+    """rows with their place among those of one signature, in the order of idx. Rows are numbered by ranges of idx, so a signature that many rows share is spread over tasks."""
+    span = F.floor(F.col("idx") / SPAN)
+    own = W.partitionBy(sign, "span")
+    ranked = rows.withColumn("span", span).withColumn("in_span", F.row_number().over(own.orderBy("idx")))
+    sizes = ranked.groupBy(sign, "span").agg(F.count(F.lit(1)).alias("m"))
+    before = sizes.select(sign, "span", (F.sum("m").over(W.partitionBy(sign).orderBy("span")) - F.col("m")).alias("before"))
+    return ranked.join(before, [sign, "span"]).withColumn("place", F.col("in_span") + F.col("before")).drop("span", "in_span", "before")
+
+
+def _matched(new: DataFrame, old: DataFrame, sign: str) -> DataFrame:
+    """The first new row of a signature with the first old one and so on, and the rows of both sides that are left: structs new and old, either of which may be null."""
+    a, b = (_placed(rows, sign).select(F.col(sign).alias("sign"), "place", F.struct(*rows.columns).alias(side)) for rows, side in ((new, "new"), (old, "old")))
+    return a.join(b, ["sign", "place"], "full").select("new", "old")
+
+
 def paired(new: DataFrame, old: DataFrame, sign: Column, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """idx and old_idx of rows with one signature, first with first."""
-    n = lambda df, name: _whole(df, fields).select(F.col("idx").alias(name), sign.alias("s")).withColumn("r", F.row_number().over(W.partitionBy("s").orderBy(name)))
-    return n(new, "idx").join(n(old, "old_idx"), ["s", "r"]).select("idx", "old_idx")
+    a, b = (_whole(x, fields).select("idx", sign.alias("sign")) for x in (new, old))
+    return _matched(a, b, "sign").filter("new is not null and old is not null").select(F.col("new.idx").alias("idx"), F.col("old.idx").alias("old_idx"))
+
+
+def _chosen(x: pd.DataFrame, y: pd.DataFrame) -> list[tuple]:
+    """For the new rows x and the old rows y of one number, in the order of the new ones: each with the free old row that agrees in most fields, then is the most complete, then is the first.
+
+    Old rows with the same keys are one class, of which only the first free one can be chosen.
+    """
+    free: dict[tuple, deque] = defaultdict(deque)
+    for row in y.sort_values("idx").itertuples():
+        free[tuple(row.keys)].append(row.idx)
+    complete = {k: sum(map(bool, k)) for k in free}
+    agreement: dict[tuple, dict[tuple, int]] = {}
+    out = []
+    for row in x.sort_values("idx").itertuples():
+        if not free:
+            break
+        own = tuple(row.keys)
+        if own not in agreement:
+            agreement[own] = {k: sum(bool(a) and a == b for a, b in zip(own, k, strict=True)) for k in complete}
+        best = max(free, key=lambda k, by=agreement[own]: (by[k], complete[k], -free[k][0]))
+        out.append((row.idx, free[best].popleft()))
+        if not free[best]:
+            del free[best]
+    return out
 
 
 def by_number(new: DataFrame, old: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Rows with one number, in the order of the new ones: each takes the free old row that agrees in most fields, then the most complete, then the first."""
-    cols = ["idx", *[text.key(c).alias(c) for c in fields]]
-    n = isbn.clean(F.col("isbn")).alias("number")
-    a, b = (_whole(df, fields).select(n, *cols).filter("number <> ''") for df in (new, old))
-    b = b.toDF(*b.columns)
+    """idx and old_idx of rows with one number."""
+    return _numbered(described(new, fields), described(old, fields)).filter("idx is not null and old_idx is not null").select("idx", "old_idx")
+
+
+def _numbered(new: DataFrame, old: DataFrame) -> DataFrame:
+    """idx, loose, old_idx and old_loose of described rows that one number pairs, and of rows of either side that are left, with nulls for the other."""
 
     def solve(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        free = y.sort_values("idx").to_dict("records")
-        out = []
-        for r in x.sort_values("idx").to_dict("records"):
-            if free:
-                best = max(free, key=lambda o: (sum(bool(r[c]) and r[c] == o[c] for c in fields), sum(bool(o[c]) for c in fields), -o["idx"]))
-                free.remove(best)
-                out.append((r["idx"], best["idx"]))
-        return pd.DataFrame(out, columns=["idx", "old_idx"])
+        pairs = _chosen(x, y)
+        a, b = x.set_index("idx")["loose"], y.set_index("idx")["loose"]
+        rows = [(i, a[i], j, b[j]) for i, j in pairs]
+        rows += [(i, v, None, None) for i, v in a.drop([i for i, _ in pairs]).items()]
+        rows += [(None, None, j, v) for j, v in b.drop([j for _, j in pairs]).items()]
+        return pd.DataFrame(rows, columns=["idx", "loose", "old_idx", "old_loose"]).astype({"idx": "Int64", "old_idx": "Int64"})
 
-    return a.groupBy("number").cogroup(b.groupBy("number")).applyInPandas(solve, "idx long, old_idx long")
+    a, b = (d.filter("number <> ''").select("number", F.col("idx").alias("idx"), "loose", "keys") for d in (new, old))
+    a, b = a.groupBy("number"), b.toDF(*b.columns).groupBy("number")
+    solved = a.cogroup(b).applyInPandas(solve, "idx long, loose string, old_idx long, old_loose string")
+    none = [F.lit(None).cast("long"), F.lit(None).cast("string")]
+    return solved.union(new.filter("number = ''").select("idx", "loose", *none)).union(old.filter("number = ''").select(*none, "idx", "loose"))
 
 
 def reconciled(new: DataFrame, old: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Every new row with the old row whose id it keeps, and the pass that found it; null for additions."""
-    left_new, left_old, found = new, old, None
-    exact, loose = (lambda a, b, x=x: paired(a, b, signature(x, fields), fields) for x in (False, True))
-    for name, step in (("exact", exact), ("isbn", lambda a, b: by_number(a, b, fields)), ("normalized", loose)):
-        hit = step(left_new, left_old).withColumn("pass", F.lit(name))
-        found = hit if found is None else found.unionByName(hit)
-        gone = hit.select(F.col("idx").alias("_new"), F.col("old_idx").alias("_old"))
-        left_new = left_new.join(gone, F.col("idx") == F.col("_new"), "left_anti")
-        left_old = left_old.join(gone, F.col("idx") == F.col("_old"), "left_anti")
-    return new.select("idx").join(found, "idx", "left")
+    """Every new row (idx) with the old row whose id it keeps (old_idx), and the pass that found it; null for additions.
+
+    Rows of one number that no earlier pass took are solved together, as each choice depends on those before it.
+    """
+    exact = checkpointed(_matched(described(new, fields), described(old, fields), "exact"))
+    found = exact.filter("new is not null and old is not null").select("new.idx", F.col("old.idx").alias("old_idx"), F.lit("exact").alias("pass"))
+    number = checkpointed(_numbered(exact.filter("old is null").select("new.*"), exact.filter("new is null").select("old.*")))
+    found = found.unionByName(number.filter("idx is not null and old_idx is not null").select("idx", "old_idx", F.lit("isbn").alias("pass")))
+    left = number.filter("old_idx is null").select("idx", "loose"), number.filter("idx is null").select(F.col("old_idx").alias("idx"), F.col("old_loose").alias("loose"))
+    loose = _matched(*left, "loose").filter("new is not null")
+    return found.unionByName(loose.select("new.idx", F.col("old.idx").alias("old_idx"), F.when(F.col("old").isNotNull(), "normalized").alias("pass")))
 
 
 def identified(new: DataFrame, old: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
@@ -71,11 +127,12 @@ def identified(new: DataFrame, old: DataFrame, fields: tuple[str, ...] = FIELDS)
     kept = rows.join(old.select(F.col("idx").alias("old_idx"), "id"), "old_idx")
     added = rows.filter("old_idx is null").withColumn("span", F.floor(F.col("idx") / SPAN))
     last = old.agg(F.coalesce(F.max(F.regexp_extract("id", "^book-([0-9]+)$", 1).try_cast("long")), F.lit(0)).alias("last"))
-    before = added.groupBy("span").agg(F.count(F.lit(1)).alias("m")).select("span", (F.sum("m").over(W.orderBy("span")) - F.col("m")).alias("before"))
+    sizes = added.groupBy("span").agg(F.count(F.lit(1)).alias("m"))
+    before = sizes.select("span", (F.sum("m").over(W.orderBy("span")) - F.col("m")).alias("before")).crossJoin(F.broadcast(last))  # one row a range of idx, and one row in all
     place = F.row_number().over(W.partitionBy("span").orderBy("idx"))
-    n = added.withColumn("place", place).join(F.broadcast(before), "span").crossJoin(F.broadcast(last)).withColumn("n", (F.col("last") + F.col("before") + F.col("place")).cast("string"))
+    n = added.withColumn("place", place).join(before, "span").withColumn("n", (F.col("last") + F.col("before") + F.col("place")).cast("string"))
     ids = n.select("idx", "old_idx", "pass", F.concat(F.lit("book-"), F.lpad("n", F.greatest(F.lit(4), F.length("n")), F.lit("0"))).alias("id"))
     out = kept.select("idx", "old_idx", "pass", "id").unionByName(ids)
-    twice = out.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
-    once = twice.withColumn("_ok", F.when(F.col("times") > 1, F.raise_error("an id is given twice").cast("boolean")).otherwise(True)).filter("_ok")
-    return out.join(once.select("id"), "id").select("idx", "old_idx", "pass", "id")
+    times = F.count(F.lit(1)).over(W.partitionBy("id"))
+    checked = out.withColumn("_ok", F.when(times > 1, F.raise_error("an id is given twice").cast("boolean")).otherwise(True))
+    return checked.filter("_ok").drop("_ok")
