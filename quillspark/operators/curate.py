@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,12 +51,65 @@ def from_entry() -> dict[str, Column]:
 
 
 def cascade(df: DataFrame, levels: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
-    """df with the first lookup that hits: (provider, table, key of df, key of the table); tables have a url. A hit without a url wins too. Of rows with one key in a table one counts."""
-    hits = []
-    for i, (provider, side, own, other) in enumerate(levels):
-        df = df.join(side.dropDuplicates([other]).select(F.col(other).alias(f"_k{i}"), F.col("url").alias(f"_u{i}")), F.col(own) == F.col(f"_k{i}"), "left")
-        hits.append(F.when(F.col(f"_k{i}").isNotNull(), F.struct(F.lit(provider).alias("provider"), F.col(f"_u{i}").alias("url"))))
-    return df.withColumn("cover", F.coalesce(*hits)).drop(*[f"_{x}{i}" for i in range(len(levels)) for x in "ku"])
+    """df with the first lookup that hits: (provider, table, key of df, key of the table); tables have a url. A hit without a url wins too. Of rows with one key in a table one counts.
+
+    Lookups by the same column of df are one table, reduced to the first level of each key, so there are as many joins as columns. Rows without a key get one that no table has, which spreads them.
+    """
+    hits, spread = [], F.concat(F.lit("\0"), F.xxhash64(*df.columns).cast("string"))
+    for i, own in enumerate(dict.fromkeys(x[2] for x in levels)):
+        sides = [side.select(F.col(other).cast("string").alias(f"_k{i}"), F.struct(F.lit(place).alias("place"), F.lit(provider).alias("provider"), F.col("url").alias("url")).alias("hit")) for place, (provider, side, by, other) in enumerate(levels) if by == own]
+        first = reduce(DataFrame.unionByName, sides).filter(present(F.col(f"_k{i}"))).groupBy(f"_k{i}").agg(F.min("hit").alias(f"_h{i}"))
+        df = df.withColumn(f"_o{i}", F.when(present(F.col(own).cast("string")), F.col(own).cast("string")).otherwise(spread)).join(first, F.col(f"_o{i}") == F.col(f"_k{i}"), "left").drop(f"_o{i}", f"_k{i}")
+        hits.append(f"_h{i}")
+    least = F.least(*hits) if len(hits) > 1 else F.col(hits[0])
+    return df.withColumn("cover", F.when(least.isNotNull(), F.struct(least["provider"].alias("provider"), least["url"].alias("url")))).drop(*hits)
+
+
+def _put(provenance: Column, new: Column) -> Column:
+    """A map with another's entries in place of its own."""
+    return F.map_zip_with(provenance, new, lambda _, old, now: F.coalesce(now, old))
+
+
+def _map(df: DataFrame, c: str) -> Column:
+    return F.coalesce(F.col(c), F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")) if c in df.columns else F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
+
+
+def applied(df: DataFrame, rules: DataFrame, fields: list[str]) -> DataFrame:
+    """df with the fields that rules change, data_provenance (a map of where fields come from) and curation: confidence, reason, sources, changed_fields and verified_fields; and before, the fields' values until then.
+
+    rules: id, confidence, reason, sources (a list), changes (a map from fields to values). A rule overwrites given values and marks all of its fields, while changed_fields has those only that it
+    really changes. A rule for an unknown id, of other than high confidence or for an unknown field is an error.
+    """
+    known = rules.join(df.select("id", F.lit(True).alias("_known")), "id", "left")
+    strange = F.size(F.array_except(F.map_keys("changes"), F.array(*map(F.lit, fields)))) > 0
+    wrong = F.when(F.col("_known").isNull(), "an override for an unknown id").when(F.coalesce(F.col("confidence"), F.lit("")) != "high", "an override of low confidence").when(strange, "an override of an unknown field")
+    checked = known.withColumn("_ok", F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(True)).filter("_ok")
+    rule = checked.select("id", F.struct("confidence", "reason", "sources", "changes").alias("_rule"))
+    out = df.withColumn("data_provenance", _map(df, "data_provenance")).join(rule, "id", "left")
+    now = F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*[F.coalesce(F.col(f), F.lit("")) for f in fields]))
+    changes, label = F.col("_rule.changes"), F.array_join("_rule.sources", ",")
+    ruled = F.col("_rule").isNotNull()
+    out = out.withColumn("before", F.when(ruled, F.map_filter(now, lambda k, _: F.map_contains_key(changes, k))))
+    changed = F.filter(F.map_keys(changes), lambda k: F.element_at(F.col("before"), k) != F.element_at(changes, k))
+    curation = F.struct(F.col("_rule.confidence").alias("confidence"), F.col("_rule.reason").alias("reason"), F.col("_rule.sources").alias("sources"), changed.alias("changed_fields"), F.map_keys(changes).alias("verified_fields"))
+    out = out.withColumn("curation", F.when(ruled, curation)).withColumn("data_provenance", F.when(ruled, _put(F.col("data_provenance"), F.transform_values(changes, lambda k, v: label))).otherwise(F.col("data_provenance")))
+    return out.withColumns({f: F.when(ruled & F.map_contains_key(changes, F.lit(f)), F.element_at(changes, f)).otherwise(F.col(f)) for f in fields}).drop("_rule")
+
+
+def filled_from(df: DataFrame, entries: DataFrame, label: str = "openlibrary_exact") -> DataFrame:
+    """df with empty fields filled from the entry of the same number, which data_provenance gets the label for; matched tells whether there is one.
+
+    entries: isbn and what from_entry() reads. Where the year is empty, the entry's date gives it.
+    """
+    offered = entries.select(F.col("isbn").alias("_isbn"), *[c.alias(f"_{f}") for f, c in from_entry().items()]).dropDuplicates(["_isbn"])
+    number = isbn.rescued(F.col("isbn"))
+    own = F.when(isbn.valid(number), number).otherwise(F.concat(F.lit("\0"), F.xxhash64(*df.columns).cast("string")))  # rows without a number are spread
+    out = df.withColumn("data_provenance", _map(df, "data_provenance")).withColumn("_own", own).join(offered, F.col("_own") == F.col("_isbn"), "left")
+    fill = {f: ~present(F.col(f)) & present(F.col(f"_{f}")) for f in from_entry()}
+    filled = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in fill.items()]))
+    new = F.map_from_arrays(filled, F.transform(filled, lambda _: F.lit(label)))
+    out = out.withColumns({"data_provenance": _put(F.col("data_provenance"), new), "matched": F.col("_isbn").isNotNull()})
+    return out.withColumns({f: F.when(c, F.col(f"_{f}")).otherwise(F.col(f)) for f, c in fill.items()}).drop("_own", "_isbn", *[f"_{f}" for f in fill])
 
 
 def absent(df: DataFrame, cache: DataFrame, key: str) -> DataFrame:

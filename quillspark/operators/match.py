@@ -85,3 +85,60 @@ def best_unless_tied(df: DataFrame, record: str = "id", target: str = "target")
     """The best target of each record; none where two different targets share the best score."""
     top = df.withColumn("_r", F.rank().over(W.partitionBy(record).orderBy(F.desc("score")))).filter("_r = 1")
     return top.groupBy(record).agg(F.min(target).alias(target), F.max("score").alias("score"), F.countDistinct(target).alias("_n")).filter("_n = 1").drop("_n")
+
+
+def name_keys(names: Column) -> Column:
+    """Keys of normalised names: two names match just where they share one, the last word with the first letter or two or more words in any order."""
+    words = lambda n: F.array_sort(F.array_distinct(F.split(n, " ")))
+    last = F.transform(names, lambda n: F.concat(F.substring(n, 1, 1), F.lit("."), F.element_at(F.split(n, " "), -1)))
+    bags = F.transform(F.filter(names, lambda n: F.size(words(n)) > 1), lambda n: F.array_join(words(n), " "))
+    return F.array_distinct(F.concat(last, bags))
+
+
+def evidence(docs: DataFrame) -> DataFrame:
+    """What each work offers to a record: a row for each title, name key and number or year of its covered editions and of itself.
+
+    docs: key, title, author_name, isbn, publish_year, publisher (lists), cover_i, cover_edition_key and editions, a list of key, title, isbn, publish_date, publisher and cover_i.
+    An edition counts if its title is the work's. Years score with one of the publishers only, numbers alone.
+    """
+    lists = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    offer = lambda key, title, isbn, dates, publisher, cover, source, number, year: F.struct(
+        title.alias("title"), lists(isbn).alias("numbers"), text.years(lists(dates.cast("array<string>"))).alias("years"), lists(publisher).alias("publishers"), cover.cast("long").alias("cover_id"), source.alias("source_url"), F.lit(number).alias("by_number"), F.lit(year).alias("by_year")
+    )
+    own = F.when(text.present(F.col("cover_edition_key")), F.concat(F.lit("/books/"), "cover_edition_key")).otherwise(F.col("key"))
+    work = F.array(offer(F.col("key"), F.col("title"), F.col("isbn"), F.col("publish_year"), F.col("publisher"), F.col("cover_i"), own, 115, 85))
+    editions = F.transform(F.coalesce("editions", F.array().cast(docs.schema["editions"].dataType)), lambda e: offer(e["key"], e["title"], e["isbn"], e["publish_date"], e["publisher"], e["cover_i"], e["key"], 120, 95))
+    each = docs.select("key", text.key("title").alias("work_title"), name_keys(text.keys(F.col("author_name"))).alias("names"), F.explode(F.concat(work, editions)).alias("o"))
+    each = each.select("key", "work_title", "names", "o.*").filter("cover_id is not null and cover_id <> 0 and work_title <> ''").withColumn("title", text.key("title")).filter("title = work_title")
+    each = each.withColumn("publishers", F.transform(text.keys(F.col("publishers")), tokens))
+    way = "array<struct<kind:string,value:string,score:int,publishers:array<array<string>>>>"
+    numbers = F.transform(F.array_distinct("numbers"), lambda n: F.struct(F.lit("isbn"), n, F.col("by_number"), F.array().cast("array<array<string>>"))).cast(way)
+    ways = F.concat(numbers, F.transform("years", lambda y: F.struct(F.lit("year"), y.cast("string"), F.col("by_year"), F.col("publishers"))).cast(way))
+    out = each.select("key", "title", "cover_id", "source_url", F.explode("names").alias("name"), F.col("years"), ways.alias("ways")).select("key", "title", "name", "cover_id", "source_url", "years", F.explode("ways").alias("w"))
+    return out.filter("w.value <> ''").select("title", "name", "w.kind", "w.value", "w.score", F.array_sort("w.publishers").alias("publishers"), "cover_id", "source_url")
+
+
+def _best(df: DataFrame, *by: str) -> DataFrame:
+    """Of each group the best score, its least and its greatest cover: a combining aggregate, as the best of several groups' best is the best of all."""
+    one = F.struct("cover_id", "source_url")
+    top = df.groupBy(*by, "score").agg(F.min(F.col("lo") if "lo" in df.columns else one).alias("lo"), F.max(F.col("hi") if "hi" in df.columns else F.col("cover_id")).alias("hi"))
+    best = top.groupBy(*by).agg(F.max(F.struct("score", "lo", "hi")).alias("b"))
+    return best.select(*by, "b.score", "b.lo", "b.hi")
+
+
+def edition_matches(records: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, score, cover_id and source_url of each record's best cover; none where two covers share the best score.
+
+    records: id, title, author (packed), isbn, publisher, publication_year. 120 and 115 stand for a number of an edition or of the work, 95 and 85 for a year and a publisher of either.
+    What many works offer alike under one title, name and number is reduced to its best and whether that is tied before records meet it; under a year, to the best of each set of publishers.
+    """
+    offers = _best(evidence(docs), "title", "name", "kind", "value", "publishers")
+    names = name_keys(text.keys(text.split_authors(F.col("author"))))
+    given = records.select("id", text.key("title").alias("title"), names.alias("names"), F.coalesce("isbn", F.lit("")).alias("isbn"), text.parse_year(F.coalesce("publication_year", F.lit(""))).cast("string").alias("year"), tokens(text.key("publisher")).alias("own"))
+    kinds = F.array(F.struct(F.lit("isbn").alias("kind"), F.col("isbn").alias("value")), F.struct(F.lit("year").alias("kind"), F.col("year").alias("value")))
+    asked = given.filter("title <> ''").withColumn("k", F.explode(kinds)).filter("k.value <> ''").select("id", "title", F.explode("names").alias("name"), "k.kind", "k.value", "own")
+    inside = lambda p, o: (F.size(F.array_except(p, o)) == 0) | (F.size(F.array_except(o, p)) == 0) | (2 * F.size(F.array_intersect(p, o)) >= F.size(F.array_union(p, o)))
+    publisher = (F.size("own") > 0) & F.exists("publishers", lambda p: (F.size(p) > 0) & inside(p, F.col("own")))
+    met = asked.join(offers, ["title", "name", "kind", "value"]).filter((F.col("kind") == "isbn") | publisher)
+    best = _best(met.select("id", "score", "lo", "hi"), "id")
+    return best.filter(F.col("lo.cover_id") == F.col("hi")).select("id", "score", F.col("hi").alias("cover_id"), "lo.source_url")

@@ -1,7 +1,10 @@
-"""Page search: weighted substring ranking (ours), hits by page, snippets."""
+"""Page search: weighted ranking by substrings and by approximate occurrences (ours), hits by page, snippets."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,3 +32,83 @@ def snippet(text: Column, query: str, before: int = 50, after: int = 200) -> Col
     at = F.locate(q, F.lower(text))
     start = F.greatest(at - before, F.lit(1))
     return F.when(at > 0, F.concat(F.substring(text, start, at - start), F.lit("<mark>"), F.substring(text, at, F.lit(len(q))), F.lit("</mark>"), F.substring(text, at + len(q), F.lit(after))))
+
+
+#: Errors that a query may have, by its length: a tenth of its letters. Letters of a posting's term.
+ALLOWED, GRAM = 0.1, 3
+#: What a hit in a field is worth.
+WEIGHTS = {"title": 20, "section": 20, "text": 10}
+
+
+def postings(df: DataFrame, key: str = "page_id", fields: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
+    """term, field, key and places (from 0): where each run of GRAM letters of a field's lower-cased text stands."""
+    schema = f"term string, field string, {key} {df.schema[key].dataType.simpleString()}, places array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [])
+            for field in fields:
+                for k, t in zip(b.column(key).to_pylist(), b.column(field).to_pylist(), strict=True):
+                    places: dict[str, list[int]] = {}
+                    t = t or ""
+                    for i in range(len(t) - GRAM + 1):
+                        places.setdefault(t[i : i + GRAM], []).append(i)
+                    out[0].extend(places)
+                    out[1].extend([field] * len(places))
+                    out[2].extend([k] * len(places))
+                    out[3].extend(places.values())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], b.column(key).type), pa.array(out[3], pa.list_(pa.int32()))], ["term", "field", key, "places"])
+
+    return df.select(key, *[F.lower(F.coalesce(f, F.lit(""))).alias(f) for f in fields]).mapInArrow(run, schema)
+
+
+def least_errors(text: str, query: str, most: int) -> int | None:
+    """The least number of insertions, deletions and replacements that make the query from a part of the text, if that is at most `most`. A column of the table is two bit vectors."""
+    n = len(query)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(query):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, top = (1 << n) - 1, 1 << n - 1
+    plus, minus, errors, best = full, 0, n, n
+    for c in text:
+        eq = masks.get(c, 0)
+        carry = ((eq & plus) + plus ^ plus | eq) & full
+        rise, fall = minus | ~(carry | plus) & full, plus & carry
+        errors += bool(rise & top) - bool(fall & top)
+        best = min(best, errors)
+        rise, fall, low = rise << 1 & full, fall << 1 & full, eq | minus
+        plus, minus = (fall | ~(low | rise)) & full, rise & low
+    return best if best <= most else None
+
+
+def approximate(df: DataFrame, index: DataFrame, query: str, limit: int = 50, key: str = "page_id", allowed: float = ALLOWED) -> DataFrame:
+    """key and score of the documents (key, href, title, section, text) in which the query occurs but for a tenth of its letters, best first; queries of one letter find nothing.
+
+    A field's score is its weight times the share of the query's letters that needn't be changed. An error changes at most GRAM of the query's runs of letters, so a field that has fewer of them
+    than are left after all allowed errors can't hold it: only fields for which the index (postings()) has enough are read. A query too short for that reads all.
+    """
+    q = query.strip().lower()
+    fields = list(WEIGHTS)
+    if len(q) < 2:
+        return df.select(key).withColumn("score", F.lit(0.0)).limit(0)
+    most = int(allowed * len(q))
+    terms = [q[i : i + GRAM] for i in range(len(q) - GRAM + 1)]
+    needed = len(terms) - GRAM * most
+    texts = df.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.coalesce(f, F.lit(""))).alias("body")) for f in fields])).alias("f")).select(key, "f.field", "f.body")
+    if needed > 0:
+        times = F.create_map(*[F.lit(x) for t in sorted(set(terms)) for x in (t, terms.count(t))])
+        hits = index.filter(F.col("term").isin(sorted(set(terms)))).groupBy(key, "field").agg(F.sum(times[F.col("term")]).alias("n")).filter(F.col("n") >= needed)
+        texts = texts.join(hits.select(key, "field"), [key, "field"], "left_semi")
+    if most == 0:
+        found = texts.filter(F.contains("body", F.lit(q))).select(key, "field", F.lit(0).alias("errors"))
+    else:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                errors = pa.array([least_errors(t, q, most) for t in b.column("body").to_pylist()], pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(key), b.column("field"), errors], [key, "field", "errors"])
+
+        found = texts.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, field string, errors int").filter("errors is not null")
+    weight = F.create_map(*[F.lit(x) for f in fields for x in (f, float(WEIGHTS[f]))])
+    scores = found.groupBy(key).agg(F.sum(weight[F.col("field")] * (1 - F.col("errors") / F.lit(float(len(q))))).alias("score"))
+    return df.select(key, "href").join(scores, key).orderBy(F.desc("score"), "href", key).limit(limit).select(key, "href", "score")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import isbn, text, web
-from quillspark.operators import curate, dedupe, extract, fetch, graph, match, query, report
-from quillspark.plans.queries import _FLAGS, _PUBLISHERS, _WORDS, CACHE_A, EDGES, FIELDS, KEY, QUERIES, SQL, STATUS, VALID13, Y, _cache_a, _links, on_catalogue, on_table
+from quillspark.operators import curate, dedupe, extract, fetch, graph, match, query, report, search
+from quillspark.plans.queries import _AUTHORS, _FLAGS, _NAMES, _PUBLISHERS, _WORDS, CACHE_A, EDGES, FIELDS, KEY, QUERIES, SQL, STATUS, VALID13, Y, _cache_a, _links, on_catalogue, on_table
 from quillspark.sources import rules
+from quillspark.sources.cache import CacheTable
+from quillspark.sources.checkpoints import shared_folder
 from quillspark.sources.tables import oracle
 
 SHOP = "https://shop.example/search"
@@ -22,23 +26,6 @@ def _idx(n: int, k: int = 0) -> Column:
 on_table("json_sorted_keys", "part", "SELECT to_json({'p_brand': p_brand, 'p_partkey': p_partkey, 'p_size': p_size, 'p_type': p_type}) AS json FROM part")(lambda p: rules.sorted_json(p.select("p_type", "p_size", "p_partkey", "p_brand")))
 on_table("json_entries", "events", "SELECT event_id, k AS name, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) e")(lambda e: fetch.entries(e, "event_id", "props"))
 on_table("map_entry_counts", "events", "SELECT k AS field, count(*) AS n FROM (SELECT props, unnest(json_keys(props)) AS k FROM events) e WHERE json_extract_string(props, '$.' || k) = '7' GROUP BY k")(lambda e: report.map_counts(e.select(F.from_json("props", "map<string,string>").alias("m")), "m", "7"))
-SETTINGS = """# checks
-settings:
-  timeout_seconds: 20
-  user_agent: "probe/1 (test)"
-links:
-  - name: Home
-    category: site
-    url: https://a.example/
-    required: true
-    warning_statuses: [403, 429]
-  - name: 'Other'
-    url: https://b.example/x
-    required: false
-    notes: slow
-"""
-QUERIES["settings_links"] = lambda spark, sf_dir: rules.links(spark, SETTINGS).select("place", "name", "category", "url", "required", F.array_join(F.col("warning_statuses").cast("array<string>"), ",").alias("warnings"), "notes")
-SQL["settings_links"] = "SELECT * FROM (VALUES (0, 'Home', 'site', 'https://a.example/', true, '403,429', NULL), (1, 'Other', NULL, 'https://b.example/x', false, '', 'slow')) v(place, name, category, url, required, warnings, notes)"
 
 
 @on_catalogue(
@@ -299,3 +286,90 @@ def _forms(c: DataFrame) -> DataFrame:
     long = c.filter("isbn rlike '^978[0-9]{10}$'")
     cache = long.filter("idx % 3 = 0").select(F.col("isbn").alias("form")).unionByName(long.filter("idx % 5 = 1").select(isbn.to10(F.col("isbn")).alias("form"))).distinct()
     return match.by_alias(c, cache.withColumn("title", F.col("form")))
+
+
+# --- site search with errors: pages as documents, their addresses as titles, their headings as sections
+_FUZZY = "the and atttion"
+_PLAIN = "regexp_replace(lower({}), '[^\\x00-\\x7f]', '~', 'g')"
+_NEAR = f"(SELECT min(levenshtein(substr(b, i, m), '{_FUZZY}')) FROM (SELECT unnest(generate_series(1, greatest(length(b) - {len(_FUZZY) - 2}, 1))) AS i) x, (SELECT unnest([{len(_FUZZY) - 1}, {len(_FUZZY)}, {len(_FUZZY) + 1}]) AS m) y)"
+_FIELDS_OF = f"(SELECT page_id, url, 20 AS w, {_PLAIN.format('url')} AS b FROM pages UNION ALL SELECT page_id, url, 20, {_PLAIN.format(chr(39) * 2 + ' || ' + chr(39) * 2)} FROM pages UNION ALL SELECT page_id, url, 10, {_PLAIN.format('html')} FROM pages) f"
+
+
+@on_table("site_search_fuzzy", "pages", f"SELECT page_id, url AS href, round(sum(w * (1 - e / {len(_FUZZY)}.0::DOUBLE)), 6) AS score FROM (SELECT page_id, url, w, {_NEAR} AS e FROM {_FIELDS_OF}) g WHERE e <= 1 GROUP BY page_id, url ORDER BY score DESC, url, page_id LIMIT 50")
+def _fuzzy(p: DataFrame) -> DataFrame:
+    d = p.select("page_id", F.col("url").alias("href"), F.col("url").alias("title"), F.lit("").alias("section"), F.col("html").alias("text"))
+    return search.approximate(d, search.postings(d), _FUZZY).select("page_id", "href", F.round("score", 6).alias("score"))
+
+
+# --- overrides and enrichment with where each field comes from
+@on_catalogue(
+    "override_provenance",
+    "SELECT idx, CASE WHEN r THEN 'Corrected ' || title ELSE title END AS title, CASE WHEN r AND idx % 2 = 0 THEN '1999' ELSE publication_year END AS publication_year,"
+    " CASE WHEN r THEN array_to_string(list_filter(['title', CASE WHEN idx % 2 = 0 AND publication_year <> '1999' THEN 'publication_year' END], lambda x: x IS NOT NULL), ',') END AS changed, CASE WHEN r THEN CASE WHEN idx % 2 = 0 THEN 'publisher,title,publication_year' ELSE 'publisher,title' END END AS verified,"
+    " CASE WHEN NOT r THEN 'series=export' WHEN idx % 2 = 0 THEN 'publication_year=a,b publisher=a,b series=export title=a,b' ELSE 'publisher=a,b series=export title=a,b' END AS provenance FROM (SELECT *, idx % 37 = 0 AS r FROM catalogue) c",
+)
+def _provenance(c: DataFrame) -> DataFrame:
+    base = [F.lit("publisher"), F.col("publisher"), F.lit("title"), F.concat(F.lit("Corrected "), "title")]
+    changes = F.when(_idx(2), F.create_map(*base, F.lit("publication_year"), F.lit("1999"))).otherwise(F.create_map(*base))
+    rules = c.filter(_idx(37)).select("id", F.lit("high").alias("confidence"), F.lit("checked").alias("reason"), F.array(F.lit("a"), F.lit("b")).alias("sources"), changes.alias("changes"))
+    out = curate.applied(c.withColumn("data_provenance", F.create_map(F.lit("series"), F.lit("export"))), rules, FIELDS)
+    return out.select("idx", "title", "publication_year", F.array_join("curation.changed_fields", ",").alias("changed"), F.array_join("curation.verified_fields", ",").alias("verified"), _listed("data_provenance").alias("provenance"))
+
+
+def _listed(entries: str) -> Column:
+    """A map's entries in order, as text."""
+    return F.array_join(F.array_sort(F.transform(F.map_entries(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ")
+
+
+_BY_NUMBER = "(SELECT DISTINCT isbn AS i FROM catalogue WHERE isbn <> '' AND isbn NOT LIKE '%?' AND idx % 3 = 0) e"
+
+
+@on_catalogue(
+    "enrich_provenance",
+    f"SELECT idx, i IS NOT NULL AS matched, CASE WHEN i IS NOT NULL AND author = '' THEN 'Ann B. | Cy' ELSE author END AS author, CASE WHEN i IS NOT NULL AND publisher = '' THEN 'Pub-A' ELSE publisher END AS publisher, CASE WHEN i IS NOT NULL AND publication_year = '' THEN '1987' ELSE publication_year END AS publication_year,"
+    f" array_to_string(list_filter([CASE WHEN author = '' THEN 'author=openlibrary_exact' END, CASE WHEN publication_year = '' THEN 'publication_year=openlibrary_exact' END, CASE WHEN publisher = '' THEN 'publisher=openlibrary_exact' END], lambda x: x IS NOT NULL AND i IS NOT NULL), ' ') AS provenance FROM catalogue LEFT JOIN {_BY_NUMBER} ON isbn = i",
+)
+def _enriched(c: DataFrame) -> DataFrame:
+    entries = c.filter("isbn <> '' and isbn not like '%?'").filter(_idx(3)).select("isbn").distinct()
+    entries = entries.select("isbn", F.lit("T").alias("title"), F.lit("").alias("subtitle"), F.array(F.lit(" Ann  B."), F.lit("Cy")).alias("authors"), F.array(F.lit("Pub-A "), F.lit("Q")).alias("publishers"), F.lit("mai 1987").alias("publish_date"))
+    out = curate.filled_from(c.withColumn("publication_date", F.lit("x")), entries)
+    return out.select("idx", "matched", "author", "publisher", "publication_year", _listed("data_provenance").alias("provenance"))
+
+
+# --- covers of editions and works, by evidence of either
+_WORDS_OF = "list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) > 1 AND NOT list_contains(" + str(list(match.STOP)) + ", w)))"
+_WORKS = f"(SELECT *, {KEY.format('title')} AS t, {_NAMES} AS names, {Y} AS y, {_WORDS_OF.format(KEY.format('publisher'))} AS words, {_WORDS_OF.format(KEY.format(chr(39) + 'Editions de ' + chr(39) + ' || publisher'))} AS longer FROM catalogue)"
+_OFFER = "{{'numbers': {}, 'years': {}, 'words': {}, 'cover': {}, 'url': {}, 'n': {}, 'y': {}}}"
+_OFFERS = "[" + ", ".join([
+    _OFFER.format("['x', isbn]", "[CASE WHEN idx % 3 > 0 THEN y END]", "words", "CASE WHEN idx % 5 > 0 THEN idx END", "CASE WHEN idx % 2 = 0 THEN '/books/OL' || idx ELSE '/works/' || id END", "115", "85"),
+    _OFFER.format("['0', CASE WHEN idx % 6 < 3 THEN isbn END]", "[y]", "longer", "CASE WHEN idx % 4 <> 1 THEN 2 * idx + 1 END", "'/e/' || id", "120", "95"),
+    _OFFER.format("['0']", "[y]", "words", "CASE WHEN idx % 7 = 0 THEN 9000000 + idx END", "'/f/' || id", "120", "95"),
+]) + "]"
+_MEANT = f"(SELECT a.id, o.cover AS cover_id, o.url AS source_url, CASE WHEN a.isbn <> '' AND list_contains(o.numbers, a.isbn) THEN o.n WHEN list_contains(o.years, a.y) AND len(a.words) > 0 AND len(o.words) > 0 AND (list_has_all(a.words, o.words) OR list_has_all(o.words, a.words) OR 2 * len(list_intersect(a.words, o.words)) >= len(list_distinct(list_concat(a.words, o.words)))) THEN o.y END AS score FROM {_WORKS} a JOIN (SELECT idx, t, names, unnest({_OFFERS}) AS o FROM {_WORKS}) b ON a.t = b.t WHERE a.t <> '' AND o.cover > 0 AND {_AUTHORS}) p"
+
+
+@on_catalogue("edition_match", f"SELECT id, score, min(cover_id) AS cover_id, min(source_url) AS source_url FROM (SELECT *, rank() OVER (PARTITION BY id ORDER BY score DESC) AS r FROM {_MEANT} WHERE score IS NOT NULL) q WHERE r = 1 GROUP BY id, score HAVING count(DISTINCT cover_id) = 1")
+def _editions_of_works(c: DataFrame) -> DataFrame:
+    year = F.concat(F.lit("vers "), "publication_year")
+    edition = lambda key, title, isbn, publisher, cover: F.struct(F.concat(F.lit(key), "id").alias("key"), title.alias("title"), isbn.alias("isbn"), F.array(F.lit(None).cast("string"), year).alias("publish_date"), F.array(publisher).alias("publisher"), cover.cast("long").alias("cover_i"))
+    editions = F.array(
+        edition("/e/", F.upper("title"), F.array(F.lit("0"), F.when(F.col("idx") % 6 < 3, F.col("isbn"))), F.concat(F.lit("Editions de "), "publisher"), F.when(F.col("idx") % 4 != 1, 2 * F.col("idx") + 1)),
+        edition("/f/", F.col("title"), F.array(F.lit("0")), F.col("publisher"), F.when(_idx(7), 9000000 + F.col("idx"))), edition("/g/", F.concat("title", F.lit(" II")), F.array("isbn"), F.col("publisher"), F.lit(1)),
+    )
+    works = c.select(
+        F.concat(F.lit("/works/"), "id").alias("key"), "title", text.split_authors(F.col("author")).alias("author_name"), F.array(F.lit("x"), F.col("isbn")).alias("isbn"), F.array(F.when(F.col("idx") % 3 > 0, F.col("publication_year"))).alias("publish_year"),
+        F.array("publisher").alias("publisher"), F.when(F.col("idx") % 5 > 0, F.col("idx")).cast("long").alias("cover_i"), F.when(_idx(2), F.concat(F.lit("OL"), F.col("idx").cast("string"))).alias("cover_edition_key"), editions.alias("editions"),
+    )
+    return match.edition_matches(c, works)
+
+
+# --- what sources have answered so far
+@on_catalogue("cache_upserts", "SELECT isbn, CASE WHEN max(idx % 3) = 2 THEN 'second' ELSE 'first' END AS answer FROM catalogue WHERE isbn <> '' AND idx % 3 > 0 GROUP BY isbn")
+def _answers(c: DataFrame) -> DataFrame:
+    spark = c.sparkSession
+    table = CacheTable(spark, f"{shared_folder(spark)}/answers-{uuid.uuid4().hex}", "isbn")
+    answered = lambda k, answer: c.filter("isbn <> ''").filter(_idx(3, k)).select("isbn", F.lit(answer).alias("answer"))
+    for batch, rows in (("1", answered(1, "first")), ("2", answered(2, "second")), ("1", answered(1, "again"))):
+        table.upsert(rows, batch)
+    table.compact()
+    return table.read()

@@ -1,63 +1,13 @@
-"""Small files of settings and links, in the restricted YAML that they use, and reports as JSON."""
+"""Rows as JSON objects, and small reports of a driver."""
 
 from __future__ import annotations
 
 import json
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_WORDS = {"": "", "true": True, "True": True, "false": False, "False": False, "null": None, "None": None, "~": None}
-LINK = "name string, category string, url string, required boolean, warning_statuses array<int>, notes string"
-
-
-def scalar(text: str) -> Any:
-    """A word's value: booleans, nulls, lists in brackets, quoted texts, whole numbers, or the text itself."""
-    text = text.strip()
-    if text in _WORDS:
-        return _WORDS[text]
-    if text[0] == "[" and text[-1] == "]":
-        return [scalar(x) for x in text[1:-1].split(",")] if text[1:-1].strip() else []
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
-        return text[1:-1]
-    try:
-        return int(text)
-    except ValueError:
-        return text
-
-
-def parse_yaml(text: str) -> dict[str, Any]:
-    """A section of settings and a section of links, which are flat mappings; any other form is an error."""
-    out: dict[str, Any] = {"settings": {}, "links": []}
-    section, target = None, None
-    for line in text.splitlines():
-        bare = line.strip()
-        if not bare or bare[0] == "#":
-            continue
-        depth = len(line) - len(line.lstrip(" "))
-        if depth == 0 and bare[-1] == ":":
-            section, target = bare[:-1], out["settings"] if bare == "settings:" else None
-            out.setdefault(section, {})
-            continue
-        if section == "links" and depth == 2 and bare.startswith("- "):
-            target, bare = {}, bare[2:].strip()
-            out["links"].append(target)
-        elif not (section == "links" and depth >= 4 or section == "settings" and depth >= 2) or target is None:
-            raise ValueError(f"a line of another form: {line!r}")
-        if bare:
-            name, colon, value = bare.partition(":")
-            if not colon:
-                raise ValueError(f"a line without a colon: {line!r}")
-            target[name.strip()] = scalar(value)
-    return out
-
-
-def links(spark: SparkSession, text: str) -> DataFrame:
-    """The links of a settings file, in order; a link is required unless it says otherwise."""
-    rows = [(i, x.get("name"), x.get("category"), x.get("url"), x.get("required", True), x.get("warning_statuses") or [], x.get("notes")) for i, x in enumerate(parse_yaml(text)["links"])]
-    return spark.createDataFrame(rows, "place int, " + LINK)
-
 
 def sorted_json(df: DataFrame) -> DataFrame:
     """One column, json: each row as an object whose names are in order."""
