@@ -75,10 +75,6 @@ class Tokenizers:
         same = self.b.encode("a  ﬁ b ", out_type=str) and "".join(self.b.encode("a  ﬁ b ", out_type=str)) == "▁a▁▁ﬁ▁b▁"
         self.cuts = bool(plain and same and not any(CUTS.search(p) for p in pieces))
 
-    def chunks(self, text: str) -> list[str]:
-        """The chunks of space + text; where cuts holds."""
-        return _CHUNK.findall(" " + text)
-
     def encode_a(self, chunks: list[str]) -> list[list[int]]:
         return [x.ids for x in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -89,6 +85,11 @@ class Tokenizers:
         return [ids if o else ids[2:] for ids, o in zip(made, own, strict=True)]
 
 
+def chunks(text: str) -> list[str]:
+    """The chunks of space + text."""
+    return _CHUNK.findall(" " + text)
+
+
 @lru_cache(maxsize=2)
 def tokenizers(a: str, b: str) -> Tokenizers:
     caches["alignment"] = tokenizers.cache_clear
@@ -98,14 +99,14 @@ def tokenizers(a: str, b: str) -> Tokenizers:
 class Pieces(dict):
     """What stands between two spaces as the numbers of its chunks, the space before it included; an error where the space after it is no cut."""
 
-    def __init__(self, chunks, names: Names) -> None:
+    def __init__(self, names: Names) -> None:
         super().__init__()
-        self.chunks, self.names = chunks, names
+        self.names = names
 
     def __missing__(self, piece: str) -> list[int]:
         if not piece or piece[-1].isspace():
             raise ValueError(piece)
-        self[piece] = out = [self.names[x] for x in self.chunks(piece)]
+        self[piece] = out = [self.names[x] for x in chunks(piece)]
         return out
 
     def numbers(self, text: str) -> list[int]:
@@ -114,17 +115,17 @@ class Pieces(dict):
         try:
             out = list(chain.from_iterable(map(self.__getitem__, pieces[:-1])))
         except ValueError:
-            return [self.names[x] for x in self.chunks(text)]
+            return [self.names[x] for x in chunks(text)]
         last = pieces[-1]
-        return out + (self[last] if last and not last[-1].isspace() else [self.names[x] for x in self.chunks(last)])
+        return out + (self[last] if last and not last[-1].isspace() else [self.names[x] for x in chunks(last)])
 
 
-def _numbered(a: str, b: str):
+def _numbered(cuts: bool):
     def run(block: int, batches: list[pa.RecordBatch]):
-        """A block's texts as numbers into a dictionary of chunks."""
-        t, names = tokenizers(a, b), Names()
-        pieces = Pieces(t.chunks, names)
-        numbers = pieces.numbers if t.cuts else lambda text: [names[" " + text]]
+        """A block's texts as numbers into a dictionary of chunks, or of whole texts."""
+        names = Names()
+        pieces = Pieces(names)
+        numbers = pieces.numbers if cuts else lambda text: [names[" " + text]]
         ids, series = [], []
         for batch in batches:
             ids += batch.column(0).to_pylist()
@@ -315,7 +316,7 @@ def aligned(docs: DataFrame, a: str, b: str, doc_id: str = "doc_id", text: str =
     """
     kept, (n_a, n_b) = Tables("align"), (len(x) for x in (tokenizers(a, b).bytes_a, tokenizers(a, b).bytes_b))
     width, small = n_b, max(n_a, n_b) <= SMALL
-    blocks = kept.put(in_blocks(docs.select(F.col(doc_id).cast("long"), text), _numbered(a, b), _BLOCKS, 1), "blocks")
+    blocks = kept.put(in_blocks(docs.select(F.col(doc_id).cast("long"), text), _numbered(tokenizers(a, b).cuts), _BLOCKS, 1), "blocks")
     series = lambda: blocks.filter("series is not null").select(F.col("block").alias("block"), "ids", "sizes", "series").groupBy("block")
     own = blocks.filter("chunk is not null").select("block", "local", "chunk")
     tokens = kept.put(encoded(own.select("chunk").distinct().withColumn("chunk_id", F.monotonically_increasing_id()), a, b), "tokens")

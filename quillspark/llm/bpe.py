@@ -6,8 +6,8 @@ the vocabulary's strings, by a space, as a tokenizer file without a decoder asks
 
 Null texts count as empty and have no ids; rows with null, equal or clashing ids and columns
 are encoded like any others, as only the named columns are read, and an empty table gives no
-rows. Words are cached by worker, in two generations of at most CACHE_WORDS entries each,
-which bounds memory and changes no result. Code points newer than the Unicode data of
+rows. Words are cached by worker, in two generations of about CACHE_BYTES each, and words of more
+than CACHED letters aren't, which bounds memory and changes no result. A very long text costs memory in proportion to itself. Code points newer than the Unicode data of
 Python's unicodedata module may be folded or split otherwise than the library does.
 """
 
@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import arrow_settings, caches, map_batches, table
 
-#: Words of one generation of a worker's cache, of which it has two.
-CACHE_WORDS = 200_000
+#: Bytes of one generation of a worker's cache, of which it has two, and what an entry needs beside its contents.
+CACHE_BYTES, ENTRY_BYTES = 40_000_000, 200
+#: Longer words are made anew each time.
+CACHED = 64
 #: Bits of a queue entry that hold the position, of words with at most 2 ** SHORT symbols: entries then are one machine digit.
 SHORT, LONG = 12, 40
 END = "</w>"
@@ -166,20 +168,26 @@ class BPE:
 
 
 class Cache(dict):
-    """What a function gave for each word so far: the latest CACHE_WORDS words, and those of the generation before them."""
+    """What a function gave for each word so far: the latest words, of CACHE_BYTES in all, and those of the generation before them. Values are bytes or tuples of them."""
 
     def __init__(self, make) -> None:
         super().__init__()
         self.make = make
         self.older: dict = {}
+        self.bytes = 0
 
     def __missing__(self, word: str):
+        if len(word) > CACHED:
+            return self.make(word)
         out = self.older.get(word)
         if out is None:
             out = self.make(word)
-        if len(self) >= CACHE_WORDS:
+        size = ENTRY_BYTES + 4 * len(word) + (len(out) if isinstance(out, bytes) else sum(map(len, out)))
+        if self.bytes + size > CACHE_BYTES:
             self.older = dict(self)
             self.clear()
+            self.bytes = 0
+        self.bytes += size
         self[word] = out
         return out
 

@@ -10,7 +10,7 @@ are taken by a hash of the id. A null text or one without a letter is `und` with
 without any training row every text is. Ties go to the language first in the alphabet.
 Repeated and null ids are labelled row by row; a row with a null id doesn't train, as
 its held-out share is unknown. An empty table gives no rows. Only the named columns are read,
-whatever others there are.
+whatever others there are. A very long text costs memory in proportion to its words, and nothing of it is kept.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ SMOOTHING = 0.5
 SWITCH = 12.0
 #: A language may have a script that makes up this share of its training letters.
 SCRIPT_SHARE = 0.01
-CACHE_WORDS = 400_000
+#: Words whose scores a worker keeps between batches, and the letters of the longest of them; what a batch has beyond that is dropped after it.
+CACHE_WORDS, CACHED = 400_000, 64
 
 #: Upper ends of ranges of code points, and the scripts up to them.
 _ENDS = np.array([0x40, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x780, 0x900, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0x110000])
@@ -90,6 +91,7 @@ class Model:
         total = sum(scripts.values()) if scripts else 1
         self.allowed = {s: x >= SCRIPT_SHARE * total for s, x in scripts.items()}
         self.words: dict[str, int] = {}
+        self.long = False
         self.scores = np.zeros((1024, len(self.langs)))
         self.sizes = np.zeros(1024, np.int64)
 
@@ -99,8 +101,9 @@ class Model:
         if not new:
             return
         if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
+            self.forget()
             new = list(dict.fromkeys(chunks))
+        self.long = self.long or any(len(c) > CACHED for c in new)
         words = [letters_of(c) for c in new]
         get = self.grams.get
         ids = [[get(g, 0) for g in trigrams(w)] if w else [0] for w in words]
@@ -124,6 +127,13 @@ class Model:
         self.scores[start:end], self.sizes[start:end] = score, sizes
         self.words.update(zip(new, range(start, end), strict=True))
 
+    def forget(self) -> None:
+        """Drops all words, and the arrays of a batch that had far more of them than are kept."""
+        self.words.clear()
+        self.long = False
+        if len(self.sizes) > 2 * CACHE_WORDS:
+            self.scores, self.sizes = np.zeros((1024, len(self.langs))), np.zeros(1024, np.int64)
+
     def paths(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each text the number of the language of each word, and the words' letters. Texts are stepped through together, longest first."""
         split = [(t or "").lower().split() for t in texts]
@@ -133,6 +143,8 @@ class Model:
         self.learn(flat)
         ids = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
         emit, letters = self.scores[ids], self.sizes[ids]
+        if self.long or len(self.words) > CACHE_WORDS:  # long words aren't kept, nor is a batch of more words than that
+            self.forget()
         first = np.cumsum(sizes) - sizes
         steps = int(sizes[0]) if len(sizes) else 0
         active = np.searchsorted(-sizes, -np.arange(steps), "left") if steps else []

@@ -11,7 +11,9 @@ colours of the samples that it draws.
 A null text counts as empty and gives one row of spaces. Equal texts give equal values. An
 empty table gives no rows. Rows with null or repeated ids are rows like others. Only the
 named columns of the input are read, whatever others there are. A column's value that is
-null has no frames; one that is no GIF, or is damaged, gives one row with the error.
+null has no frames; one that is no GIF, is damaged, or asks for more than PIXELS pixels gives
+a row with the error after the frames before it. Frames are decoded one at a time, so a very
+long text or GIF costs its own bytes and a few frames.
 """
 
 from __future__ import annotations
@@ -19,15 +21,18 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm.common import arrow_settings, map_batches, table
+from quillspark.llm.common import arrow_schema, arrow_settings, as_batch, entered, give_back, map_batches, table
 
 WIDTH = 192
 FRAME_ROWS = 16_384
+#: Pixels of a canvas or of a frame, at most: 256 MB as RGBA.
+PIXELS = 1 << 26
 #: Hundredths of a second that each frame stays.
 DELAY = 10
 _CLEAR, _STOP, _FULL = 256, 257, 4096
@@ -82,8 +87,8 @@ def lzw(data: bytes) -> bytes:
     return _pack(np.array(codes, np.int64), widths)
 
 
-def unlzw(stream: bytes, least: int) -> bytes:
-    """The samples of a code stream. A stream that ends early gives what it holds; a code beyond the table is an error."""
+def unlzw(stream: bytes, least: int, most: int) -> bytes:
+    """The samples of a code stream, up to one table's worth beyond `most`. A stream that ends early gives what it holds; a code beyond the table is an error."""
     clear, stop = 1 << least, (1 << least) + 1
     widths, starts = (_WIDTHS, _STARTS) if least == 8 else _schedule(least)
     b = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
@@ -92,8 +97,8 @@ def unlzw(stream: bytes, least: int) -> bytes:
     alphabet = [bytes([i]) for i in range(clear)] + [b"", b""]
     out: list[bytes] = []
     known, prev = alphabet.copy(), b""
-    since = 0  # codes since the last clear
-    while at < total:
+    since = made = 0  # codes since the last clear, and samples so far
+    while at < total and made < most:
         if since < _FULL:
             place, width = at + starts[since:] - starts[since], widths[since:]
         else:
@@ -115,6 +120,7 @@ def unlzw(stream: bytes, least: int) -> bytes:
                 known.append(prev + e[:1])
             out.append(e)
             prev = e
+        made += sum(map(len, out[len(out) - m :]))
         if m < n and codes[m] == stop:
             break
         if m < n:
@@ -156,14 +162,18 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
-def decode(data: bytes, compose: bool = True) -> list[dict]:
-    """The frames: samples (indices, rows by columns), palette, canvas (RGBA after drawing), at_ms and ms."""
+def decode(data: bytes) -> Iterator[dict]:
+    """The frames one by one: samples (indices, rows by columns), palette, drawn (the samples that show), canvas (RGBA after drawing, the same array for all frames), at_ms and ms.
+
+    A canvas or frame of more than PIXELS pixels is an error, so a few bytes can't ask for more memory than that.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     shared, at = _palette(data, 13, flags)
+    if width * height > PIXELS:
+        raise ValueError("a canvas beyond the bound")
     canvas = np.zeros((height, width, 4), np.uint8)
-    frames: list[dict] = []
     disposal, delay, clear_index, clock = 0, 0, None, 0
     while at < len(data) and (kind := data[at]) != 0x3B:
         at += 1
@@ -177,39 +187,37 @@ def decode(data: bytes, compose: bool = True) -> list[dict]:
         if kind != 0x2C:
             raise ValueError("an unknown block")
         x, y, w, h, f = struct.unpack_from("<HHHHB", data, at)
+        if w * h > PIXELS:
+            raise ValueError("a frame beyond the bound")
         own, at = _palette(data, at + 9, f)
         palette = shared if own is None else own
         if palette is None:
             raise ValueError("no palette")
         stream, at = _unblocked(data, at + 1) if (least := data[at]) < 12 else (b"", len(data))
-        flat = np.frombuffer(unlzw(stream, least), np.uint8)[: w * h]
+        flat = np.frombuffer(unlzw(stream, least, w * h), np.uint8)[: w * h]
         samples = np.concatenate([flat, np.zeros(w * h - len(flat), np.uint8)]).reshape(h, w)
         if f & 0x40:
             rows = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
             samples = samples[np.argsort(rows)]
-        frame = {"samples": samples, "palette": palette, "at_ms": clock, "ms": 10 * delay, "disposal": disposal}
-        if compose:
-            before = canvas.copy() if disposal == 3 else None
-            area = canvas[y : y + h, x : x + w]
-            shown = samples[: area.shape[0], : area.shape[1]]
-            paint = np.concatenate([palette, np.full((len(palette), 1), 255, np.uint8)], axis=1)
-            paint = np.concatenate([paint, np.repeat(paint[-1:], 256 - len(paint), axis=0)])
-            if clear_index is None:
-                frame["drawn"] = shown
-                area[:] = paint[shown]
-            else:
-                drawn = shown != clear_index
-                frame["drawn"] = shown[drawn]
-                area[drawn] = paint[frame["drawn"]]
-            frame["canvas"] = canvas.copy()
-            if disposal == 2:
-                area[:] = 0
-            elif disposal == 3:
-                canvas = before
-        frames.append(frame)
+        before = canvas.copy() if disposal == 3 else None
+        area = canvas[y : y + h, x : x + w]
+        shown = samples[: area.shape[0], : area.shape[1]]
+        paint = np.concatenate([palette, np.full((len(palette), 1), 255, np.uint8)], axis=1)
+        paint = np.concatenate([paint, np.repeat(paint[-1:], 256 - len(paint), axis=0)])
+        if clear_index is None:
+            drawn = shown
+            area[:] = paint[shown]
+        else:
+            seen = shown != clear_index
+            drawn = shown[seen]
+            area[seen] = paint[drawn]
+        yield {"samples": samples, "palette": palette, "drawn": drawn, "canvas": canvas, "at_ms": clock, "ms": 10 * delay, "disposal": disposal}
+        if disposal == 2:
+            area[:] = 0
+        elif before is not None:
+            canvas = before
         clock += 10 * delay
         disposal, delay, clear_index = 0, 0, None
-    return frames
 
 
 def histogram(frame: dict, bins: int = 4) -> np.ndarray:
@@ -225,14 +233,25 @@ def padded(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (-len(raw) % WIDTH if raw else WIDTH)
 
 
-def _feature(frames: list[dict]) -> str:
-    """Frames, their time, the drawn samples by sixteenth, the composed canvases' visible pixels by red, and the drawn samples by colour cell."""
-    grey = np.sum([np.bincount(f["drawn"].ravel() >> 4, minlength=16) for f in frames], axis=0)
-    red = np.sum([np.bincount(f["canvas"][..., 0].ravel() >> 4, weights=f["canvas"][..., 3].ravel() == 255, minlength=16) for f in frames], axis=0).astype(np.int64)
-    colour = np.sum([histogram(f) for f in frames], axis=0)
-    ms = frames[-1]["at_ms"] + frames[-1]["ms"]
-    cells = ",".join(f"{i}:{colour[i]}" for i in np.flatnonzero(colour).tolist())
-    return f"frames={len(frames)};ms={ms};grey={','.join(map(str, grey))};shown={','.join(map(str, red))};colour={cells}"
+class Features:
+    """What a GIF's frames show, summed up frame by frame."""
+
+    def __init__(self) -> None:
+        self.frames = self.ms = 0
+        self.grey, self.red, self.colour = np.zeros(16, np.int64), np.zeros(16, np.int64), np.zeros(64, np.int64)
+
+    def add(self, frame: dict) -> None:
+        canvas = frame["canvas"]
+        self.frames += 1
+        self.ms = frame["at_ms"] + frame["ms"]
+        self.grey += np.bincount(frame["drawn"].ravel() >> 4, minlength=16)
+        self.red += np.bincount(canvas[..., 0].ravel()[canvas[..., 3].ravel() == 255] >> 4, minlength=16)
+        self.colour += histogram(frame)
+
+    def __str__(self) -> str:
+        """Frames, their time, the drawn samples by sixteenth, the composed canvases' visible pixels by red, and the drawn samples by colour cell."""
+        cells = ",".join(f"{i}:{self.colour[i]}" for i in np.flatnonzero(self.colour).tolist())
+        return f"frames={self.frames};ms={self.ms};grey={','.join(map(str, self.grey))};shown={','.join(map(str, self.red))};colour={cells}"
 
 
 def stored_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,8 +259,8 @@ def stored_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def run(b: pa.RecordBatch) -> dict:
         media = [encode(padded(x)[1]) for x in b.column(1).to_pylist()]
-        frames = [decode(x) for x in media]
-        return {"doc_id": b.column(0), "media": media, "frame_ms": [[f["at_ms"] for f in x] for x in frames], "colours": [np.concatenate([histogram(f) for f in x]).tolist() for x in frames]}
+        told = [[(f["at_ms"], histogram(f)) for f in decode(x)] for x in media]
+        return {"doc_id": b.column(0), "media": media, "frame_ms": [[at for at, _ in x] for x in told], "colours": [np.concatenate([h for _, h in x]).tolist() for x in told]}
 
     return map_batches(docs.select(doc_id, text), run, "doc_id long, media binary, frame_ms array<long>, colours array<long>")
 
@@ -250,23 +269,23 @@ _FRAME = "id long, frame int, at_ms long, ms long, width int, height int, canvas
 
 
 def frames(df: DataFrame, media_id: str, media: str) -> DataFrame:
-    """A row for each frame of a column of GIFs: its canvas (RGBA) after drawing, its time, and the drawn samples by colour."""
+    """A row for each frame of a column of GIFs: its canvas (RGBA) after drawing, its time, and the drawn samples by colour. What can't be decoded, or asks for more than PIXELS, gives an error row after the frames before it."""
+    schema = arrow_schema(_FRAME)
 
-    def run(b: pa.RecordBatch) -> dict:
-        rows: list[tuple] = []
-        for own, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if data is None:
-                continue
-            try:
-                for k, f in enumerate(decode(data)):
-                    h, w, _ = f["canvas"].shape
-                    rows.append((own, k, f["at_ms"], f["ms"], w, h, f["canvas"].tobytes(), histogram(f).tolist(), None))
-            except (ValueError, IndexError, struct.error) as e:
-                rows.append((own, None, None, None, None, None, None, None, str(e)[:200]))
-        names = [c.split()[0] for c in _FRAME.split(", ")]
-        return dict(zip(names, map(list, zip(*rows, strict=True)) if rows else ([] for _ in names), strict=True))
-
-    return map_batches(df.select(media_id, media), run, _FRAME)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered()
+        for b in batches:
+            for own, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                k = 0
+                try:
+                    for k, f in enumerate(decode(data) if data is not None else (), 1):
+                        h, w, _ = f["canvas"].shape
+                        yield as_batch(dict(zip(schema.names, [[x] for x in (own, k - 1, f["at_ms"], f["ms"], w, h, f["canvas"].tobytes(), histogram(f).tolist(), None)], strict=True)), schema)
+                except (ValueError, IndexError, struct.error) as e:
+                    yield as_batch(dict(zip(schema.names, [[x] for x in (own, *[None] * 7, str(e)[:200])], strict=True)), schema)
+        give_back()
+
+    return df.select(media_id, media).mapInArrow(run, _FRAME)
 
 
 _ROW = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -280,9 +299,13 @@ def digested(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         for x in b.column(1).to_pylist():
             n, payload = padded(x)
             media = encode(payload)
-            frames = decode(media)
-            back = b"".join(f["samples"].tobytes() for f in frames)
-            out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), _feature(frames)))
+            told, back, size, tail = Features(), hashlib.sha256(), 0, b""
+            for f in decode(media):
+                part = f["samples"].tobytes()
+                told.add(f)
+                back.update(part)
+                size, tail = size + len(part), (tail + part[-16:])[-16:]
+            out.append((n, size, back.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), str(told)))
         return {"doc_id": b.column(0)} | dict(zip([c.split()[0] for c in _ROW.split(", ")][1:], map(list, zip(*out, strict=True)), strict=True))
 
     return map_batches(docs.select(doc_id, text), run, _ROW)

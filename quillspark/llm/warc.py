@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_IDS, arrow_schema, arrow_settings, as_batch, give_back, joined_small_hot, scratch_path, stored, table
+from quillspark.llm.common import BROADCAST_IDS, arrow_schema, arrow_settings, as_batch, give_back, joined_small_hot, scratch_dir, scratch_path, stored, table
 
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are never revisits.
@@ -213,12 +213,17 @@ def read_logged(spark: SparkSession, path: str, log: str) -> DataFrame:
     return items.filter("kind = 'record'")
 
 
+def gap_log(spark: SparkSession, name: str = "op5") -> str:
+    """Where a query's quarantined gaps are logged: beside the scratch tables, but kept."""
+    return f"{scratch_dir(spark)}/warc-gaps-{name}"
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract of op5: pages written as archives, read back."""
     arrow_settings(spark)
     path = scratch_path(spark, "warc")
     write(spark, table(spark, sf_dir, "pages"), path)
-    return read_logged(spark, path, scratch_path(spark, "warc-gaps")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_logged(spark, path, gap_log(spark)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

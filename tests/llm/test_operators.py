@@ -165,7 +165,7 @@ def test_plan_is_whole():
 
 def test_gif(docs):
     for data in (os.urandom(192 * 300), b"ab" * 96 * 400, b"a" * 192):
-        frames = media.decode(media.encode(data))
+        frames = list(media.decode(media.encode(data)))
         assert b"".join(f["samples"].tobytes() for f in frames) == data
     rows = {r["doc_id"]: r for r in media.digested(docs).collect()}
     assert rows[0]["payload_bytes"] == 192
@@ -182,7 +182,7 @@ def test_gif_disposal_and_transparency():
         data = bits.to_bytes(2, "little")
         return b"!\xf9\x04" + bytes([disposal << 2 | (clear is not None), 5, 0, clear or 0, 0]) + b"," + bytes([0, 0, 0, 0, 2, 0, 1, 0, 0, 2, len(data)]) + data + b"\0"
 
-    frames = media.decode(head + frame([0, 1], 1, None) + frame([1, 0], 3, 0) + frame([0, 1], 2, 0) + frame([0, 1], 1, 0) + b";")
+    frames = [f | {"canvas": f["canvas"].copy()} for f in media.decode(head + frame([0, 1], 1, None) + frame([1, 0], 3, 0) + frame([0, 1], 2, 0) + frame([0, 1], 1, 0) + b";")]
     assert [f["at_ms"] for f in frames] == [0, 50, 100, 150]
     px = [[tuple(int(v) for v in p) for p in f["canvas"][0]] for f in frames]
     a, b, none = (10, 20, 30, 255), (40, 50, 60, 255), (0, 0, 0, 0)
