@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.blocks import Names, cut, in_blocks, known
+from quillspark.llm.blocks import Names, cut, in_blocks, known, packed, unpacked
 from quillspark.llm.bpe import byte_letters, tokenizer_path
 from quillspark.llm.common import Tables, arrow_schema, arrow_settings, as_batch, caches, entered, give_back, map_batches, table
 
@@ -132,7 +132,7 @@ def _numbered(cuts: bool):
             series += [np.array(numbers(text) if text else [], "<i4") for text in batch.column(1).to_pylist()]
         pieces.clear()
         none = {"local": [None], "chunk": [None]}
-        yield {"block": [block], "ids": [ids], "sizes": [[len(x) for x in series]], "series": [_packed(np.concatenate(series))]} | none
+        yield {"block": [block], "ids": [ids], "sizes": [[len(x) for x in series]], "series": [packed(np.concatenate(series))]} | none
         del series
         empty = {"ids": None, "sizes": None, "series": None}
         yield from cut({"block": block, "local": np.arange(len(names)), "chunk": list(names)} | empty, len(names))
@@ -140,14 +140,6 @@ def _numbered(cuts: bool):
     return run
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(x.astype("<i4").tobytes(), asbytes=True)
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * int.from_bytes(data[:8], "little"), asbytes=True), "<i4")
-
-
 def _lists(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
     return np.fromiter((x for p in parts for x in p), np.int32, int(ends[-1])), ends
@@ -213,7 +205,7 @@ def _series(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """A block's ids, and where each document starts and ends among its chunks' numbers."""
     ids, sizes = table["ids"][0].as_py(), np.array(table["sizes"][0].as_py(), np.int64)
     ends = np.cumsum(sizes)
-    return ids, ends - sizes, ends, _unpacked(table["series"][0].as_py())
+    return ids, ends - sizes, ends, unpacked(table["series"][0].as_py())
 
 
 def _by_documents(starts: np.ndarray, ends: np.ndarray, series: np.ndarray, local: np.ndarray, column: np.ndarray) -> np.ndarray:

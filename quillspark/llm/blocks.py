@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -63,6 +64,15 @@ def cut(columns: dict, rows: int) -> Iterator[dict]:
         yield {k: v[i : i + n] if hasattr(v, "__len__") and not isinstance(v, str | bytes) else [v] * n for k, v in columns.items()}
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers of 32 bits, compressed."""
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(x.astype("<i4").tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(data[8:], 4 * int.from_bytes(data[:8], "little"), asbytes=True), "<i4")
+
+
 def known(rows: DataFrame, answers: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """rows joined to answers, one a key; answers must be stored, as they are counted to choose the join: those of more than BROADCAST_IDS rows are shuffled."""
     return rows.join(F.broadcast(answers) if answers.count() <= BROADCAST_IDS else answers, on, how)

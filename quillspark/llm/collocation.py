@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.blocks import Names, cut, in_blocks, known
+from quillspark.llm.blocks import Names, cut, in_blocks, known, packed, unpacked
 from quillspark.llm.common import Tables, arrow_schema, arrow_settings, as_batch, entered, give_back, table
 
 #: A phrase has at least so many occurrences and at most so many words.
@@ -58,7 +58,7 @@ def _numbered(block: int, batches: list[pa.RecordBatch]):
     for i, (lang, own) in enumerate(names.items()):
         ids, key = np.concatenate(series.pop(lang)), block | i
         n = np.bincount(ids, minlength=len(own))
-        yield {"block": [key], "lang": [lang], "ids": [ids.tobytes()], "local": [None], "word": [None], "n": [None]}
+        yield {"block": [key], "lang": [lang], "ids": [packed(ids)], "local": [None], "word": [None], "n": [None]}
         yield from cut({"block": key, "lang": lang, "ids": None, "local": np.arange(1, len(n)), "word": list(own)[1:], "n": n[1:]}, len(n) - 1)
 
 
@@ -68,7 +68,7 @@ def _pairs(series: pa.Table, names: pa.Table) -> pa.Table:
     entered()
     if not series.num_rows or not names.num_rows:
         return schema.empty_table()
-    block, at = series["block"][0].as_py(), np.frombuffer(series["ids"][0].as_py(), "<i4")
+    block, at = series["block"][0].as_py(), unpacked(series["ids"][0].as_py())
     ids = names["id"].to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
@@ -83,7 +83,7 @@ def _pairs(series: pa.Table, names: pa.Table) -> pa.Table:
     nxt = np.full(len(at), -1, "<i4")
     nxt[:-1][both] = back
     del back, both
-    columns = [{"block": [block], "ids": [nxt.tobytes()], "local": [None], "left": [None], "right": [None], "n": [None]}]
+    columns = [{"block": [block], "ids": [packed(nxt)], "local": [None], "left": [None], "right": [None], "n": [None]}]
     columns += cut({"block": block, "ids": None, "local": np.arange(len(pairs)), "left": ids[pairs // len(ids)], "right": ids[pairs % len(ids)], "n": n}, len(pairs))
     out = pa.Table.from_batches([as_batch(c, schema) for c in columns], schema)
     give_back()
@@ -110,8 +110,8 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text:
         level = kept.put(series.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairs, _LEVEL_K), f"pairs-{k}")
         kept.drop(f"pairs-{k - 1}", f"counts-{k - 1}")
         pair = W.partitionBy("left", "right")
-        rows = level.filter("local is not null").select("block", "local", "left", "right", "n", F.monotonically_increasing_id().alias("own"))
-        rows = rows.select("block", "local", "left", "right", "own", F.sum("n").over(pair).alias("f"), F.min("own").over(pair).alias("id")).filter(F.col("f") >= least)
+        rows = level.filter("local is not null").select("block", "local", "left", "right", F.sum("n").over(pair).alias("f")).filter(F.col("f") >= least)
+        rows = rows.withColumn("own", F.monotonically_increasing_id()).withColumn("id", F.min("own").over(pair))  # another window over rows that are together already
         rows = kept.put(rows.select("block", "local", "left", "right", "f", "id", (F.col("own") == F.col("id")).alias("first")), f"counts-{k}")
         names = rows.select("block", "local", "id")
         left = out[-1].select("lang", F.col("id").alias("left"), F.col("phrase").alias("start"), "heads")
