@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import isbn
 from quillspark.functions.text import collapsed, key, parse_year, present, split_authors
+from quillspark.operators import dedupe, report
+from quillspark.sources.checkpoints import checkpointed
 
 STATUSES = ("valid", "missing_unknown_year", "missing_pre_1970", "missing_1970_or_later")
 
@@ -50,12 +53,17 @@ def from_entry() -> dict[str, Column]:
     }
 
 
+def _nowhere(df: DataFrame) -> Column:
+    """A key that no table has, another one for rows that differ."""
+    return F.concat(F.lit("\0"), F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]).cast("string"))
+
+
 def cascade(df: DataFrame, levels: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
     """df with the first lookup that hits: (provider, table, key of df, key of the table); tables have a url. A hit without a url wins too. Of rows with one key in a table one counts.
 
     Lookups by the same column of df are one table, reduced to the first level of each key, so there are as many joins as columns. Rows without a key get one that no table has, which spreads them.
     """
-    hits, spread = [], F.concat(F.lit("\0"), F.xxhash64(*df.columns).cast("string"))
+    hits, spread = [], _nowhere(df)
     for i, own in enumerate(dict.fromkeys(x[2] for x in levels)):
         sides = [side.select(F.col(other).cast("string").alias(f"_k{i}"), F.struct(F.lit(place).alias("place"), F.lit(provider).alias("provider"), F.col("url").alias("url")).alias("hit")) for place, (provider, side, by, other) in enumerate(levels) if by == own]
         first = reduce(DataFrame.unionByName, sides).filter(present(F.col(f"_k{i}"))).groupBy(f"_k{i}").agg(F.min("hit").alias(f"_h{i}"))
@@ -103,7 +111,7 @@ def filled_from(df: DataFrame, entries: DataFrame, label: str = "openlibrary_exa
     """
     offered = entries.select(F.col("isbn").alias("_isbn"), *[c.alias(f"_{f}") for f, c in from_entry().items()]).dropDuplicates(["_isbn"])
     number = isbn.rescued(F.col("isbn"))
-    own = F.when(isbn.valid(number), number).otherwise(F.concat(F.lit("\0"), F.xxhash64(*df.columns).cast("string")))  # rows without a number are spread
+    own = F.when(isbn.valid(number), number).otherwise(_nowhere(df))  # rows without a number are spread
     out = df.withColumn("data_provenance", _map(df, "data_provenance")).withColumn("_own", own).join(offered, F.col("_own") == F.col("_isbn"), "left")
     fill = {f: ~present(F.col(f)) & present(F.col(f"_{f}")) for f in from_entry()}
     filled = F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in fill.items()]))
@@ -186,3 +194,44 @@ def distinct_authors(df: DataFrame) -> DataFrame:
 def themed(title: Column, themes: list[tuple[str, list[str]]], fallback: str) -> Column:
     """The first theme of which a pattern is found in the title."""
     return F.coalesce(*[F.when(title.rlike("|".join(p)), F.lit(name)) for name, p in themes], F.lit(fallback))
+
+
+@dataclass
+class Curation:
+    """All steps of a curation in their order: overrides, enrichment, covers, labels, themes, quality, merging, quality again.
+
+    rules: as applied() takes them, which may change `fields`. entries: as filled_from() takes them. covers: levels as cascade() takes them, whose key columns are the records' isbn or id.
+    authors and publishers map variants to labels; themes are (name, patterns of titles) in order.
+    """
+
+    rules: DataFrame
+    fields: list[str]
+    entries: DataFrame
+    covers: list[tuple[str, DataFrame, str, str]]
+    themes: list[tuple[str, list[str]]]
+    fallback: str = "other"
+    authors: dict[str, str] | None = None
+    publishers: dict[str, str] | None = None
+
+    def described(self, raw: DataFrame) -> DataFrame:
+        """raw with all that curation adds to a row by itself; before tells the values that overrides have replaced."""
+        rows = cascade(filled_from(applied(raw, self.rules, self.fields), self.entries), self.covers)
+        rows = dedupe.normalized(rows, self.authors, self.publishers).withColumn("theme", themed(F.lower(F.coalesce("title", F.lit(""))), self.themes, self.fallback))
+        return flagged(rows.withColumn("data_provenance", F.when(F.size("data_provenance") > 0, F.col("data_provenance"))))
+
+    def records(self, described: DataFrame) -> DataFrame:
+        """The canonical records of described rows, classified anew, with source_record_ids, source_record_count and reason."""
+        return flagged(dedupe.filled(described.drop("isbn_status", "quality_flags", "before")))
+
+    def report(self, raw: DataFrame, described: DataFrame, records: DataFrame) -> DataFrame:
+        """The quality report as rows (metric, value)."""
+        cover = F.struct(F.col("cover.provider").alias("provider"), F.lit(None).cast("string").alias("match_method"), F.col("cover.url").alias("medium"))
+        told = records.withColumns({"cover": cover, "provenance": _map(records, "data_provenance")})
+        groups = records.filter(F.size("source_record_ids") > 1).select("reason", "source_record_ids")
+        return report.quality(raw, told, groups, described.filter("curation is not null").select("id", F.size("curation.changed_fields").alias("changed")))
+
+    def run(self, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The curated records and the report; what several steps read is kept between them."""
+        described = checkpointed(self.described(raw))
+        records = checkpointed(self.records(described))
+        return records, self.report(raw, described, records)

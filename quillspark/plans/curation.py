@@ -13,7 +13,7 @@ from quillspark.plans.queries import _AUTHORS, _FLAGS, _NAMES, _PUBLISHERS, _WOR
 from quillspark.sources import rules
 from quillspark.sources.cache import CacheTable
 from quillspark.sources.checkpoints import shared_folder
-from quillspark.sources.tables import oracle
+from quillspark.sources.tables import copies, oracle
 
 SHOP = "https://shop.example/search"
 
@@ -373,3 +373,23 @@ def _answers(c: DataFrame) -> DataFrame:
         table.upsert(rows, batch)
     table.compact()
     return table.read()
+
+
+# --- the whole curation: overrides, enrichment, covers, labels, themes, merging, classification, report
+def _curation(c: DataFrame) -> curate.Curation:
+    changes = F.create_map(F.lit("publisher"), F.concat(F.lit("Maison "), "publisher"), F.lit("publication_year"), F.col("publication_year"))
+    rules = c.filter(_idx(37)).select("id", F.lit("high").alias("confidence"), F.lit("checked").alias("reason"), F.array(F.lit("a")).alias("sources"), changes.alias("changes"))
+    numbers = c.filter("isbn <> ''").groupBy("isbn").agg(F.min("idx").alias("n"))
+    none = F.lit("")
+    entries = numbers.filter("n % 4 < 2").select("isbn", F.lit("T").alias("title"), none.alias("subtitle"), F.array(F.lit("Ann B.")).alias("authors"), F.array(F.lit("Pub-A")).alias("publishers"), F.lit("1987").alias("publish_date"))
+    covers = [("number", numbers.filter("n % 5 = 0").select("isbn", F.concat(F.lit("https://n/"), "isbn").alias("url")), "isbn", "isbn"), ("id", c.filter(_idx(7)).select(F.col("id").alias("record"), F.concat(F.lit("https://i/"), "id").alias("url")), "id", "record")]
+    return curate.Curation(rules, FIELDS, entries, covers, [("odd", ["no [0-9]*[13579]$"]), ("even", ["no [0-9]*[02468]$"])], publishers={"brand 7": "Sept"})
+
+
+def _whole(spark, sf_dir: str, k: int) -> DataFrame:
+    raw = copies(spark, sf_dir).withColumns({"genre": F.lit(""), "publication_date": F.lit("")})
+    return _curation(raw).run(raw)[k]
+
+
+QUERIES["curation_records"] = lambda s, d: _whole(s, d, 0).select("idx", "id", "title", "author_normalized", "publisher_normalized", "publication_year", "isbn", "theme", "isbn_status", F.array_join("quality_flags", ",").alias("flags"), "cover.provider", "cover.url", F.coalesce(_listed("data_provenance"), F.lit("")).alias("provenance"), F.array_join("source_record_ids", ",").alias("sources"), "source_record_count", "reason")
+QUERIES["curation_report"] = lambda s, d: _whole(s, d, 1)

@@ -1,6 +1,8 @@
 """Components, merging of wide blocks, editions, provenance, the cache table and approximate search against plain procedures."""
 
+import collections
 import random
+import re
 import time
 
 import pytest
@@ -9,7 +11,12 @@ from pyspark.sql import functions as F
 from quillspark.functions import web
 from quillspark.operators import curate, dedupe, match, reconcile, search
 from quillspark.operators.components import components
+from quillspark.plans import curation as plans
 from quillspark.sources.cache import CacheTable
+from quillspark.sources.tables import copies
+from tests.test_catalogue import plain_merge
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_components(spark):
@@ -187,3 +194,69 @@ def test_attributes_in_any_order(spark):
     assert (got[0]["l"]["title"], got[0]["l"]["source_url"], got[0]["l"]["small"]) == ("L'été", "https://s/livre/1", f"https://i{web.SMALL}9781.jpg")
     assert (got[0]["a"]["title"], got[0]["a"]["source_url"], got[0]["a"]["large"]) == ("T", "https://s/p?x=1&y=2", f"https://i/1{web.LARGE_IMAGE}a.jpg")
     assert got[1]["l"]["isbn"] is None and got[1]["a"]["isbn"] is None
+
+
+def folded(t):
+    return re.sub("[^a-z0-9]+", " ", t.lower()).strip()
+
+
+def plain_curation(raw):
+    """All steps row by row: records by canonical idx, and counts for the report."""
+    first, rows, counts = {}, [], collections.Counter()
+    for r in raw:
+        if r["isbn"]:
+            first[r["isbn"]] = min(r["idx"], first.get(r["isbn"], r["idx"]))
+    for r in raw:
+        r = dict(r) | {"genre": "", "publication_date": ""}
+        provenance, r["curation"] = {}, r["idx"] % 37 == 0
+        if r["curation"]:
+            counts["overrides"] += 1
+            counts["changes"] += 1
+            r["publisher"] = "Maison " + r["publisher"]
+            provenance |= {"publisher": "a", "publication_year": "a"}
+        if r["isbn"] and first[r["isbn"]] % 4 < 2:
+            counts["matched"] += 1
+            for f, v in (("author", "Ann B."), ("publisher", "Pub-A"), ("publication_date", "1987"), ("publication_year", "1987")):
+                if not r[f]:
+                    r[f], provenance[f] = v, "openlibrary_exact"
+        r["cover"] = ("number", "https://n/" + r["isbn"]) if r["isbn"] and first[r["isbn"]] % 5 == 0 else ("id", "https://i/" + r["id"]) if r["idx"] % 7 == 0 else None
+        names = {}
+        for x in r["author"].split("|"):
+            if x.strip():
+                names.setdefault(folded(x), x.strip())
+        r |= {"author_normalized": " | ".join(names.values()), "publisher_normalized": "Sept" if folded(r["publisher"]) == "brand 7" else " ".join(r["publisher"].split()), "provenance": provenance, "names": list(names)}
+        rows.append(r)
+    parts = plain_merge([{"idx": r["idx"], "title": folded(r["title"]), "authors": r["names"], "publisher": folded(r["publisher_normalized"]), "year": folded(r["publication_year"]), "series": folded(r["series"]), "isbn": r["isbn"], "valid": bool(r["isbn"])} for r in rows])
+    by, out = {r["idx"]: r for r in rows}, {}
+    fields = ("author", "title", "isbn", "publisher", "publication_date", "publication_year", "genre", "series")
+    for part in set(parts.values()):
+        score = lambda r: (r["curation"], r["cover"] is not None, sum(bool(r[f]) for f in fields), len(r["names"]), len(r["title"]), len(r["author_normalized"] or r["author"]), -int(r["id"][5:]), -r["idx"])
+        ranked = sorted((by[i] for i in part), key=score, reverse=True)
+        best = {f: next((r[f] for r in ranked if r[f]), ranked[0][f]) for f in (*fields, "author_normalized", "publisher_normalized", "cover", "provenance")}
+        isbns = {r["isbn"] for r in ranked}
+        reason = None if len(part) == 1 else "same_valid_isbn" if len(isbns) == 1 and "" not in isbns else "compatible_metadata"
+        theme = ("odd" if int(best["title"][-1]) % 2 else "even") if re.search("no [0-9]+$", best["title"].lower()) else "other"
+        listed = " ".join(f"{k}={v}" for k, v in sorted((best["provenance"] or {}).items()))
+        out[ranked[0]["idx"]] = (ranked[0]["id"], best["title"], best["author_normalized"], best["publisher_normalized"], best["publication_year"], best["isbn"], best["cover"] and best["cover"][0], listed, ",".join(by[i]["id"] for i in sorted(part)), len(part), reason), theme
+    return out, counts
+
+
+def test_the_whole_curation(spark):
+    raw = sorted((r.asDict() for r in copies(spark, SF).collect()), key=lambda r: r["idx"])
+    want, counts = plain_curation(raw)
+    got = {r["idx"]: r for r in plans.QUERIES["curation_records"](spark, SF).collect()}
+    names = ("id", "title", "author_normalized", "publisher_normalized", "publication_year", "isbn", "provider", "provenance", "sources", "source_record_count", "reason")
+    told = {i: tuple(r[c] for c in names) for i, r in got.items()}
+    assert [(t, want.get(i, [None])[0]) for i, t in sorted(told.items()) if t != want.get(i, [None])[0]] == [] and len(told) == len(want)
+    assert {i: r["theme"] for i, r in got.items()} == {i: t for i, (_, t) in want.items()}
+    for r in got.values():
+        assert ("missing_publisher" in r["flags"], "invalid_isbn" in r["flags"], "shared_isbn" in r["flags"]) == (r["publisher_normalized"] == "", False, False)
+        assert r["isbn_status"] == ("valid" if r["isbn"] else "missing_unknown_year" if not r["publication_year"] else "missing_pre_1970" if int(r["publication_year"]) < 1970 else "missing_1970_or_later")
+    told = {r["metric"]: r["value"] for r in plans.QUERIES["curation_report"](spark, SF).collect()}
+    whole = [w for w, _ in want.values()]
+    assert (told["raw_record_count"], told["record_count"], told["source_record_count"]) == (200, len(whole), 200)
+    assert (told["manual_override_count"], told["manual_field_change_count"]) == (counts["overrides"], counts["changes"])
+    assert told["cover_record_count"] == sum(w[6] is not None for w in whole)
+    assert told["duplicate_group_count"] == sum(w[9] > 1 for w in whole)
+    assert told["duplicate_reason_counts.same_valid_isbn"] == sum(w[10] == "same_valid_isbn" for w in whole)
+    assert told["missing_fields.publisher"] == sum(w[3] == "" for w in whole)
