@@ -14,9 +14,10 @@ confirmed on the whole shingle sets.
 
 A list's pairs aren't all made: in each of a few rounds a document is tried against one leader of another component
 that its lists hold, so a group of copies costs about as many pairs as it has members. Then
-lists whose documents are still in different components are joined across these, each list split into
-parts of at most PART documents; a family of near copies of which many stay apart is therefore compared
-pair by pair, in bounded tasks.
+lists whose documents are still in different components are dealt in squares of two parts of at most PART documents.
+A task compares a square's signatures as arrays, each pair in the first of its common prefix values only, and of those that agree
+often enough the parities of the sets, which bound their difference; only what passes both becomes a row.
+A family of near copies of which many stay apart is therefore compared pair by pair, but in bounded tasks and memory.
 
 Words are as the texts have them with A-Z lower-cased. A text with fewer words than a shingle has its whole
 sequence as its one shingle; an empty or null text has none and links with nothing. Rows with a null id
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,8 +38,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_settings, joined_small_hot, map_batches, mix64, picked, stored, table
-from quillspark.llm.jaccard import _ids, _kept_pairs, components, shingles, verified
+from quillspark.llm.common import arrow_schema, arrow_settings, as_batch, entered, give_back, joined_small_hot, map_batches, mix64, picked, stored, table
+from quillspark.llm.jaccard import _ids, _kept_pairs, components, least_difference, parity, shingles, verified
 
 #: Coordinates of a signature.
 K = 64
@@ -45,8 +47,8 @@ K = 64
 MISS = 1e-9
 #: Rounds in which each document is tried against one leader.
 ROUNDS = 3
-#: Documents of a list that one task joins with the others of the list.
-PART = 2048
+#: Documents of a part of a list, and of a side of what is compared at a time.
+PART, SIDE = 2048, 256
 
 _TIMES = mix64(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _PLUS = mix64(np.arange(1, K + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -72,10 +74,10 @@ def signature(tokens: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, the set's digest, its K posting keys and 32 bits of each, of every row; without keys where the set is empty."""
+    """doc_id, n, the set's digest, its K posting keys, 32 bits of each and its parity, of every row; without keys where the set is empty."""
 
     def run(b: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("n", "digest", "keys", "brief")}
+        out: dict[str, list] = {k: [] for k in ("n", "digest", "keys", "brief", "parity")}
         for t in b.column(1).to_pylist():
             s = shingles(t, n)
             keys = signature(s) if len(s) else s
@@ -83,9 +85,10 @@ def signed(docs: DataFrame, n: int, doc_id: str = "doc_id", text: str = "text")
             out["digest"].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             out["keys"].append(keys.view(np.int64))
             out["brief"].append(mix64(keys).astype("<u4").tobytes())
+            out["parity"].append(parity(s))
         return {"doc_id": b.column(0)} | out
 
-    return map_batches(docs.select(doc_id, text), run, "doc_id long, n long, digest binary, keys array<long>, brief binary")
+    return map_batches(docs.select(doc_id, text), run, "doc_id long, n long, digest binary, keys array<long>, brief binary, parity binary")
 
 
 def prefixes(reps: DataFrame, total: int, least: int) -> DataFrame:
@@ -110,6 +113,85 @@ def colliding(reps: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     return _kept_pairs(picked(reps.select("doc_id", "brief"), _ids(pairs), "doc_id"), pairs, ("brief",), keep, "minhash-colliding")
 
 
+_SQUARE = ("key", "i", "j", "part", "doc_id", "n", "component", "mask", "brief", "parity")
+
+
+class Square:
+    """The documents of two parts of a list (or of one), as arrays."""
+
+    def __init__(self, columns: dict[str, list]) -> None:
+        get = lambda c, kind=np.int64: np.array(columns[c], kind)
+        self.part, self.doc, self.n, self.component = get("part"), get("doc_id"), get("n"), get("component")
+        self.mask = get("mask").view(np.uint64)
+        self.brief = np.frombuffer(b"".join(columns["brief"]), "<u4").reshape(-1, K)
+        self.parity = columns["parity"]
+        self.i, self.j, self.coordinate = columns["i"][0], columns["j"][0], np.uint64(columns["key"][0] & (K - 1))
+
+    def pairs(self, least: int, num: int, den: int) -> list[tuple[int, int]]:
+        """Pairs of different components that agree in `least` coordinates, meet here first, and aren't ruled out by their sizes or parities."""
+        out = []
+        left, right = (np.flatnonzero(self.part == x) for x in (self.i, self.j))
+        for s in range(0, len(left), SIDE):
+            x = left[s : s + SIDE]
+            for t in range(0, len(right), SIDE):
+                y = right[t : t + SIDE]
+                apart = self.component[x][:, None] != self.component[y][None, :]
+                if self.i == self.j:
+                    apart &= x[:, None] < y[None, :]
+                small, large = np.minimum(self.n[x][:, None], self.n[y][None, :]), np.maximum(self.n[x][:, None], self.n[y][None, :])
+                p, q = np.nonzero(apart & (den * small >= num * large))
+                if not len(p):
+                    continue
+                same = self.brief[x[p]] == self.brief[y[q]]
+                often = np.count_nonzero(same, axis=1) >= least
+                p, q, same = x[p[often]], y[q[often]], same[often]
+                shared = np.packbits(same, axis=1, bitorder="little").view(np.uint64).ravel() & self.mask[p] & self.mask[q]
+                first = (shared & (~shared + np.uint64(1))) == np.uint64(1) << self.coordinate
+                out += self._bounded(p[first], q[first], num, den)
+        return out
+
+    def _bounded(self, p: np.ndarray, q: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+        out = []
+        for a, b in zip(p.tolist(), q.tolist(), strict=True):
+            total = int(self.n[a] + self.n[b])
+            if (num + den) * (total - least_difference(self.parity[a], self.parity[b])) >= 2 * num * total:
+                out.append((min(int(self.doc[a]), int(self.doc[b])), max(int(self.doc[a]), int(self.doc[b]))))
+        return out
+
+
+def across(rows: DataFrame, least: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that the squares of rows (_SQUARE) give."""
+    schema = arrow_schema("a long, b long")
+
+    def solved(columns: dict[str, list]) -> pa.RecordBatch:
+        found = Square(columns).pairs(least, num, den)
+        return as_batch({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entered()
+        held: dict[str, list] = {c: [] for c in _SQUARE}
+        now = None
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in _SQUARE}
+            squares = list(zip(columns["key"], columns["i"], columns["j"], strict=True))
+            start = 0
+            while start < len(squares):
+                if squares[start] != now and held["key"]:
+                    yield solved(held)
+                    held = {c: [] for c in _SQUARE}
+                now, end = squares[start], start
+                while end < len(squares) and squares[end] == now:
+                    end += 1
+                for c in _SQUARE:
+                    held[c] += columns[c][start:end]
+                start = end
+        if held["key"]:
+            yield solved(held)
+        give_back()
+
+    return rows.select(*_SQUARE).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def linked(docs: DataFrame, reps: DataFrame, total: int, shape: tuple[int, int, int], doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
     """id and component of all documents that have a link; None where there is none."""
     _, num, den = shape
@@ -143,14 +225,13 @@ def linked(docs: DataFrame, reps: DataFrame, total: int, shape: tuple[int, int,
         links.append(confirmed(tried[-1]))
         label = components(reduce(DataFrame.unionByName, links))
     open_ = named(label).select("key", "doc_id", "n", "component", F.ceil(F.col("m") / PART).cast("int").alias("parts"))
-    x = open_.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).alias("x")
-    y = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("y")
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"))
-    more = x.join(y, apart).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    for z in tried:
-        more = more.join(z, ["a", "b"], "left_anti")
+    masks = posted.groupBy("doc_id").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(K - 1).cast("int"))).alias("mask"))
+    sides = reps.select("doc_id", "n", "brief", "parity")
+    dealt = open_.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).join(masks, "doc_id").join(sides, ["doc_id", "n"])
+    more = across(dealt, least, num, den).distinct()
     more = stored(more, "minhash-more")
-    return label if more.isEmpty() else components(reduce(DataFrame.unionByName, [*links, confirmed(more)]))
+    return label if more.isEmpty() else components(reduce(DataFrame.unionByName, [*links, verified(docs, more, shape, doc_id, text)]))
 
 
 def classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
