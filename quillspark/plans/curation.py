@@ -393,3 +393,12 @@ def _whole(spark, sf_dir: str, k: int) -> DataFrame:
 
 QUERIES["curation_records"] = lambda s, d: _whole(s, d, 0).select("idx", "id", "title", "author_normalized", "publisher_normalized", "publication_year", "isbn", "theme", "isbn_status", F.array_join("quality_flags", ",").alias("flags"), "cover.provider", "cover.url", F.coalesce(_listed("data_provenance"), F.lit("")).alias("provenance"), F.array_join("source_record_ids", ",").alias("sources"), "source_record_count", "reason")
 QUERIES["curation_report"] = lambda s, d: _whole(s, d, 1)
+
+
+# --- numbers by shape and by the short check digit, years in running text
+on_catalogue("isbn_shape", "SELECT idx, regexp_full_match(isbn, '[0-9]{13}|[0-9]{9}[0-9X]') AS shaped FROM catalogue")(lambda c: c.select("idx", isbn.shaped(F.col("isbn")).alias("shaped")))
+_TEN = "substr(isbn, 4, 9) || substr(isbn, 13, 1)"
+on_catalogue("isbn_validate10", "SELECT idx, (" + " + ".join(f"{11 - i} * CAST(substr(t, {i}, 1) AS INT)" for i in range(1, 11)) + f") % 11 = 0 AS valid FROM (SELECT idx, {_TEN} AS t FROM catalogue WHERE regexp_full_match(isbn, '978[0-9]{{10}}')) x")(
+    lambda c: c.filter(F.col("isbn").rlike("^978[0-9]{10}$")).select("idx", isbn.valid10(F.expr(_TEN)).alias("valid"))
+)
+on_table("year_of_dates", "orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year FROM orders")(lambda o: o.select("o_orderkey", text.parse_year(F.concat(F.lit("du "), F.date_format("o_orderdate", "d/M/yyyy"), F.lit(", reçu"))).alias("year")))
