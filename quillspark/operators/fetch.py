@@ -40,7 +40,7 @@ def batches(df: DataFrame, size: int) -> DataFrame:
     spans = df.groupBy(F.floor(F.col("idx") / SPAN).alias("_span")).agg(F.count(F.lit(1)).alias("_m"))
     before = spans.select("_span", (F.sum("_m").over(W.orderBy("_span")) - F.col("_m")).alias("_before"))
     place = F.row_number().over(W.partitionBy("_span").orderBy("idx")) - 1 + F.col("_before")
-    numbered = df.withColumn("_span", F.floor(F.col("idx") / SPAN)).join(F.broadcast(before), "_span")
+    numbered = df.withColumn("_span", F.floor(F.col("idx") / SPAN)).join(before, "_span")
     return numbered.withColumn("batch", F.floor(place / size)).drop("_span", "_before")
 
 

@@ -103,7 +103,7 @@ def _sequential(c: DataFrame) -> DataFrame:
     span = F.floor(F.col("idx") / 65536)
     before = c.groupBy(span.alias("span")).agg(F.count(F.lit(1)).alias("m")).select("span", (F.sum("m").over(W.orderBy("span")) - F.col("m")).alias("before"))
     n = (F.row_number().over(W.partitionBy("span").orderBy("idx")) + F.col("before")).cast("string")
-    return c.withColumn("span", span).join(F.broadcast(before), "span").select("idx", F.concat(F.lit("book-"), F.lpad(n, F.greatest(F.lit(4), F.length(n)), F.lit("0"))).alias("new_id"))
+    return c.withColumn("span", span).join(before, "span").select("idx", F.concat(F.lit("book-"), F.lpad(n, F.greatest(F.lit(4), F.length(n)), F.lit("0"))).alias("new_id"))
 
 
 def _stitched(c: DataFrame) -> DataFrame:
