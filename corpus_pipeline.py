@@ -1,4 +1,10 @@
-"""A training-corpus pipeline over documents: quality, exact and near copies, repeated passages, packing."""
+"""A training-corpus pipeline over documents: quality, exact and near copies, repeated passages, packing.
+
+A null text counts as empty: it is scored like any text, equals other empty texts, links with nothing and is packed as the closing id alone.
+Rows with null or repeated ids are rows of their own in every stage, told apart by a private number; of equal texts the longest original, then the smallest id stays,
+and of a class of near copies the smallest id, so ties have one result. An empty table gives no rows in any stage. Columns beside the named ones, whatever their names,
+stay with their rows up to the last stage. A very long text costs a task memory in proportion to itself; it is cut in packing only.
+"""
 
 from __future__ import annotations
 
