@@ -57,6 +57,12 @@ def test_ids_that_repeat(spark, million, name):
     assert shape(df.select(*cols).collect()) == shape(want)
 
 
+def test_reconciled_ids_of_a_million(spark, million):
+    rows = plans.QUERIES["reconcile_ids"](spark, million[1]).collect()
+    assert len(rows) == len({r["id"] for r in rows}) == million[0].sql("SELECT count(*) FROM part WHERE p_partkey % 19 <> 0").fetchall()[0][0]
+    assert all(r["id"] == f"book-{r['old_idx'] + 1:06d}" for r in rows if r["old_idx"] is not None)
+
+
 def test_normalisers(spark):
     rows = spark.createDataFrame([("Straße",), ("œuvre",), ("ﬁn ²",), ("É, à!",), (None,)], "t string")
     got = rows.select(text.key("t"), text.fold("t")).collect()
