@@ -48,6 +48,7 @@ def million(tmp_path_factory):
 
 @pytest.mark.parametrize("name", [
     "approved_matches",
+    "audit_correction_log",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
