@@ -49,6 +49,7 @@ def million(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "approved_matches",
     "audit_correction_log",
+    "cover_cascade",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
