@@ -50,6 +50,7 @@ def million(tmp_path_factory):
     "approved_matches",
     "audit_correction_log",
     "cover_cascade",
+    "cover_cascade_ten",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
