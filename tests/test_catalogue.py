@@ -51,6 +51,7 @@ def million(tmp_path_factory):
     "audit_correction_log",
     "cover_cascade",
     "cover_cascade_ten",
+    "identifier_candidates",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
