@@ -52,6 +52,7 @@ def million(tmp_path_factory):
     "cover_cascade",
     "cover_cascade_ten",
     "identifier_candidates",
+    "identifier_join",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
