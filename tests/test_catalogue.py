@@ -53,6 +53,7 @@ def million(tmp_path_factory):
     "cover_cascade_ten",
     "identifier_candidates",
     "identifier_join",
+    "override_join",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
