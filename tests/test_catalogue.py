@@ -54,6 +54,7 @@ def million(tmp_path_factory):
     "identifier_candidates",
     "identifier_join",
     "override_join",
+    "source_id_map",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
