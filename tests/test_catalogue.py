@@ -56,6 +56,7 @@ def million(tmp_path_factory):
     "override_join",
     "source_id_map",
     "override_provenance",
+    "remaining_targets",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
