@@ -57,6 +57,7 @@ def million(tmp_path_factory):
     "source_id_map",
     "override_provenance",
     "remaining_targets",
+    "resumed_responses",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
