@@ -58,6 +58,8 @@ def million(tmp_path_factory):
     "override_provenance",
     "remaining_targets",
     "resumed_responses",
+    "candidate_match",
+    "best_match",
 ])
 def test_ids_that_repeat(spark, million, name):
     con, folder = million
