@@ -75,6 +75,17 @@ def test_reconciled_ids_of_a_million(spark, million):
     assert all(r["id"] == f"book-{r['old_idx'] + 1:06d}" for r in rows if r["old_idx"] is not None)
 
 
+def test_exact_pairs_by_five_fields(spark, tmp_path):
+    """Rows of one title, publisher and year whose genres differ are one group."""
+    con = duckdb.connect()
+    for t in ("part", "lineitem", "supplier"):
+        alike = " REPLACE ('x' AS p_name, 'Brand#1' AS p_brand, 1::INT AS p_size)" if t == "part" else ""
+        con.sql(f"SELECT *{alike} FROM '{SF}/{t}.parquet'").write_parquet(f"{tmp_path}/{t}.parquet")
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = plans.QUERIES["reconcile_exact"](spark, str(tmp_path)).select("idx", "old_idx").collect()
+    assert shape(got) == shape(con.sql(f"SELECT idx, old_idx FROM ({plans.SQL['reconcile_exact']}) q").fetchall())
+
+
 def test_normalisers(spark):
     rows = spark.createDataFrame([("Straße",), ("œuvre",), ("ﬁn ²",), ("É, à!",), (None,)], "t string")
     got = rows.select(text.key("t"), text.fold("t")).collect()
