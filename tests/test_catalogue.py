@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import isbn, text, web
-from quillspark.operators import curate, dedupe, extract, fetch, match, query, reconcile
+from quillspark.operators import curate, dedupe, extract, fetch, match, query, reconcile, search
 from quillspark.plans import curation as plans
 from quillspark.sources import rules
 from quillspark.sources.tables import catalogue, copies
@@ -86,6 +86,14 @@ def test_exact_pairs_by_five_fields(spark, tmp_path):
     assert shape(got) == shape(con.sql(f"SELECT idx, old_idx FROM ({plans.SQL['reconcile_exact']}) q").fetchall())
 
 
+def test_hits_that_tie(spark):
+    """Equal addresses with equal scores come in the order of their ids, wherever the rows lie."""
+    rows = [(i, "p#s", 1) for i in range(40)]
+    for order in (rows, rows[::-1]):
+        hits = spark.createDataFrame(order, "page_id long, href string, score int").repartition(3)
+        assert {r["page_id"]: r["place"] for r in search.collapsed(hits).collect()} == {i: i + 1 for i in range(40)}
+
+
 def test_normalisers(spark):
     rows = spark.createDataFrame([("Straße",), ("œuvre",), ("ﬁn ²",), ("É, à!",), (None,)], "t string")
     got = rows.select(text.key("t"), text.fold("t")).collect()
