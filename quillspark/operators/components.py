@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.sources.checkpoints import checkpointed
+from quillspark.sources.checkpoints import checkpointed, forgotten
 
 
 def _to_least(edges: DataFrame, greater: bool) -> DataFrame:
@@ -27,9 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
         # _to_least() reads its input twice, so what it gets is cut from its lineage
         wide = checkpointed(_to_least(edges, True))
         new = checkpointed(_to_least(wide, False))
+        forgotten(wide)
         same = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if same == edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first():
             break
+        forgotten(edges)
         edges = new
     labels = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels.union(edges.select("b", "b").distinct())

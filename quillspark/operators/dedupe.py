@@ -7,6 +7,7 @@ that contradict each other can never meet, so a block is a component of the othe
 Blocks are found without comparing rows: of two rows of a title that don't contradict each other, what both
 give is equal, so they meet under a key of the fields that both give and these fields' values. Each
 distinct combination of fields stands once for all its rows, under a key for each set of fields that a partner may give.
+Combinations of a title that has no more than FEW are compared directly instead, which is the same and cheaper.
 
 Whether two components agree is told from a summary of each, kept at the root of a union-find, and
 only components that share what both give are tried at all.
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import isbn, text
 from quillspark.operators.components import components
+from quillspark.operators.groups import solved
 from quillspark.sources.checkpoints import checkpointed
 
 _OUT = "idx long, canonical_idx long, size long, reason string, rank int"
@@ -31,6 +33,8 @@ _FIELDS = ("publication_year", "publisher", "series")
 #: Fields in which no two rows of a component may differ, and all sets of them.
 _APART = ("good", *_FIELDS)
 _SETS = tuple(x for n in range(len(_APART) + 1) for x in combinations(_APART, n))
+#: Distinct combinations of one title that are compared pair by pair.
+FEW = 32
 #: Several values of a field that may have them.
 MIXED = object()
 #: What counts for completeness, and what a merged row takes from the others where it is empty.
@@ -103,7 +107,18 @@ def _compatible(df: DataFrame) -> DataFrame:
     alike = checkpointed(rows.groupBy("title_key", *_APART, "authors").agg(F.min("idx").alias("rep"), F.count(F.lit(1)).alias("m")))
     same = rows.join(alike.filter("m > 1"), [rows.title_key == alike.title_key, rows.authors == alike.authors, *[rows[c].eqNullSafe(alike[c]) for c in _APART]]).select(F.col("idx").alias("a"), F.col("rep").alias("b"))
     given = sum((F.when(F.col(c).isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(_APART)), F.lit(0))
-    masks = alike.select("title_key", "authors", "rep", *_APART, given.alias("own"))
+    # titles of few combinations: all pairs of them; those of more go on by keys
+    wide = alike.groupBy("title_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FEW).select("title_key")
+    few, many = (checkpointed(alike.join(wide, "title_key", kind)) for kind in ("left_anti", "left_semi"))
+    a, b = few.alias("a"), few.alias("b")
+    inside = lambda s, t: F.size(F.array_except(f"{s}.authors", f"{t}.authors")) == 0
+    agree = inside("a", "b") | inside("b", "a")
+    for c in _APART:
+        agree = agree & F.coalesce(F.col(f"a.{c}") == F.col(f"b.{c}"), F.lit(True))
+    direct = a.hint("merge").join(b, (F.col("a.title_key") == F.col("b.title_key")) & (F.col("a.rep") < F.col("b.rep")) & agree).select(F.col("b.rep").alias("a"), F.col("a.rep").alias("b"))
+    if many.isEmpty():
+        return same.union(direct)
+    masks = many.select("title_key", "authors", "rep", *_APART, given.alias("own"))
     pairs = masks.withColumn("other", F.explode(F.array(*map(F.lit, range(1 << len(_APART))))))
     shared = [F.when(F.col("other").bitwiseAND(1 << i) > 0, F.col(c)) for i, c in enumerate(_APART)]
     key = F.xxhash64("title_key", F.least("own", "other"), F.greatest("own", "other"), F.to_json(F.struct(*[x.alias(c) for x, c in zip(shared, _APART, strict=True)]), {"ignoreNullFields": "false"}))
@@ -119,11 +134,12 @@ def _compatible(df: DataFrame) -> DataFrame:
     partnered = met.select(*[F.col(f"x_{c}").alias(c) for c in on]).union(met.select(*[F.col(f"y_{c}").alias(c) for c in on])).distinct()
     # members of a class that has a partner meet through it
     members = pairs.withColumn("key", key).withColumn("own", side).join(classes.filter("m > 1").join(partnered, on, "left_semi"), on).select(F.col("rep").alias("a"), F.col("class").alias("b"))
-    return same.union(across).union(members)
+    return same.union(direct).union(across).union(members)
 
 
 def blocks(df: DataFrame) -> DataFrame:
     """idx and block of each row: components of equal numbers and of titles whose rows don't contradict each other."""
+    df = checkpointed(df.select("idx", "title_key", "good", "authors", *_FIELDS))
     numbered = df.filter("good <> ''").select("good", F.col("idx").alias("a"))
     first = numbered.groupBy("good").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     edges = numbered.join(first, "good").select("a", "b").union(_compatible(df))
@@ -161,11 +177,13 @@ def filled(df: DataFrame) -> DataFrame:
 
 def _ranked(df: DataFrame) -> DataFrame:
     """merged() with each row's rank in its component: what was curated, has a cover, is complete, has more authors, longer texts and the smaller id."""
-    rows = prepared(df)
-    labelled = rows.join(blocks(rows), "idx")
+    rows = checkpointed(prepared(df))
+    label = checkpointed(blocks(rows))
+    several = label.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("block")
+    labelled = rows.join(label.join(several, "block"), "idx")
+    single = label.join(several, "block", "left_anti").select("idx", F.col("idx").alias("canonical_idx"), F.lit(1).cast("long").alias("size"), F.lit(None).cast("string").alias("reason"), F.lit(0).alias("rank"))
 
-    def solve(p: pd.DataFrame) -> pd.DataFrame:
-        rows = p.sort_values("idx").to_dict("records")
+    def solve(rows: list[dict]) -> list[tuple]:
         root = Merging(rows).roots()
         members: dict[int, list[int]] = {}
         for i, r in enumerate(root):
@@ -176,9 +194,9 @@ def _ranked(df: DataFrame) -> DataFrame:
             numbers = {rows[i]["good"] for i in own}
             reason = None if len(own) == 1 else "same_valid_isbn" if len(numbers) == 1 and "" not in numbers else "compatible_metadata"
             out += [(rows[i]["idx"], rows[ranked[0]]["idx"], len(own), reason, place) for place, i in enumerate(ranked)]
-        return pd.DataFrame(out, columns=["idx", "canonical_idx", "size", "reason", "rank"])
+        return out
 
-    return labelled.groupBy("block").applyInPandas(solve, _OUT)
+    return solved(labelled, "block", "idx", solve, _OUT).unionByName(single)
 
 
 class _Summary:
@@ -187,7 +205,7 @@ class _Summary:
     __slots__ = ("changed", "chain", "count", "lone", "places", "scanned", "sound", "value")
 
     def __init__(self, row: dict) -> None:
-        given = {c: None if row[c] is None or pd.isna(row[c]) else row[c] for c in ("isbn", *_FIELDS)}
+        given = {c: None if row[c] is None else row[c] for c in ("isbn", *_FIELDS)}
         #: By field the one value that rows give; a raw number may have several, which is MIXED.
         self.value = given | {"good": row["good"] or None}
         self.count = {c: int(v is not None) for c, v in given.items()}

@@ -13,6 +13,7 @@ from quillspark.operators import curate, dedupe, match, reconcile, search
 from quillspark.operators.components import components
 from quillspark.plans import curation as plans
 from quillspark.sources.cache import CacheTable
+from quillspark.sources.checkpoints import checkpointed
 from quillspark.sources.tables import copies
 from tests.test_catalogue import plain_merge
 
@@ -260,3 +261,21 @@ def test_the_whole_curation(spark):
     assert told["duplicate_group_count"] == sum(w[9] > 1 for w in whole)
     assert told["duplicate_reason_counts.same_valid_isbn"] == sum(w[10] == "same_valid_isbn" for w in whole)
     assert told["missing_fields.publisher"] == sum(w[3] == "" for w in whole)
+
+
+def test_kept_tables_know_their_size(spark):
+    """A guess of a few bytes for a large table would have it broadcast."""
+    kept = checkpointed(spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(200_000))).alias("a")))
+    assert int(kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > 100_000
+    assert kept.count() == 200_000
+
+
+def test_blocks_by_pairs_and_by_keys(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, f"t{i % 5}", rng.choice(["", "g", "h"]), rng.choice([["a"], ["a", "b"], ["b"]]), *[rng.choice([None, "x", "y"]) for _ in range(3)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "idx long, title_key string, good string, authors array<string>, publication_year string, publisher string, series string")
+    found = []
+    for few in (1, 100):
+        monkeypatch.setattr(dedupe, "FEW", few)
+        found.append({r["idx"]: r["block"] for r in dedupe.blocks(df).collect()})
+    assert found[0] == found[1]
