@@ -91,6 +91,17 @@ def test_suffix_array():
         assert suffix.suffix_array(x, 999).tolist() == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+def test_suffix_array_of_some_places(monkeypatch):
+    rng, directly = random.Random(1), []
+    sort = suffix._sorted
+    monkeypatch.setattr(suffix, "_sorted", lambda text, t, at, depth: directly.append(len(at)) or sort(text, t, at, depth))
+    for _ in range(300):
+        x = bytes(rng.choice(b"ab\x00c") for _ in range(rng.randint(1, 40))) * rng.randint(1, 3)
+        of = np.array([rng.random() < 0.3 for _ in x])
+        assert suffix.suffix_array(x, 999, of).tolist() == sorted(np.flatnonzero(of).tolist(), key=lambda i: x[i:])
+        assert directly[-1] <= of.sum()
+
+
 @pytest.mark.parametrize(("n", "num", "hot"), [(3, 90, 1000), (5, 80, 1000), (3, 90, 1)])
 def test_jaccard(docs, corpus, monkeypatch, n, num, hot):
     monkeypatch.setattr(jaccard, "HOT", hot)
