@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +188,20 @@ def test_approximate_search(spark):
     assert find("absent from all of it") == []
 
 
+def test_postings_hold_few_letters_at_once(spark, monkeypatch):
+    texts = [(i, "abcabcabd " * (i % 4), "x" * i) for i in range(40)]
+    want = {(t, f, r[0], tuple(i for i in range(len(r[n]) - 2) if r[n][i : i + 3] == t)) for r in texts for n, f in ((1, "title"), (2, "section")) for t in (r[n][i : i + 3] for i in range(len(r[n]) - 2))}
+    told = lambda rows: sorted((r["term"], r["field"], r["page_id"], tuple(r["places"])) for r in rows)
+    monkeypatch.setattr(search, "HELD", 50)
+    whole = pa.table(dict(zip(("page_id", "title", "section"), zip(*texts, strict=True), strict=True))).to_batches()
+    parts = list(search.posted(iter(whole), "page_id", ("title", "section"), None))
+    assert told(r for x in parts for r in x.to_pylist()) == sorted(want)
+    assert max(sum(len(y) for y in x.column(3).to_pylist()) for x in parts) <= 50 < len(want)
+    df = spark.createDataFrame(texts, "page_id int, title string, section string")
+    index = search.postings(df, fields=("title", "section"), terms=["abc", "xxx", "abc"])
+    assert told(index.collect()) == sorted(x for x in want if x[0] in ("abc", "xxx"))
+
+
 def test_attributes_in_any_order(spark):
     listed = f"""<div id="node-9"><a href='x'></a><div id="node-1"><a class="t" href="/livre/1"><img alt="L&#39;&eacute;t&eacute;" data-x="1>0" src="https://i{web.MEDIUM}9781.jpg"></a><b data-sku="9781">"""
     article = f"""<article id="1" class="product-category"><p>978&#49;</p><a href="/p?x=1&amp;y=2#z" class="big img-link"></a><img src="https://i/1{web.LIST_IMAGE}a.jpg" alt=" T " class="js-qv-product-cover"></article>"""
