@@ -1,6 +1,7 @@
 """Components, merging of wide blocks, editions, provenance, the cache table and approximate search against plain procedures."""
 
 import collections
+import os
 import random
 import re
 import time
@@ -202,6 +203,18 @@ def test_postings_hold_few_letters_at_once(spark, monkeypatch):
     assert told(index.collect()) == sorted(x for x in want if x[0] in ("abc", "xxx"))
 
 
+def test_flags_of_a_row_by_itself_keep_nothing(spark, tmp_path):
+    rows = [(1, "A", "x", "p", "1999", "9780306406157"), (2, "a", "X", "", "", "978-0306406157"), (3, None, "", "p", "1950", "12"), (4, "B", "y", "p", "no", "")]
+    df = spark.createDataFrame(rows, "idx int, title string, author string, publisher string, publication_year string, isbn string")
+    told = lambda out: {r["idx"]: (r["isbn"], r["isbn_status"], [x for x in r["quality_flags"] if x not in curate.SHARED]) for r in out.collect()}
+    shared = spark.conf.get("spark.checkpoint.dir")
+    want = told(curate.flagged(df))
+    before = set(os.listdir(shared))
+    assert told(curate.flagged_alone(df)) == want
+    assert set(os.listdir(shared)) == before
+    assert {x for r in want.values() for x in r[2]} == set(curate.FLAGS[:1] + curate.FLAGS[1:2] + curate.FLAGS[3:7])
+
+
 def test_attributes_in_any_order(spark):
     listed = f"""<div id="node-9"><a href='x'></a><div id="node-1"><a class="t" href="/livre/1"><img alt="L&#39;&eacute;t&eacute;" data-x="1>0" src="https://i{web.MEDIUM}9781.jpg"></a><b data-sku="9781">"""
     article = f"""<article id="1" class="product-category"><p>978&#49;</p><a href="/p?x=1&amp;y=2#z" class="big img-link"></a><img src="https://i/1{web.LIST_IMAGE}a.jpg" alt=" T " class="js-qv-product-cover"></article>"""
