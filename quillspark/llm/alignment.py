@@ -42,6 +42,8 @@ _CHUNK = re.compile(rf"[ \n]?[{_LETTER}]+(?=[{_MARK} \n]|\Z)|(?s:.)+?(?=(?<=\S)[
 CUTS = re.compile(rf"[^▁]▁|\n|[{_LETTER}][{_MARK}]")
 #: Ids below SMALL are kept in 16 bits, less HALF.
 SMALL, HALF = 1 << 16, 1 << 15
+#: Groups whose links a task makes at a time, and numbers of chunks that it adds up at a time.
+GROUPS, ADDED = 1 << 16, 1 << 20
 
 _COUNTED = "pair long, n long, block long, place long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
 _BLOCKS = "block long, ids array<long>, sizes array<int>, series binary, local int, chunk string"
@@ -212,7 +214,11 @@ def _by_documents(starts: np.ndarray, ends: np.ndarray, series: np.ndarray, loca
     """The sums of a column of chunks over each document's chunks."""
     by = np.zeros(int(series.max(initial=0)) + 1, np.int64)
     by[local] = column
-    so_far = np.concatenate([[0], np.cumsum(by[series])])
+    so_far = np.zeros(len(series) + 1, np.int64)
+    for k in range(0, len(series), ADDED):
+        part = so_far[k + 1 : k + 1 + ADDED]
+        np.cumsum(by[series[k : k + ADDED]], out=part)
+        part += so_far[k]
     return so_far[ends] - so_far[starts]
 
 
@@ -220,21 +226,34 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(sizes) - sizes
 
 
+def _pairs(tokens: np.ndarray, first: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct links of groups as numbers, and which of them each link is; the links of GROUPS groups are made at a time."""
+    made, found = [np.zeros(0, np.int64)], []
+    for k in range(0, len(first), GROUPS):
+        f, a, b = first[k : k + GROUPS], n_a[k : k + GROUPS], n_b[k : k + GROUPS]
+        n = a * b
+        within, by_b = np.arange(int(n.sum())) - np.repeat(_starts(n), n), np.repeat(b, n)
+        links = tokens[np.repeat(f, n) + within // by_b].astype(np.int64) * width + tokens[np.repeat(f + a, n) + within % by_b]
+        some, which = np.unique(links, return_inverse=True)
+        made.append(some)
+        found.append(which.astype(np.int32))
+    pairs = np.unique(np.concatenate(made))
+    dense = [np.searchsorted(pairs, some).astype(np.int32)[which] for some, which in zip(made[1:], found, strict=True)]
+    return pairs, np.concatenate(dense) if dense else np.zeros(0, np.int32)
+
+
 class Chunks:
     """A block's chunks: their groups, links and texts, as arrays over all of them."""
 
     def __init__(self, names: pa.Table, width: int, small: bool) -> None:
         sizes, ids = names["sizes"].combine_chunks(), names["ids"].combine_chunks()
-        flat, tokens = sizes.flatten().to_numpy(), ids.flatten().to_numpy().astype(np.int64) + (HALF if small else 0)
+        flat, tokens = sizes.flatten().to_numpy(), ids.flatten().to_numpy().astype(np.int32) + np.int32(HALF if small else 0)
         n_a, n_b = flat[0::2].astype(np.int64), flat[1::2].astype(np.int64)
         per = sizes.value_lengths().to_numpy().astype(np.int64) // 2
         self.local = names["local"].to_numpy()
         first = _starts(n_a + n_b)
         n = n_a * n_b
-        within = np.arange(int(n.sum())) - np.repeat(_starts(n), n)
-        by_b = np.repeat(n_b, n)
-        a = tokens[np.repeat(first, n) + within // by_b]
-        self.pairs, self.dense = np.unique(a * width + tokens[np.repeat(first + n_a, n) + within % by_b], return_inverse=True)
+        self.pairs, self.dense = _pairs(tokens, first, n_a, n_b, width)
         group = _starts(per)
         sums = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[group + per] - c[group]
         self.counts = {"n_a": sums(n_a), "n_b": sums(n_b), "n_groups": per, "n_links": sums(n)}

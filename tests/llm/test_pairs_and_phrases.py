@@ -170,6 +170,18 @@ def test_op13(spark, sf, texts, monkeypatch, size):
         assert {r["doc_id"]: r["groups"] for r in alignment.aligned(docs, A, B).collect()} == {3 * i: w[-1] for i, w in enumerate(want)}
 
 
+@pytest.mark.parametrize("groups", [1, 7, 10**6])
+def test_links_of_few_groups_at_a_time(monkeypatch, groups):
+    monkeypatch.setattr(alignment, "GROUPS", groups)
+    rng = np.random.default_rng(1)
+    n_a, n_b = rng.integers(1, 4, 50), rng.integers(1, 4, 50)
+    first = np.cumsum(n_a + n_b) - n_a - n_b
+    tokens = rng.integers(0, 9, int((n_a + n_b).sum())).astype(np.int32)
+    pairs, dense = alignment._pairs(tokens, first, n_a, n_b, 100_000)
+    want = [int(x) * 100_000 + int(y) for f, a, b in zip(first, n_a, n_b, strict=True) for x in tokens[f : f + a] for y in tokens[f + a : f + a + b]]
+    assert pairs[dense].tolist() == want and pairs.tolist() == sorted(set(want))
+
+
 def test_cuts_change_no_token():
     t, rng = alignment.tokenizers(A, B), random.Random(9)
     assert t.cuts
