@@ -42,8 +42,8 @@ _CHUNK = re.compile(rf"[ \n]?[{_LETTER}]+(?=[{_MARK} \n]|\Z)|(?s:.)+?(?=(?<=\S)[
 CUTS = re.compile(rf"[^▁]▁|\n|[{_LETTER}][{_MARK}]")
 #: Ids below SMALL are kept in 16 bits, less HALF.
 SMALL, HALF = 1 << 16, 1 << 15
-#: Groups whose links a task makes at a time, and numbers of chunks that it adds up at a time.
-GROUPS, ADDED = 1 << 16, 1 << 20
+#: Groups whose links a task makes at a time, numbers of chunks that it adds up at a time, and chunks whose groups it writes as text at a time.
+GROUPS, ADDED, TOLD = 1 << 16, 1 << 20, 1 << 14
 
 _COUNTED = "pair long, n long, block long, place long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
 _BLOCKS = "block long, ids array<long>, sizes array<int>, series binary, local int, chunk string"
@@ -257,12 +257,22 @@ class Chunks:
         group = _starts(per)
         sums = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[group + per] - c[group]
         self.counts = {"n_a": sums(n_a), "n_b": sums(n_b), "n_groups": per, "n_links": sums(n)}
-        names_of = [b"%d|%d" % divmod(x, width) for x in self.pairs.tolist()]
-        text = [names_of[x] if one else b"" for x, one in zip(self.dense[np.minimum(_starts(n), len(self.dense) - 1)].tolist(), (n == 1).tolist(), strict=True)]
-        for g in np.flatnonzero(n != 1).tolist():
-            own = tokens[first[g] : first[g] + n_a[g] + n_b[g]].tolist()
-            text[g] = b",".join([b"%d" % x for x in own[: n_a[g]]]) + b"|" + b",".join([b"%d" % x for x in own[n_a[g] :]])
-        self.text = [b";".join(text[x:y]) for x, y in zip(group.tolist(), (group + per).tolist(), strict=True)]
+        at, self.text = _starts(n), []
+        for k in range(0, len(per), TOLD):
+            self.text += self._told(tokens, first, n_a, n_b, n, at, group[k : k + TOLD], per[k : k + TOLD], width)
+
+    def _told(self, tokens: np.ndarray, first: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, per: np.ndarray, width: int) -> list[bytes]:
+        """The texts of some neighbouring chunks."""
+        low, high = int(group[0]), int(group[-1] + per[-1])
+        text = [b""] * (high - low)
+        one = np.flatnonzero(n[low:high] == 1)
+        for g, x in zip(one.tolist(), self.pairs[self.dense[at[low:high][one]]].tolist(), strict=True):
+            text[g] = b"%d|%d" % divmod(x, width)
+        for g in np.flatnonzero(n[low:high] != 1).tolist():
+            f, a, b = int(first[low + g]), int(n_a[low + g]), int(n_b[low + g])
+            own = tokens[f : f + a + b].tolist()
+            text[g] = b",".join([b"%d" % x for x in own[:a]]) + b"|" + b",".join([b"%d" % x for x in own[a:]])
+        return [b";".join(text[x:y]) for x, y in zip((group - low).tolist(), (group + per - low).tolist(), strict=True)]
 
 
 def _counted(width: int, small: bool, digest: bool):
@@ -275,6 +285,7 @@ def _counted(width: int, small: bool, digest: bool):
         block = docs["block"][0].as_py()
         ids, starts, ends, series = _series(docs)
         chunks = Chunks(names, width, small)
+        give_back()
         summed = lambda column: _by_documents(starts, ends, series, chunks.local, column)
         whole = summed(np.ones(len(chunks.local), np.int64)) == ends - starts
         counts = {x: np.where(whole, summed(y), 0) for x, y in chunks.counts.items()}
