@@ -6,7 +6,7 @@ the vocabulary's strings, by a space, as a tokenizer file without a decoder asks
 
 Null texts count as empty and have no ids; rows with null, equal or clashing ids and columns
 are encoded like any others, as only the named columns are read, and an empty table gives no
-rows. Words are cached by worker, in two generations of about CACHE_BYTES each, and words of more
+rows. Words are cached by worker, in two generations of about CACHE_BYTES each (ids: of twice as many), and words of more
 than CACHED letters aren't, which bounds memory and changes no result. A very long text costs memory in proportion to itself. Code points newer than the Unicode data of
 Python's unicodedata module may be folded or split otherwise than the library does.
 """
@@ -20,10 +20,13 @@ import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain, count
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +39,8 @@ CACHE_BYTES, ENTRY_BYTES = 40_000_000, 200
 CACHED = 64
 #: Bits of a queue entry that hold the position, of words with at most 2 ** SHORT symbols: entries then are one machine digit.
 SHORT, LONG = 12, 40
+#: Words that are merged side by side, letters of texts whose words are, and what stands for no rank.
+ROWS, LETTERS, NONE = 4096, 1 << 22, 1 << 30
 END = "</w>"
 #: Stands before a special token; no chunk holds white space.
 MARK = "\n"
@@ -75,12 +80,19 @@ class BPE:
             self.rank[x].setdefault(y, len(self.pairs[0]))
             for column, v in zip(self.pairs, (x, y, self.ids[a + b]), strict=True):
                 column.append(v)
+        #: The pairs as numbers, in order, and their ranks. No id is the greatest below `many`, so a pair with -1 is none of them.
+        self.many = len(self.rank)
+        keys = np.array([x * self.many + y for x, row in enumerate(self.rank) for y in row], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], np.array([r for row in self.rank for r in row.values()], np.int32)[order]
+        self.made = np.array(self.pairs[2], np.int32)
         self.assigned: set[str] = set()
-        #: By pre-token its ids as little-endian unsigned 32-bit numbers.
-        self.met = Cache(lambda word: array("I", self.word(word)).tobytes())
+        #: By chunk and by pre-token, which is a chunk that stays whole, its ids as little-endian unsigned 32-bit numbers.
+        self.met = Cache(self.piece_ids, 2)
         letters = byte_letters()
         self.inner = [self.ids[x] for x in letters]
         self.last = [self.ids[x + END] for x in letters]
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int32), np.array(self.last, np.int32)
         #: By two bytes of a word the rank of their merge, or -1.
         self.start = [[self.rank[x].get(y, -1) for y in self.inner] for x in self.inner]
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
@@ -121,6 +133,57 @@ class BPE:
                 push(heap, r << shift | h)
         return [x for x in sym if x >= 0]
 
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, NONE where they don't merge; -1 is no id."""
+        key = left.astype(np.int64) * self.many + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(NONE))
+
+    def merged(self, words: list[bytes]) -> list[bytes]:
+        """The ids of pre-tokens of similar lengths, as little-endian unsigned 32-bit numbers. A row has a word's symbols, then -1; each step merges one pair of each row."""
+        n = np.array([len(x) for x in words])
+        width, row = int(n.max()), np.arange(len(words))
+        data = np.frombuffer(b"".join([x.ljust(width, b"\0") for x in words]), np.uint8).reshape(len(words), width)
+        column = np.arange(width)
+        sym = np.where(column < n[:, None], self.inner_ids[data], np.int32(-1))
+        sym[row, n - 1] = self.last_ids[data[row, n - 1]]
+        whole, live = sym.copy(), row
+        rank = np.hstack([self.ranked(sym[:, :-1], sym[:, 1:]), np.full((len(words), 1), NONE, np.int32)])
+        while True:
+            at = rank.argmin(axis=1)
+            r = rank[row, at]
+            some = r < NONE
+            if not some.all():
+                whole[live[~some]] = sym[~some]
+                live, sym, rank, at, r = live[some], sym[some], rank[some], at[some], r[some]
+                row = np.arange(len(live))
+            if not len(live):
+                break
+            later = column[:-1] > at[:, None]
+            sym[:, :-1] = np.where(later, sym[:, 1:], sym[:, :-1])
+            rank[:, :-1] = np.where(later, rank[:, 1:], rank[:, :-1])
+            sym[:, -1] = -1
+            sym[row, at] = new = self.made[r]
+            after = np.flatnonzero(at < width - 1)
+            rank[row, at] = NONE
+            rank[after, at[after]] = self.ranked(new[after], sym[after, at[after] + 1])
+            before = np.flatnonzero(at)
+            rank[before, at[before] - 1] = self.ranked(sym[before, at[before] - 1], new[before])
+        kept = whole >= 0
+        ids, ends = whole[kept].astype("<u4").tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Puts the pre-tokens of those chunks that aren't cached yet into the cache."""
+        met, older = self.met, self.met.older
+        words = {w for x in pieces if x not in met and x not in older and x[0] != MARK for w in self.words(x)}
+        new = [(w.encode(), w) for w in words if w not in met and w not in older and len(w) <= CACHED]
+        new.sort(key=lambda x: len(x[0]))
+        for i in range(0, len(new), ROWS):
+            part = new[i : i + ROWS]
+            for (_, w), ids in zip(part, self.merged([x[0] for x in part]), strict=True):
+                met.put(w, ids)
+
     def chunks(self, text: str) -> list[str]:
         """The folded text of a stretch without special tokens, cut at white space, which no pre-token crosses."""
         if not text.isascii():
@@ -158,21 +221,46 @@ class BPE:
         if piece[0] == MARK:
             return array("I", [self.special[piece[1:]]]).tobytes()
         words = self.words(piece)
-        return self.met[words[0]] if len(words) == 1 else b"".join(map(self.met.__getitem__, words))
+        return array("I", self.word(piece)).tobytes() if len(words) == 1 else b"".join(map(self.met.__getitem__, words))
 
     def encode(self, text: str) -> list[int]:
-        return array("I", b"".join(map(self.piece_ids, self.pieces(text)))).tolist()
+        return array("I", b"".join(map(self.met.__getitem__, self.pieces(text)))).tolist()
+
+    def encoded(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            held.append(self.pieces(text or ""))
+            size += len(text or "")
+            if size >= LETTERS or i == len(texts) - 1:
+                yield from self.joined(held)
+                held, size = [], 0
+
+    def joined(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each list of chunks. Each distinct chunk is looked up once; its ids are then copied by its number."""
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        ends = np.cumsum([len(x) for x in texts])
+        at = np.fromiter(map(number.__getitem__, chain.from_iterable(texts)), np.int64, int(ends[-1]))
+        self.learn(number)
+        found = list(map(self.met.__getitem__, number))
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(n) - n
+        many = n[at]
+        last = np.concatenate([[0], np.cumsum(many)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first[at] - last[:-1], many) + np.arange(last[-1])].tobytes()
+        cuts = [0, *(4 * last[ends]).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
 class Cache(dict):
-    """What a function gave for each word so far: the latest words, of CACHE_BYTES in all, and those of the generation before them. Values are bytes or tuples of them."""
+    """What a function gave for each word so far: the latest words, of CACHE_BYTES times share in all, and those of the generation before them. Values are bytes or tuples of them."""
 
-    def __init__(self, make) -> None:
+    def __init__(self, make, share: int = 1) -> None:
         super().__init__()
-        self.make = make
+        self.make, self.share = make, share
         self.older: dict = {}
         self.bytes = 0
 
@@ -180,10 +268,11 @@ class Cache(dict):
         if len(word) > CACHED:
             return self.make(word)
         out = self.older.get(word)
-        if out is None:
-            out = self.make(word)
+        return self.put(word, self.make(word) if out is None else out)
+
+    def put(self, word: str, out):
         size = ENTRY_BYTES + 4 * len(word) + (len(out) if isinstance(out, bytes) else sum(map(len, out)))
-        if self.bytes + size > CACHE_BYTES:
+        if self.bytes + size > CACHE_BYTES * self.share:
             self.older = dict(self)
             self.clear()
             self.bytes = 0
@@ -193,7 +282,7 @@ class Cache(dict):
 
 
 def forget() -> None:
-    for x in (model, word_ids, word_texts):
+    for x in (model, word_texts):
         x.cache_clear()
 
 
@@ -203,19 +292,13 @@ def model(path: str) -> BPE:
     return BPE(path)
 
 
-@lru_cache(maxsize=4)
-def word_ids(path: str) -> Cache:
-    """Per chunk its ids as little-endian unsigned 32-bit numbers."""
-    return Cache(model(path).piece_ids)
-
-
 @lru_cache(maxsize=4)
 def word_texts(path: str) -> Cache:
     """Per word its ids in decimals and its decoded strings, each followed by a space."""
     bpe = model(path)
 
     def make(word: str) -> tuple[bytes, bytes]:
-        ids = array("I", bpe.piece_ids(word)).tolist()
+        ids = array("I", bpe.met[word]).tolist()
         return b"".join([b"%d " % i for i in ids]), "".join([bpe.strings[i] + " " for i in ids]).encode()
 
     return Cache(make)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import model, tokenizer_path, uncollected, word_ids
+from quillspark.llm.bpe import model, tokenizer_path, uncollected
 from quillspark.llm.common import arrow_settings, map_batches, stored, table
 
 CAPACITY = 4096
@@ -95,12 +95,12 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "
     """The pieces of each document's ids and end mark, of at most capacity tokens."""
 
     def run(b: pa.RecordBatch) -> dict:
-        bpe, cache = model(path), word_ids(path)
+        bpe = model(path)
         end = END_ID.to_bytes(4, "little")
         out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         with uncollected():
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = b"".join(map(cache.__getitem__, bpe.pieces(x or ""))) + end
+            for doc, ids in zip(b.column(0).to_pylist(), bpe.encoded(b.column(1).to_pylist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     for column, v in zip(out.values(), (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +233,23 @@ def test_a_cache_is_bounded_by_bytes(monkeypatch):
     bpe.forget()
 
 
+def test_new_words_are_merged_side_by_side(monkeypatch):
+    monkeypatch.setattr(bpe, "ROWS", 100)
+    monkeypatch.setattr(bpe, "LETTERS", 3000)
+    bpe.forget()
+    model, rng = bpe.model(bpe.tokenizer_path()), random.Random(2)
+    letters = "aaaeeetthhnnoorrssiiélüßñ" + "漢😀'.,-1"
+    texts = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, rng.choice((3, 12, 90))))) for _ in range(150)) for _ in range(8)]
+    texts += [None, "", "a", "é", "aaaaaaaaaaaaaaaa eeee <|endoftext|>'s don't", "b" * 5000]
+    one_by_one = [array("I", [i for x in model.pieces(t or "") for w in ([x] if x[0] == bpe.MARK else model.words(x)) for i in ([model.special[w[1:]]] if w[0] == bpe.MARK else model.word(w))]).tobytes() for t in texts]
+    asked, word = [], bpe.BPE.word
+    monkeypatch.setattr(bpe.BPE, "word", lambda self, w: asked.append(w) or word(self, w))
+    assert list(model.encoded(texts)) == one_by_one and list(model.encoded([None, ""])) == [b"", b""]
+    assert all(len(w) > bpe.CACHED for w in asked)
+    assert [array("I", model.encode(t or "")).tobytes() for t in texts] == one_by_one
+    bpe.forget()
+
+
 def test_long_and_many_words_of_languages_are_not_kept(spark, monkeypatch):
     monkeypatch.setattr(language, "CACHE_WORDS", 20)
     rows = [(i, " ".join(f"w{j}the{i}" for j in range(40)) + " " + "x" * 500, "en") for i in range(6)] + [(10 + i, " ".join(f"ü{j}und{i}" for j in range(40)), "de") for i in range(6)]
