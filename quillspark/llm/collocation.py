@@ -1,8 +1,9 @@
 """Phrase collocations by hierarchical pair naming.
 
 Words that are frequent in a language get ids. A phrase of k words is the pair of the ids of its first
-and of its last k - 1 words, which stand at neighbouring places; the pairs of all blocks are counted by a
-global join, and frequent ones get ids in turn. Such a pair is a pointer to both parents as well: the
+and of its last k - 1 words, which stand at neighbouring places; the pairs of all blocks are counted by buckets
+of their hashes, and frequent ones get ids in turn. A block sends its pairs of a bucket as one packed
+row, as most pairs are rare, and one row a pair would be several times the input to shuffle. Such a pair is a pointer to both parents as well: the
 frequencies of all cuts' parts come along it, and a phrase is inside a longer one exactly if it is a
 parent of it, or a parent's parent.
 
@@ -23,20 +24,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.blocks import Names, cut, in_blocks, known, packed, unpacked
-from quillspark.llm.common import Tables, arrow_schema, arrow_settings, as_batch, entered, give_back, table
+from quillspark.llm.blocks import BATCH, Names, cut, in_blocks, known, packed, risen, rising, unpacked
+from quillspark.llm.common import Tables, arrow_schema, arrow_settings, as_batch, entered, give_back, mix64, table
 
 #: A phrase has at least so many occurrences and at most so many words.
 LEAST, LONGEST = 30, 4
 #: A longer phrase with this share of a phrase's occurrences (in hundredths) subsumes it.
 SUBSUMES = 80
 TOP = 2000
+#: Words of the corpus for each bucket of pairs, which a task holds.
+BUCKET_WORDS = 1_000_000
 
 _SEPARATORS = b".,;:!?\n\v\f\r"
 #: Lower case, and the one separator "." in place of all, which no word can hold.
 _FOLD = bytes(ord(".") if x in _SEPARATORS else x + 32 if 65 <= x <= 90 else x for x in range(256))
 _LEVEL_1 = "block long, lang string, ids binary, local int, word binary, n long"
-_LEVEL_K = "block long, ids binary, local int, left long, right long, n long"
+_LEVEL_K = "block long, ids binary, bucket long, first long, pairs binary"
+_COUNTED = "block long, local binary, names binary, id long, left long, right long, f long"
 
 
 def words(text: str) -> list[bytes]:
@@ -62,29 +66,76 @@ def _numbered(block: int, batches: list[pa.RecordBatch]):
         yield from cut({"block": key, "lang": lang, "ids": None, "local": np.arange(1, len(n)), "word": list(own)[1:], "n": n[1:]}, len(n) - 1)
 
 
-def _pairs(series: pa.Table, names: pa.Table) -> pa.Table:
-    """Of a block's phrases of k - 1 words (by start), those at neighbouring places that are both frequent: the phrases of k words, numbered anew, and their dictionary."""
+def _pairs(series: pa.Table, names: pa.Table, buckets: int) -> pa.Table:
+    """Of a block's phrases of k - 1 words (by start), those at neighbouring places that are both frequent: the phrases of k words, numbered anew by bucket, and each bucket's left and right ids and numbers of occurrences."""
     schema = arrow_schema(_LEVEL_K)
     entered()
     if not series.num_rows or not names.num_rows:
         return schema.empty_table()
     block, at = series["block"][0].as_py(), unpacked(series["ids"][0].as_py())
-    ids = names["id"].to_numpy()
+    if pa.types.is_binary(names["local"].type):
+        local, ids = (np.concatenate([risen(x, 1)[0] for x in names[c].to_pylist()]) for c in ("local", "id"))
+    else:
+        local, ids = names["local"].to_numpy(), names["id"].to_numpy()
     order = np.argsort(ids)
     ids = ids[order]
     slot = np.full(int(at.max(initial=0)) + 2, -1, np.int64)
-    slot[names["local"].to_numpy()[order]] = np.arange(len(ids))
+    slot[local[order]] = np.arange(len(ids))
     x = slot[at]
     both = (x[:-1] >= 0) & (x[1:] >= 0)
     pairs, back, n = np.unique(x[:-1][both] * len(ids) + x[1:][both], return_inverse=True, return_counts=True)
     del x, slot
     if not len(pairs):
         return schema.empty_table()
+    left, right = ids[pairs // len(ids)], ids[pairs % len(ids)]
+    bucket = (mix64(mix64(left.view(np.uint64)) ^ right.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
     nxt = np.full(len(at), -1, "<i4")
-    nxt[:-1][both] = back
-    del back, both
-    columns = [{"block": [block], "ids": [packed(nxt)], "local": [None], "left": [None], "right": [None], "n": [None]}]
-    columns += cut({"block": block, "ids": None, "local": np.arange(len(pairs)), "left": ids[pairs // len(ids)], "right": ids[pairs % len(ids)], "n": n}, len(pairs))
+    nxt[:-1][both] = place[back]
+    del pairs, back, both, place
+    left, right, n, bucket = left[order], right[order], n[order], bucket[order]
+    first = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+    sent = [rising(left[a:b], right[a:b], np.cumsum(n[a:b])) for a, b in zip(first, [*first[1:], len(bucket)], strict=True)]
+    columns = [{"block": [block], "ids": [packed(nxt)], "bucket": [None], "first": [None], "pairs": [None]}]
+    columns += cut({"block": block, "ids": None, "bucket": bucket[first], "first": first, "pairs": sent}, len(first))
+    out = pa.Table.from_batches([as_batch(c, schema) for c in columns], schema)
+    give_back()
+    return out
+
+
+def _counted(rows: pa.Table, least: int) -> pa.Table:
+    """Of a bucket the frequent pairs (id, left, right, f), and by block the numbers and ids of those that it has."""
+    schema = arrow_schema(_COUNTED)
+    entered()
+    bucket, parts = rows["bucket"][0].as_py(), [risen(x, 3) for x in rows["pairs"].to_pylist()]
+    ends = np.cumsum([x.shape[1] for x in parts])
+    left, right = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+    n = np.concatenate([np.diff(x[2], prepend=0) for x in parts])
+    del parts
+    order = np.lexsort((right, left))
+    left, right = left[order], right[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
+    start = np.flatnonzero(new)
+    f = np.add.reduceat(n[order], start)
+    often = f >= least
+    id_ = np.where(often, bucket << 32 | np.cumsum(often), -1)
+    own = np.empty(len(order), np.int64)
+    own[order] = id_[np.cumsum(new) - 1]
+    at = start[often]
+    none: dict = dict.fromkeys(schema.names)
+    columns = list(cut(none | {"id": id_[often], "left": left[at], "right": right[at], "f": f[often]}, len(at)))
+    del order, left, right, new, n
+    found: list[tuple] = []
+    for block, first, a, b in zip(rows["block"].to_pylist(), rows["first"].to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+        here = np.flatnonzero(own[a:b] >= 0)
+        if len(here):
+            found.append((block, rising(first + here), rising(own[a:b][here])))
+    for i in range(0, len(found), BATCH):
+        block, local, names = (list(x) for x in zip(*found[i : i + BATCH], strict=True))
+        columns.append({c: [None] * len(block) for c in schema.names} | {"block": block, "local": local, "names": names})
     out = pa.Table.from_batches([as_batch(c, schema) for c in columns], schema)
     give_back()
     return out
@@ -94,7 +145,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text:
     """For each number of words up to longest a stored table of the frequent phrases (id, lang, phrase, last, left, right, f, heads, tails), and all words' number by lang.
 
     heads has the frequencies of a phrase's first 1, 2, ... words, tails of its last ones; both end with its own.
-    A pair's rows, one a block, are counted by a window over its two ids, so what is frequent goes back to its blocks without another join.
+    All blocks' pairs of a bucket are counted together, and what is frequent goes back to its blocks without another join. There are as many buckets as the corpus needs for each to stay small.
     """
     kept, none = Tables("phrase"), F.lit(None).cast("long")
     level = kept.put(in_blocks(docs.select(F.coalesce(lang, F.lit("und")).alias("lang"), text), _numbered, _LEVEL_1, 1), "pairs-1")
@@ -105,18 +156,24 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text:
     word = F.col("word").cast("string")
     out = [kept.put(found.select("id", "lang", word.alias("phrase"), word.alias("last"), none.alias("left"), none.alias("right"), "f", F.array("f").alias("heads"), F.array("f").alias("tails")), "level-1")]
     names = known(own, found.select("lang", "word", "id"), ["lang", "word"]).select("block", "local", "id")
+    buckets = 1 + (sizes.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS
+
+    def pairs(series: pa.Table, names: pa.Table) -> pa.Table:
+        return _pairs(series, names, buckets)
+
+    def counted(rows: pa.Table) -> pa.Table:
+        return _counted(rows, least)
+
     for k in range(2, longest + 1):
         series = level.filter("ids is not null").select(F.col("block").alias("block"), "ids")  # else both sides have one lineage's columns
-        level = kept.put(series.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(_pairs, _LEVEL_K), f"pairs-{k}")
+        level = kept.put(series.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(pairs, _LEVEL_K), f"pairs-{k}")
         kept.drop(f"pairs-{k - 1}", f"counts-{k - 1}")
-        pair = W.partitionBy("left", "right")
-        rows = level.filter("local is not null").select("block", "local", "left", "right", F.sum("n").over(pair).alias("f")).filter(F.col("f") >= least)
-        rows = rows.withColumn("own", F.monotonically_increasing_id()).withColumn("id", F.min("own").over(pair))  # another window over rows that are together already
-        rows = kept.put(rows.select("block", "local", "left", "right", "f", "id", (F.col("own") == F.col("id")).alias("first")), f"counts-{k}")
-        names = rows.select("block", "local", "id")
+        rows = level.filter("bucket is not null").select("block", "bucket", "first", "pairs").groupBy("bucket").applyInArrow(counted, _COUNTED)
+        rows = kept.put(rows, f"counts-{k}")
+        names = rows.filter("block is not null").select("block", "local", F.col("names").alias("id"))
         left = out[-1].select("lang", F.col("id").alias("left"), F.col("phrase").alias("start"), "heads")
         right = out[-1].select(F.col("id").alias("right"), "last", "tails")
-        named = rows.filter("first").select("id", "left", "right", "f").join(left, "left").join(right, "right")
+        named = rows.filter("id is not null").select("id", "left", "right", "f").join(left, "left").join(right, "right")
         named = named.select("id", "lang", F.concat_ws(" ", "start", "last").alias("phrase"), "last", "left", "right", "f", F.concat("heads", F.array("f")).alias("heads"), F.concat("tails", F.array("f")).alias("tails"))
         out.append(kept.put(named, f"level-{k}"))
     kept.drop(f"pairs-{longest}", f"counts-{longest}")

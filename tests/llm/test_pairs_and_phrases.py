@@ -233,6 +233,23 @@ def test_a_cache_is_bounded_by_bytes(monkeypatch):
     bpe.forget()
 
 
+def test_rare_pairs_of_a_block_are_few_packed_bytes():
+    rng = np.random.default_rng(3)
+    at = np.minimum(rng.zipf(1.3, 200_000), 5000).astype(np.int32)
+    local = np.unique(at)
+    ids = rng.permutation(len(local)) + (7 << 33)
+    series, names = pa.table({"block": [5], "ids": [blocks.packed(at)]}), pa.table({"block": [5] * len(local), "local": local, "id": ids})
+    rows = collocation._pairs(series, names, 10).slice(1)
+    by_id = dict(zip(local.tolist(), ids.tolist(), strict=True))
+    wanted = collections.Counter(zip([by_id[x] for x in at[:-1].tolist()], [by_id[x] for x in at[1:].tolist()], strict=True))
+    sent = [blocks.risen(x, 3) for x in rows["pairs"].to_pylist()]
+    assert {(a, b): n for x in sent for a, b, n in zip(*x[:2].tolist(), np.diff(x[2], prepend=0).tolist(), strict=True)} == wanted
+    assert rows.num_rows == 10 and sum(map(len, rows["pairs"].to_pylist())) < 5 * len(wanted)
+    odd = np.array([5, 5, 2**61, 0, 3])
+    assert blocks.risen(blocks.rising(odd, odd[::-1]), 2).tolist() == [odd.tolist(), odd[::-1].tolist()]
+    assert blocks.risen(blocks.rising(odd[:0]), 1).tolist() == [[]]
+
+
 def test_new_words_are_merged_side_by_side(monkeypatch):
     monkeypatch.setattr(bpe, "ROWS", 100)
     monkeypatch.setattr(bpe, "LETTERS", 3000)
